@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldbook.llm import packing, quality_classifier, sharding
+from fieldbook.llm import fingerprints, line_dedup, packing, quality_classifier, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -50,3 +50,35 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents' tokens in sequences of 1024."""
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+@query
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every document loses to line runs that occur earlier."""
+    out = line_dedup.remove_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.col("n_lines").cast("long"), F.col("n_removed").cast("long"), F.size("spans").cast("long").alias("n_spans"), F.md5(F.encode("text", "UTF-8")).alias("kept_md5"))
+
+
+SQL["op7_line_dedup"] = """
+    WITH docs AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
+    l AS (SELECT doc_id, i - 1 AS pos, ls[i] AS line, trim(ls[i], ' ') AS norm FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM docs)),
+    runs AS (
+        SELECT doc_id, pos, 1 AS n, norm AS content FROM l WHERE length(norm) - length(replace(norm, ' ', '')) + 1 >= 50
+        UNION ALL
+        SELECT a.doc_id, a.pos, 2 AS n, a.norm || chr(10) || b.norm AS content FROM l a JOIN l b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1
+    ),
+    later AS (SELECT doc_id, pos, n FROM (SELECT *, row_number() OVER (PARTITION BY n, content ORDER BY doc_id, pos) AS k FROM runs) WHERE k > 1),
+    gone AS (SELECT DISTINCT doc_id, pos + unnest(range(0, n)) AS pos FROM later),
+    marked AS (SELECT l.*, gone.pos IS NOT NULL AS gone FROM l LEFT JOIN gone ON l.doc_id = gone.doc_id AND l.pos = gone.pos),
+    edges AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY pos), false) AS starts FROM marked)
+    SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, count(*) FILTER (starts) AS n_spans,
+           md5(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_md5
+    FROM edges GROUP BY doc_id
+"""
+
+
+@query
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint against its edited text's and the next document's."""
+    docs = table(spark, sf_dir, "documents")
+    return fingerprints.compare_edited(docs, fingerprints.rarity(docs))
