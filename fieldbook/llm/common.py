@@ -58,3 +58,36 @@ def hash_unit(*cols: Column | str, seed: int = 0) -> Column:
     """A number in (0, 1) that depends on the columns' values alone."""
     h = F.xxhash64(F.lit(seed), *[F.col(c) if isinstance(c, str) else c for c in cols])
     return (F.shiftrightunsigned(h, 11).cast("double") + 0.5) / float(1 << 53)
+
+
+def connected(links: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, root) of each node of links (a, b), both long: the least node that can be reached.
+
+    Alternating stars: every node's larger neighbours are tied to its least
+    one, then its smaller ones, until nothing changes. The links never become
+    more, and each round is written to the shared folder.
+    """
+
+    def star(pairs: DataFrame, larger: bool) -> DataFrame:
+        both = pairs.select("a", "b").union(pairs.select("b", "a")) if larger else pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        least = both.groupBy("a").agg(F.min("b").alias("least")).select("a", F.least("a", "least").alias("least"))
+        tied = both.join(least, "a")
+        out = tied.where("b > a").select(F.col("b").alias("a"), F.col("least").alias("b"))
+        if not larger:
+            out = tied.select(F.col("b").alias("a"), F.col("least").alias("b")).union(least.select("a", F.col("least").alias("b")))
+        return out.where("a <> b").distinct()
+
+    def mark(pairs: DataFrame) -> tuple:
+        return tuple(pairs.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first())
+
+    before, pairs, k = None, links.where("a <> b"), 0
+    while True:
+        pairs = scratch.save(f"stars-{k}", star(star(pairs, True), False))
+        if k:
+            scratch.drop(f"stars-{k - 1}")
+        now, k = mark(pairs), k + 1
+        if now == before:
+            break
+        before = now
+    nodes = pairs.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    return nodes.union(nodes.select("root").distinct().select(F.col("root").alias("node"), "root"))

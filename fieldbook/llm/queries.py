@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldbook.llm import fingerprints, line_dedup, packing, quality_classifier, sharding
+from fieldbook.llm import fingerprints, jaccard_join, line_dedup, packing, quality_classifier, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -46,6 +46,12 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shuffle_shards(table(spark, sf_dir, "documents"))
 
 
+@query
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's component among links of similarity 0.85 or more on four-word shingles."""
+    return jaccard_join.link_documents(table(spark, sf_dir, "documents"), words=4, num=85, den=100)
+
+
 @query
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents' tokens in sequences of 1024."""
