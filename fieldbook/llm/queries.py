@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldbook.llm import fingerprints, jaccard_join, line_dedup, packing, quality_classifier, sharding
+from fieldbook.llm import fingerprints, jaccard_join, line_dedup, nearest, packing, quality_classifier, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -88,3 +88,9 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fingerprint against its edited text's and the next document's."""
     docs = table(spark, sf_dir, "documents")
     return fingerprints.compare_edited(docs, fingerprints.rarity(docs))
+
+
+@query
+def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors found for each fiftieth vec_id."""
+    return nearest.nearest(table(spark, sf_dir, "embeddings"), every=50, k=5)
