@@ -6,7 +6,7 @@ extended prefix: similar sets share many of it), and those that no other class
 keeps are dropped, which leaves few classes. Their kept shingles are ordered
 by frequency; the first of them are the prefix of which similar sets share at
 least one. Classes with the same size and prefix form a group. The groups that
-share a prefix shingle form a cell; cells are expanded to their members and
+share a prefix shingle meet in a cell; cells are expanded to their members and
 verified as whole, which gives at most one link per member. Cells that are too
 heavy for a task are dealt out in pairs of blocks.
 """
@@ -138,19 +138,20 @@ def verified(cells: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def cells_of(groups: DataFrame, members: DataFrame, scratch: Scratch) -> DataFrame:
-    """(cell, key): the members of each cell, of groups (gid, n, prefix, members) and members (gid, key)."""
-    entries = groups.select(F.explode("prefix").alias("token"), "gid", "members", (F.col("n") * F.col("members")).alias("weight"))
-    tokens = entries.groupBy("token").agg(F.sum("members").alias("members"), F.sum("weight").alias("weight")).where("members > 1")
-    tokens = scratch.save("tokens", tokens.select("token", F.ceil(F.col("weight") / CELL_SHINGLES).cast("int").alias("blocks")))
-    entries = entries.select("token", "gid")
-    # Shingles with the same groups make the same cell.
-    light = entries.join(tokens.where("blocks = 1"), "token").groupBy("token").agg(F.sort_array(F.collect_list("gid")).alias("gids")).select("gids").distinct()
-    light = light.select(F.xxhash64("gids").alias("cell"), F.explode("gids").alias("gid")).join(members, "gid").select("cell", "key")
-    heavy = entries.join(tokens.where("blocks > 1"), "token").join(members, "gid")
+    """(cell, key): the members of each cell, of groups (gid, n, prefix, members) and members (gid, key).
+
+    The groups of a shingle belong to the cell of the least of them, so that
+    shingles whose groups are nearly the same share a cell.
+    """
+    entries = groups.select(F.explode("prefix").alias("token"), "gid", "n", "members")
+    least = entries.groupBy("token").agg(F.min("gid").alias("leader"))
+    pairs = scratch.save("pairs", entries.join(least, "token").select("leader", "gid", "n", "members").distinct())
+    blocks = F.ceil(F.sum(F.col("n") * F.col("members")) / CELL_SHINGLES).cast("int")
+    cells = pairs.groupBy("leader").agg(F.sum("members").alias("all"), blocks.alias("blocks")).where(F.col("all") > 1).select("leader", "blocks")
+    rows = pairs.select("leader", "gid").join(cells, "leader").join(members, "gid")
     own = F.pmod(F.xxhash64("key"), F.col("blocks"))
-    heavy = heavy.select("token", "key", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    heavy = heavy.select(F.xxhash64("token", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "key")
-    return light.unionByName(heavy)
+    rows = rows.select("leader", "key", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    return rows.select(F.xxhash64("leader", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "key")
 
 
 def link_documents(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
