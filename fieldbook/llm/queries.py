@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldbook.llm import fingerprints, jaccard_join, line_dedup, nearest, packing, quality_classifier, sharding, suffix_dedup
+from fieldbook.llm import fingerprints, jaccard_join, line_dedup, mixing, nearest, packing, quality_classifier, sharding, suffix_dedup, url_filters
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -58,6 +58,87 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+#: Shares of sources, languages and topics go with this power of their tokens.
+MIXING_POWER = 0.7
+MIXING_BUDGET = 0.5
+#: Rounds after which the SQL's raking has converged.
+MIXING_ROUNDS = 25
+
+
+@query
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's chance in a mix with raked shares of sources, languages and topics, and whether it is drawn."""
+    docs = mixing.with_topic(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), table(spark, sf_dir, "embeddings"))
+    mixed = mixing.mix(docs, {n: F.col(n) for n in ("source", "lang", "topic")}, power=MIXING_POWER, budget=MIXING_BUDGET)
+    return mixed.select("doc_id", "source", "lang", "topic", "tokens", F.round("probability", 6).alias("probability"), "sampled")
+
+
+SQL["op5_mixing"] = f"""
+    WITH topics AS (SELECT vec_id, min(label)::VARCHAR AS topic FROM embeddings WHERE label IS NOT NULL GROUP BY vec_id),
+    counted AS (
+        SELECT doc_id, source, lang, topic, coalesce(source, '(none)') AS s, coalesce(lang, '(none)') AS l, coalesce(topic, '(none)') AS p,
+               coalesce(len(regexp_extract_all(text, '[^\t\n\x0B\f\r ]+')), 0)::BIGINT AS tokens
+        FROM documents LEFT JOIN topics ON doc_id = vec_id
+    ),
+    cells AS (SELECT s, l, p, sum(tokens)::BIGINT AS tokens FROM counted GROUP BY s, l, p),
+    {mixing.raking_sql(["s", "l", "p"], MIXING_POWER, MIXING_ROUNDS)},
+    chances AS (
+        SELECT d.*, CASE WHEN r.tokens > 0 THEN least(1.0::DOUBLE, {MIXING_BUDGET}::DOUBLE * r.weight / r.tokens) ELSE 1.0::DOUBLE END AS chance,
+               ('0x' || substr(md5('{mixing.SEED}:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT::DOUBLE / 4294967296 AS u
+        FROM counted d JOIN raked r ON d.s = r.s AND d.l = r.l AND d.p = r.p
+    )
+    SELECT doc_id, source, lang, topic, tokens, round(chance, 6) AS probability, u < chance AS sampled FROM chances
+"""
+
+
+#: Written rules: host/path and verdict.
+URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
+
+
+@query
+def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's verdict by written rules, else by rules mined from labelled pages."""
+    judged = url_filters.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"), URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+_AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+SQL["op6_url_filters"] = f"""
+    WITH parsed AS (
+        SELECT page_id, url, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), {_AZ}) AS host,
+               coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path,
+               coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*[^?#]*(.*)$', 1), '') AS rest FROM pages
+    ),
+    urls AS (
+        SELECT DISTINCT url, list_distinct(list_concat(
+            list_transform(list_filter(string_split(host, '.'), lambda x: x <> ''), lambda x: 'h:' || x),
+            list_transform(list_filter(string_split_regex(translate(path, {_AZ}), '[^a-z0-9]+'), lambda x: x <> ''), lambda x: 'p:' || x),
+            list_transform(list_filter(string_split_regex(translate(rest, {_AZ}), '[^a-z0-9]+'), lambda x: x <> ''), lambda x: 'q:' || x))) AS own
+        FROM parsed WHERE url IS NOT NULL
+    ),
+    bad AS (SELECT doc_id, bool_or(coalesce(quality = 0 OR toxic = 1, false)) AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+    known AS (SELECT page_id, url, own, bad FROM (SELECT DISTINCT page_id, url FROM pages) JOIN bad ON page_id = doc_id JOIN urls USING (url) WHERE len(own) > 0 OR bad),
+    least AS (SELECT ceil(least(1::DOUBLE, greatest({url_filters.MIN_SUPPORT}::DOUBLE, {url_filters.MIN_PAGES}::DOUBLE / count(*))) * count(*)) AS n FROM known),
+    t AS (SELECT page_id, url, bad, unnest(own) AS tok FROM known),
+    antecedents AS (
+        SELECT [tok] AS toks, bad FROM t
+        UNION ALL SELECT [a.tok, b.tok], a.bad FROM t a JOIN t b ON a.page_id = b.page_id AND a.url = b.url AND a.tok < b.tok
+        UNION ALL SELECT [a.tok, b.tok, c.tok], a.bad FROM t a JOIN t b ON a.page_id = b.page_id AND a.url = b.url AND a.tok < b.tok
+                  JOIN t c ON a.page_id = c.page_id AND a.url = c.url AND b.tok < c.tok
+    ),
+    mined AS (SELECT toks FROM antecedents GROUP BY toks HAVING count(*) FILTER (bad) >= (SELECT n FROM least) AND count(*) FILTER (bad) >= {url_filters.MIN_CONFIDENCE} * count(*)),
+    blocked AS (SELECT DISTINCT url FROM urls JOIN mined ON list_has_all(own, toks)),
+    rules AS (SELECT * FROM (VALUES {", ".join(f"('{r}', '{r.partition('/')[0]}', '/{r.partition('/')[2]}', '{v}')" for r, v in URL_RULES)}) v(rule, rule_host, rule_path, rule_verdict)),
+    fitting AS (
+        SELECT url, arg_max(rule, length(rule)) AS rule, arg_max(rule_verdict, length(rule)) AS rule_verdict
+        FROM (SELECT DISTINCT url, host, path FROM parsed) JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY url
+    )
+    SELECT page_id, host, path, rule, coalesce(rule_verdict, CASE WHEN b.url IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
+    FROM parsed p LEFT JOIN fitting f ON p.url = f.url LEFT JOIN blocked b ON p.url = b.url
+"""
+
+
 @query
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What every document loses to line runs that occur earlier."""
