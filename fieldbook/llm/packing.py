@@ -11,7 +11,6 @@ no padding. Nothing is shuffled.
 from __future__ import annotations
 
 import heapq
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -27,9 +26,22 @@ END = 0
 #: Words whose ids a worker remembers before it starts afresh.
 CACHE_WORDS = 1 << 20
 
+#: Pieces that are encoded side by side.
+JOINED = 2048
+#: White space other than a space or a line's end.
+OTHER_SPACE = [chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n"]
+OTHER_ASCII = [c for c in OTHER_SPACE if c.isascii()]
+
 _workers: dict[str, Tokenizer] = {}
 
 
+def unusual(text: str) -> bool:
+    """Whether white space stands side by side, at an end of the text, or is other than a space or a line's end."""
+    if text[:1].isspace() or text[-1:].isspace() or "  " in text or " \n" in text or "\n " in text or "\n\n" in text:
+        return True
+    return any(c in text for c in (OTHER_ASCII if text.isascii() else OTHER_SPACE))
+
+
 class Tokenizer:
     """Token ids of whole texts, by a tokenizer file; words seen before are looked up.
 
@@ -39,13 +51,15 @@ class Tokenizer:
     encoded as they are.
     """
 
-    _adjacent = re.compile(r"\s\s|^\s|\s$|[^\S \n]")
-
     def __init__(self, path: str):
         from tokenizers import Tokenizer as Encoder
 
         self.encoder = Encoder.from_file(path)
         self.encoder.encode_special_tokens = True
+        vocabulary = self.encoder.get_vocab()
+        # A byte-level vocabulary writes each byte as one character.
+        self.bytes_of = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
+        self.bytes_of[list(vocabulary.values())] = [len(token) for token in vocabulary]
         self.forget()
 
     def forget(self) -> None:
@@ -57,21 +71,45 @@ class Tokenizer:
     def _encode(self, pieces: list[str]) -> list[list[int]]:
         return [e.ids for e in self.encoder.encode_batch_fast(pieces, add_special_tokens=False)]
 
-    def _learn(self, keys: np.ndarray, pieces: list[str]) -> None:
+    def _encode_words(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all pieces in one array, and how many each has.
+
+        Pieces that begin with a space are encoded side by side; the bytes that
+        each id stands for tell where a piece ends.
+        """
+        ids, counts = [np.empty(0, np.uint32)], [np.empty(0, np.int64)]
+        for lo in range(0, len(pieces), JOINED):
+            some = pieces[lo : lo + JOINED]
+            got = np.array(self._encode([b"".join(some).decode()])[0], np.uint32)
+            ends, goal = np.cumsum(self.bytes_of[got]), np.cumsum([len(p) for p in some])
+            at = np.searchsorted(ends, goal)
+            if len(ends) and at[-1] == len(ends) - 1 and (ends[at] == goal).all() and all(p[:1] == b" " for p in some[1:]):
+                counts.append(np.diff(at, prepend=-1))
+            else:
+                each = self._encode([p.decode() for p in some])
+                got = np.array([i for x in each for i in x], np.uint32)
+                counts.append(np.array([len(x) for x in each], np.int64))
+            ids.append(got)
+        return np.concatenate(ids), np.concatenate(counts)
+
+    def _learn(self, keys: np.ndarray, pieces: list[bytes]) -> None:
         """Add pieces under keys, which are sorted, new and as many."""
         if len(self.keys) + len(keys) > CACHE_WORDS:
             self.forget()
-        ids = self._encode(pieces)
-        count = np.array([len(x) for x in ids], np.int64)
-        first = len(self.ids) + np.concatenate([[0], np.cumsum(count)[:-1]]).astype(np.int64)
-        self.ids = np.concatenate([self.ids, np.array([i for x in ids for i in x], np.uint32)])
+        # Those that begin a text come last, so that most neighbours begin with a space.
+        order = np.argsort([p[:1] != b" " for p in pieces], kind="stable")
+        ids, some = self._encode_words([pieces[k] for k in order])
+        count, first = np.empty(len(keys), np.int64), np.empty(len(keys), np.int64)
+        count[order] = some
+        first[order] = len(self.ids) + np.cumsum(some) - some
+        self.ids = np.concatenate([self.ids, ids])
         at = np.searchsorted(self.keys, keys)
         self.keys, self.first, self.count = (np.insert(a, at, b) for a, b in ((self.keys, keys), (self.first, first), (self.count, count)))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, without the end id."""
         out: list[np.ndarray | None] = [None] * len(texts)
-        odd = [k for k, t in enumerate(texts) if self._adjacent.search(t)]
+        odd = [k for k, t in enumerate(texts) if unusual(t)]
         for k, ids in zip(odd, self._encode([texts[k] for k in odd]), strict=True):
             out[k] = np.array(ids, np.uint32)
         plain = [k for k in range(len(texts)) if out[k] is None]
@@ -98,7 +136,7 @@ class Tokenizer:
                 self.forget()
                 new = np.arange(len(uniq))
             data = buf.tobytes()
-            self._learn(uniq[new], [data[start[w] : end[w]].decode() for w in where[new]])
+            self._learn(uniq[new], [data[a:b] for a, b in zip(start[where[new]].tolist(), end[where[new]].tolist(), strict=True)])
         at = np.searchsorted(self.keys, uniq)[back]
         count = self.count[at]
         ends = np.cumsum(count)
