@@ -18,6 +18,8 @@ from fieldbook.llm.common import Scratch
 
 LINES = 2
 LONG_WORDS = 50
+#: Columns that are joined to docs for a while.
+GONE, DOC, HASH = "_line_dedup_gone", "_line_dedup_doc", "_line_dedup_hash"
 
 
 def _lines(text: Column) -> Column:
@@ -86,20 +88,20 @@ def remove_repeated_lines(docs: DataFrame, lines: int = LINES, long_words: int =
     docs = docs.drop("n_lines", "n_removed", "spans")
     found = repeated_runs(docs.select("doc_id", "text"), lines, long_words)
     cover = F.array_distinct(F.flatten(F.collect_set(F.sequence("start", F.col("start") + F.col("n") - 1))))
-    gone = found.groupBy("doc_id", "text_hash").agg(F.array_sort(cover).alias("_gone")).select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"), "_gone")
-    joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_hash")), "left").drop("_doc", "_hash")
+    gone = found.groupBy("doc_id", "text_hash").agg(F.array_sort(cover).alias(GONE)).select(F.col("doc_id").alias(DOC), F.col("text_hash").alias(HASH), GONE)
+    joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col(DOC)) & (F.xxhash64("text") == F.col(HASH)), "left").drop(DOC, HASH)
     all_lines = _lines(F.col("text"))
-    left = F.array_except(F.sequence(F.lit(0), F.size(all_lines) - 1), "_gone")
+    left = F.array_except(F.sequence(F.lit(0), F.size(all_lines) - 1), GONE)
     kept = F.array_join(F.transform(left, lambda i: F.get(all_lines, i)), "\n")
-    start = F.array_except("_gone", F.transform("_gone", lambda x: x + 1))
-    stop = F.array_except("_gone", F.transform("_gone", lambda x: x - 1))
-    none = F.col("_gone").isNull()
+    start = F.array_except(GONE, F.transform(GONE, lambda x: x + 1))
+    stop = F.array_except(GONE, F.transform(GONE, lambda x: x - 1))
+    none = F.col(GONE).isNull()
     spans = F.when(none, F.array().cast("array<struct<start:int,lines:int>>")).otherwise(F.zip_with(start, stop, lambda a, b: F.struct(a.alias("start"), (b - a + 1).alias("lines"))))
     return joined.withColumns(
         {
             "n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size(all_lines)),
-            "n_removed": F.when(none, 0).otherwise(F.size("_gone")),
+            "n_removed": F.when(none, 0).otherwise(F.size(GONE)),
             "spans": spans,
             "text": F.when(none, F.col("text")).otherwise(kept),
         }
-    ).drop("_gone")
+    ).drop(GONE)

@@ -91,21 +91,22 @@ def mix(docs: DataFrame, dimensions: dict[str, Column], targets: dict[str, DataF
     names = list(dimensions)
     keys = [F.coalesce(dimensions[n].cast("string"), F.lit(NONE)).alias(f"_{n}") for n in names]
     held = [f"_{n}" for n in names]
-    counted = docs.select("*", *keys, tokens_of(F.col("text")).alias("tokens"))
+    # Whole rows in one column keep clear of names that docs may have.
+    counted = docs.select(F.struct("*").alias("row"), *keys, tokens_of(F.col("text")).alias("tokens"))
     cells = scratch.save("cells", counted.groupBy(*held).agg(F.sum("tokens").alias("tokens")))
     goals = {f"_{n}": (targets or {}).get(n) or tempered(cells, f"_{n}", power) for n in names}
     raked = rake(cells, goals, scratch).withColumnRenamed("tokens", "_all")
     joined = counted.join(hinted(raked.withColumnRenamed("weight", "cell_weight")), held)
     chance = F.when(F.col("_all") > 0, F.least(F.lit(1.0), budget * F.col("cell_weight") / F.col("_all"))).otherwise(1.0)
-    out = joined.withColumn("probability", chance).withColumn("sampled", unit_hash("doc_id") < F.col("probability"))
-    return out.select(*docs.columns, *added)
+    out = joined.withColumn("probability", chance).withColumn("sampled", unit_hash("row.doc_id") < F.col("probability"))
+    return out.select("row.*", *added)
 
 
 def with_topic(docs: DataFrame, embeddings: DataFrame, name: str = "topic") -> DataFrame:
     """docs with a topic: the label of the vector whose vec_id is the doc_id (of several, the least), null without one."""
     topics = embeddings.where("vec_id IS NOT NULL AND label IS NOT NULL").groupBy(F.col("vec_id").alias("_vec")).agg(F.min("label").cast("string").alias(name))
-    docs = docs.drop(name)
-    return docs.join(topics, docs["doc_id"] == topics["_vec"], "left").drop("_vec")
+    rows = docs.drop(name).select(F.struct("*").alias("row"))
+    return rows.join(topics, F.col("row.doc_id") == F.col("_vec"), "left").select("row.*", name)
 
 
 def raking_sql(names: list[str], power: float, rounds: int) -> str:
