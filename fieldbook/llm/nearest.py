@@ -154,7 +154,7 @@ def scan(vectors: DataFrame, queries: list, k: int) -> DataFrame:
 def fit(first: DataFrame, count: int, queries: DataFrame, k: int, seed: int = 11) -> Index:
     """An index whose number of visits finds FIT_RECALL of the neighbours of FIT_QUERIES sampled queries, those of least hash."""
     sample = queries.orderBy(F.xxhash64("vec_id"), "vec_id").limit(FIT_QUERIES).collect()
-    cells = min(MOST_CELLS, max(2, round(math.log2(max(2, count)) / 1.6)))
+    cells = min(MOST_CELLS, max(2, round(math.log2(max(2, count)) / 2.2)))
     dimension = len(sample[0].embedding) if sample else 1
     rng = np.random.default_rng(seed)
     index = Index(rng.normal(size=(TABLES, dimension, cells)), rng.uniform(0, WIDTH, (TABLES, cells)), template(cells, MOST_PROBES))
