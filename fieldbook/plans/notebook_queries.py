@@ -1,17 +1,62 @@
-"""Notebook operators applied to the driver tables, each with its SQL twin."""
+"""Notebook operators applied to the driver's tables, each with its SQL twin.
+
+Roles: nation is a project, customer an experiment, orders are entries,
+lineitem their attachments, conversations blocks, events changes, documents
+and pages texts and paths.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldbook.functions import arrays, blocks, text
+from fieldbook.operators import collections, export, filters, joins, search
 from fieldbook.plans.catalog import query
+from fieldbook.streaming import changes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as entries."""
+    one = lambda c: F.array(c)
+    return table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("id"), F.col("o_orderkey").alias("seq"), F.col("o_custkey").alias("experiment_id"), F.col("o_orderdate").cast("timestamp").alias("created_ts"), F.to_date("o_orderdate").alias("date_bucket"),
+        one("o_orderpriority").alias("experiment_tags"), F.array("o_orderstatus", "o_orderpriority").alias("project_tags"), (F.col("o_orderstatus") == "O").alias("is_daily"), F.col("o_orderpriority").alias("tag"), F.col("o_orderstatus").alias("stage"),
+    )
+
+
+def attachments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as attachments."""
+    kind = F.when(F.col("l_returnflag") == "R", "image").when(F.col("l_returnflag") == "A", "pdf").otherwise("file")
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("entry_id"), F.col("l_linenumber").alias("seq"), F.col("l_partkey").alias("id"), kind.alias("type"), F.concat(F.lit("part-"), F.col("l_partkey").cast("string")).alias("filename"), F.col("l_linestatus").alias("sample_id"))
+
+
+def conversation_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as blocks."""
+    kind = F.when(F.col("role") == "user", "heading").when(F.col("role") == "assistant", "paragraph").otherwise("quote")
+    none = lambda t: F.lit(None).cast(t)
+    return table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").alias("entry_id"), F.col("turn").cast("int").alias("pos"), F.concat_ws("-", F.lit("b"), "conv_id", "turn").alias("block_id"), kind.alias("type"), F.when(F.col("role") == "user", 2).alias("level"), "text",
+        none("array<array<string>>").alias("data"), none("string").alias("caption"), none("boolean").alias("header_row"), none("string").alias("label"), none("array<struct<id:string,text:string,done:boolean>>").alias("items"), none("string").alias("attachment_id"), none("boolean").alias("locked"),
+    )
+
+
+def queue_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a change queue's events: one change for each user; clicks and errors try it, the rest put it there."""
+    return table(spark, sf_dir, "events").select(F.concat(F.lit("chg-"), F.col("user_id").cast("string")).alias("change_id"), F.col("user_id").cast("string").alias("entry_id"), F.col("event_id").alias("seq"), F.when(F.col("event_type").isin("click", "error"), "attempt").otherwise("enqueue").alias("kind"), F.col("ts").cast("timestamp").alias("ts"))
+
+
+def queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as changes: errors have failed, clicks are pending, the rest are synced."""
+    status = F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "click", "pending").otherwise("synced")
+    tried = F.when(status == "pending", 0).otherwise(1)
+    return table(spark, sf_dir, "events").select(F.concat(F.lit("chg-"), F.col("event_id").cast("string")).alias("id"), F.col("user_id").alias("entry_id"), status.alias("status"), F.col("ts").cast("timestamp").alias("updated_ts"), tried.alias("attempts"), F.lit(None).cast("timestamp").alias("last_tried_ts"), F.lit(None).cast("string").alias("last_error"))
+
+
 @query(
     "filtered_entries",
     """
@@ -23,7 +68,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """,
 )
 def filtered_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entries of one project with one tag and an image, with their breadcrumbs."""
+    """Entries of one project with one tag and an image, with their breadcrumbs."""
     images = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'")
     return (
         table(spark, sf_dir, "orders")
@@ -33,3 +78,542 @@ def filtered_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
         .join(images, F.col("o_orderkey") == F.col("l_orderkey"), "left_semi")
         .select(F.col("o_orderkey").alias("entry_id"), F.col("c_name").alias("experiment"), F.col("n_name").alias("project"), F.col("o_orderpriority").alias("tag"), F.to_date("o_orderdate").alias("date_bucket"))
     )
+
+
+def _filter_query(name: str, by: filters.EntryFilter, condition: str) -> None:
+    @query(name, f"SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS date_bucket FROM orders WHERE {condition}")
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return filters.filtered(entries(spark, sf_dir), attachments(spark, sf_dir), by).select("id", "date_bucket")
+
+
+_EXISTS = "EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND {})"
+_filter_query("entries_with_image", filters.EntryFilter(has_image=True), _EXISTS.format("l_returnflag = 'R'"))
+_filter_query("entries_with_file", filters.EntryFilter(has_file=True), _EXISTS.format("l_returnflag IN ('A', 'N')"))
+_filter_query("entries_all_tags", filters.EntryFilter(project_tags=["F", "2-HIGH"], experiment_tags=["2-HIGH"]), "o_orderstatus = 'F' AND o_orderpriority = '2-HIGH'")
+
+
+@query("entries_of_day", "SELECT o_orderkey AS id FROM orders WHERE CAST(o_orderdate AS DATE) = DATE '1997-01-01'")
+def entries_of_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One date's entries (F7); the range on the raw column reaches the scan."""
+    day = F.to_timestamp_ntz(F.lit("1997-01-01 00:00:00"))
+    return table(spark, sf_dir, "orders").where((F.col("o_orderdate") >= day) & (F.col("o_orderdate") < day + F.expr("INTERVAL 1 DAY"))).select(F.col("o_orderkey").alias("id"))
+
+
+@query("entries_in_range", "SELECT o_orderkey AS id FROM orders WHERE CAST(o_orderdate AS DATE) BETWEEN DATE '1996-01-01' AND DATE '1996-01-30'")
+def entries_in_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A range of dates, an extension."""
+    from datetime import date
+
+    return filters.filtered(entries(spark, sf_dir), attachments(spark, sf_dir), filters.EntryFilter(days=(date(1996, 1, 1), date(1996, 1, 30)))).select("id")
+
+
+@query(
+    "three_state_experiment",
+    """
+    WITH e AS (SELECT o_orderkey AS id, CASE c_mktsegment WHEN 'BUILDING' THEN NULL WHEN 'MACHINERY' THEN '' ELSE c_name END AS experiment_id
+               FROM orders JOIN customer ON o_custkey = c_custkey)
+    SELECT id FROM e WHERE coalesce(experiment_id, '') = ''
+    """,
+)
+def three_state_experiment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries without an experiment: null or empty (F2)."""
+    segment = F.when(F.col("c_mktsegment") == "BUILDING", None).when(F.col("c_mktsegment") == "MACHINERY", "").otherwise(F.col("c_name"))
+    e = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("id"), segment.alias("experiment_id"))
+    return e.where(filters.in_experiment("none")).select("id")
+
+
+@query(
+    "selected_entry",
+    "SELECT coalesce(max(CASE WHEN o_orderkey = 7 THEN o_orderkey END), min(o_orderkey)) AS id FROM orders WHERE o_orderstatus = 'P'",
+)
+def selected_entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chosen entry if it passed the filter, else the first that did."""
+    return filters.selected(filters.filtered(entries(spark, sf_dir), attachments(spark, sf_dir), filters.EntryFilter(project_tags=["P"])), 7)
+
+
+@query(
+    "experiment_in_project",
+    "SELECT o_orderkey AS id, CASE WHEN c_nationkey = o_orderkey % 25 THEN o_custkey END AS experiment_id FROM orders LEFT JOIN customer ON o_custkey = c_custkey",
+)
+def experiment_in_project(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries whose experiment is cleared unless it belongs to their project."""
+    e = entries(spark, sf_dir).select("id", "experiment_id", (F.col("id") % 25).cast("int").alias("project_id"))
+    x = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("project_id"))
+    return filters.experiment_in_project(e, x).select("id", "experiment_id")
+
+
+@query(
+    "breadcrumbs",
+    "SELECT o_orderkey AS id, c_name AS experiment_title, n_name AS project_title FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey",
+)
+def breadcrumbs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each entry's experiment and project."""
+    x = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("title"))
+    p = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("title"))
+    owner = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("experiment_id"), F.col("c_nationkey").alias("project_id"))
+    return joins.breadcrumbs(entries(spark, sf_dir).join(owner, "experiment_id", "left"), x, p).select("id", "experiment_title", "project_title")
+
+
+@query(
+    "entry_attachments_text",
+    "SELECT o_orderkey AS id, coalesce(string_agg('part-' || l_partkey || ' ' || l_linestatus, ' ' ORDER BY l_linenumber, l_partkey, l_linestatus), '') AS attachments FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey",
+)
+def entry_attachments_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of each entry's attachments in order."""
+    return joins.attachment_text(entries(spark, sf_dir), attachments(spark, sf_dir))
+
+
+@query("anti_missing_attachments", "SELECT o_orderkey AS id FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")
+def anti_missing_attachments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries without an attachment (J7's shape)."""
+    e = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"))
+    return e.join(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id")), "id", "left_anti")
+
+
+@query(
+    "attachments_of_entries",
+    "SELECT l_orderkey AS entry_id, count(*) AS n FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') GROUP BY l_orderkey",
+)
+def attachments_of_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attachments of some entries."""
+    done = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("id"))
+    return joins.attachments_of(attachments(spark, sf_dir), done).groupBy("entry_id").agg(F.count("*").alias("n"))
+
+
+@query(
+    "seed_merge",
+    "SELECT c_custkey AS id, CASE WHEN EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) THEN 'saved' ELSE c_name END AS title FROM customer",
+)
+def seed_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Saved rows, and the seeds that are not saved."""
+    from fieldbook.sources.notebook import with_seeds
+
+    saved = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"), F.lit("saved").alias("title")).distinct()
+    return with_seeds(saved, table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("title")))
+
+
+@query(
+    "update_by_key",
+    "SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'P' THEN 'edited' ELSE o_orderpriority END AS tag FROM orders",
+)
+def update_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One column put in by id."""
+    e = entries(spark, sf_dir).select("id", "tag")
+    edits = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("id"), F.lit("edited").alias("tag"))
+    return joins.updated(e, edits)
+
+
+@query(
+    "ordered_tabs",
+    """
+    WITH t AS (SELECT o_custkey AS user_id, o_orderkey AS id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n, count(*) OVER (PARTITION BY o_custkey) AS c FROM orders)
+    SELECT user_id, string_agg(CAST(id AS VARCHAR), ',' ORDER BY n DESC) AS tabs FROM t WHERE n > c - 5 GROUP BY user_id
+    """,
+)
+def ordered_tabs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five tabs left after opening every entry in turn."""
+    own = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("user_id")).agg(F.array_sort(F.collect_list(F.struct("o_orderdate", "o_orderkey"))).alias("opened"))
+    tabs = F.aggregate(F.transform("opened", lambda x: x["o_orderkey"].cast("string")), F.array().cast("array<string>"), lambda acc, x: arrays.opened(acc, x))
+    return own.select("user_id", F.array_join(tabs, ",").alias("tabs"))
+
+
+@query(
+    "tag_lists",
+    """
+    SELECT doc_id, CASE WHEN lang = 'en' THEN source ELSE concat_ws(',', lang, source, 'en') END AS toggled,
+           CASE WHEN lang = 'en' THEN concat_ws(',', lang, source) ELSE concat_ws(',', lang, source, 'en') END AS added,
+           CASE WHEN lang = 'en' THEN concat_ws(',', 'en', source, 'x') ELSE concat_ws(',', lang, source, 'en', 'x') END AS united,
+           concat_ws(',', lang, source, lang) AS joined, lang AS shown
+    FROM documents
+    """,
+)
+def tag_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """List functions over two tags."""
+    tags, en = F.array("lang", "source"), F.lit("en")
+    join = lambda c: F.array_join(c, ",")
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", join(arrays.toggled(tags, en)).alias("toggled"), join(arrays.added_once(tags, en)).alias("added"), join(arrays.united(tags, F.array(en, F.lit("x")))).alias("united"), join(F.concat(tags, F.array("lang"))).alias("joined"),
+        arrays.display_tag(F.array().cast("array<string>"), tags, F.array("source")).alias("shown"),
+    )
+
+
+@query(
+    "project_title_key",
+    "SELECT lower(trim(p_name)) AS key, count(*) AS n, min(p_partkey) AS first FROM part GROUP BY lower(trim(p_name))",
+)
+def project_title_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles that mean the same project."""
+    return table(spark, sf_dir, "part").groupBy(text.title_key(F.col("p_name")).alias("key")).agg(F.count("*").alias("n"), F.min("p_partkey").alias("first"))
+
+
+@query(
+    "get_or_create_project",
+    """
+    WITH known AS (SELECT DISTINCT p_brand AS lab, p_name AS title FROM part WHERE p_size <= 5),
+    wanted AS (SELECT p_brand AS lab, trim(p_name) AS title FROM part),
+    new AS (SELECT lab, lower(title) AS k, min(title) AS title FROM wanted GROUP BY lab, lower(title))
+    SELECT lab, title FROM known UNION ALL
+    SELECT lab, title FROM new WHERE NOT EXISTS (SELECT 1 FROM known WHERE known.lab = new.lab AND lower(trim(known.title)) = new.k)
+    """,
+)
+def get_or_create_project(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Known projects, and one for each new title in a lab."""
+    part = table(spark, sf_dir, "part")
+    known = part.where("p_size <= 5").select(F.col("p_brand").alias("lab"), F.col("p_name").alias("title")).distinct()
+    return collections.get_or_create(known.withColumn("id", F.lit("known")), part.select(F.col("p_brand").alias("lab"), F.col("p_name").alias("title")), ["lab"], "proj-").select("lab", "title")
+
+
+@query(
+    "daily_get_or_create",
+    """
+    WITH own AS (SELECT CAST(o_orderdate AS DATE) AS d, min(o_orderkey) AS id FROM orders WHERE o_orderstatus = 'O' GROUP BY 1)
+    SELECT d AS date_bucket, coalesce(CAST(own.id AS VARCHAR), 'entry-' || CAST(d AS VARCHAR)) AS id, own.id IS NULL AS created
+    FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders) LEFT JOIN own USING (d)
+    """,
+)
+def daily_get_or_create(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each date's daily entry, made where there is none."""
+    e = entries(spark, sf_dir).withColumn("id", F.col("id").cast("string"))
+    return collections.daily_entries(e, e)
+
+
+@query(
+    "queue_status_counts",
+    """
+    WITH c AS (SELECT user_id AS entry_id, count(*) FILTER (event_type = 'click') AS pending, count(*) FILTER (event_type = 'error') AS failed FROM events GROUP BY user_id)
+    SELECT *, CASE WHEN failed > 0 THEN 'failed' WHEN pending > 0 THEN 'pending' ELSE 'synced' END AS state FROM c
+    """,
+)
+def queue_status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pending and failed changes of each entry, and its state."""
+    counts = collections.queue_counts(queue(spark, sf_dir))
+    return counts.withColumn("state", collections.queue_state(F.lit(False), F.col("failed"), F.col("pending")))
+
+
+_FNV = "list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split({0}, ''), lambda c: unicode(c)::BIGINT)), lambda h, c: (xor(h, c) * 16777619) & 4294967295)"
+
+
+@query("fnv_hash", f"SELECT DISTINCT event_type, {_FNV.format('event_type')} AS hash, {_FNV.format('event_type')} % 5 AS bucket FROM events")
+def fnv_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 32-bit hash of each event type."""
+    own = table(spark, sf_dir, "events").select("event_type").distinct()
+    return own.select("event_type", text.fnv1a(F.col("event_type")).alias("hash"), F.pmod(text.fnv1a(F.col("event_type")), F.lit(5)).alias("bucket"))
+
+
+@query(
+    "first_sync",
+    f"""
+    WITH c AS (SELECT 'chg-' || event_id AS id, CASE event_type WHEN 'error' THEN 'failed' WHEN 'click' THEN 'pending' ELSE 'synced' END AS status FROM events),
+    t AS (SELECT *, status <> 'synced' AS tried, status = 'pending' AND {_FNV.format('id')} % 5 = 0 AS bad FROM c)
+    SELECT id, CASE WHEN NOT tried THEN status WHEN bad THEN 'failed' ELSE 'synced' END AS status,
+           CASE status WHEN 'pending' THEN 1 WHEN 'failed' THEN 2 ELSE 1 END AS attempts,
+           CASE WHEN bad THEN 'Mock API error (500)' END AS last_error FROM t
+    """,
+)
+def first_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The queue after one sync of pending and failed changes (ST2 ST4 ST6 F11)."""
+    return changes.synced(queue(spark, sf_dir), F.lit("2024-02-01 00:00:00").cast("timestamp")).select("id", "status", "attempts", "last_error")
+
+
+@query(
+    "queue_fold",
+    f"""
+    WITH e AS (SELECT 'chg-' || user_id AS change_id, event_id AS seq, ts, event_type IN ('click', 'error') AS attempt FROM events),
+    a AS (SELECT change_id, max(seq) AS seq, count(*) FILTER (attempt) AS asked, list(ts ORDER BY seq) FILTER (attempt) AS tries FROM e GROUP BY change_id),
+    b AS (SELECT *, {_FNV.format('change_id')} % 5 = 0 AS bad FROM a),
+    c AS (SELECT *, least(asked, CASE WHEN bad THEN 2 ELSE 1 END)::INT AS attempts FROM b)
+    SELECT change_id, seq, attempts, CASE WHEN attempts = 0 THEN 'pending' WHEN bad AND attempts = 1 THEN 'failed' ELSE 'synced' END AS status,
+           strftime(tries[attempts], '%Y-%m-%d %H:%M:%S') AS tried FROM c
+    """,
+)
+def queue_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each change's state after all its events (ST2)."""
+    return changes.latest(queue_events(spark, sf_dir)).select("change_id", "seq", "attempts", "status", F.date_format("last_tried_ts", "yyyy-MM-dd HH:mm:ss").alias("tried"))
+
+
+@query(
+    "debounce_sessions",
+    """
+    WITH p AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w > INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS begins FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+    s AS (SELECT user_id, ts, sum(begins) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS session FROM p)
+    SELECT user_id, CAST(session AS BIGINT) AS session, count(*) AS events FROM s GROUP BY user_id, session
+    """,
+)
+def debounce_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bursts of events (ST3 ST7)."""
+    return changes.sessions(table(spark, sf_dir, "events"), "user_id", "ts", 1800).select("user_id", "session", "events")
+
+
+@query(
+    "block_sections",
+    """
+    WITH s AS (SELECT conv_id, turn, 'b-' || conv_id || '-' || turn AS b, role, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations)
+    SELECT conv_id AS entry_id, CAST(n AS BIGINT) AS section_no, coalesce(min(b) FILTER (role = 'user'), 'intro') AS section_id, string_agg(b, ',' ORDER BY turn) AS block_ids FROM s GROUP BY conv_id, n
+    """,
+)
+def block_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections that begin at headings."""
+    return collections.section_blocks(conversation_blocks(spark, sf_dir)).withColumn("block_ids", F.array_join("block_ids", ","))
+
+
+@query(
+    "run_islands",
+    """
+    WITH r AS (SELECT user_id, event_id AS pos, event_type AS text, event_type IN ('click', 'view') AS bold, event_type = 'error' AS italic FROM events),
+    n AS (SELECT *, CASE WHEN lag(bold) OVER w = bold AND lag(italic) OVER w = italic THEN 0 ELSE 1 END AS new FROM r WINDOW w AS (PARTITION BY user_id ORDER BY pos)),
+    i AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY pos) AS island FROM n)
+    SELECT user_id, CAST(island AS BIGINT) AS pos, string_agg(text, '' ORDER BY i.pos) AS text, bold, italic FROM i GROUP BY user_id, island, bold, italic
+    """,
+)
+def run_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbouring runs of equal marks as one."""
+    kind = F.col("event_type")
+    runs = table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("pos"), kind.alias("text"), kind.isin("click", "view").alias("bold"), F.when(kind == "error", True).alias("italic"), F.lit(None).cast("boolean").alias("underline"))
+    return collections.merge_runs(runs, ["user_id"]).drop("underline")
+
+
+@query(
+    "calendar_grid",
+    """
+    WITH d AS (SELECT unnest(generate_series(DATE '1997-01-27', DATE '1997-03-09', INTERVAL 1 DAY))::DATE AS day),
+    e AS (SELECT CAST(o_orderdate AS DATE) AS day, count(*) AS n FROM orders GROUP BY 1)
+    SELECT d.day, coalesce(n, 0) AS entries, d.day = DATE '1997-02-14' AS is_today, d.day = DATE '1997-02-20' AS is_selected, month(d.day) <> 2 AS is_outside FROM d LEFT JOIN e ON d.day = e.day
+    """,
+)
+def calendar_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A month's 42 days with their entries (SRC12 D4 D8)."""
+    days = spark.range(1).select(text.month_start(F.lit("1997-02")).alias("month")).select("month", F.explode(text.calendar_days(F.col("month"))).alias("day"))
+    return collections.calendar(days, entries(spark, sf_dir), F.lit("1997-02-14").cast("date"), F.lit("1997-02-20").cast("date"))
+
+
+@query(
+    "safe_file_name",
+    r"""
+    WITH a AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(trim(url), '[\\/:*?"<>|]+', '_', 'g'), '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g') AS u FROM pages)
+    SELECT page_id, coalesce(nullif(regexp_replace(regexp_replace(regexp_replace(u, '[^a-zA-Z0-9 ._()-]+', '_', 'g'), ' +', '_', 'g'), '^_+|_+$', '', 'g'), ''), 'export') AS name FROM a
+    """,
+)
+def safe_file_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """URLs as file names."""
+    return table(spark, sf_dir, "pages").select("page_id", text.safe_file_name(F.col("url")).alias("name"))
+
+
+@query(
+    "path_basename",
+    r"""
+    SELECT page_id, coalesce(nullif(list_filter(regexp_split_to_array(url, '[\\/]'), lambda x: x <> '')[-1], ''), 'file') AS name,
+           starts_with(url, 'https://') AS secure, CASE WHEN starts_with(url, 'http://') THEN substr(url, 8) ELSE url END AS bare FROM pages
+    """,
+)
+def path_basename(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last part of each path, and its scheme."""
+    url = F.col("url")
+    return table(spark, sf_dir, "pages").select("page_id", text.basename(url).alias("name"), text.has_scheme(url, "https").alias("secure"), text.without_scheme(url, "http").alias("bare"))
+
+
+def _escaped_sql(x: str) -> str:
+    return f"replace(replace(replace(replace({x}, chr(92), chr(92) || chr(92)), '`', chr(92) || '`'), '*', chr(92) || '*'), '_', chr(92) || '_')"
+
+
+def _html_sql(x: str) -> str:
+    return f"replace(replace(replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;')"
+
+
+@query("escapes", f"SELECT page_id, md5({_html_sql('html')}) AS html, md5({_escaped_sql('html')}) AS markdown, length({_escaped_sql('url')}) AS n FROM pages")
+def escapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages escaped for HTML and Markdown."""
+    html = F.col("html")
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(F.encode(text.escape_html(html), "UTF-8")).alias("html"), F.md5(F.encode(text.escape_markdown(html), "UTF-8")).alias("markdown"), F.length(text.escape_markdown(F.col("url"))).cast("long").alias("n"))
+
+
+@query(
+    "markdown_table",
+    f"""
+    SELECT n_regionkey AS region, '| Col 1 | Col 2 |' || chr(10) || '| --- | --- |' || chr(10) ||
+           string_agg('| ' || n_nationkey || ' | ' || {_escaped_sql('n_name')} || ' |', chr(10) ORDER BY n_nationkey) AS md FROM nation GROUP BY n_regionkey
+    """,
+)
+def markdown_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations of a region as a table without a header."""
+    rows = table(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").alias("region")).agg(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("r"))
+    data = F.transform("r", lambda x: F.array(x["n_nationkey"].cast("string"), x["n_name"]))
+    return rows.select("region", blocks.markdown_table(data, F.lit(False)).alias("md"))
+
+
+@query(
+    "table_edits",
+    """
+    SELECT n_nationkey, n_name || '|' || n_regionkey || '|;||' AS with_row, n_name || '|' || n_regionkey || '|' AS with_column, n_name || '|x' AS with_cell FROM nation
+    """,
+)
+def table_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A one-row table with a row, a column and a cell edited."""
+    data = F.array(F.array("n_name", F.col("n_regionkey").cast("string")))
+
+    def shown(d: Column) -> Column:
+        return F.array_join(F.transform(d, lambda r: F.array_join(r, "|")), ";")
+
+    wide = arrays.with_column(data)
+    return table(spark, sf_dir, "nation").select("n_nationkey", shown(arrays.with_row(wide)).alias("with_row"), shown(wide).alias("with_column"), shown(arrays.with_cell(data, 0, 1, F.lit("x"))).alias("with_cell"))
+
+
+_TURN = f"CASE role WHEN 'user' THEN '## ' || {_escaped_sql('text')} WHEN 'assistant' THEN text ELSE '> ' || replace(text, chr(10), chr(10) || '> ') END"
+
+
+@query(
+    "entry_markdown",
+    f"SELECT conv_id AS entry_id, md5(trim(string_agg({_TURN}, chr(10) || chr(10) ORDER BY turn), ' ' || chr(9) || chr(10) || chr(13)) || chr(10)) AS md FROM conversations GROUP BY conv_id",
+)
+def entry_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation's blocks as Markdown."""
+    b = conversation_blocks(spark, sf_dir)
+    none = attachments(spark, sf_dir).select(F.col("id").cast("string"), "filename", F.lit(None).cast("string").alias("storage_path"), F.lit(None).cast("string").alias("thumbnail"))
+    return export.entry_markdown(b, none.distinct()).select("entry_id", F.md5(F.encode("md", "UTF-8")).alias("md"))
+
+
+_TURN_HTML = f"CASE role WHEN 'user' THEN '<h2>' || {_html_sql('text')} || '</h2>' WHEN 'assistant' THEN '<p>' || {_html_sql('text')} || '</p>' ELSE '<blockquote>' || {_html_sql('text')} || '</blockquote>' END"
+
+
+@query("entry_html", f"SELECT conv_id AS entry_id, md5(string_agg({_TURN_HTML}, chr(10) ORDER BY turn)) AS html FROM conversations GROUP BY conv_id")
+def entry_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation's blocks as HTML."""
+    b = conversation_blocks(spark, sf_dir)
+    none = attachments(spark, sf_dir).select(F.col("id").cast("string"), "filename", F.lit(None).cast("string").alias("storage_path"), F.lit(None).cast("string").alias("thumbnail"))
+    return export.entry_html(b, none.distinct()).select("entry_id", F.md5(F.encode("html", "UTF-8")).alias("html"))
+
+
+@query(
+    "lock_headings",
+    "SELECT conv_id AS entry_id, turn AS pos, CASE WHEN role = 'user' AND turn <= 1 THEN true END AS locked FROM conversations",
+)
+def lock_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headings that a template's region holds are locked."""
+    b = conversation_blocks(spark, sf_dir)
+    regions = b.where("pos <= 1").groupBy("entry_id").agg(F.collect_list("block_id").alias("block_ids")).withColumn("label", F.lit("Context"))
+    return joins.lock_headings(b, regions).select("entry_id", F.col("pos").cast("long"), "locked")
+
+
+@query(
+    "insert_blocks",
+    """
+    SELECT conv_id AS entry_id, turn + CASE WHEN turn > 0 THEN 1 ELSE 0 END AS pos, role = 'user' AS heading FROM conversations
+    UNION ALL SELECT DISTINCT conv_id, 1, false FROM conversations
+    """,
+)
+def insert_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A divider after each conversation's first block."""
+    b = conversation_blocks(spark, sf_dir).select("entry_id", "pos", "type")
+    ids = b.select("entry_id").distinct()
+    out = collections.insert_blocks(b, ids.select("entry_id", F.lit(0).alias("pos"), F.lit("divider").alias("type")), ids.select("entry_id", F.lit(0).alias("after")))
+    return out.select("entry_id", F.col("pos").cast("long"), (F.col("type") == "heading").alias("heading"))
+
+
+@query(
+    "export_order",
+    "SELECT o_custkey AS experiment_id, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderdate, o_orderkey) AS ids FROM orders GROUP BY o_custkey",
+)
+def export_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each experiment's entries in the order of creation (O1)."""
+    own = entries(spark, sf_dir).groupBy("experiment_id").agg(F.array_sort(F.collect_list(F.struct("created_ts", "id"))).alias("e"))
+    return own.select("experiment_id", F.array_join(F.transform("e", lambda x: x["id"].cast("string")), ",").alias("ids"))
+
+
+@query(
+    "file_labels",
+    """
+    SELECT doc_id, greatest(1, CAST(round(n_chars / 1024.0) AS BIGINT)) || ' KB' AS size,
+           CASE WHEN lang = 'en' THEN 'image' WHEN lang = 'de' THEN 'pdf' ELSE 'file' END AS type,
+           CASE WHEN n_chars = 1 THEN '1 char' ELSE n_chars || ' chars' END AS chars FROM documents
+    """,
+)
+def file_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes, types and plurals."""
+    mime = F.when(F.col("lang") == "en", "image/png").when(F.col("lang") == "de", "application/pdf").otherwise("text/plain")
+    return table(spark, sf_dir, "documents").select("doc_id", text.size_label(F.col("n_chars")).alias("size"), text.attachment_type(mime).alias("type"), text.plural("char", F.col("n_chars")).alias("chars"))
+
+
+@query(
+    "dates",
+    """
+    SELECT event_id, CAST(ts AS DATE) AS bucket, strftime(ts, '%b %-d, %Y') AS day, strftime(ts, '%b %-d, %Y, %I:%M %p') AS full_time,
+           strftime(ts, '%B %Y') AS month, CAST(date_trunc('month', ts) - INTERVAL 1 MONTH AS DATE) AS before FROM events
+    """,
+)
+def dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Date buckets and formats."""
+    ts = F.col("ts").cast("timestamp")
+    return table(spark, sf_dir, "events").select("event_id", text.local_bucket(ts).alias("bucket"), text.long_date(ts).alias("day"), text.long_datetime(ts).alias("full_time"), text.month_title(ts).alias("month"), text.month_shift(F.to_date(F.trunc(ts, "MM")), -1).alias("before"))
+
+
+@query("json_field", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, CAST(json_object('k', json_extract(props, '$.k'), 'none', NULL) AS VARCHAR) AS out FROM events")
+def json_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A field out of JSON, and back with its null kept (JS1 P4)."""
+    k = F.from_json("props", "k bigint")["k"]
+    return table(spark, sf_dir, "events").select("event_id", k.alias("k"), F.to_json(F.struct(k.alias("k"), F.lit(None).cast("string").alias("none")), {"ignoreNullFields": "false"}).alias("out"))
+
+
+def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.concat_ws(" ", "lang", "source").alias("tags"), F.col("text").alias("body"))
+    return search.index(docs, ["tags", "body"], frozenset(), stem=False)
+
+
+_INDEX_SQL = r"""
+    w AS (SELECT doc_id AS id, 'body' AS field, regexp_replace(unnest(regexp_split_to_array(lower(text), '[\s\-]+')), '^\W+|\W+$', '', 'g') AS term FROM documents
+          UNION ALL SELECT doc_id, 'tags', unnest([lang, lower(source)]) FROM documents),
+    idx AS (SELECT id, field, term, count(*) AS tf FROM w WHERE term <> '' GROUP BY id, field, term)
+"""
+
+
+@query(
+    "search_match",
+    f"WITH {_INDEX_SQL} SELECT id FROM idx GROUP BY id HAVING bool_or(term = 'inst') AND NOT bool_or(term = 'src3' AND field = 'tags')",
+)
+def search_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A query with words that must and must not be there (Q1 Q2 Q3 F8)."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"))
+    return search.search(docs, _index(spark, sf_dir), "+inst -tags:src3", ["tags", "body"], stem=False)
+
+
+@query(
+    "search_wildcard",
+    f"WITH {_INDEX_SQL} SELECT DISTINCT id FROM idx WHERE regexp_full_match(term, 'thor.*') OR (field = 'tags' AND term = 'src3') OR levenshtein(term, 'oner') <= 1",
+)
+def search_wildcard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wildcards, fields and edits, joined by 'or' (Q3)."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"))
+    return search.search(docs, _index(spark, sf_dir), "thor* tags:src3 oner~1", ["tags", "body"], stem=False)
+
+
+@query(
+    "bm25_search",
+    f"""
+    WITH {_INDEX_SQL}, len AS (SELECT id, sum(tf) AS n FROM idx GROUP BY id), corpus AS (SELECT count(*) AS docs, avg(n) AS mean FROM len),
+    h AS (SELECT id, term, sum(tf) AS tf FROM idx WHERE term IN ('inst', 'thor') GROUP BY id, term), df AS (SELECT term, count(*) AS df FROM h GROUP BY term)
+    SELECT id, round(sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * n / mean))), 6) AS score
+    FROM h JOIN df USING (term) JOIN len USING (id), corpus GROUP BY id
+    """,
+)
+def bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of two terms (Q4 O5), an extension."""
+    return search.ranked(_index(spark, sf_dir), ["inst", "thor"]).select("id", F.round("score", 6).alias("score"))
+
+
+@query(
+    "asof_version",
+    """
+    SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS n FROM events WHERE ts <= TIMESTAMP '2024-01-15 00:00:00') WHERE n = 1
+    """,
+)
+def asof_version(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each key's version at a time (J11), an extension."""
+    versions = table(spark, sf_dir, "events").select("user_id", "event_type", "ts", "event_id", "value")
+    return joins.as_of(versions, ["user_id", "event_type"], "ts", "event_id", F.to_timestamp_ntz(F.lit("2024-01-15 00:00:00"))).drop("ts")
+
+
+@query(
+    "event_windows",
+    "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2",
+)
+def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events by hour and type, an extension; the same function takes a stream."""
+    return changes.windowed_counts(table(spark, sf_dir, "events")).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
