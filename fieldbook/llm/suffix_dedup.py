@@ -11,8 +11,8 @@ anchors on multiples of the period of a difference cover. The suffixes at the
 positions of the cover are ranked first, by prefix doubling; others compare by
 the few bytes before their next cover position, and then by its rank, however
 long the tie. Neighbours in the sorted order are compared byte by byte.
-Buckets with too many different runs are dealt out further, string by string,
-and counted with partial sums, so that no task holds them.
+Buckets with too many different runs are dealt out further, down to single
+strings, and counted with partial sums, so that no task holds them.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldbook.llm.bytehash import groups, spans, sums
-from fieldbook.llm.common import BROADCAST_ROWS, Scratch
+from fieldbook.llm.common import BROADCAST_ROWS, Scratch, hinted
 
 LENGTH = 400
 GRAM = 64
@@ -35,6 +35,8 @@ PLACE = 28
 PERIOD = 32
 #: Different runs of a bucket up to which one task sorts it.
 BUCKET_RUNS = 2048
+#: Neighbouring strings of a run in a bucket beyond that which are dealt out together.
+BLOCK = 4
 #: Bytes of runs that are sorted together.
 SORTED_BYTES = 1 << 20
 GROUP_BYTES = 256 << 10
@@ -227,22 +229,48 @@ def sorted_buckets(pieces: DataFrame, length: int) -> DataFrame:
     return pieces.select("anchor", "content", "inside", "piece").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(made, FOUND)
 
 
+BLOCKS = "anchor long, content long, blocks array<struct<block:int,core:long,whole:long,place:int,strings:array<long>>>"
+
+
 def crowded_buckets(pieces: DataFrame, length: int) -> DataFrame:
-    """The same for buckets of many runs: every string is its own bucket, and strings are counted by hash."""
+    """The same for buckets of many runs, whose suffixes are split by what they hold.
+
+    A run's strings fall into blocks by how far their anchor is. A block's core
+    is what all its strings share; blocks with different cores never meet.
+    Equal blocks are counted, and only of different ones with one core is each
+    string a bucket of its own. All counting is by hash, with partial sums.
+    """
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for piece in batch.column(2).to_pylist():
-                buf = np.frombuffer(piece, np.uint8)
-                i = np.arange(len(buf) - length + 1)
-                out.append(spans(sums(buf), i, i + length).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int64()))], names=["anchor", "content", "strings"])
-
-    each = pieces.select("anchor", "content", "piece").mapInArrow(made, "anchor long, content long, strings array<long>")
-    each = each.select("anchor", "content", F.posexplode("strings").alias("place", "string"))
-    often = each.groupBy("string").agg(F.count("*").alias("n")).where("n > 1").select("string")
-    hit = each.join(often, "string").groupBy("anchor", "content").agg(F.array_sort(F.collect_set("place")).alias("hit"))
+            for piece, inside in zip(batch.column(3).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                running = sums(np.frombuffer(piece, np.uint8))
+                place = np.arange(len(piece) - length + 1)
+                far = inside - place  # falls from place to place
+                block = far // BLOCK
+                first = np.flatnonzero(np.diff(block, prepend=block[0] + 1))
+                n = np.diff(np.append(first, len(place)))
+                nearest = inside - BLOCK * block[first]
+                core = spans(running, nearest, nearest - BLOCK + 1 + length).view(np.int64)
+                whole = (spans(running, first, first + n - 1 + length) + far[first].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+                strings = spans(running, place, place + length).view(np.int64)
+                out.append([{"block": int(block[f]), "core": int(c), "whole": int(w), "place": int(f), "strings": strings[f : f + k].tolist()} for f, k, c, w in zip(first, n, core, whole, strict=True)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, kind)], names=["anchor", "content", "blocks"])
+
+    kind = pa.list_(pa.struct([("block", pa.int32()), ("core", pa.int64()), ("whole", pa.int64()), ("place", pa.int32()), ("strings", pa.list_(pa.int64()))]))
+    each = pieces.select("anchor", "content", "inside", "piece").mapInArrow(made, BLOCKS).select("anchor", "content", F.explode("blocks").alias("b")).select("anchor", "content", "b.*")
+    each = Scratch(pieces.sparkSession, "crowded").save("blocks", each)
+    key = ["anchor", "block", "core"]
+    wholes = each.groupBy(*key, "whole").agg(F.count("*").alias("n"), F.min("strings").alias("strings"))
+    mixed = wholes.groupBy(*key).agg(F.count("*").alias("different")).where("different > 1").select(*key)
+    single = wholes.join(mixed, key).select(*key, "whole", F.posexplode("strings").alias("at", "string"))
+    often = single.groupBy("string").agg(F.count("*").alias("n")).where("n > 1").select("string")
+    hits = single.join(often, "string").groupBy(*key, "whole").agg(F.array_sort(F.collect_set("at")).alias("hit"))
+    every = F.sequence(F.lit(0), F.size("strings") - 1)
+    marked = wholes.join(hits, [*key, "whole"], "left").select(*key, "whole", F.when(F.col("n") > 1, every).otherwise(F.col("hit")).alias("hit")).where("hit IS NOT NULL")
+    placed = each.select(*key, "whole", "content", "place").join(marked, [*key, "whole"])
+    hit = placed.groupBy("anchor", "content").agg(F.array_sort(F.flatten(F.collect_list(F.transform("hit", lambda x: x + F.col("place"))))).alias("hit"))
     first = F.array_except("hit", F.transform("hit", lambda x: x + 1))
     last = F.array_except("hit", F.transform("hit", lambda x: x - 1))
     return hit.select("anchor", "content", F.arrays_zip(first.alias("first"), last.alias("last")).alias("places"))
@@ -252,13 +280,13 @@ def repeated(docs: DataFrame, length: int) -> tuple[DataFrame, int]:
     """(doc_id, text_hash, first, last): stretches of string starts that occur elsewhere too, and the number of rows."""
     scratch = Scratch(docs.sparkSession, "suffix")
     runs = scratch.save("runs", runs_of(docs, length))
-    often = runs.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    near = scratch.save("near", runs.join(often, "anchor"))
+    often = scratch.save("often", runs.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"))
+    near = scratch.save("near", runs.join(hinted(often), "anchor"))
     scratch.drop("runs")
     place = F.struct("doc_id", "text_hash", "start", "strings", "inside")
     contents = scratch.save("contents", near.groupBy("anchor", "content").agg(F.count("*").alias("n"), F.min(place).alias("one")))
-    buckets = contents.groupBy("anchor").agg(F.count("*").alias("runs")).where("runs > 1")
-    wanted = contents.join(buckets, "anchor").select("anchor", "content", "one.*", (F.col("runs") > BUCKET_RUNS).alias("crowded"))
+    buckets = scratch.save("buckets", contents.groupBy("anchor").agg(F.count("*").alias("runs")).where("runs > 1"))
+    wanted = contents.join(hinted(buckets), "anchor").select("anchor", "content", "one.*", (F.col("runs") > BUCKET_RUNS).alias("crowded"))
     lists = wanted.groupBy(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash")).agg(F.collect_list(F.struct("anchor", "content", "start", "strings", "inside", "crowded")).alias("wanted"))
     texts = by_document(docs, scratch.save("wanted", lists), "inner")
     pieces = scratch.save("pieces", pieces_of(texts, length))
