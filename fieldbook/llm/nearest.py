@@ -155,11 +155,9 @@ def fit(first: DataFrame, count: int, queries: DataFrame, k: int, seed: int = 11
     """An index whose number of visits finds FIT_RECALL of the neighbours of FIT_QUERIES sampled queries, those of least hash."""
     sample = queries.orderBy(F.xxhash64("vec_id"), "vec_id").limit(FIT_QUERIES).collect()
     cells = min(MOST_CELLS, max(2, round(math.log2(max(2, count)) / 2.2)))
-    dimension = len(sample[0].embedding) if sample else 1
+    dimension = len(sample[0].embedding)
     rng = np.random.default_rng(seed)
     index = Index(rng.normal(size=(TABLES, dimension, cells)), rng.uniform(0, WIDTH, (TABLES, cells)), template(cells, MOST_PROBES))
-    if not sample:
-        return index
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     true = scan(first, sample, k + 1).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k + 1).join(first, "vec_id").collect()
     place = {q.vec_id: n for n, q in enumerate(sample)}
@@ -285,6 +283,8 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
     first = scratch.save("first", first)
     count = first.count()
     queries = scratch.save("queries", rows.where(F.col("vec_id") % every == 0).select("vec_id", "embedding").dropDuplicates(["vec_id"]))
+    if not queries.take(1):
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     index = fit(first, count, queries, k)
     parts = max(1, -(-count * TABLES // PART_ROWS))
     placed = scratch.save("placed", bucketed(first, index))
@@ -318,7 +318,9 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
     rest = None
     blocks = -(-n // SCAN_QUERIES) * 2
     for b in range(blocks):
-        some = scan(first, short.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).collect(), k + 1)
-        rest = some if rest is None else rest.unionByName(some)
+        block = short.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).collect()
+        if block:
+            some = scan(first, block, k + 1)
+            rest = some if rest is None else rest.unionByName(some)
     rest = ranked(rest.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")))
     return result.join(short.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").unionByName(rest)
