@@ -92,6 +92,13 @@ def toggle_item(blocks: DataFrame, block_id: str, item_id: str, done: bool, now:
     return blocks.withColumns({"items": F.when(here, items).otherwise(F.col("items")), "updated_ts": F.when(here, now).otherwise(F.col("updated_ts")), "updated_by": F.when(here, F.lit("me")).otherwise(F.col("updated_by"))})
 
 
+def update_block(blocks: DataFrame, block_id: str, values: dict[str, Column], now: Column) -> DataFrame:
+    """blocks with one block's columns set and the block stamped."""
+    here = F.col("block_id") == block_id
+    new = {**values, "updated_ts": now, "updated_by": F.lit("me")}
+    return blocks.withColumns({c: F.when(here, v).otherwise(F.col(c)) for c, v in new.items()})
+
+
 def stamped(blocks: DataFrame, now: Column) -> DataFrame:
     """All blocks with one time, as a save does."""
     return blocks.withColumns({"updated_ts": now, "updated_by": F.lit("me")})
@@ -120,6 +127,17 @@ def to_nodes(blocks: DataFrame) -> DataFrame:
     return blocks.select("entry_id", "pos", F.col("block_id").alias("id"), "type", F.when(F.col("type") == "heading", F.when(F.col("level") == 3, 3).otherwise(2)).alias("level"), children.alias("children"))
 
 
+def from_nodes(nodes: DataFrame) -> DataFrame:
+    """Blocks of editor nodes (entry_id, pos, id, type, level, children). What nodes lack (captions, states) is lost, and a heading without a level gets 2."""
+    words = F.array_join("children", "")
+    items = F.transform("children", lambda t, i: F.struct(F.concat(F.lit("item-"), (i + 1).cast("string")).alias("id"), t.alias("text"), F.lit(False).alias("done")))
+    return nodes.select(
+        "entry_id", "pos", F.coalesce("id", F.concat_ws("-", F.lit("b"), "entry_id", "pos")).alias("block_id"), "type", F.when(F.col("type").isin("heading", "paragraph", "quote"), words).alias("text"),
+        F.when(F.col("type") == "heading", F.when(F.coalesce("level", F.lit(1)) == 1, 2).otherwise(F.col("level"))).alias("level"), F.when(F.col("type") == "checklist", items).alias("items"),
+        F.when(F.col("type") == "table", F.transform("children", lambda r: F.split(r, "\t"))).alias("data"),
+    )
+
+
 def calendar(month_days: DataFrame, entries: DataFrame, today: Column, chosen: Column) -> DataFrame:
     """(day, entries, is_today, is_selected, is_outside) of calendar days (month, day)."""
     per_day = entries.groupBy(F.col("date_bucket").alias("day")).agg(F.count("*").alias("entries"))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from datetime import UTC, datetime
-from functools import reduce
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
@@ -172,6 +171,16 @@ def read_files(spark: SparkSession, folder: str) -> DataFrame:
     return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "path", F.col("length").alias("bytes"), "content")
 
 
+def put_blobs(files: DataFrame, path: str) -> None:
+    """Append (key, content) rows to a blob table; the key is the content's hash, so that a repeated put changes nothing."""
+    files.select(F.sha2("content", 256).alias("key"), "content").write.mode("append").parquet(path)
+
+
+def get_blobs(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
+    """(key, content) of the wanted keys (key), one row each."""
+    return spark.read.parquet(path).join(keys.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
+
+
 def hydrated(attachments: DataFrame, blobs: DataFrame, files: DataFrame) -> DataFrame:
     """attachments with what they are shown from: blobs (key, url) for idb://, files (name, url) else the thumbnail for fs://, else the thumbnail."""
     path = F.col("cached_path")
@@ -193,6 +202,3 @@ def created_entries(wanted: DataFrame, users: DataFrame, now: Column) -> DataFra
         *[empty.alias(c) for c in ("tags", "project_tags", "experiment_tags", "search_terms", "linked_files")],
     )
 
-
-def union_all(tables: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, tables)

@@ -11,7 +11,6 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.window import Window
 
 from fieldbook.functions.text import fnv1a
-from fieldbook.sources.notebook import SCHEMAS
 
 EVENT = "change_id string, entry_id string, seq long, kind string, ts timestamp"
 STATE = "change_id string, entry_id string, seq long, status string, attempts int, last_tried_ts timestamp, last_error string"
@@ -68,6 +67,11 @@ def synced(changes: DataFrame, now: Column, entry: str | None = None, include_fa
     ).select(*changes.columns)
 
 
+def cleared(changes: DataFrame) -> DataFrame:
+    """The queue without what is synced, an extension."""
+    return changes.where(F.col("status") != "synced")
+
+
 def latest(events: DataFrame) -> DataFrame:
     """STATE of each change after all its events (EVENT): 'enqueue' makes it pending, each 'attempt' tries it.
 
@@ -161,5 +165,3 @@ def windowed_counts(events: DataFrame, width: str = "1 hour", late: str = "10 mi
     timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
     return timed.groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n")).select(F.col("window.start").alias("window_start"), "event_type", "n")
 
-
-CHANGES = SCHEMAS["changes"]

@@ -228,3 +228,20 @@ def test_merge_of_versions(spark):
     base, mine, theirs = (spark.createDataFrame(rows, "entry_id string, block_id string, text string") for rows in ([("e", "1", "a"), ("e", "2", "b"), ("e", "3", "c")], [("e", "1", "A"), ("e", "2", "b"), ("e", "3", "x")], [("e", "1", "a"), ("e", "2", "B"), ("e", "3", "y")]))
     got = {r.block_id: (r.text, r.conflict) for r in joins.merged_versions(base, mine, theirs, ["entry_id", "block_id"], "text").collect()}
     assert got == {"1": ("A", False), "2": ("B", False), "3": ("x", True)}
+
+
+def test_blobs(spark, tmp_path):
+    path = str(tmp_path / "blobs")
+    files = spark.createDataFrame([("a", bytearray(b"1")), ("b", bytearray(b"2"))], "name string, content binary")
+    notebook.put_blobs(files, path)
+    notebook.put_blobs(files.limit(1), path)
+    keys = files.where("name = 'a'").select(F.sha2("content", 256).alias("key"))
+    assert [bytes(r.content) for r in notebook.get_blobs(spark, path, keys).collect()] == [b"1"]
+
+
+def test_nodes_and_updates(book, now):
+    back = collections.from_nodes(collections.to_nodes(book["blocks"])).orderBy("pos").collect()
+    want = book["blocks"].orderBy("pos").collect()
+    assert [(r.block_id, r.type, r.text, r.level) for r in back] == [(r.block_id, r.type, r.text, r.level) for r in want]
+    edited = collections.update_block(book["blocks"], "b-obs", {"text": F.lit("seen")}, now).where("text = 'seen'").collect()
+    assert [(r.block_id, r.updated_by, r.updated_ts.hour) for r in edited] == [("b-obs", "me", 13)]
