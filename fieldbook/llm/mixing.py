@@ -9,17 +9,19 @@ DataFrame expressions are used.
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldbook.llm.common import Scratch, hinted
+from fieldbook.llm.common import Scratch, hinted, let
 
 #: Stands for a null source, language or topic.
 NONE = "(none)"
-TOLERANCE = 1e-9
-MOST_ROUNDS = 40
+TOLERANCE = 1e-10
+MOST_ROUNDS = 50
+#: Cells that are raked in one row.
+FEW_CELLS = 20_000
 SEED = 23
 
 
@@ -36,43 +38,91 @@ def unit_hash(key: Column | str, seed: int = SEED) -> Column:
 
 
 def tempered(cells: DataFrame, name: str, power: float) -> DataFrame:
-    """(value, share): shares in proportion to a power of each value's tokens."""
-    own = cells.groupBy(F.col(name).alias("value")).agg(F.pow(F.sum("tokens").cast("double"), F.lit(power)).alias("raw")).where("raw > 0")
-    total = own.agg(F.sum("raw").alias("total"))
-    return own.join(F.broadcast(total)).select("value", (F.col("raw") / F.col("total")).alias("share"))
+    """(value, share): shares in proportion to a power of each value's tokens, not scaled."""
+    return cells.groupBy(F.col(name).alias("value")).agg(F.pow(F.sum("tokens").cast("double"), F.lit(power)).alias("share")).where("share > 0")
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], scratch: Scratch) -> DataFrame:
-    """cells (values, tokens) with a weight; the weights' sums by each value have its target share of all tokens.
-
-    Shares of values without tokens are spread over the others in proportion.
-    A value without a target gets weight 0. Ends when no sum is off by more
-    than TOLERANCE of its target, or after MOST_ROUNDS rounds.
-    """
-    goals = {}
+def goals_of(cells: DataFrame, targets: dict[str, DataFrame], scratch: Scratch) -> DataFrame:
+    """(dimension, value, goal): the tokens that each value with tokens should have, of all tokens."""
+    total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
+    parts = []
     for name, target in targets.items():
         live = cells.where("tokens > 0").select(F.col(name).alias("value")).distinct()
-        known = target.join(live, "value", "left_semi")
-        total = known.agg(F.sum("share").alias("total"))
-        known = known.join(F.broadcast(total)).select(F.col("value").alias(name), (F.col("share") / F.col("total")).alias("share"))
-        goals[name] = hinted(scratch.save(f"goal-{name}", known))
-    total = cells.agg(F.sum("tokens")).first()[0] or 0
-    at = cells.withColumn("weight", F.col("tokens").cast("double"))
+        parts.append(target.join(live, "value", "left_semi").select(F.lit(name).alias("dimension"), "value", "share"))
+    shares = scratch.save("shares", reduce(DataFrame.unionByName, parts))
+    whole = {r[0]: r[1] for r in shares.groupBy("dimension").agg(F.sum("share")).collect()}  # a number for each dimension
+    scale = reduce(lambda c, n: c.when(F.col("dimension") == n, total / whole[n]), [n for n in whole if whole[n]], F.when(F.lit(False), 0.0))
+    return scratch.save("goals", shares.select("dimension", "value", (F.col("share") * F.coalesce(scale, F.lit(0.0))).alias("goal")))
+
+
+def factors_in_one_row(cells: DataFrame, names: list[str], goals: DataFrame, scratch: Scratch) -> DataFrame:
+    """(dimension, value, factor) after MOST_ROUNDS rounds, for few cells: they fit in one row, and the rounds in one expression."""
+    listed = goals.agg(F.array_sort(F.collect_list(F.struct("dimension", "value", "goal"))).alias("all"))
+    values = scratch.save("values", listed.select(F.posexplode("all").alias("at", "v")).select("at", "v.*"))
+    placed = cells.where("tokens > 0")
+    for k, name in enumerate(names):
+        placed = placed.join(hinted(values.where(F.col("dimension") == name).select(F.col("value").alias(name), F.col("at").alias(f"at_{k}"))), name)
+    placed = scratch.save("placed", placed.select(F.col("tokens").cast("double").alias("tokens"), F.array(*[f"at_{k}" for k in range(len(names))]).alias("places")))
+    own = placed.select(F.explode("places").alias("at"), F.struct("tokens", "places").alias("cell")).groupBy("at").agg(F.collect_list("cell").alias("cells"))
+    row = values.join(own, "at").agg(F.array_sort(F.collect_list(F.struct("at", "dimension", "goal", "cells"))).alias("groups"))
+
+    def raked(k: int, factors: Column) -> Column:
+        """The factors after one dimension's sums are made right."""
+
+        def new(g: Column) -> Column:
+            rest = lambda c: reduce(Column.__mul__, [F.get(factors, F.get(c["places"], F.lit(e))) for e in range(len(names)) if e != k], c["tokens"])
+            have = F.aggregate(g["cells"], F.lit(0.0), lambda a, c: a + rest(c))
+            return let(have, lambda h: F.when(h > 0, g["goal"] / h).otherwise(0.0))
+
+        return F.transform("groups", lambda g: F.when(g["dimension"] == names[k], new(g)).otherwise(F.get(factors, g["at"])))
+
+    def one_round(factors: Column) -> Column:
+        for k in range(len(names)):
+            factors = let(factors, partial(raked, k))
+        return factors
+
+    out = F.aggregate(F.sequence(F.lit(1), F.lit(MOST_ROUNDS)), F.transform("groups", lambda g: F.lit(1.0)), lambda factors, _: one_round(factors))
+    found = row.select(F.posexplode(out).alias("at", "factor"))
+    return found.join(values, "at").select("dimension", "value", "factor")
+
+
+def factors_by_rounds(cells: DataFrame, names: list[str], goals: DataFrame, scratch: Scratch) -> DataFrame:
+    """The same for any number of cells: a round is a few aggregations, and ends early when no factor moves by more than TOLERANCE."""
+    at = scratch.save("factors-0", goals.select("dimension", "value", F.lit(1.0).alias("factor")))
     for k in range(MOST_ROUNDS):
-        off = []
-        for name, goal in goals.items():
-            sums = at.groupBy(name).agg(F.sum("weight").alias("sum")).join(goal, name, "left")
-            factor = F.when(F.col("sum") > 0, F.coalesce("share", F.lit(0.0)) * total / F.col("sum")).otherwise(0.0)
-            at = at.join(sums.select(name, factor.alias(f"by_{name}")), name).withColumn("weight", F.col("weight") * F.col(f"by_{name}"))
-            off.append(F.max(F.when(F.col("weight") > 0, F.abs(F.col(f"by_{name}") - 1))).alias(f"by_{name}"))
-        at = scratch.save(f"round-{k}", at)
-        moved = [x for x in at.agg(*off).first() if x is not None]
-        at = at.drop(*[f"by_{name}" for name in goals])
-        if max(moved, default=0.0) <= TOLERANCE:
+        before = at
+        for d, name in enumerate(names):
+            weights = cells.where("tokens > 0").withColumn("weight", F.col("tokens").cast("double"))
+            for other in names:
+                if other != name:
+                    weights = weights.join(hinted(at.where(F.col("dimension") == other).select(F.col("value").alias(other), "factor")), other).withColumn("weight", F.col("weight") * F.col("factor")).drop("factor")
+            sums = weights.groupBy(F.col(name).alias("value")).agg(F.sum("weight").alias("sum"))
+            new = goals.where(F.col("dimension") == name).join(sums, "value").select("dimension", "value", F.when(F.col("sum") > 0, F.col("goal") / F.col("sum")).otherwise(0.0).alias("factor"))
+            at = scratch.save(f"factors-{k + 1}-{d}", at.where(F.col("dimension") != name).unionByName(new))
+        old = before.withColumnRenamed("factor", "old")
+        moved = at.join(old, ["dimension", "value"]).agg(F.max(F.abs(F.col("factor") - F.col("old")) / F.greatest(F.col("factor"), F.lit(1e-300)))).first()[0]
+        if moved is None or moved <= TOLERANCE:
             break
     return at
 
 
+def rake(cells: DataFrame, targets: dict[str, DataFrame], scratch: Scratch) -> DataFrame:
+    """cells (values, tokens) with a weight; the weights' sums by each value have its target share of all tokens.
+
+    Shares of values without tokens are spread over the others in proportion.
+    A value without a target gets weight 0.
+    """
+    names = list(targets)
+    goals = goals_of(cells, targets, scratch)
+    rounds = factors_in_one_row if cells.count() <= FEW_CELLS else factors_by_rounds
+    factors = scratch.save("factors", rounds(cells, names, goals, scratch))
+    out = cells.withColumn("weight", F.col("tokens").cast("double"))
+    for name in names:
+        own = hinted(factors.where(F.col("dimension") == name).select(F.col("value").alias(name), "factor"))
+        out = out.join(own, name, "left").withColumn("weight", F.col("weight") * F.coalesce("factor", F.lit(0.0))).drop("factor")
+    return out
+
+
 def mix(docs: DataFrame, dimensions: dict[str, Column], targets: dict[str, DataFrame] | None = None, power: float = 0.7, budget: float = 1.0) -> DataFrame:
     """docs with tokens, cell_weight, probability and sampled.
 

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fieldbook.llm.common import Scratch, hash_unit
+from fieldbook.llm.common import Scratch, hash_unit, let
 
 #: Rows that a block or a part of a shard holds on average, at most.
 BLOCK_ROWS = 1 << 17
@@ -24,11 +24,6 @@ BLOCK_ROWS = 1 << 17
 SIGMAS = 12
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value), with value computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def hypergeometric(total: Column, marked: Column, drawn: Column, u: Column) -> Column:
     """How many of `marked` among `total` are in a random draw of `drawn`, for a uniform number u.
 
