@@ -48,8 +48,11 @@ def _with_parents(experiments: DataFrame, projects: DataFrame) -> DataFrame:
     return experiments.select(F.col("id").alias("experiment_id"), F.col("title").alias("experiment_title"), "project_id", "protocol_ref").join(p, "project_id", "left")
 
 
-def experiment_markdown(entries: DataFrame, blocks: DataFrame, attachments: DataFrame, experiments: DataFrame, projects: DataFrame, exported_at: str) -> DataFrame:
-    """(experiment_id, folder, name, content) of each experiment's file; its entries stand in the order of their creation."""
+def experiment_markdown(entries: DataFrame, blocks: DataFrame, attachments: DataFrame, experiments: DataFrame, projects: DataFrame, exported_at: str, prefix: str = "notebook") -> DataFrame:
+    """(experiment_id, folder, name, content) of each experiment's file; its entries stand in the order of their creation.
+
+    The folder is named prefix_date_title.
+    """
     texts = entry_markdown(blocks, attachments)
     own = entries.join(texts, entries.id == texts.entry_id, "left")
     dates = F.concat(F.lit("Created "), long_date(F.col("created_ts")), F.lit(" · Last edited "), long_date(F.col("last_edited_ts")))
@@ -58,7 +61,7 @@ def experiment_markdown(entries: DataFrame, blocks: DataFrame, attachments: Data
     whole = _with_parents(experiments, projects).join(grouped, "experiment_id", "left")
     head = F.concat(F.lit("# "), F.col("experiment_title"))
     content = _lines(head, _labelled("- Project: ", F.col("project_title")), _labelled("- Protocol: ", F.col("protocol_ref")), F.lit(f"- Exported: {exported_at}"), F.array_join(F.transform("e", lambda x: x["t"]), "\n"))
-    folder = safe_file_name(F.concat(F.lit(f"labnote_{exported_at[:10]}_"), F.col("experiment_title")))
+    folder = safe_file_name(F.concat(F.lit(f"{prefix}_{exported_at[:10]}_"), F.col("experiment_title")))
     return whole.select("experiment_id", folder.alias("folder"), safe_file_name(F.concat("experiment_title", F.lit(".md"))).alias("name"), content.alias("content"))
 
 

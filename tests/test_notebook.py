@@ -162,7 +162,7 @@ def test_bundle(spark, book, tmp_path):
     at = "2025-12-26T13:00:00.000Z"
     args = (book["entries"], book["blocks"], book["attachments"], book["experiments"], book["projects"], at)
     row = export.experiment_markdown(*args).first()
-    assert (row.folder, row.name) == ("labnote_2025-12-26_Guided_template_entry", "Guided_template_entry.md")
+    assert (row.folder, row.name) == ("notebook_2025-12-26_Guided_template_entry", "Guided_template_entry.md")
     lines = row.content.split("\n")
     assert lines[:6] == ["# Guided template entry", "- Project: Guided lab notebook", "- Protocol: TEMPLATE-01", f"- Exported: {at}", "## Guided template - start here", "Created Dec 26, 2025 · Last edited Dec 26, 2025"]
     m = json.loads(export.manifests(book["entries"], book["attachments"], book["experiments"], book["projects"], at).first().manifest)
