@@ -4,7 +4,7 @@ One dictionary is trained on good labelled text and one on bad. A text is cut
 into windows, each window is compressed under both, and the difference of the
 two sizes over their sum says which kind of text it resembles. A small
 logistic model, fitted on labelled texts that the dictionaries have not seen,
-turns these differences into a probability.
+turns these differences and sizes into a probability.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 WINDOW = 512
 LEVEL = 3
+FEATURES = 7
 
 
 @dataclass
@@ -48,15 +49,20 @@ class Model:
 
 
 def features(text: bytes, good, bad) -> list[float]:
-    """Normalised size differences: over all windows, the least, the greatest, and of the whole text."""
-    g = np.array([len(good.compress(text[i : i + WINDOW])) for i in range(0, len(text), WINDOW)] or [1], float)
-    b = np.array([len(bad.compress(text[i : i + WINDOW])) for i in range(0, len(text), WINDOW)] or [1], float)
+    """Normalised size differences (over all windows, the least, the greatest, and of the whole text), and how small the text gets (its best and worst window, and the whole).
+
+    The sizes tell text that repeats itself, which is as small under either dictionary.
+    """
+    windows = [text[i : i + WINDOW] for i in range(0, len(text), WINDOW)] or [b""]
+    g = np.array([len(good.compress(w)) for w in windows], float)
+    b = np.array([len(bad.compress(w)) for w in windows], float)
     d = (b - g) / (b + g)
-    if len(text) > WINDOW:
+    if len(windows) > 1:
         whole_g, whole_b = len(good.compress(text)), len(bad.compress(text))
     else:
         whole_g, whole_b = g.sum(), b.sum()
-    return [(b.sum() - g.sum()) / (b.sum() + g.sum()), d.min(), d.max(), (whole_b - whole_g) / (whole_b + whole_g)]
+    ratio = np.log((g + 8) / (np.array([len(w) for w in windows]) + 32))  # short windows count as nearly plain
+    return [(b.sum() - g.sum()) / (b.sum() + g.sum()), d.min(), d.max(), (whole_b - whole_g) / (whole_b + whole_g), ratio.min(), ratio.max(), float(np.log((whole_g + 8) / (len(text) + 32)))]
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 30) -> tuple[np.ndarray, float]:
@@ -110,7 +116,7 @@ def fit(texts: dict[int, list[bytes]], totals: dict[int, int], dictionary_bytes:
             dictionaries[y] = zstandard.train_dictionary(dictionary_bytes, pieces, level=LEVEL).as_bytes()
         except zstandard.ZstdError:  # too little text to train on: use it as it is
             dictionaries[y] = b"".join(pieces)[:dictionary_bytes] or b" " * 8
-    model = Model(dictionaries[1], dictionaries[0], np.zeros(4), np.ones(4), np.zeros(4), 0.0)
+    model = Model(dictionaries[1], dictionaries[0], np.zeros(FEATURES), np.ones(FEATURES), np.zeros(FEATURES), 0.0)
     n0, n1 = len(texts[0]), len(texts[1])
     if not n0 or not n1:
         model.bias = 40.0 if n1 else -40.0 if n0 else 0.0
@@ -140,7 +146,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score")
         m = shared.value
         good, bad = m.compressors()
         for batch in batches:
-            x = np.array([features((t or "").encode(), good, bad) for t in batch.column(place).to_pylist()]).reshape(-1, 4)
+            x = np.array([features((t or "").encode(), good, bad) for t in batch.column(place).to_pylist()]).reshape(-1, FEATURES)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(m.probability(x))], names=[*batch.schema.names, out])
 
     return docs.mapInArrow(scored, schema)
