@@ -123,11 +123,12 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], scratch: Scratch) -> D
     return out
 
 
-def mix(docs: DataFrame, dimensions: dict[str, Column], targets: dict[str, DataFrame] | None = None, power: float = 0.7, budget: float = 1.0) -> DataFrame:
+def mix(docs: DataFrame, dimensions: dict[str, Column], targets: dict[str, DataFrame] | None = None, power: float = 0.7, budget: float = 1.0, tokens: Column | None = None) -> DataFrame:
     """docs with tokens, cell_weight, probability and sampled.
 
     dimensions: name -> expression over docs; targets: name -> (value, share),
-    or shares in proportion to a power of the tokens there are. probability is
+    or shares in proportion to a power of the tokens there are; tokens: an
+    expression over docs, by default the words of text. probability is
     budget * cell_weight / the cell's tokens, at most 1, so that a budget of 1
     asks for as many tokens as there are and gives less where a cell has too
     few. Documents of cells without tokens have probability 1. A null is a
@@ -142,7 +143,7 @@ def mix(docs: DataFrame, dimensions: dict[str, Column], targets: dict[str, DataF
     keys = [F.coalesce(dimensions[n].cast("string"), F.lit(NONE)).alias(f"_{n}") for n in names]
     held = [f"_{n}" for n in names]
     # Whole rows in one column keep clear of names that docs may have.
-    counted = docs.select(F.struct("*").alias("row"), *keys, tokens_of(F.col("text")).alias("tokens"))
+    counted = docs.select(F.struct("*").alias("row"), *keys, (tokens_of(F.col("text")) if tokens is None else tokens).alias("tokens"))
     cells = scratch.save("cells", counted.groupBy(*held).agg(F.sum("tokens").alias("tokens")))
     goals = {f"_{n}": (targets or {}).get(n) or tempered(cells, f"_{n}", power) for n in names}
     raked = rake(cells, goals, scratch).withColumnRenamed("tokens", "_all")
@@ -156,6 +157,7 @@ def with_topic(docs: DataFrame, embeddings: DataFrame, name: str = "topic") -> D
     """docs with a topic: the label of the vector whose vec_id is the doc_id (of several, the least), null without one."""
     topics = embeddings.where("vec_id IS NOT NULL AND label IS NOT NULL").groupBy(F.col("vec_id").alias("_vec")).agg(F.min("label").cast("string").alias(name))
     rows = docs.drop(name).select(F.struct("*").alias("row"))
+    topics = hinted(Scratch(docs.sparkSession, "topics").save("topics", topics))
     return rows.join(topics, F.col("row.doc_id") == F.col("_vec"), "left").select("row.*", name)
 
 

@@ -68,8 +68,9 @@ MIXING_ROUNDS = 25
 @query
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's chance in a mix with raked shares of sources, languages and topics, and whether it is drawn."""
-    docs = mixing.with_topic(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), table(spark, sf_dir, "embeddings"))
-    mixed = mixing.mix(docs, {n: F.col(n) for n in ("source", "lang", "topic")}, power=MIXING_POWER, budget=MIXING_BUDGET)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", mixing.tokens_of(F.col("text")).alias("words"))
+    docs = mixing.with_topic(docs, table(spark, sf_dir, "embeddings"))
+    mixed = mixing.mix(docs, {n: F.col(n) for n in ("source", "lang", "topic")}, power=MIXING_POWER, budget=MIXING_BUDGET, tokens=F.col("words"))
     return mixed.select("doc_id", "source", "lang", "topic", "tokens", F.round("probability", 6).alias("probability"), "sampled")
 
 
