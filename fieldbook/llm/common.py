@@ -47,12 +47,12 @@ class Scratch:
 BROADCAST_ROWS = 500_000
 
 
-def hinted(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has few rows; beyond that a shuffled join stays.
+def hinted(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """df with a broadcast hint if it has few rows (or `rows` are few); beyond that a shuffled join stays.
 
     For narrow tables that are cheap to count, such as those from Scratch.save.
     """
-    return F.broadcast(df) if df.count() <= limit else df
+    return F.broadcast(df) if (df.count() if rows is None else rows) <= BROADCAST_ROWS else df
 
 
 def hash_unit(*cols: Column | str, seed: int = 0) -> Column:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldbook.llm.bytehash import groups, spans, sums
-from fieldbook.llm.common import BROADCAST_ROWS, Scratch, hinted
+from fieldbook.llm.common import Scratch, hinted
 
 LENGTH = 400
 GRAM = 64
@@ -302,8 +302,7 @@ def repeated(docs: DataFrame, length: int) -> tuple[DataFrame, int]:
 
 def by_document(docs: DataFrame, lists: DataFrame, how: str, rows: int | None = None) -> DataFrame:
     """docs joined with lists (_doc, _hash, ...), which are broadcast if they have few entries, and else hashed after a shuffle."""
-    small = (lists.count() if rows is None else rows) <= BROADCAST_ROWS
-    lists = F.broadcast(lists) if small else lists.hint("shuffle_hash")
+    lists = hinted(lists.hint("shuffle_hash"), lists.count() if rows is None else rows)
     same = docs["doc_id"].eqNullSafe(lists["_doc"]) & (docs["text_hash"] == lists["_hash"])
     return docs.join(lists, same, how)
 

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fieldbook.llm import jaccard_join, mixing, nearest, suffix_dedup, url_filters
+from fieldbook.llm import common, jaccard_join, mixing, nearest, suffix_dedup, url_filters
 from fieldbook.llm.common import Scratch, connected
 
 from .test_text_operators import ODD, WORDS, documents, texts
@@ -38,6 +38,13 @@ def test_connected(spark):
     assert connected(spark.createDataFrame([], "a long, b long"), Scratch(spark, "t")).count() == 0
 
 
+@pytest.fixture(params=["broadcast", "shuffled"])
+def both_ways(request, monkeypatch):
+    """Small tables broadcast, and shuffled as large ones are."""
+    if request.param == "shuffled":
+        monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+
+
 def plain_jaccard(rows, words, num, den):
     sets = {}
     for i, t in rows:
@@ -47,8 +54,8 @@ def plain_jaccard(rows, words, num, den):
     return {i: (len(s), components(links, sets)[i]) for i, s in sets.items()}
 
 
-@pytest.mark.parametrize(("words", "num", "cell"), [(4, 85, 1 << 19), (5, 80, 1 << 19), (4, 85, 64), (2, 50, 1 << 19)])
-def test_jaccard_against_brute_force(spark, monkeypatch, words, num, cell):
+@pytest.mark.parametrize(("words", "num", "cell"), [(4, 85, 1 << 19), (5, 80, 64), (2, 50, 1 << 19)])
+def test_jaccard_against_brute_force(spark, monkeypatch, both_ways, words, num, cell):
     monkeypatch.setattr(jaccard_join, "CELL_SHINGLES", cell)
     r = random.Random(words)
     rows = []
@@ -86,7 +93,7 @@ def plain_raking(cells, power, rounds=200):
 
 
 @pytest.mark.parametrize("few", [20_000, 0])
-def test_mixing_against_plain_raking(spark, monkeypatch, few):
+def test_mixing_against_plain_raking(spark, monkeypatch, both_ways, few):
     monkeypatch.setattr(mixing, "FEW_CELLS", few)
     r = random.Random(3)
     rows = [(i, "w " * r.randrange(1, 30), r.choice(["en"] * 6 + ["de", None]), r.choice(["a"] * 5 + ["b", "c"]), 0, r.choice("xyz")) for i in range(400)]
@@ -138,7 +145,7 @@ def test_url_rules(spark, url, host, path, rule, verdict):
     assert url_filters.judge(pages, labels, RULES).drop("page_id", "url").first() == (host, path, rule, verdict)
 
 
-def test_mined_rules(spark):
+def test_mined_rules(spark, both_ways):
     r = random.Random(2)
     rows = [(i, f"http://{r.choice(['spam', 'good', 'mixed'])}.net/{r.choice(['win', 'read'])}/{i % 4}") for i in range(300)]
     label = lambda u: "spam" in u or ("mixed" in u and "win" in u)
@@ -172,8 +179,8 @@ def plain_repeats(rows, length):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize(("length", "runs"), [(100, 2048), (100, 1), (70, 3), (65, 2048)])
-def test_suffix_dedup_against_brute_force(spark, monkeypatch, length, runs):
+@pytest.mark.parametrize(("length", "runs"), [(100, 2048), (100, 1), (65, 3)])
+def test_suffix_dedup_against_brute_force(spark, monkeypatch, both_ways, length, runs):
     monkeypatch.setattr(suffix_dedup, "BUCKET_RUNS", runs)
     r = random.Random(length)
     base = [" ".join(r.choice(WORDS) + str(r.randrange(30)) for _ in range(60)) for _ in range(8)]
@@ -202,7 +209,10 @@ def cosine(a, b):
     return float(a @ b / np.linalg.norm(a) / np.linalg.norm(b))
 
 
-def test_nearest_recall(spark):
+@pytest.mark.parametrize("heavy", [20_000, 40])
+def test_nearest_recall(spark, monkeypatch, heavy):
+    monkeypatch.setattr(nearest, "HEAVY_ROWS", heavy)
+    monkeypatch.setattr(nearest, "PART_ROWS", 2 * heavy)
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(20, 16))
     x = (centres[rng.integers(0, 20, 1500)] + 0.4 * rng.normal(size=(1500, 16))).astype(np.float32)
