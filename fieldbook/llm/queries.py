@@ -52,6 +52,24 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.link_documents(table(spark, sf_dir, "documents"), words=4, num=85, den=100)
 
 
+SQL["op3_ngram_jaccard_join"] = r"""
+    WITH RECURSIVE w AS (
+        SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+    ),
+    sets AS (
+        SELECT doc_id, list_distinct(CASE WHEN len(ws) >= 4 THEN list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' '))
+                                          WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS s FROM w
+    ),
+    n AS (SELECT doc_id, len(s) AS n FROM sets),
+    e AS (SELECT doc_id, unnest(s) AS x FROM sets),
+    common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+    links AS (SELECT a, b FROM common JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 85 * (na.n + nb.n - c)),
+    both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+    reach AS (SELECT doc_id AS d, doc_id AS r FROM n UNION SELECT a, r FROM reach JOIN both_ways ON b = d)
+    SELECT doc_id, n AS n_shingles, min(r) AS component_id FROM n JOIN reach ON d = doc_id GROUP BY doc_id, n
+"""
+
+
 @query
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents' tokens in sequences of 1024."""
@@ -179,6 +197,23 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+SQL["op9_suffix_dedup"] = """
+    WITH h AS (SELECT doc_id, coalesce(hex(encode(text)), '') AS x FROM documents),
+    s AS (SELECT doc_id, i, md5(substr(x, 2 * i + 1, 800)) AS m FROM (SELECT doc_id, x, unnest(range(0, greatest(0, length(x) // 2 - 399))) AS i FROM h)),
+    r AS (SELECT doc_id, i FROM s WHERE m IN (SELECT m FROM s GROUP BY m HAVING count(*) > 1)),
+    g AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 400 THEN 0 ELSE 1 END AS begins FROM r),
+    k AS (SELECT doc_id, i, sum(begins) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM g),
+    gone AS (SELECT doc_id, min(i) AS a, max(i) + 400 AS b FROM k GROUP BY doc_id, span),
+    stays AS (
+        SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS a, a AS b FROM gone
+        UNION ALL SELECT h.doc_id, coalesce(max(b), 0), length(x) // 2 FROM h LEFT JOIN gone ON h.doc_id = gone.doc_id GROUP BY h.doc_id, x
+    ),
+    kept AS (SELECT h.doc_id, x, string_agg(substr(x, (2 * a + 1)::BIGINT, (2 * (b - a))::BIGINT), '' ORDER BY a) AS y FROM stays JOIN h ON h.doc_id = stays.doc_id GROUP BY h.doc_id, x)
+    SELECT kept.doc_id, length(x) // 2 AS n_bytes, coalesce(sum(b - a), 0)::BIGINT AS n_removed, count(a) AS n_spans, sha256(unhex(y)) AS kept_sha256
+    FROM kept LEFT JOIN gone ON kept.doc_id = gone.doc_id GROUP BY kept.doc_id, x, y
+"""
+
+
 @query
 def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest vectors found for each fiftieth vec_id."""
