@@ -152,7 +152,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score")
     return docs.mapInArrow(scored, schema)
 
 
-def classify(docs: DataFrame, labels: DataFrame, max_rows_per_class: int = 4000, max_text_bytes: int = 1 << 20) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, max_rows_per_class: int = 4000, max_text_bytes: int = 1 << 16) -> DataFrame:
     """docs with a score, from a model fitted on labels (doc_id, quality).
 
     Only rows whose crc32 of the doc_id as text leaves a remainder other than 0
