@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fieldbook.llm.bytehash import groups, spans, sums
+from fieldbook.llm.common import small_batches
 
 WIDTH = 64
 VOTES = 16
@@ -60,6 +61,7 @@ def entropy_bins(buf: np.ndarray) -> np.ndarray:
 
 def rarity(docs: DataFrame, text: str = "text") -> np.ndarray:
     """Rank of each entropy among all windows of all documents; 0 is the rarest."""
+    small_batches(docs.sparkSession)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BINS, np.int64)
@@ -169,6 +171,7 @@ def fingerprint(docs: DataFrame, rank: np.ndarray, text: str = "text", out: str
     from pyspark.sql.types import StringType, StructField, StructType
 
     docs = docs.drop(out)
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(rank)
     place = docs.columns.index(text)
 
@@ -225,6 +228,7 @@ def compare_edited(docs: DataFrame, rank: np.ndarray, parts: int | None = None)
     Texts move once, and tasks stream over them.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     parts = parts or min(1024, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     shared = spark.sparkContext.broadcast(rank)
 

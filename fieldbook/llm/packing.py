@@ -20,6 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from fieldbook.llm.bytehash import groups, joined, spans, sums
+from fieldbook.llm.common import small_batches
 
 #: The id after each document.
 END = 0
@@ -189,6 +190,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, s
     set_tokens tokens or more, so a task holds one set and one document at
     most. Other columns are not read. An empty table gives no pieces.
     """
+    small_batches(docs.sparkSession)
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = tokenizer(tokenizer_path)

@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from fieldbook.llm.common import small_batches
+
 WINDOW = 512
 LEVEL = 3
 FEATURES = 7
@@ -138,6 +140,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score")
     Repeated rows stay, each with its score.
     """
     docs = docs.drop(out)
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     place = docs.columns.index(text)
     schema = StructType([*docs.schema.fields, StructField(out, DoubleType())])
