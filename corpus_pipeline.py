@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldbook.llm import jaccard_join, line_dedup, mixing, packing, quality_classifier
-from fieldbook.llm.common import Scratch
+from fieldbook.llm.common import Scratch, hinted
 from fieldbook.llm.queries import table, tokenizer_path
 
 #: Documents that score less are rejected.
@@ -38,13 +38,14 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, that of the least doc_id; a null doc_id is in no group and stays."""
-    linked = Scratch(spark, "near-copies").save("linked", jaccard_join.link_documents(docs, WORDS, SIMILAR, OF))
-    first = linked.where(F.col("doc_id") == F.col("component_id")).select("doc_id")
+    scratch = Scratch(spark, "near-copies")
+    linked = scratch.save("linked", jaccard_join.link_documents(docs, WORDS, SIMILAR, OF))
+    later = scratch.save("later", linked.where("doc_id <> component_id").select("doc_id").distinct())
+    kept = docs.join(hinted(later), "doc_id", "left_anti").select(*docs.columns)
     rows, ids = linked.agg(F.count("doc_id"), F.count_distinct("doc_id")).first()
-    kept = docs.join(first.distinct(), "doc_id", "left_semi")
     if rows > ids:
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
+        kept = kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id IS NULL"))
+    return kept
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
