@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 from fieldbook.llm.bytehash import mix, shingle_sets
 from fieldbook.llm.common import Scratch, connected, hinted
 
-#: Shingles of a cell that a task verifies at once; heavier cells are cut into blocks.
+#: Shingles and members of a cell that a task verifies at once; heavier cells are cut into blocks.
 CELL_SHINGLES = 1 << 19
+CELL_MEMBERS = 1024
 #: Columns of the incidence matrix that are multiplied at once.
 COLUMNS = 4096
 
@@ -76,7 +77,7 @@ def whole_sets(docs: DataFrame, words: int) -> DataFrame:
 
 def similar(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
     """Which sets are linked: a matrix, from all intersections at once."""
-    n = np.array([len(s) for s in sets])
+    n = np.array([len(s) for s in sets], np.int32)
     owner = np.repeat(np.arange(len(sets)), n)
     order = np.argsort(flat := np.concatenate(sets), kind="stable")
     flat, owner = flat[order], owner[order]
@@ -92,8 +93,8 @@ def similar(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
         m = np.zeros((len(sets), COLUMNS), np.float32)
         m[owner[a:b], shingle[a:b] - k * COLUMNS] = 1
         both += m @ m.T
-    both = np.round(both).astype(np.int64)
-    return den * both >= num * (n[:, None] + n[None, :] - both)
+    both = np.round(both).astype(np.int32)
+    return (den + num) * both >= num * (n[:, None] + n[None, :])
 
 
 def forest(near: np.ndarray) -> list[tuple[int, int]]:
@@ -146,7 +147,7 @@ def cells_of(groups: DataFrame, members: DataFrame, scratch: Scratch) -> DataFra
     entries = groups.select(F.explode("prefix").alias("token"), "gid", "n", "members")
     least = entries.groupBy("token").agg(F.min("gid").alias("leader"))
     pairs = scratch.save("pairs", entries.join(least, "token").select("leader", "gid", "n", "members").distinct())
-    blocks = F.ceil(F.sum(F.col("n") * F.col("members")) / CELL_SHINGLES).cast("int")
+    blocks = F.ceil(F.greatest(F.sum(F.col("n") * F.col("members")) / CELL_SHINGLES, F.sum("members") / CELL_MEMBERS)).cast("int")
     cells = pairs.groupBy("leader").agg(F.sum("members").alias("all"), blocks.alias("blocks")).where(F.col("all") > 1).select("leader", "blocks")
     rows = pairs.select("leader", "gid").join(cells, "leader").join(members, "gid")
     own = F.pmod(F.xxhash64("key"), F.col("blocks"))
