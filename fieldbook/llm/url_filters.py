@@ -3,7 +3,8 @@
 A URL is a set of tokens: its host's labels and the words of its path and
 query. FP-growth finds the token sets that occur often among labelled pages;
 those that are followed by a bad label with enough support and confidence are
-rules, and rules that contain a shorter one are pruned. Each rule is indexed
+rules, and rules that contain a shorter one are pruned. Single tokens are
+counted first, and those that are rules alone stay out of the longer sets. Each rule is indexed
 under its rarest token, where a page's tokens look it up. Only DataFrame
 expressions are used.
 """
@@ -16,11 +17,11 @@ from pyspark.sql import functions as F
 
 from fieldbook.llm.common import Scratch, hinted
 
+#: Read by the SQL twin alone, which asks for this share of the labelled pages too.
 MIN_SUPPORT = 0.002
-#: Labelled pages that a rule must hold for at least.
+#: Bad labelled pages that a rule must hold for at least, however many pages there are.
 MIN_PAGES = 5
 MIN_CONFIDENCE = 0.5
-MOST_TOKENS = 3
 BAD = "label:bad"
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -67,31 +68,42 @@ def mine(pages: DataFrame, labels: DataFrame) -> DataFrame:
     """(key, tokens): the token sets that block, each under its rarest token.
 
     pages: (page_id, url), labels: (doc_id, quality, toxic) for page ids. Bad
-    is a page with quality 0 or toxic 1 in any of its label rows.
+    is a page with quality 0 or toxic 1 in any of its label rows. Rules have any
+    number of tokens and need MIN_PAGES bad pages (all pages, if fewer are labelled).
     """
     scratch = Scratch(pages.sparkSession, "url-rules")
     bad = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.bool_or(F.coalesce((F.col("quality") == 0) | (F.col("toxic") == 1), F.lit(False))).alias("bad"))
     known = pages.where("url IS NOT NULL").select("page_id", "url").distinct().join(bad, F.col("page_id") == F.col("doc_id"))
     tokens = tokens_of(F.col("url"))
-    baskets = scratch.save("baskets", known.select(F.when(F.col("bad"), F.array_append(tokens, F.lit(BAD))).otherwise(tokens).alias("items")).where(F.size("items") > 0))
-    n = baskets.count()
-    if not n:
+    baskets = known.select(F.monotonically_increasing_id().alias("row"), tokens.alias("items"), "bad").where((F.size("items") > 0) | F.col("bad"))
+    baskets = scratch.save("baskets", baskets)
+    least = min(baskets.count(), MIN_PAGES)
+    if not least:
         return pages.sparkSession.createDataFrame([], "key string, tokens array<string>")
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(MIN_SUPPORT, MIN_PAGES / n)), minConfidence=MIN_CONFIDENCE).fit(baskets)
-    sets = scratch.save("sets", model.freqItemsets)
-    whole = F.array_sort(F.array_remove("items", BAD))
-    with_bad = sets.where(F.array_contains("items", BAD)).select(whole.alias("tokens"), F.col("freq").alias("both"))
+    # No rule has a token of fewer bad pages, and none but itself one that is a rule alone.
+    each = baskets.select("row", "bad", F.explode("items").alias("token"))
+    single = scratch.save("single", each.groupBy("token").agg(F.count("*").alias("freq"), F.count_if("bad").alias("both")).where(F.col("both") >= least))
+    sure = F.col("both") >= MIN_CONFIDENCE * F.col("freq")
+    index = single.where(sure).select(F.col("token").alias("key"), F.array("token").alias("tokens"))
+    unsure = scratch.save("unsure", single.where(~sure).select("token"))
+    rest = each.join(hinted(unsure), "token").groupBy("row").agg(F.first("bad").alias("bad"), F.collect_list("token").alias("own")).where(F.size("own") > 1)
+    rest = scratch.save("rest", rest.select("bad", F.when(F.col("bad"), F.array_append("own", F.lit(BAD))).otherwise(F.col("own")).alias("items")))
+    n, n_bad = rest.agg(F.count("*"), F.count_if("bad")).first()
+    if n_bad < least:
+        return scratch.save("index", index)
+    # Half a page less, so that rounding up the product gives `least` whatever the quotient's last bit.
+    model = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / n, minConfidence=MIN_CONFIDENCE).fit(rest)
+    sets = scratch.save("sets", model.freqItemsets.where(F.size("items") > 1))
+    with_bad = sets.where(F.array_contains("items", BAD)).select(F.array_sort(F.array_remove("items", BAD)).alias("tokens"), F.col("freq").alias("both"))
     alone = sets.where(~F.array_contains("items", BAD)).select(F.array_sort("items").alias("tokens"), "freq")
-    rules = with_bad.where(F.size("tokens").between(1, MOST_TOKENS)).join(alone, "tokens").where(F.col("both") >= MIN_CONFIDENCE * F.col("freq")).select("tokens")
-    rules = scratch.save("rules", rules)
-    # A rule that holds a shorter rule says nothing new.
-    smaller = F.concat(F.transform("tokens", lambda x: F.array(x)), F.transform("tokens", lambda x: F.array_remove("tokens", x)))
-    longer = rules.where(F.size("tokens") > 1).select("tokens", F.explode(smaller).alias("part"))
-    pruned = longer.join(rules.select(F.col("tokens").alias("part")), "part", "left_semi").select("tokens").distinct()
-    least = rules.join(pruned, "tokens", "left_anti")
-    single = alone.where(F.size("tokens") == 1).select(F.col("tokens")[0].alias("token"), "freq")
-    keyed = least.select("tokens", F.explode("tokens").alias("token")).join(single, "token").groupBy("tokens").agg(F.min(F.struct("freq", "token")).alias("rarest"))
-    return scratch.save("index", keyed.select(F.col("rarest.token").alias("key"), "tokens"))
+    rules = with_bad.join(alone, "tokens").where(sure).select("tokens")
+    keyed = rules.select("tokens", F.explode("tokens").alias("token")).join(single, "token").groupBy("tokens").agg(F.min(F.struct("freq", "token")).alias("rarest"))
+    keyed = scratch.save("keyed", keyed.select(F.col("rarest.token").alias("key"), "tokens"))
+    # A rule that holds a shorter rule, of any length, says nothing new.
+    parts = keyed.select("key", F.col("tokens").alias("part"))
+    holds = (F.size("part") < F.size("tokens")) & (F.size(F.array_except("part", "tokens")) == 0)
+    pruned = keyed.select("tokens", F.explode("tokens").alias("key")).join(parts, "key").where(holds).select("tokens").distinct()
+    return scratch.save("index", index.unionByName(keyed.join(pruned, "tokens", "left_anti").select("key", "tokens")))
 
 
 def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:

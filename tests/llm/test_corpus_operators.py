@@ -167,6 +167,24 @@ def test_mined_rules(spark, both_ways):
     assert url_filters.judge(pages.limit(0), labels, RULES).count() == 0
 
 
+def test_rare_bad_hosts_of_large_tables(spark, both_ways):
+    rows = [(i, f"http://host{i % 40}.net/page/{i % 7}") for i in range(4000)] + [(5000 + i, f"http://rare.net/page/{i}") for i in range(6)]
+    labels = spark.createDataFrame([(i, int("rare" not in u), 0) for i, u in rows], "doc_id long, quality int, toxic int")
+    got = url_filters.judge(spark.createDataFrame(rows, "page_id long, url string"), labels, []).collect()
+    assert {g.host for g in got if g.verdict == "block"} == {"rare.net"}
+
+
+def test_rules_of_four_tokens(spark, both_ways):
+    """Each part of {a, b, c, d} has six bad pages and more good ones; all four together are bad."""
+    four = ["a", "b", "c", "d"]
+    urls = [("http://h.net/" + "/".join(four), False)] * 6 + [("http://h.net/" + "/".join(x for x in four if x != w), True) for w in four for _ in range(9)]
+    rows = [(i, u) for i, (u, _) in enumerate(urls)]
+    labels = spark.createDataFrame([(i, int(good), 0) for i, (_, good) in enumerate(urls)], "doc_id long, quality int, toxic int")
+    pages = spark.createDataFrame([*rows, (900, "http://other.org/d/c/b/a/e")], "page_id long, url string")
+    assert {g.page_id for g in url_filters.judge(pages, labels, []).collect() if g.verdict == "block"} == {0, 1, 2, 3, 4, 5, 900}
+    assert [sorted(x.tokens) for x in url_filters.mine(pages, labels).collect()] == [["p:a", "p:b", "p:c", "p:d"]]
+
+
 def plain_repeats(rows, length):
     count = Counter(t[k : k + length] for _, t in rows for k in range(len(t) - length + 1))
     out = []
