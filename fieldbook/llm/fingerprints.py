@@ -3,7 +3,9 @@
 Every 64-byte window of a text has an entropy. How often each entropy occurs
 among all windows of all documents says how improbable it is; of each run of
 64 neighbouring windows the rarest one gets a vote, and windows with enough
-votes are the features. Features go into a chain of Bloom filters of 256
+votes are the features. Where none is for long, as in text that repeats
+itself, every 64th window is one, and a text that still has few takes its
+short grams too. Features go into a chain of Bloom filters of 256
 bytes, 160 to each, and two chains compare by the overlap of their bits beyond
 what chance gives.
 """
@@ -20,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fieldbook.llm.bytehash import groups, spans, sums
+from fieldbook.llm.bytehash import PLACES, U, groups, mix, spans, sums
 from fieldbook.llm.common import small_batches
 
 WIDTH = 64
@@ -33,6 +35,10 @@ BINS = 1001
 LEAST_BIN = 100
 #: Share of the possible overlap beyond chance that still counts as none.
 CUTOFF = 0.3
+#: Bytes without a feature beyond which windows side by side are features.
+GAP = 256
+#: A text of fewer features than FEW takes all its grams of GRAM bytes, and if under TINY bytes those of two bytes as well.
+FEW, GRAM, TINY = 8, 6, 16
 GROUP_BYTES = 192 << 10
 
 _count = np.arange(WIDTH + 2, dtype=float)
@@ -100,8 +106,7 @@ def _inside(starts: np.ndarray, n: int, width: int) -> np.ndarray:
 def chains(texts: list[bytes], rank: np.ndarray) -> list[np.ndarray]:
     """Each text's chain of filters, an array of rows of 256 bytes.
 
-    A text without a selected window has one feature, all of itself; an empty
-    one has no filter.
+    A text of one byte has one feature, all of itself; an empty one has no filter.
     """
     out: list[np.ndarray] = []
     for lo, hi in groups([len(t) for t in texts], GROUP_BYTES):
@@ -120,13 +125,39 @@ def chains(texts: list[bytes], rank: np.ndarray) -> list[np.ndarray]:
         h = spans(running, at, at + WIDTH)
         first = np.searchsorted(at, starts)
         for k in range(hi - lo):
-            own = h[first[k] : first[k + 1]]
-            if not len(own) and starts[k + 1] > starts[k]:
-                own = spans(running, starts[k : k + 1], starts[k + 1 : k + 2])
+            own = _features(running, starts[k], starts[k + 1], at[first[k] : first[k + 1]], h[first[k] : first[k + 1]])
             out.append(_filters(own))
     return out
 
 
+def _features(running: np.ndarray, start: int, end: int, at: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """A text's features: h, of the windows selected at `at`, and what fills long gaps and short texts.
+
+    Gaps are filled from the feature before them (or the text's start), so
+    that a change leaves what lies before it as it was.
+    """
+    edges = np.concatenate([[start - WIDTH], at, [end]])
+    wide = np.flatnonzero(np.diff(edges) > GAP)
+    if len(wide):
+        more = np.concatenate([np.arange(edges[k] + WIDTH, edges[k + 1] - WIDTH + 1, WIDTH) for k in wide])
+        h = np.concatenate([h, _numbered(spans(running, more, more + WIDTH))])[np.argsort(np.concatenate([at, more]), kind="stable")]
+    if len(h) < FEW:
+        for width in (GRAM, 2) if end - start < TINY else (GRAM,):
+            grams = np.arange(start, max(start, end - width + 1))
+            h = np.concatenate([h, _numbered(spans(running, grams, grams + width))])
+        if not len(h) and end > start:
+            h = spans(running, np.array([start]), np.array([end]))
+    return h
+
+
+def _numbered(h: np.ndarray) -> np.ndarray:
+    """h, where each repeat of a value becomes another by its number, so that how often it occurs counts."""
+    _, inverse, counts = np.unique(h, return_inverse=True, return_counts=True)
+    k = np.empty(len(h), U)
+    k[np.argsort(inverse, kind="stable")] = np.arange(len(h)) - np.repeat(np.cumsum(counts) - counts, counts)
+    return np.where(k > 0, mix(h + k * PLACES[0]), h)
+
+
 def _filters(features: np.ndarray) -> np.ndarray:
     _, first = np.unique(features, return_index=True)
     own = features[np.sort(first)]

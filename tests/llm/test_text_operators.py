@@ -183,3 +183,17 @@ def test_fingerprints(spark):
     own = fingerprints.fingerprint(docs, rank)
     assert {r.doc_id: r.fingerprint for r in own.collect() if r.doc_id}[20] == next(g.fingerprint for g in got if g.doc_id == 20)
     assert fingerprints.compare_edited(docs.limit(0), fingerprints.rarity(docs.limit(0))).count() == 0
+
+
+def test_fingerprints_of_short_and_plain_texts(spark):
+    r = random.Random(8)
+    some = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz   ") for _ in range(n))
+    rows = [*enumerate(some(n) for n in (*range(20, 142), *range(142, 700, 31))), *enumerate((some(n) for n in range(4, 20)), 500)]
+    rows += [(1000 + k, x * (n // len(x))) for k, (x, n) in enumerate((x, n) for x in ("a", "x ", "=-=", "0123456789") for n in (30, 100, 400, 3000, 70_000))]
+    rank = fingerprints.rarity(documents(spark, [*rows, *enumerate(texts(9, 30, 20), 2000)]))
+    got = {g.doc_id: g for g in fingerprints.compare_edited(documents(spark, rows), rank, parts=3).collect()}
+    assert all(0.2 < g.near_edited for i, g in got.items() if i < 500) and all(g.near_edited < 0.999 for g in got.values() if 20 <= g.n_chars <= 141 and g.doc_id < 500)
+    assert all(got[i].near_edited > 0.1 for i in range(500, 516))
+    assert np.mean([g.near_next for i, g in got.items() if i < 500]) < 0.05
+    plain = [fingerprints.chains([t.encode(), (t[: len(t) - len(t) // 4] + some(len(t) // 4)).encode()], rank) for i, t in rows if i >= 1000]
+    assert all(0.2 < fingerprints.likeness(a, b) < 0.999 for a, b in plain)
