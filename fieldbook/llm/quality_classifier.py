@@ -83,19 +83,25 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 30)
 
 
 def sample(docs: DataFrame, known: DataFrame, max_rows_per_class: int, max_text_bytes: int) -> dict[int, list[bytes]]:
-    """Texts of at most max_rows_per_class labelled rows of each label, those whose hashed key is least.
+    """Texts of at most max_rows_per_class labelled ids of each label, those whose hashed key is least.
 
     Only keys are joined and sorted; then the bounded set of chosen keys is
-    broadcast to fetch the texts. Null texts and texts over max_text_bytes are
-    passed over.
+    broadcast to fetch the texts, one for each id: of rows of one id, the least
+    text. Ids without a text are never chosen. Of a text over max_text_bytes, a
+    piece of a quarter as many is taken, at a place that varies by id.
     """
+    docs = docs.where("text IS NOT NULL")
     keys = known.join(docs.select("doc_id").distinct(), "doc_id").withColumn("order", F.xxhash64(F.lit(17), "doc_id"))
     chosen = None
     for y in (0, 1):
         part = keys.where(F.col("label") == y).orderBy("order", "doc_id").limit(max_rows_per_class)
         chosen = part if chosen is None else chosen.unionByName(part)
-    got = docs.select("doc_id", "text").where(F.octet_length("text") <= max_text_bytes).join(F.broadcast(chosen), "doc_id").select("label", "text", "order").collect()
-    return {y: [r.text.encode() for r in sorted(got, key=lambda r: (r.order, r.text)) if r.label == y] for y in (0, 1)}
+    data, size, piece = F.col("text").cast("binary"), F.octet_length("text"), max_text_bytes // 4
+    place = F.pmod(F.xxhash64(F.lit(18), "doc_id"), size - piece).cast("int") + 1
+    bounded = F.when(size <= max_text_bytes, data).otherwise(F.substring(data, place, F.lit(piece)))
+    got = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("label", "order", "doc_id", bounded.alias("text"))
+    got = got.groupBy("label", "order", "doc_id").agg(F.min("text").alias("text")).collect()
+    return {y: [bytes(r.text) for r in sorted(got, key=lambda r: (r.order, r.doc_id)) if r.label == y] for y in (0, 1)}
 
 
 def fit(texts: dict[int, list[bytes]], totals: dict[int, int], dictionary_bytes: int = 112_640, piece_bytes: int = 2048) -> Model:
@@ -159,7 +165,8 @@ def classify(docs: DataFrame, labels: DataFrame, max_rows_per_class: int = 4000,
     """docs with a score, from a model fitted on labels (doc_id, quality).
 
     Only rows whose crc32 of the doc_id as text leaves a remainder other than 0
-    by 5 are learned from, at most max_rows_per_class of each label. Labels
+    by 5 are learned from, at most max_rows_per_class of each label, and of a
+    text over max_text_bytes a piece; every text is scored whole. Labels
     without a document, and documents without a label, are fine; a null doc_id
     or label is never learned from.
     """

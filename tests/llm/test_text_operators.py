@@ -59,6 +59,17 @@ def test_quality_edge_cases(spark):
     assert quality_classifier.classify(docs, labels.where("quality = 1")).where("score < 0.5").count() == 0
 
 
+def test_quality_learns_from_long_and_repeated_texts(spark):
+    rows = [(i, ("fine words here " if i % 2 else "$$$ 111 !!! ") * 40) for i in range(60)]
+    docs = documents(spark, [*rows, *[(1, "fine words here again")] * 50, *[(i, None) for i in range(60, 120)]])
+    known = spark.createDataFrame([(i, i % 2) for i in range(120)], "doc_id long, label int")
+    got = quality_classifier.sample(docs, known, 30, 400)
+    assert {y: len(t) for y, t in got.items()} == {0: 30, 1: 30}
+    assert all(len(t) <= 400 for found in got.values() for t in found)
+    scores = {r.doc_id: r.score for r in quality_classifier.classify(documents(spark, rows), known.withColumnRenamed("label", "quality"), max_text_bytes=400).collect()}
+    assert min(s for i, s in scores.items() if i % 2) > max(s for i, s in scores.items() if not i % 2)
+
+
 @pytest.mark.parametrize(("n", "k", "m"), [(10, 4, 5), (50, 20, 7), (7, 7, 3), (9, 0, 4), (1000, 400, 500)])
 def test_hypergeometric_draws_follow_the_exact_law(spark, n, k, m):
     steps = 2000
