@@ -37,15 +37,34 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that of the least doc_id; a null doc_id is in no group and stays."""
+    """One document of each group of near copies, that of the least doc_id.
+
+    Rows of one doc_id are one document if their texts are equal, and several
+    if not. Rows without a doc_id come last in the order; those of them without
+    words all stay.
+    """
     scratch = Scratch(spark, "near-copies")
+    rows, ids = docs.agg(F.count("*"), F.count_distinct("doc_id")).first()
+    if rows == ids:
+        return docs.join(_later(docs, scratch), "doc_id", "left_anti").select(*docs.columns)
+    # Else a key for each doc_id and text, in the order of doc_id.
+    hashes = {"_same": F.xxhash64("text"), "_also": F.xxhash64(F.lit(3), "text")}
+    own = docs.withColumns(hashes)
+    keys = own.select("doc_id", *hashes).distinct().orderBy(F.asc_nulls_last("doc_id"), *hashes).withColumn("_key", F.monotonically_increasing_id())
+    keys = scratch.save("keys", keys.toDF("_id", "_a", "_b", "_key"))
+    equal = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_same") == F.col("_a")) & (F.col("_also") == F.col("_b"))
+    keyed = own.join(hinted(keys), equal)
+    keyed = scratch.save("keyed", keyed.select(*docs.columns, "_key"))
+    later = _later(keyed.select(F.col("_key").alias("doc_id"), "text"), scratch)
+    kept = keyed.join(later.withColumnRenamed("doc_id", "_key"), "_key", "left_anti")
+    free = F.col("doc_id").isNull() & ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    return kept.where(~free).dropDuplicates(["_key"]).unionByName(kept.where(free)).select(*docs.columns)
+
+
+def _later(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """The doc_id of each document that is a near copy of one with a lesser doc_id."""
     linked = scratch.save("linked", jaccard_join.link_documents(docs, WORDS, SIMILAR, OF))
-    later = scratch.save("later", linked.where("doc_id <> component_id").select("doc_id").distinct())
-    kept = docs.join(hinted(later), "doc_id", "left_anti").select(*docs.columns)
-    rows, ids = linked.agg(F.count("doc_id"), F.count_distinct("doc_id")).first()
-    if rows > ids:
-        kept = kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id IS NULL"))
-    return kept
+    return hinted(scratch.save("later", linked.where("doc_id <> component_id").select("doc_id").distinct()))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -44,6 +44,18 @@ def test_empty_and_odd_tables(spark, tmp_path):
         assert stage(spark, odd, str(TABLES)).count() <= 3
 
 
+def test_near_copies_of_repeated_and_missing_ids(spark):
+    import corpus_pipeline
+
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(40)) for x in "abcd")
+    rows = [(1, a), (5, a + " end"), (5, b), (7, c), (7, c), (None, d), (None, d), (None, b + " end"), (None, ""), (None, ""), (None, None), (8, ""), (8, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.without_near_copies(spark, docs, "")
+    assert got.columns == docs.columns
+    want = [(1, a), (5, b), (7, c), (None, d), (None, ""), (None, ""), (None, None), (8, "")]
+    assert sorted(map(str, ((r.doc_id, r.text) for r in got.collect()))) == sorted(map(str, want))
+
+
 def test_entry_without_the_subpackage(tmp_path):
     shutil.copytree(ROOT / "fieldbook", tmp_path / "fieldbook", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
