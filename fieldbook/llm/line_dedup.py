@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldbook.llm.common import Scratch
+from fieldbook.llm.common import Scratch, dealt_join
 
 LINES = 2
 LONG_WORDS = 50
@@ -64,11 +64,16 @@ def repeated_runs(docs: DataFrame, lines: int = LINES, long_words: int = LONG_WO
     """(doc_id, text_hash, start, n) of each run of n lines whose content starts earlier."""
     scratch = Scratch(docs.sparkSession, "line-dedup")
     marked = scratch.save("marked", fingerprints(docs, lines, long_words))
-    often = marked.groupBy("mark").agg(F.count("*").alias("places")).where("places > 1").select("mark")
-    near = marked.join(often, "mark").select("doc_id", "text_hash", F.explode("runs").alias("run")).select("doc_id", "text_hash", "run.*")
+    often = scratch.save("often", marked.groupBy("mark").agg(F.count("*").alias("n")).where("n > 1"))
+    # Common lines are hot keys, of marks and of contents.
+    near = dealt_join(marked, often, ["mark"], F.monotonically_increasing_id())
+    near = near.select("doc_id", "text_hash", F.explode("runs").alias("run")).select("doc_id", "text_hash", "run.start", F.col("run.n").alias("lines"), "run.content")
+    near = scratch.save("near", near)
+    scratch.drop("marked", "often")
     place = F.struct("doc_id", "text_hash", "start")
-    first = near.groupBy("content", "n").agg(F.min(place).alias("first"), F.max(place).alias("final")).where("first < final").drop("final")
-    return near.join(first, ["content", "n"]).where(place > F.col("first")).select("doc_id", "text_hash", "start", "n")
+    first = near.groupBy("content", "lines").agg(F.min(place).alias("first"), F.max(place).alias("final"), F.count("*").alias("n")).where("first < final").drop("final")
+    later = dealt_join(near, scratch.save("first", first), ["content", "lines"], F.monotonically_increasing_id())
+    return later.where(place > F.col("first")).select("doc_id", "text_hash", "start", F.col("lines").alias("n"))
 
 
 def remove_repeated_lines(docs: DataFrame, lines: int = LINES, long_words: int = LONG_WORDS) -> DataFrame:
