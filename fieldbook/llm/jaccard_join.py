@@ -6,13 +6,16 @@ extended prefix: similar sets share many of it), and those that no other class
 keeps are dropped, which leaves few classes. Their kept shingles are ordered
 by frequency; the first of them are the prefix of which similar sets share at
 least one. Classes with the same size and prefix form a group. The groups that
-share a prefix shingle meet in a cell; cells are expanded to their members and
-verified as whole, which gives at most one link per member. Cells that are too
-heavy for a task are dealt out in pairs of blocks.
+share a prefix shingle meet in cells, one for each range of sizes, so that no
+cell holds groups of which none can be similar. Pairs of groups are filtered
+by their sizes and by the places of their shared shingles; those that pass are
+expanded to their members and verified, which gives at most one link per
+member. Cells that are too heavy for a task are dealt out in pairs of blocks.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldbook.llm.bytehash import mix, shingle_sets
-from fieldbook.llm.common import Scratch, connected, hinted
+from fieldbook.llm.common import Scratch, connected, dealt_join
 
 #: Shingles and members of a cell that a task verifies at once; heavier cells are cut into blocks.
 CELL_SHINGLES = 1 << 19
@@ -40,6 +43,11 @@ def spare(n: int) -> int:
     return max(1, n // 10)
 
 
+def needed(n: np.ndarray, num: int, den: int) -> np.ndarray:
+    """How many kept shingles a set of size n shares with a similar one, at least."""
+    return np.maximum(1, -(-num * n // den) // 10)
+
+
 def set_key(s: np.ndarray) -> int:
     """A fingerprint of a whole set; equal ones of different sets have a chance of 2**-64."""
     return int(mix((mix(s + np.uint64(0x5BF03635)).sum(keepdims=True) + np.uint64(len(s))))[0])
@@ -113,46 +121,79 @@ def forest(near: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+def pairs_of_groups(n: np.ndarray, home: np.ndarray, rest: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Which pairs of a cell's groups can hold links that are to be found in this cell: a matrix.
+
+    n: their sizes; home: whether the cell's range of sizes is their own (two
+    others meet elsewhere); rest: how many of their kept shingles come from the
+    first that is in this cell on. A pair is found in the cell of its first
+    shared shingle, from which on it shares as many as a link needs.
+    """
+    need = needed(n, num, den)
+    sizes = den * np.minimum.outer(n, n) >= num * np.maximum.outer(n, n)
+    places = np.minimum.outer(rest, rest) >= np.maximum.outer(need, need)
+    return sizes & places & (home[:, None] | home[None, :])
+
+
 def verified(cells: DataFrame, num: int, den: int) -> DataFrame:
-    """Links (a, b) between keys, at most one fewer than members of each cell; cells: (cell, key, shingles)."""
+    """Links (a, b) between keys, at most one fewer than members of each cell; cells: (cell, key, gid, home, rest, shingles)."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, sets = None, {}
 
         def links() -> pa.RecordBatch:
+            found: list[tuple[int, int]] = []
             keys = list(sets)
-            found = forest(similar(list(sets.values()), num, den)) if len(keys) > 1 else []
+            if len(keys) > 1:
+                group = np.unique(np.array([sets[k][1] for k in keys], np.int64), return_index=True, return_inverse=True)
+                one = [sets[keys[k]] for k in group[1]]
+                pairs = pairs_of_groups(*(np.array(x) for x in ([len(g[0]) for g in one], [g[2] for g in one], [g[3] for g in one])), num, den)
+                # Groups that no pair holds are not expanded, nor is a group's pair with itself if it has one member.
+                alone = np.bincount(group[2])[np.arange(len(one))] == 1
+                met = (pairs & ~np.diag(alone)).any(1)[group[2]]
+                keys, own = [k for k, m in zip(keys, met, strict=True) if m], group[2][met]
+                if len(keys) > 1:
+                    found = forest(similar([sets[k][0] for k in keys], num, den) & pairs[own[:, None], own[None, :]])
             return pa.RecordBatch.from_arrays([pa.array([keys[a] for a, _ in found], pa.int64()), pa.array([keys[b] for _, b in found], pa.int64())], names=["a", "b"])
 
         for batch in batches:
-            values = batch.column(2)
+            values = batch.column(5)
             flat, ends = values.flatten().to_numpy(), values.offsets.to_numpy()
             ends = ends - ends[0]
-            for k, (c, key) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+            for k, (c, key, gid, home, rest) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True)):
                 if c != cell:
                     yield links()
                     cell, sets = c, {}
-                sets[key] = flat[ends[k] : ends[k + 1]]
+                sets[key] = (flat[ends[k] : ends[k + 1]], gid, home, rest)
         yield links()
 
-    return cells.select("cell", "key", "shingles").repartition("cell").sortWithinPartitions("cell").mapInArrow(made, "a long, b long")
+    return cells.select("cell", "key", "gid", "home", "rest", "shingles").repartition("cell").sortWithinPartitions("cell").mapInArrow(made, "a long, b long")
 
 
-def cells_of(groups: DataFrame, members: DataFrame, scratch: Scratch) -> DataFrame:
-    """(cell, key): the members of each cell, of groups (gid, n, prefix, members) and members (gid, key).
+def cells_of(groups: DataFrame, members: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame:
+    """(cell, key, gid, home, rest): the members of each cell, of groups (gid, n, prefix, kept, members) and members (gid, key).
 
-    The groups of a shingle belong to the cell of the least of them, so that
-    shingles whose groups are nearly the same share a cell.
+    Sizes fall into bands, so that similar sets are of one band or of
+    neighbouring ones; each group is at home in its own band and a guest in the
+    next. The groups of a shingle and band belong to the cell of the least of
+    them, so that shingles whose groups are nearly the same share a cell.
     """
-    entries = groups.select(F.explode("prefix").alias("token"), "gid", "n", "members")
-    least = entries.groupBy("token").agg(F.min("gid").alias("leader"))
-    pairs = scratch.save("pairs", entries.join(least, "token").select("leader", "gid", "n", "members").distinct())
+    # A little wider than the ratio of sizes, so that rounding cannot part two sizes by two bands.
+    band = F.floor(F.log("n") / math.log(den / num * 1.0001)).cast("int")
+    each = groups.select(F.posexplode("prefix").alias("at", "token"), "gid", "n", "members", (F.col("kept") - F.col("at")).alias("rest"), band.alias("own"))
+    entries = each.select("token", "gid", "n", "members", "rest", F.explode(F.array(F.struct(F.col("own").alias("band"), F.lit(True).alias("home")), F.struct((F.col("own") + 1).alias("band"), F.lit(False).alias("home")))).alias("b"))
+    entries = entries.select("token", "gid", "n", "members", "rest", "b.*")
+    least = entries.groupBy("token", "band").agg(F.min("gid").alias("leader"), F.sum("members").alias("all"), F.bool_or("home").alias("any"), F.count("*").alias("n"))
+    least = scratch.save("least", least.where("any AND all > 1").select("token", "band", "leader", "n"))
+    met = dealt_join(entries, least, ["token", "band"], F.col("gid")).groupBy("leader", "band", "gid", "n", "members", "home").agg(F.max("rest").alias("rest"))
+    pairs = scratch.save("pairs", met)
     blocks = F.ceil(F.greatest(F.sum(F.col("n") * F.col("members")) / CELL_SHINGLES, F.sum("members") / CELL_MEMBERS)).cast("int")
-    cells = pairs.groupBy("leader").agg(F.sum("members").alias("all"), blocks.alias("blocks")).where(F.col("all") > 1).select("leader", "blocks")
-    rows = pairs.select("leader", "gid").join(cells, "leader").join(members, "gid")
+    cells = scratch.save("heads", pairs.groupBy("leader", "band").agg(blocks.alias("blocks"), F.count("*").alias("n")))
+    rows = dealt_join(pairs.select("leader", "band", "gid", "home", "rest", "members"), cells, ["leader", "band"], F.col("gid"))
+    rows = dealt_join(members, scratch.save("rows", rows.withColumnRenamed("members", "n")), ["gid"], F.col("key"))
     own = F.pmod(F.xxhash64("key"), F.col("blocks"))
-    rows = rows.select("leader", "key", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    return rows.select(F.xxhash64("leader", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "key")
+    rows = rows.select("leader", "band", "key", "gid", "home", "rest", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    return rows.select(F.xxhash64("leader", "band", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "key", "gid", "home", "rest")
 
 
 def link_documents(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -168,26 +209,29 @@ def link_documents(docs: DataFrame, words: int = 5, num: int = 80, den: int = 10
     scratch = Scratch(docs.sparkSession, "jaccard")
     sets = scratch.save("sets", extended_prefixes(docs, words, num, den))
     some = sets.where("n > 0 AND doc_id IS NOT NULL")
-    classes = scratch.save("classes", some.groupBy("key").agg(F.min("doc_id").alias("first")))
-    kept = some.join(hinted(classes.withColumnRenamed("first", "doc_id")), ["key", "doc_id"]).select("key", "n", F.explode("kept").alias("token"))
-    often = kept.groupBy("token").agg(F.count("*").alias("often")).where("often > 1")
-    shared = kept.join(often, "token").groupBy("key", "n").agg(F.array_sort(F.collect_set(F.struct("often", "token"))).alias("shared"))
-    least = F.ceil(F.col("n") * num / den)
-    need = F.greatest(F.lit(1), F.floor(least / 10)).cast("int")
-    prefixes = shared.where(F.size("shared") >= need).select("key", "n", F.slice("shared.token", F.lit(1), F.size("shared") - need + 1).alias("prefix"))
-    prefixes = scratch.save("prefixes", prefixes)
-    groups = scratch.save("groups", prefixes.groupBy("n", "prefix").agg(F.min("key").alias("gid"), F.count("*").alias("members")))
-    members = scratch.save("members", prefixes.join(groups, ["n", "prefix"]).select("gid", "key"))
-    wanted = members.select("key").join(classes, "key").select(F.col("first").alias("doc_id")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(hinted(scratch.save("wanted", wanted)), "doc_id")
+    classes = scratch.save("classes", some.groupBy("key").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")))
+    kept = some.join(classes.select("key", F.col("first").alias("doc_id")), ["key", "doc_id"]).select("key", F.col("n").alias("size"), F.explode("kept").alias("token"))
+    often = scratch.save("often", kept.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").withColumn("often", F.col("n")))
+    shared = dealt_join(kept, often, ["token"], F.col("key")).groupBy("key", "size").agg(F.array_sort(F.collect_set(F.struct("often", "token"))).alias("shared"))
+    need = F.greatest(F.lit(1), F.floor(F.ceil(F.col("size") * num / den) / 10)).cast("int")
+    prefix = F.slice("shared.token", F.lit(1), F.size("shared") - need + 1)
+    prefixes = shared.where(F.size("shared") >= need).select("key", F.col("size").alias("n"), F.size("shared").alias("kept"), prefix.alias("prefix"))
+    prefixes = scratch.save("prefixes", prefixes.withColumn("gid", F.xxhash64("n", "prefix")))
+    groups = scratch.save("groups", prefixes.groupBy("gid", "n", "kept", "prefix").agg(F.count("*").alias("members")))
+    members = prefixes.select("gid", "key")
+    wanted = prefixes.select("key").join(classes, "key").select(F.col("first").alias("doc_id")).distinct()
+    texts = docs.select(F.col("doc_id").cast("long"), "text").join(scratch.save("wanted", wanted), "doc_id")
     found = scratch.save("found", whole_sets(texts, words))
-    cells = scratch.save("cells", cells_of(groups, members, scratch))
+    cells = scratch.save("cells", cells_of(groups, members, num, den, scratch))
     links = scratch.save("links", verified(cells.join(found, "key"), num, den).distinct())
+    scratch.drop("often", "prefixes", "groups", "wanted", "least", "pairs", "heads", "rows", "found", "cells")
     roots = connected(links, scratch)
     reached = roots.join(classes, roots.node == classes.key).select("key", "root", "first")
-    least_id = reached.groupBy("root").agg(F.min("first").alias("component_id"))
-    reached = scratch.save("reached", reached.join(least_id, "root").select("key", "component_id"))
-    named = scratch.save("named", classes.join(hinted(reached), "key", "left").select("key", F.coalesce("component_id", "first").alias("component_id")))
+    least_id = reached.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("n"))
+    reached = dealt_join(reached.select("key", "root"), scratch.save("roots", least_id), ["root"], F.col("key")).select("key", "component_id")
+    named = classes.join(reached, "key", "left").select("key", F.coalesce("component_id", "first").alias("component_id"), F.col("copies").alias("n"))
+    named = scratch.save("named", named)
+    scratch.drop("links", "roots", "classes")
     own = sets.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("key")).alias("key"))
-    joined = own.join(hinted(named), "key", "left")
-    return joined.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    joined = dealt_join(own.where("key IS NOT NULL"), named, ["key"], F.monotonically_increasing_id()).select("doc_id", "n_shingles", "component_id")
+    return joined.unionByName(own.where("key IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
