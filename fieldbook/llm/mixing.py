@@ -9,17 +9,22 @@ DataFrame expressions are used.
 
 from __future__ import annotations
 
+import warnings
 from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldbook.llm.common import Scratch, hinted, let
+from fieldbook.llm.common import Scratch, dealt_join, let
 
 #: Stands for a null source, language or topic.
 NONE = "(none)"
+#: Raking ends when no factor moves by a larger share of itself in a round.
 TOLERANCE = 1e-10
-MOST_ROUNDS = 50
+#: Rounds in one expression, after which a check tells whether more are needed.
+ROUNDS = 50
+#: Rounds after which targets count as impossible: cells without tokens keep some sums apart.
+GIVE_UP = 2000
 #: Cells that are raked in one row.
 FEW_CELLS = 20_000
 SEED = 23
@@ -56,12 +61,12 @@ def goals_of(cells: DataFrame, targets: dict[str, DataFrame], scratch: Scratch)
 
 
 def factors_in_one_row(cells: DataFrame, names: list[str], goals: DataFrame, scratch: Scratch) -> DataFrame:
-    """(dimension, value, factor) after MOST_ROUNDS rounds, for few cells: they fit in one row, and the rounds in one expression."""
+    """(dimension, value, factor) for few cells: they fit in one row, and ROUNDS rounds in one expression, which goes on from where the last one stopped."""
     listed = goals.agg(F.array_sort(F.collect_list(F.struct("dimension", "value", "goal"))).alias("all"))
     values = scratch.save("values", listed.select(F.posexplode("all").alias("at", "v")).select("at", "v.*"))
     placed = cells.where("tokens > 0")
     for k, name in enumerate(names):
-        placed = placed.join(hinted(values.where(F.col("dimension") == name).select(F.col("value").alias(name), F.col("at").alias(f"at_{k}"))), name)
+        placed = placed.join(values.where(F.col("dimension") == name).select(F.col("value").alias(name), F.col("at").alias(f"at_{k}")), name)
     placed = scratch.save("placed", placed.select(F.col("tokens").cast("double").alias("tokens"), F.array(*[f"at_{k}" for k in range(len(names))]).alias("places")))
     own = placed.select(F.explode("places").alias("at"), F.struct("tokens", "places").alias("cell")).groupBy("at").agg(F.collect_list("cell").alias("cells"))
     row = values.join(own, "at").agg(F.array_sort(F.collect_list(F.struct("at", "dimension", "goal", "cells"))).alias("groups"))
@@ -81,36 +86,68 @@ def factors_in_one_row(cells: DataFrame, names: list[str], goals: DataFrame, scr
             factors = let(factors, partial(raked, k))
         return factors
 
-    out = F.aggregate(F.sequence(F.lit(1), F.lit(MOST_ROUNDS)), F.transform("groups", lambda g: F.lit(1.0)), lambda factors, _: one_round(factors))
-    found = row.select(F.posexplode(out).alias("at", "factor"))
+    def further(state: Column, _: Column) -> Column:
+        """The state after one more round, if the last one still moved."""
+
+        def moved(new: Column) -> Column:
+            shares = F.zip_with(state["factors"], new, lambda old, now: F.abs(now - old) / F.greatest(now, F.lit(1e-300)))
+            return F.struct(new.alias("factors"), F.coalesce(F.array_max(shares), F.lit(0.0)).alias("moved"), (state["rounds"] + 1).alias("rounds"))
+
+        return F.when(state["moved"] <= TOLERANCE, state).otherwise(let(one_round(state["factors"]), moved))
+
+    start = F.struct(F.transform("groups", lambda g: F.lit(1.0)).alias("factors"), F.lit(1.0).cast("double").alias("moved"), F.lit(0).alias("rounds"))
+    row = scratch.save("state-0", row.withColumn("state", start))
+    k = 0
+    while True:
+        k += 1
+        row = scratch.save(f"state-{k}", row.withColumn("state", F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), F.col("state"), further)))
+        scratch.drop(f"state-{k - 1}")
+        if done(*row.select("state.moved", "state.rounds").first()):
+            break
+    found = row.select(F.posexplode("state.factors").alias("at", "factor"))
     return found.join(values, "at").select("dimension", "value", "factor")
 
 
+def done(moved: float | None, rounds: int) -> bool:
+    """Whether raking ends here; a warning tells if the targets were not reached."""
+    if moved is None or moved <= TOLERANCE:
+        return True
+    if rounds >= GIVE_UP:
+        warnings.warn(f"no weights have all target shares: after {rounds} rounds a factor still moves by {moved:.1e} of itself", stacklevel=2)
+        return True
+    return False
+
+
 def factors_by_rounds(cells: DataFrame, names: list[str], goals: DataFrame, scratch: Scratch) -> DataFrame:
-    """The same for any number of cells: a round is a few aggregations, and ends early when no factor moves by more than TOLERANCE."""
+    """The same for any number of cells: a round is a few aggregations."""
     at = scratch.save("factors-0", goals.select("dimension", "value", F.lit(1.0).alias("factor")))
-    for k in range(MOST_ROUNDS):
+    k = 0
+    while True:
         before = at
         for d, name in enumerate(names):
             weights = cells.where("tokens > 0").withColumn("weight", F.col("tokens").cast("double"))
             for other in names:
                 if other != name:
-                    weights = weights.join(hinted(at.where(F.col("dimension") == other).select(F.col("value").alias(other), "factor")), other).withColumn("weight", F.col("weight") * F.col("factor")).drop("factor")
+                    weights = weights.join(at.where(F.col("dimension") == other).select(F.col("value").alias(other), "factor"), other).withColumn("weight", F.col("weight") * F.col("factor")).drop("factor")
             sums = weights.groupBy(F.col(name).alias("value")).agg(F.sum("weight").alias("sum"))
             new = goals.where(F.col("dimension") == name).join(sums, "value").select("dimension", "value", F.when(F.col("sum") > 0, F.col("goal") / F.col("sum")).otherwise(0.0).alias("factor"))
             at = scratch.save(f"factors-{k + 1}-{d}", at.where(F.col("dimension") != name).unionByName(new))
         old = before.withColumnRenamed("factor", "old")
         moved = at.join(old, ["dimension", "value"]).agg(F.max(F.abs(F.col("factor") - F.col("old")) / F.greatest(F.col("factor"), F.lit(1e-300)))).first()[0]
-        if moved is None or moved <= TOLERANCE:
-            break
-    return at
+        scratch.drop(*[f"factors-{k}" if k == 0 else f"factors-{k}-{d}" for d in range(len(names))])
+        k += 1
+        if done(moved, k):
+            return at
 
 
 def rake(cells: DataFrame, targets: dict[str, DataFrame], scratch: Scratch) -> DataFrame:
     """cells (values, tokens) with a weight; the weights' sums by each value have its target share of all tokens.
 
     Shares of values without tokens are spread over the others in proportion.
-    A value without a target gets weight 0.
+    A value without a target gets weight 0. Rounds go on until no factor moves
+    by more than TOLERANCE; where cells without tokens make the targets
+    impossible, they end after GIVE_UP rounds with a warning, and the last
+    dimension alone has its shares.
     """
     names = list(targets)
     goals = goals_of(cells, targets, scratch)
@@ -118,7 +155,7 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], scratch: Scratch) -> D
     factors = scratch.save("factors", rounds(cells, names, goals, scratch))
     out = cells.withColumn("weight", F.col("tokens").cast("double"))
     for name in names:
-        own = hinted(factors.where(F.col("dimension") == name).select(F.col("value").alias(name), "factor"))
+        own = factors.where(F.col("dimension") == name).select(F.col("value").alias(name), "factor")
         out = out.join(own, name, "left").withColumn("weight", F.col("weight") * F.coalesce("factor", F.lit(0.0))).drop("factor")
     return out
 
@@ -144,10 +181,10 @@ def mix(docs: DataFrame, dimensions: dict[str, Column], targets: dict[str, DataF
     held = [f"_{n}" for n in names]
     # Whole rows in one column keep clear of names that docs may have.
     counted = docs.select(F.struct("*").alias("row"), *keys, (tokens_of(F.col("text")) if tokens is None else tokens).alias("tokens"))
-    cells = scratch.save("cells", counted.groupBy(*held).agg(F.sum("tokens").alias("tokens")))
+    cells = scratch.save("cells", counted.groupBy(*held).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("_rows")))
     goals = {f"_{n}": (targets or {}).get(n) or tempered(cells, f"_{n}", power) for n in names}
-    raked = rake(cells, goals, scratch).withColumnRenamed("tokens", "_all")
-    joined = counted.join(hinted(raked.withColumnRenamed("weight", "cell_weight")), held)
+    raked = scratch.save("raked", rake(cells, goals, scratch).withColumnsRenamed({"tokens": "_all", "weight": "cell_weight"}))
+    joined = dealt_join(counted, raked, held, F.xxhash64("row.doc_id"), n="_rows")
     chance = F.when(F.col("_all") > 0, F.least(F.lit(1.0), budget * F.col("cell_weight") / F.col("_all"))).otherwise(1.0)
     out = joined.withColumn("probability", chance).withColumn("sampled", unit_hash("row.doc_id") < F.col("probability"))
     return out.select("row.*", *added)
@@ -157,7 +194,7 @@ def with_topic(docs: DataFrame, embeddings: DataFrame, name: str = "topic") -> D
     """docs with a topic: the label of the vector whose vec_id is the doc_id (of several, the least), null without one."""
     topics = embeddings.where("vec_id IS NOT NULL AND label IS NOT NULL").groupBy(F.col("vec_id").alias("_vec")).agg(F.min("label").cast("string").alias(name))
     rows = docs.drop(name).select(F.struct("*").alias("row"))
-    topics = hinted(Scratch(docs.sparkSession, "topics").save("topics", topics))
+    topics = Scratch(docs.sparkSession, "topics").save("topics", topics)
     return rows.join(topics, F.col("row.doc_id") == F.col("_vec"), "left").select("row.*", name)
 
 
