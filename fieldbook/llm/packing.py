@@ -48,15 +48,15 @@ class Tokenizer:
 
     A byte-level tokenizer never joins the two sides of a single space between
     characters that are not white space, so a text is the sequence of its
-    pieces `word`, ` word`, ` word`... Texts with white space side by side are
-    encoded as they are.
+    pieces `word`, ` word`, ` word`... Texts with white space side by side, or
+    with one of the tokenizer's added tokens, are encoded as they are.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer as Encoder
 
         self.encoder = Encoder.from_file(path)
-        self.encoder.encode_special_tokens = True
+        self.added = [token.content for token in self.encoder.get_added_tokens_decoder().values()]
         vocabulary = self.encoder.get_vocab()
         # A byte-level vocabulary writes each byte as one character.
         self.bytes_of = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
@@ -110,7 +110,7 @@ class Tokenizer:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, without the end id."""
         out: list[np.ndarray | None] = [None] * len(texts)
-        odd = [k for k, t in enumerate(texts) if unusual(t)]
+        odd = [k for k, t in enumerate(texts) if unusual(t) or any(x in t for x in self.added)]
         for k, ids in zip(odd, self._encode([texts[k] for k in odd]), strict=True):
             out[k] = np.array(ids, np.uint32)
         plain = [k for k in range(len(texts)) if out[k] is None]
@@ -185,7 +185,9 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, set_tokens: int = 1 << 21, keep_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and ids with keep_ids.
 
-    A null text is an empty one, and an empty text is its end id alone.
+    A null text is an empty one, and an empty text is its end id alone. A null
+    doc_id stays null; its pieces are told apart by sequence and offset. The
+    tokenizer's added tokens are read as such where a text spells them.
     Repeated rows are packed each. A set of documents is packed when it has
     set_tokens tokens or more, so a task holds one set and one document at
     most. Other columns are not read. An empty table gives no pieces.
