@@ -40,6 +40,9 @@ GAP = 256
 #: A text of fewer features than FEW takes all its grams of GRAM bytes, and if under TINY bytes those of two bytes as well.
 FEW, GRAM, TINY = 8, 6, 16
 GROUP_BYTES = 192 << 10
+#: Bytes of texts in a part on average, and the quantiles of doc_id that part them.
+PART_BYTES = 16 << 20
+INTERVALS = 1024
 
 _count = np.arange(WIDTH + 2, dtype=float)
 _weight = np.zeros(WIDTH + 2)
@@ -229,21 +232,32 @@ def _part(key: Column, bounds: list[int]) -> Column:
 def with_next(docs: DataFrame, parts: int) -> DataFrame:
     """(part, mark, doc_id, text), sorted in each partition so that every document's next one follows it.
 
-    Documents are cut into parts by ranges of doc_id. The first document of
-    the next part that has any (after the last part: of the first) is added to
-    each part's end, with mark 1.
+    Documents are cut into parts by ranges of doc_id: between quantiles, and
+    where there are more parts than INTERVALS, evenly within these. The first
+    document of the next part that has any (after the last part: of the first)
+    is added to each part's end, with mark 1.
     """
-    docs = docs.select("doc_id", "text")
-    bounds = sorted({int(x) for x in docs.approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.25 / parts)}) if parts > 1 else []
-    docs = docs.withColumn("part", _part(F.col("doc_id"), bounds))
+    docs, key = docs.select("doc_id", "text"), F.col("doc_id")
+    wide = min(parts, INTERVALS)
+    sub = -(-parts // wide)
+    edges = [int(x) for x in docs.approxQuantile("doc_id", [k / wide for k in range(wide + 1)], 0.25 / wide)] if parts > 1 else []
+    bounds = sorted({x for x in edges[1:-1] if x > edges[0]})
+    part = _part(key, bounds)
+    if sub > 1 and edges:
+        ends = F.array(*map(F.lit, [edges[0], *bounds, edges[-1] + 1]))
+        low, high = F.get(ends, part), F.get(ends, part + 1)
+        inside = F.floor((key - low) / (high - low) * sub).cast("int")
+        part = part * sub + F.greatest(F.lit(0), F.least(F.lit(sub - 1), F.coalesce(inside, F.lit(0))))
+    docs = docs.withColumn("part", part)
     # The order of documents: doc_id with nulls first, then text.
-    key = F.struct("doc_id", "text")
-    heads = docs.groupBy("part").agg(F.min(key).alias("head"))  # at most one row for each part
+    heads = docs.groupBy("part").agg(F.min(F.struct("doc_id")).alias("head"))  # a row of two numbers for each part
     w = Window.orderBy("part")
     after = F.coalesce(F.lead("head").over(w), F.first("head").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    marks = heads.select("part", F.lit(1).alias("mark"), after.alias("next")).select("part", "mark", "next.doc_id", "next.text")
+    heads = heads.select(F.col("part").alias("_part"), after["doc_id"].alias("_next"))
+    marks = docs.join(heads, docs["doc_id"].eqNullSafe(heads["_next"])).groupBy("_part", "_next").agg(F.min(F.struct("text")).alias("next"))
+    marks = marks.select(F.col("_part").alias("part"), F.lit(1).alias("mark"), F.col("_next").alias("doc_id"), "next.text")
     rows = docs.select("part", F.lit(0).alias("mark"), "doc_id", "text").unionByName(marks)
-    return rows.repartition(parts, "part").sortWithinPartitions("part", "mark", "doc_id", "text")
+    return rows.repartitionById(wide * sub, "part").sortWithinPartitions("part", "mark", "doc_id", "text")
 
 
 COMPARED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -255,12 +269,16 @@ def compare_edited(docs: DataFrame, rank: np.ndarray, parts: int | None = None)
     The edited text has its last quarter (rounded down) of code points replaced
     by the first as many, or all, of the next document's. Null texts are empty.
     The order is that of doc_id, nulls first, then of text; the last document's
-    next is the first, a lone one's next itself. Only doc_id and text are read.
-    Texts move once, and tasks stream over them.
+    next is the first, a lone one's next itself. Repeated rows follow each
+    other; a doc_id may be null. A text too short for windows has its short
+    grams as features, and one of a single byte itself. Only doc_id and text are
+    read. Texts move once, and tasks stream over them.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    parts = parts or min(1024, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    if parts is None:
+        parts = max(1, (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PART_BYTES)
     shared = spark.sparkContext.broadcast(rank)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int | None, str, str]]]:
