@@ -3,8 +3,9 @@
 One dictionary is trained on good labelled text and one on bad. A text is cut
 into windows, each window is compressed under both, and the difference of the
 two sizes over their sum says which kind of text it resembles. A small
-logistic model, fitted on labelled texts that the dictionaries have not seen,
-turns these differences and sizes into a probability.
+logistic model, fitted on whole labelled texts that the dictionaries have not
+seen, turns these differences and sizes into a probability. Their features are
+computed where the texts are; only numbers come to the driver.
 """
 
 from __future__ import annotations
@@ -15,11 +16,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
+from pyspark.sql.window import Window
 
-from fieldbook.llm.common import small_batches
+from fieldbook.llm.common import Scratch, small_batches
 
 WINDOW = 512
 LEVEL = 3
@@ -82,62 +84,77 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 30)
     return w[:-1], float(w[-1])
 
 
-def sample(docs: DataFrame, known: DataFrame, max_rows_per_class: int, max_text_bytes: int) -> dict[int, list[bytes]]:
-    """Texts of at most max_rows_per_class labelled ids of each label, those whose hashed key is least.
+def chosen(docs: DataFrame, known: DataFrame, max_rows_per_class: int) -> DataFrame:
+    """(doc_id, label, place) of at most max_rows_per_class labelled ids of each label with a text: those whose hash is least, numbered in its order."""
+    keys = known.join(docs.where("text IS NOT NULL").select("doc_id").distinct(), "doc_id")
+    order = (F.xxhash64(F.lit(17), "doc_id"), F.col("doc_id"))
+    parts = [keys.where(F.col("label") == y).orderBy(*order).limit(max_rows_per_class) for y in (0, 1)]
+    return parts[0].unionByName(parts[1]).select("doc_id", "label", F.row_number().over(Window.partitionBy("label").orderBy(*order)).alias("place"))
 
-    Only keys are joined and sorted; then the bounded set of chosen keys is
-    broadcast to fetch the texts, one for each id: of rows of one id, the least
-    text. Ids without a text are never chosen. Of a text over max_text_bytes, a
-    piece of a quarter as many is taken, at a place that varies by id.
-    """
-    docs = docs.where("text IS NOT NULL")
-    keys = known.join(docs.select("doc_id").distinct(), "doc_id").withColumn("order", F.xxhash64(F.lit(17), "doc_id"))
-    chosen = None
+
+def texts_of(docs: DataFrame, keys: DataFrame, text: Column) -> DataFrame:
+    """(label, place, text) of the chosen ids, an expression over text; of several rows of one id, the least."""
+    got = docs.where("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(keys), "doc_id")
+    return got.groupBy("label", "place").agg(F.min(text).alias("text"))
+
+
+def dictionaries(docs: DataFrame, keys: DataFrame, size: int, piece_bytes: int) -> dict[int, bytes]:
+    """A dictionary for each label, from one piece of at most piece_bytes of each text whose place is no multiple of 4 (where in the text varies)."""
+    length = F.octet_length("text")
+    at = F.pmod(F.xxhash64(F.lit(18), "place"), F.greatest(F.lit(1), length - piece_bytes + 1)).cast("int") + 1
+    got = texts_of(docs, keys.where("place % 4 <> 0"), F.substring(F.col("text").cast("binary"), at, F.lit(piece_bytes))).collect()
+    out = {}
     for y in (0, 1):
-        part = keys.where(F.col("label") == y).orderBy("order", "doc_id").limit(max_rows_per_class)
-        chosen = part if chosen is None else chosen.unionByName(part)
-    data, size, piece = F.col("text").cast("binary"), F.octet_length("text"), max_text_bytes // 4
-    place = F.pmod(F.xxhash64(F.lit(18), "doc_id"), size - piece).cast("int") + 1
-    bounded = F.when(size <= max_text_bytes, data).otherwise(F.substring(data, place, F.lit(piece)))
-    got = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("label", "order", "doc_id", bounded.alias("text"))
-    got = got.groupBy("label", "order", "doc_id").agg(F.min("text").alias("text")).collect()
-    return {y: [bytes(r.text) for r in sorted(got, key=lambda r: (r.order, r.doc_id)) if r.label == y] for y in (0, 1)}
-
-
-def fit(texts: dict[int, list[bytes]], totals: dict[int, int], dictionary_bytes: int = 112_640, piece_bytes: int = 2048) -> Model:
-    """Fit on the sampled texts of label 1 (good) and 0 (bad); totals counts all rows of each label.
-
-    Three quarters of the texts train the dictionaries, from one piece of at
-    most piece_bytes of each (its place varies by text); the rest fit the
-    calibration on whole texts, whose bias is then moved from the sample's
-    shares to those of all labelled rows. With one label missing, the score is
-    near the other label; with both missing, a half.
-    """
-    dictionaries = {}
-    for y, found in texts.items():
-        pieces = []
-        for k, t in enumerate(found):
-            if k % 4:
-                at = (k * 2_654_435_761) % max(1, len(t) - piece_bytes + 1)
-                pieces.append(t[at : at + piece_bytes])
+        pieces = [bytes(r.text) for r in sorted(got, key=lambda r: r.place) if r.label == y]
         try:
-            dictionaries[y] = zstandard.train_dictionary(dictionary_bytes, pieces, level=LEVEL).as_bytes()
+            out[y] = zstandard.train_dictionary(size, pieces, level=LEVEL).as_bytes()
         except zstandard.ZstdError:  # too little text to train on: use it as it is
-            dictionaries[y] = b"".join(pieces)[:dictionary_bytes] or b" " * 8
-    model = Model(dictionaries[1], dictionaries[0], np.zeros(FEATURES), np.ones(FEATURES), np.zeros(FEATURES), 0.0)
-    n0, n1 = len(texts[0]), len(texts[1])
+            out[y] = b"".join(pieces)[:size] or b" " * 8
+    return out
+
+
+def fit(docs: DataFrame, known: DataFrame, max_rows_per_class: int, dictionary_bytes: int = 112_640, piece_bytes: int = 2048) -> Model:
+    """Fit on documents whose ids are known (doc_id, label): label 1 is good, 0 bad.
+
+    Three quarters of the chosen texts train the dictionaries; the rest, whole,
+    fit the calibration, whose bias is then moved from the sample's shares to
+    those of all labelled rows. With one label missing, the score is near the
+    other label; with both missing, a half.
+    """
+    totals = {r[0]: r[1] for r in known.groupBy("label").count().collect()}
+    keys = Scratch(docs.sparkSession, "quality").save("keys", chosen(docs, known, max_rows_per_class))
+    found = {r[0]: r[1] for r in keys.groupBy("label").count().collect()}
+    trained = dictionaries(docs, keys, dictionary_bytes, piece_bytes)
+    model = Model(trained[1], trained[0], np.zeros(FEATURES), np.ones(FEATURES), np.zeros(FEATURES), 0.0)
+    n0, n1 = found.get(0, 0), found.get(1, 0)
+    # Where there are few texts, all of them serve both ends.
+    held = texts_of(docs, keys.where("place % 4 = 0") if min(n0, n1) >= 8 else keys, F.col("text"))
     if not n0 or not n1:
         model.bias = 40.0 if n1 else -40.0 if n0 else 0.0
         return model
-    good, bad = model.compressors()
-    held = [(features(t, good, bad), y) for y, found in texts.items() for k, t in enumerate(found) if k % 4 == 0]
-    x, y = np.array([f for f, _ in held]), np.array([float(v) for _, v in held])
+    rows = sorted(with_features(held, model).drop("text").collect())
+    x, y = np.array([r.features for r in rows]), np.array([float(r.label) for r in rows])
     model.mean, model.scale = x.mean(0), np.maximum(x.std(0), 1e-9)
     model.weights, model.bias = logistic((x - model.mean) / model.scale, y)
-    model.bias += float(np.log(max(totals.get(1, 0), n1) / max(totals.get(0, 0), n0)) - np.log(n1 / n0))
+    model.bias += float(np.log(totals[1] / totals[0]) - np.log(y.sum() / (len(y) - y.sum())))
     return model
 
 
+def with_features(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """docs with the features of each whole text; a null text counts as empty."""
+    small_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    place = docs.columns.index(text)
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        good, bad = shared.value.compressors()
+        for batch in batches:
+            x = [features((t or "").encode(), good, bad) for t in batch.column(place).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(x, pa.list_(pa.float64()))], names=[*batch.schema.names, "features"])
+
+    return docs.mapInArrow(made, StructType([*docs.schema.fields, StructField("features", ArrayType(DoubleType()))]))
+
+
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
     """docs with the probability that each whole text is good, as a double.
 
@@ -161,21 +178,19 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score")
     return docs.mapInArrow(scored, schema)
 
 
-def classify(docs: DataFrame, labels: DataFrame, max_rows_per_class: int = 4000, max_text_bytes: int = 1 << 16) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, max_rows_per_class: int = 4000) -> DataFrame:
     """docs with a score, from a model fitted on labels (doc_id, quality).
 
     Only rows whose crc32 of the doc_id as text leaves a remainder other than 0
-    by 5 are learned from, at most max_rows_per_class of each label, and of a
-    text over max_text_bytes a piece; every text is scored whole. Labels
+    by 5 are learned from, and of these at most max_rows_per_class ids of each
+    label: one text each, of any length. Every text is scored whole. Labels
     without a document, and documents without a label, are fine; a null doc_id
     or label is never learned from.
     """
     known = labels.select("doc_id", F.col("quality").alias("label")).where(F.col("label").isin(0, 1) & ~held_out("doc_id")).dropDuplicates(["doc_id"])
-    totals = {r[0]: r[1] for r in known.groupBy("label").count().collect()}
-    model = fit(sample(docs, known, max_rows_per_class, max_text_bytes), totals)
-    return score(docs, model)
+    return score(docs, fit(docs, known, max_rows_per_class))
 
 
-def held_out(key: str):
+def held_out(key: str) -> Column:
     """Whether a row is kept from learning."""
     return F.crc32(F.col(key).cast("string").cast("binary")) % 5 == 0
