@@ -3,10 +3,13 @@
 Vectors of length one are projected on Gaussian directions and cut into cells;
 a bucket is the tuple of a table's cells. A query visits its own bucket and
 those that its distances to the cell walls make likeliest to hold neighbours,
-in the order of an estimated success score. How many it visits is set by a
-bounded sample of queries whose true neighbours are known from a full scan.
-Buckets and visits meet in parts of bounded size, where cosines are computed
-in double precision, and each query's best of all parts are merged.
+in the order of an estimated success score. How many cells a table has and how
+many buckets are visited is set by a bounded sample of queries whose true
+neighbours are known from a full scan: of the settings that find enough of
+these, the one that compares the fewest rows. Buckets and visits meet in parts
+of bounded size, where cosines are computed in double precision, and each
+query's best of all parts are merged. Queries that the index cannot serve are
+compared with all rows, part by part.
 """
 
 from __future__ import annotations
@@ -23,22 +26,24 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fieldbook.llm.bytehash import mix
-from fieldbook.llm.common import Scratch, hinted
+from fieldbook.llm.common import Scratch
 
 TABLES = 8
 #: Width of a cell in standard deviations of a projection.
 WIDTH = 2.0
-MOST_CELLS = 16
-#: Visits of a query to each table, at most.
+#: Cells of a table among which the fit chooses. Two of them have nine buckets around a query, so that some setting always finds nearly all.
+CELLS = (2, 4, 6, 8, 12, 16)
+#: Visits of a query to each table that the fit looks at.
 MOST_PROBES = 2048
-#: The fit: so many sampled queries, and the share of their neighbours that must be found.
+#: The fit: so many sampled queries, the share of their neighbours that must be found, and so many sampled rows that tell how many are compared.
 FIT_QUERIES = 128
 FIT_RECALL = 0.96
+FIT_ROWS = 2048
 #: Index rows that a part holds on average, and the rows from which a bucket is dealt out over several parts.
 PART_ROWS = 40_000
 HEAVY_ROWS = 20_000
-#: Queries that are compared with all rows in one pass.
-SCAN_QUERIES = 1024
+#: Queries that are compared with a part's rows at once where all rows count.
+BLOCK = 64
 VECTOR = "vec_id long, embedding array<float>"
 
 
@@ -50,6 +55,8 @@ class Index:
     offsets: np.ndarray
     template: np.ndarray
     probes: int = 1
+    #: The share of all rows that a query is compared with, as the fit saw it.
+    share: float = 1.0
 
     def cells(self, x: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray]:
         """The cells of unit vectors in a table, and how far into them they lie (0 to 1)."""
@@ -99,6 +106,11 @@ def matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
 
 
+def cosines(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """The cosine of each row with q; a row's bits don't depend on the other rows."""
+    return (x * q).sum(1) / (np.sqrt((x * x).sum(1)) * np.sqrt((q * q).sum()))
+
+
 def unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
@@ -151,31 +163,49 @@ def scan(vectors: DataFrame, queries: list, k: int) -> DataFrame:
     return vectors.select("vec_id", "embedding").mapInArrow(made, FOUND)
 
 
-def fit(first: DataFrame, count: int, queries: DataFrame, k: int, seed: int = 11) -> Index:
-    """An index whose number of visits finds FIT_RECALL of the neighbours of FIT_QUERIES sampled queries, those of least hash."""
+def first_visit(index: Index, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """For each query of x and row of y the first visit that meets the row in any table; MOST_PROBES where none does."""
+    out = np.full((len(x), len(y)), MOST_PROBES)
+    for t in range(TABLES):
+        goal = index.keys(index.cells(y, t)[0], t)
+        for n in range(len(x)):  # one query's visits at a time bounds memory
+            keys = index.keys(index.visits(x[n : n + 1], t, MOST_PROBES)[0], t)
+            order = np.argsort(keys, kind="stable")
+            at = np.minimum(np.searchsorted(keys[order], goal), len(keys) - 1)
+            out[n] = np.minimum(out[n], np.where(keys[order][at] == goal, order[at], MOST_PROBES))
+    return out
+
+
+def fit(first: DataFrame, count: int, queries: DataFrame, k: int, seed: int = 11) -> Index | None:
+    """Of the indexes that find FIT_RECALL of the neighbours of FIT_QUERIES sampled queries, the one that compares the fewest rows.
+
+    The samples are those of least hash. None if no index finds as many.
+    """
     sample = queries.orderBy(F.xxhash64("vec_id"), "vec_id").limit(FIT_QUERIES).collect()
-    cells = min(MOST_CELLS, max(2, round(math.log2(max(2, count)) / 2.2)))
-    dimension = len(sample[0].embedding)
-    rng = np.random.default_rng(seed)
-    index = Index(rng.normal(size=(TABLES, dimension, cells)), rng.uniform(0, WIDTH, (TABLES, cells)), template(cells, MOST_PROBES))
+    rows = first.orderBy(F.xxhash64(F.lit(5), "vec_id"), "vec_id").limit(FIT_ROWS).collect()
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     true = scan(first, sample, k + 1).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k + 1).join(first, "vec_id").collect()
     place = {q.vec_id: n for n, q in enumerate(sample)}
-    true = [r for r in true if r.vec_id != r.query_id]
-    if not true:
-        return index
-    x, y = unit(np.array([q.embedding for q in sample], float)), unit(np.array([r.embedding for r in true], float))
-    owner = np.array([place[r.query_id] for r in true])
-    visit = np.full(len(true), MOST_PROBES)
-    for t in range(TABLES):
-        goal = index.keys(index.cells(y, t)[0], t)
-        for n in range(len(sample)):  # one query's visits at a time bounds memory
-            own = np.flatnonzero(owner == n)
-            same = index.keys(index.visits(x[n : n + 1], t, MOST_PROBES)[0], t)[None, :] == goal[own][:, None]
-            visit[own] = np.minimum(visit[own], np.where(same.any(1), same.argmax(1), MOST_PROBES))
-    need = np.sort(visit)[max(0, math.ceil(FIT_RECALL * len(visit)) - 1)]
-    index.probes = int(min(MOST_PROBES, need + 1))
-    return index
+    true = [r for r in true if r.embedding != sample[place[r.query_id]].embedding]
+    dimension = len(sample[0].embedding)
+    x, some = (unit(np.array([r.embedding for r in rs], float)) for rs in (sample, rows))
+    y = unit(np.array([r.embedding for r in true], float)) if true else np.empty((0, dimension))
+    owner = np.array([place[r.query_id] for r in true], int)
+    best_index, least = None, math.inf
+    for cells in CELLS:
+        rng = np.random.default_rng(seed)
+        index = Index(rng.normal(size=(TABLES, dimension, cells)), rng.uniform(0, WIDTH, (TABLES, cells)), template(cells, MOST_PROBES))
+        visit = np.concatenate([first_visit(index, x[n : n + 1], y[owner == n])[0] for n in range(len(x))])
+        need = int(np.sort(visit)[max(0, math.ceil(FIT_RECALL * len(visit)) - 1)]) if len(visit) else 0
+        if need >= MOST_PROBES:
+            break  # with more cells, more visits would be needed
+        index.probes = min(need + 1, len(index.template))
+        index.share = float((first_visit(index, x, some) < index.probes).mean())
+        cost = index.share * count + TABLES * index.probes
+        if cost >= least:
+            break
+        best_index, least = index, cost
+    return best_index
 
 
 def bucketed(vectors: DataFrame, index: Index) -> DataFrame:
@@ -212,18 +242,29 @@ def visited(queries: DataFrame, index: Index) -> DataFrame:
 
 
 def reranked(rows: DataFrame, k: int) -> DataFrame:
-    """FOUND: the k nearest of each query among the visited buckets of each part; rows are sorted by part, vectors before queries."""
+    """FOUND: the k nearest of each query in each part, among the visited buckets, or among all rows where visits are null.
+
+    Rows are sorted by part, vectors before queries.
+    """
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, held, ready = None, [], None
 
         def laid() -> tuple:
             bucket = np.concatenate([b for b, _, _ in held])
-            ids, row = np.unique(np.concatenate([i for _, i, _ in held]), return_inverse=True)
-            x = np.empty((len(ids), held[0][2].shape[1]))
-            x[row] = np.concatenate([v for *_, v in held])
+            ids, at, row = np.unique(np.concatenate([i for _, i, _ in held]), return_index=True, return_inverse=True)
+            x = np.concatenate([v for *_, v in held])[at]
             order = np.argsort(bucket, kind="stable")
-            return bucket[order], row[order], ids, unit(x)
+            return bucket[order], row[order], ids, x, unit(x)
+
+        def nearest_of(query: int, q: np.ndarray, got: np.ndarray, rough: np.ndarray) -> tuple:
+            """The k nearest of rows `got`, whose cosines are known up to rounding."""
+            _, _, ids, x, _ = ready
+            if len(got) > k:
+                got = got[rough >= np.partition(rough, len(rough) - k)[len(rough) - k] - 1e-9]
+            s = cosines(x[got], q)
+            at = best(ids[got], s, k)
+            return query, ids[got][at], s[at]
 
         for batch in batches:
             parts, query = batch.column(0).to_numpy(), batch.column(1).to_numpy()
@@ -242,34 +283,48 @@ def reranked(rows: DataFrame, k: int) -> DataFrame:
                 if not held:
                     continue
                 ready = ready or laid()
-                bucket, row, own, vectors = ready
-                x, visits = unit(x), block.column(5)
+                bucket, row, _, _, units = ready
+                visits = block.column(5)
+                if visits.null_count:
+                    everything = np.arange(len(units))
+                    for lo in range(0, len(ids), BLOCK):
+                        rough = unit(x[lo : lo + BLOCK]) @ units.T
+                        out += [nearest_of(int(ids[lo + n]), x[lo + n], everything, rough[n]) for n in range(len(rough))]
+                    continue
                 ends = visits.offsets.to_numpy()
                 ends, flat = ends - ends[0], visits.flatten().to_numpy()
+                q = unit(x)
                 for n in range(len(ids)):
                     v = flat[ends[n] : ends[n + 1]]
                     lo, hi = np.searchsorted(bucket, v), np.searchsorted(bucket, v, "right")
                     got = np.unique(row[np.repeat(lo - np.concatenate([[0], np.cumsum(hi - lo)[:-1]]), hi - lo) + np.arange((hi - lo).sum())])
                     if len(got):
-                        s = vectors[got] @ x[n]
-                        at = best(own[got], s, k)
-                        out.append((int(ids[n]), own[got][at], s[at]))
+                        out.append(nearest_of(int(ids[n]), x[n], got, units[got] @ q[n]))
             yield found_batch(out)
 
     return rows.mapInArrow(made, FOUND)
 
 
+def everywhere(first: DataFrame, queries: DataFrame, parts: int, k: int) -> DataFrame:
+    """FOUND: the k nearest of a few queries in each part of all rows."""
+    left = first.select(F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int").alias("part"), F.lit(0).alias("is_query"), F.lit(0).cast("long").alias("bucket"), "vec_id", "embedding", F.lit(None).cast("array<long>").alias("visits"))
+    right = queries.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(1).alias("is_query"), F.lit(None).cast("long").alias("bucket"), "vec_id", "embedding", F.lit(None).cast("array<long>").alias("visits"))
+    return reranked(left.unionByName(right).repartition(parts, "part").sortWithinPartitions("part", "is_query"), k)
+
+
 def nearest(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
     """query_id, rank, vec_id and score of the k nearest found for each vec_id that `every` divides.
 
-    Nearness is the cosine in double precision, ties go to the smaller vec_id,
-    and a query is never its own neighbour. A query for which the index finds
-    fewer than k is compared with all rows. Vectors that are null, zero or of
-    another length than most, or that hold null or non-finite components, take
-    no part. Of exact copies one stands for all in the index; each is returned
-    as a neighbour in its turn. Repeated rows of equal vec_id and vector count
-    once. Only vec_id and embedding are read. Without usable rows the result
-    is empty.
+    Nearness is the cosine of the original vectors in double precision, ties go
+    to the smaller vec_id, and a query is never its own neighbour. A query for
+    which the index finds fewer than k is compared with all rows, as all are if
+    no index finds enough. Vectors that are null, zero or of another length
+    than most, or that hold null or non-finite components, take no part. Of
+    exact copies one stands for all in the index; each is returned as a
+    neighbour in its turn. Repeated rows of equal vec_id and vector count once;
+    of different vectors of one vec_id each is a candidate, and the least, as
+    an array, the query. Only vec_id and embedding are read. Without usable
+    rows the result is empty.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "nearest")
@@ -278,18 +333,42 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
     w = Window.partitionBy("same", "also").orderBy("vec_id")
     least = rows.select("same", "also", "vec_id").distinct().withColumn("n", F.row_number().over(w)).where(F.col("n") <= k + 1)
     classes = least.groupBy("same", "also").agg(F.min("vec_id").alias("first"), F.array_sort(F.collect_list("vec_id")).alias("ids"))
-    classes = scratch.save("classes", classes)
-    first = rows.join(classes.select("same", "also", F.col("first").alias("vec_id")), ["same", "also", "vec_id"]).select("vec_id", "embedding").dropDuplicates(["vec_id"])
+    classes = scratch.save("classes", classes.withColumn("class", F.monotonically_increasing_id()))
+    first = rows.join(classes.select("same", "also", F.col("first").alias("vec_id"), "class"), ["same", "also", "vec_id"]).select(F.col("class").alias("vec_id"), "embedding").dropDuplicates(["vec_id"])
     first = scratch.save("first", first)
     count = first.count()
-    queries = scratch.save("queries", rows.where(F.col("vec_id") % every == 0).select("vec_id", "embedding").dropDuplicates(["vec_id"]))
+    queries = scratch.save("queries", rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("embedding").alias("embedding")))
     if not queries.take(1):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     index = fit(first, count, queries, k)
+    names = classes.select(F.col("class").alias("vec_id"), "ids")
+
+    def ranked(pairs: DataFrame) -> DataFrame:
+        """The k nearest ids of each query, from the classes found."""
+        best_of = pairs.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        each = best_of.join(names, "vec_id").select("query_id", F.explode("ids").alias("vec_id"), "score").where("query_id <> vec_id")
+        each = each.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        return each.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    parts = max(1, -(-count // PART_ROWS))
+    if index is None:
+        return ranked(everywhere(first, queries, parts, k + 1))
+    result = scratch.save("result", ranked(probed(first, queries, index, count, k + 1, scratch)))
+    enough = result.groupBy("query_id").count().where(F.col("count") >= k).select(F.col("query_id").alias("vec_id"))
+    short = scratch.save("short", queries.join(enough, "vec_id", "left_anti"))
+    if not short.take(1):
+        return result
+    rest = ranked(everywhere(first, short, parts, k + 1))
+    return result.join(short.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").unionByName(rest)
+
+
+def probed(first: DataFrame, queries: DataFrame, index: Index, count: int, k: int, scratch: Scratch) -> DataFrame:
+    """FOUND: the k nearest of each query in each part of the index."""
     parts = max(1, -(-count * TABLES // PART_ROWS))
     placed = scratch.save("placed", bucketed(first, index))
     heavy = scratch.save("heavy", placed.groupBy("bucket").count().where(F.col("count") > HEAVY_ROWS).select("bucket", F.ceil(F.col("count") / HEAVY_ROWS).cast("int").alias("salts")))
-    heavy, salts = hinted(heavy), F.coalesce("salts", F.lit(1))
+    salts = F.coalesce("salts", F.lit(1))
 
     def part(salt):
         return F.pmod(F.xxhash64("bucket", salt), F.lit(parts)).cast("int").alias("part")
@@ -299,28 +378,4 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
     visits = visits.select(part(F.col("salt")), "bucket", F.col("query_id").alias("vec_id")).groupBy("part", "vec_id").agg(F.collect_set("bucket").alias("visits"))
     right = visits.join(queries, "vec_id").select("part", F.lit(1).alias("is_query"), F.lit(None).cast("long").alias("bucket"), "vec_id", "embedding", "visits")
     together = left.unionByName(right).repartition(parts, "part").sortWithinPartitions("part", "is_query")
-    found = scratch.save("found", reranked(together, k + 1).groupBy("query_id", "vec_id").agg(F.max("score").alias("score")))
-
-    names = classes.select(F.col("first").alias("vec_id"), "ids")
-
-    def ranked(pairs: DataFrame) -> DataFrame:
-        """The k nearest ids of each query, from the representatives found."""
-        each = pairs.join(names, "vec_id").select("query_id", F.explode("ids").alias("vec_id"), "score").where("query_id <> vec_id")
-        by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-        return each.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-    result = scratch.save("result", ranked(found))
-    enough = result.groupBy("query_id").count().where(F.col("count") >= k).select(F.col("query_id").alias("vec_id"))
-    short = scratch.save("short", queries.join(enough, "vec_id", "left_anti"))
-    n = short.count()
-    if not n:
-        return result
-    rest = None
-    blocks = -(-n // SCAN_QUERIES) * 2
-    for b in range(blocks):
-        block = short.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).collect()
-        if block:
-            some = scan(first, block, k + 1)
-            rest = some if rest is None else rest.unionByName(some)
-    rest = ranked(rest.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")))
-    return result.join(short.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").unionByName(rest)
+    return scratch.save("found", reranked(together, k))
