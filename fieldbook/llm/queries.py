@@ -124,7 +124,7 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
 SQL["op6_url_filters"] = f"""
-    WITH parsed AS (
+    WITH RECURSIVE parsed AS (
         SELECT page_id, url, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), {_AZ}) AS host,
                coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path,
                coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*[^?#]*(.*)$', 1), '') AS rest FROM pages
@@ -138,15 +138,18 @@ SQL["op6_url_filters"] = f"""
     ),
     bad AS (SELECT doc_id, bool_or(coalesce(quality = 0 OR toxic = 1, false)) AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
     known AS (SELECT page_id, url, own, bad FROM (SELECT DISTINCT page_id, url FROM pages) JOIN bad ON page_id = doc_id JOIN urls USING (url) WHERE len(own) > 0 OR bad),
-    least AS (SELECT ceil(least(1::DOUBLE, greatest({url_filters.MIN_SUPPORT}::DOUBLE, {url_filters.MIN_PAGES}::DOUBLE / count(*))) * count(*)) AS n FROM known),
+    least AS (SELECT least(count(*), {url_filters.MIN_PAGES}) AS n FROM known),
     t AS (SELECT page_id, url, bad, unnest(own) AS tok FROM known),
-    antecedents AS (
-        SELECT [tok] AS toks, bad FROM t
-        UNION ALL SELECT [a.tok, b.tok], a.bad FROM t a JOIN t b ON a.page_id = b.page_id AND a.url = b.url AND a.tok < b.tok
-        UNION ALL SELECT [a.tok, b.tok, c.tok], a.bad FROM t a JOIN t b ON a.page_id = b.page_id AND a.url = b.url AND a.tok < b.tok
-                  JOIN t c ON a.page_id = c.page_id AND a.url = c.url AND b.tok < c.tok
+    single AS (SELECT tok, count(*) FILTER (bad) >= {url_filters.MIN_CONFIDENCE} * count(*) AS sure FROM t GROUP BY tok HAVING count(*) FILTER (bad) >= (SELECT n FROM least)),
+    unsure AS (SELECT t.* FROM t JOIN single USING (tok) WHERE NOT sure),
+    sets AS (
+        SELECT page_id, url, bad, [tok] AS toks FROM unsure
+        UNION ALL SELECT s.page_id, s.url, s.bad, list_append(s.toks, u.tok) FROM sets s JOIN unsure u ON s.page_id = u.page_id AND s.url = u.url AND s.toks[-1] < u.tok
+    ),
+    mined AS (
+        SELECT [tok] AS toks FROM single WHERE sure
+        UNION ALL SELECT toks FROM sets WHERE len(toks) > 1 GROUP BY toks HAVING count(*) FILTER (bad) >= (SELECT n FROM least) AND count(*) FILTER (bad) >= {url_filters.MIN_CONFIDENCE} * count(*)
     ),
-    mined AS (SELECT toks FROM antecedents GROUP BY toks HAVING count(*) FILTER (bad) >= (SELECT n FROM least) AND count(*) FILTER (bad) >= {url_filters.MIN_CONFIDENCE} * count(*)),
     blocked AS (SELECT DISTINCT url FROM urls JOIN mined ON list_has_all(own, toks)),
     rules AS (SELECT * FROM (VALUES {", ".join(f"('{r}', '{r.partition('/')[0]}', '/{r.partition('/')[2]}', '{v}')" for r, v in URL_RULES)}) v(rule, rule_host, rule_path, rule_verdict)),
     fitting AS (
@@ -194,7 +197,7 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What every document loses to strings of 400 bytes that start elsewhere too."""
     out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), "kept_text")
 
 
 SQL["op9_suffix_dedup"] = """
@@ -208,9 +211,14 @@ SQL["op9_suffix_dedup"] = """
         SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS a, a AS b FROM gone
         UNION ALL SELECT h.doc_id, coalesce(max(b), 0), length(x) // 2 FROM h LEFT JOIN gone ON h.doc_id = gone.doc_id GROUP BY h.doc_id, x
     ),
-    kept AS (SELECT h.doc_id, x, string_agg(substr(x, (2 * a + 1)::BIGINT, (2 * (b - a))::BIGINT), '' ORDER BY a) AS y FROM stays JOIN h ON h.doc_id = stays.doc_id GROUP BY h.doc_id, x)
-    SELECT kept.doc_id, length(x) // 2 AS n_bytes, coalesce(sum(b - a), 0)::BIGINT AS n_removed, count(a) AS n_spans, sha256(unhex(y)) AS kept_sha256
-    FROM kept LEFT JOIN gone ON kept.doc_id = gone.doc_id GROUP BY kept.doc_id, x, y
+    parts AS (SELECT h.doc_id, x, a, substr(x, (2 * a + 1)::BIGINT, (2 * (b - a))::BIGINT) AS y FROM stays JOIN h ON h.doc_id = stays.doc_id),
+    kept AS (
+        SELECT doc_id, x, string_agg(y, '' ORDER BY a) AS y,
+               string_agg(regexp_extract(y, '^(?:[89AB].)*((?:[0-7].|[CD].[89AB].|E.[89AB].[89AB].|F.[89AB].[89AB].[89AB].)*)', 1), '' ORDER BY a) AS z
+        FROM parts GROUP BY doc_id, x
+    )
+    SELECT kept.doc_id, length(x) // 2 AS n_bytes, coalesce(sum(b - a), 0)::BIGINT AS n_removed, count(a) AS n_spans, sha256(unhex(y)) AS kept_sha256, decode(unhex(z)) AS kept_text
+    FROM kept LEFT JOIN gone ON kept.doc_id = gone.doc_id GROUP BY kept.doc_id, x, y, z
 """
 
 

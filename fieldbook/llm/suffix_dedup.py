@@ -26,11 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldbook.llm.bytehash import groups, spans, sums
-from fieldbook.llm.common import Scratch, hinted
+from fieldbook.llm.common import Scratch, dealt_join
 
 LENGTH = 400
 GRAM = 64
-#: Low bits of a gram's sorting key that hold its position.
+#: Bytes of a text that are looked at together; a longer one is cut into overlapping segments.
+SEGMENT = 1 << 20
+#: Low bits of a gram's sorting key that hold its position, which is below SEGMENT + LENGTH or GROUP_BYTES.
 PLACE = 28
 PERIOD = 32
 #: Different runs of a bucket up to which one task sorts it.
@@ -78,13 +80,15 @@ def runs_of(docs: DataFrame, length: int) -> DataFrame:
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, hashes = batch.column(0), batch.column(1)
-            texts = [(t or "").encode() for t in batch.column(2).to_pylist()]
-            for lo, hi in groups([len(t) for t in texts], GROUP_BYTES):
+            segments = []  # (row, place, bytes): every string starts in one segment and lies whole in it
+            for row, t in enumerate(batch.column(2).to_pylist()):
+                data = (t or "").encode()
+                segments += [(row, k, data[k : k + SEGMENT + length - 1]) for k in range(0, len(data) - length + 1, SEGMENT)]
+            for lo, hi in groups([len(x) for *_, x in segments], GROUP_BYTES):
+                some = segments[lo:hi]
                 starts = np.zeros(hi - lo + 1, np.int64)
-                np.cumsum([len(t) for t in texts[lo:hi]], out=starts[1:])
-                buf = np.frombuffer(b"".join(texts[lo:hi]), np.uint8)
-                if len(buf) < length:
-                    continue
+                np.cumsum([len(x) for *_, x in some], out=starts[1:])
+                buf = np.frombuffer(b"".join([x for *_, x in some]), np.uint8)
                 running = sums(buf)
                 at = np.arange(len(buf) - GRAM + 1)
                 gram = spans(running, at, at + GRAM)
@@ -99,14 +103,15 @@ def runs_of(docs: DataFrame, length: int) -> DataFrame:
                 first = np.flatnonzero(np.concatenate([[True], (p[1:] != p[:-1]) | (s[1:] != s[:-1] + 1)]))
                 n = np.diff(np.append(first, len(s)))
                 start, anchor = s[first], p[first]
-                doc = np.searchsorted(starts, start, "right") - 1
+                own = np.searchsorted(starts, start, "right") - 1
+                row, place = (np.array([x[k] for x in some])[own] for k in (0, 1))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        ids.take(pa.array(lo + doc)),
-                        hashes.take(pa.array(lo + doc)),
+                        ids.take(pa.array(row)),
+                        hashes.take(pa.array(row)),
                         pa.array(gram[anchor].view(np.int64)),
                         pa.array(spans(running, start, start + n - 1 + length).view(np.int64)),
-                        pa.array(start - starts[doc]),
+                        pa.array(start - starts[own] + place),
                         pa.array(n.astype(np.int32)),
                         pa.array((anchor - start).astype(np.int32)),
                     ],
@@ -260,88 +265,104 @@ def crowded_buckets(pieces: DataFrame, length: int) -> DataFrame:
 
     kind = pa.list_(pa.struct([("block", pa.int32()), ("core", pa.int64()), ("whole", pa.int64()), ("place", pa.int32()), ("strings", pa.list_(pa.int64()))]))
     each = pieces.select("anchor", "content", "inside", "piece").mapInArrow(made, BLOCKS).select("anchor", "content", F.explode("blocks").alias("b")).select("anchor", "content", "b.*")
-    each = Scratch(pieces.sparkSession, "crowded").save("blocks", each)
+    scratch = Scratch(pieces.sparkSession, "crowded")
+    each = scratch.save("blocks", each)
     key = ["anchor", "block", "core"]
-    wholes = each.groupBy(*key, "whole").agg(F.count("*").alias("n"), F.min("strings").alias("strings"))
-    mixed = wholes.groupBy(*key).agg(F.count("*").alias("different")).where("different > 1").select(*key)
-    single = wholes.join(mixed, key).select(*key, "whole", F.posexplode("strings").alias("at", "string"))
-    often = single.groupBy("string").agg(F.count("*").alias("n")).where("n > 1").select("string")
-    hits = single.join(often, "string").groupBy(*key, "whole").agg(F.array_sort(F.collect_set("at")).alias("hit"))
+    spread = F.xxhash64("whole")
+    wholes = each.groupBy(*key, "whole").agg(F.count("*").alias("copies"), F.min("strings").alias("strings"))
+    wholes = scratch.save("wholes", wholes)
+    mixed = wholes.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")
+    single = dealt_join(wholes, mixed, key, spread).select(*key, "whole", F.posexplode("strings").alias("at", "string"))
+    often = single.groupBy("string").agg(F.count("*").alias("n")).where("n > 1")
+    hits = dealt_join(single, often, ["string"], spread).groupBy(*key, "whole").agg(F.array_sort(F.collect_set("at")).alias("hit"))
     every = F.sequence(F.lit(0), F.size("strings") - 1)
-    marked = wholes.join(hits, [*key, "whole"], "left").select(*key, "whole", F.when(F.col("n") > 1, every).otherwise(F.col("hit")).alias("hit")).where("hit IS NOT NULL")
-    placed = each.select(*key, "whole", "content", "place").join(marked, [*key, "whole"])
+    marked = wholes.join(hits, [*key, "whole"], "left").select(*key, "whole", F.col("copies").alias("n"), F.when(F.col("copies") > 1, every).otherwise(F.col("hit")).alias("hit")).where("hit IS NOT NULL")
+    placed = dealt_join(each.select(*key, "whole", "content", "place"), marked, [*key, "whole"], F.col("content"))
     hit = placed.groupBy("anchor", "content").agg(F.array_sort(F.flatten(F.collect_list(F.transform("hit", lambda x: x + F.col("place"))))).alias("hit"))
     first = F.array_except("hit", F.transform("hit", lambda x: x + 1))
     last = F.array_except("hit", F.transform("hit", lambda x: x - 1))
     return hit.select("anchor", "content", F.arrays_zip(first.alias("first"), last.alias("last")).alias("places"))
 
 
-def repeated(docs: DataFrame, length: int) -> tuple[DataFrame, int]:
-    """(doc_id, text_hash, first, last): stretches of string starts that occur elsewhere too, and the number of rows."""
+def repeated(docs: DataFrame, length: int) -> DataFrame:
+    """(doc_id, text_hash, first, last): stretches of string starts that occur elsewhere too."""
     scratch = Scratch(docs.sparkSession, "suffix")
     runs = scratch.save("runs", runs_of(docs, length))
-    often = scratch.save("often", runs.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"))
-    near = scratch.save("near", runs.join(hinted(often), "anchor"))
-    scratch.drop("runs")
+    often = scratch.save("often", runs.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"))
+    near = scratch.save("near", dealt_join(runs, often, ["anchor"], F.monotonically_increasing_id()))
+    scratch.drop("runs", "often")
     place = F.struct("doc_id", "text_hash", "start", "strings", "inside")
-    contents = scratch.save("contents", near.groupBy("anchor", "content").agg(F.count("*").alias("n"), F.min(place).alias("one")))
-    buckets = scratch.save("buckets", contents.groupBy("anchor").agg(F.count("*").alias("runs")).where("runs > 1"))
-    wanted = contents.join(hinted(buckets), "anchor").select("anchor", "content", "one.*", (F.col("runs") > BUCKET_RUNS).alias("crowded"))
+    contents = scratch.save("contents", near.groupBy("anchor", "content").agg(F.count("*").alias("copies"), F.min(place).alias("one")))
+    buckets = scratch.save("buckets", contents.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").withColumn("crowded", F.col("n") > BUCKET_RUNS))
+    wanted = dealt_join(contents, buckets, ["anchor"], F.col("content")).select("anchor", "content", "one.*", "crowded")
     lists = wanted.groupBy(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash")).agg(F.collect_list(F.struct("anchor", "content", "start", "strings", "inside", "crowded")).alias("wanted"))
     texts = by_document(docs, scratch.save("wanted", lists), "inner")
     pieces = scratch.save("pieces", pieces_of(texts, length))
     found = sorted_buckets(pieces.where("NOT crowded"), length).unionByName(crowded_buckets(pieces.where("crowded"), length))
     found = found.groupBy("anchor", "content").agg(F.first("places").alias("places"))
     all_of = F.array(F.struct(F.lit(0).alias("first"), (F.col("one.strings") - 1).alias("last")))
-    places = contents.join(found, ["anchor", "content"], "left").select("anchor", "content", F.when(F.col("n") > 1, all_of).otherwise(F.col("places")).alias("places"))
-    marks = near.join(scratch.save("places", places.where(F.size("places") > 0)), ["anchor", "content"])
+    places = contents.join(found, ["anchor", "content"], "left").select("anchor", "content", F.col("copies").alias("n"), F.when(F.col("copies") > 1, all_of).otherwise(F.col("places")).alias("places"))
+    places = scratch.save("places", places.where(F.size("places") > 0))
+    scratch.drop("contents", "buckets", "wanted", "pieces")
+    marks = dealt_join(near, places, ["anchor", "content"], F.monotonically_increasing_id())
     marks = marks.select("doc_id", "text_hash", "start", F.explode("places").alias("p")).select("doc_id", "text_hash", (F.col("start") + F.col("p.first")).alias("first"), (F.col("start") + F.col("p.last")).alias("last"))
     marks = scratch.save("marks", marks)
-    return marks, marks.count()
+    scratch.drop("near", "places")
+    return marks
 
 
-def by_document(docs: DataFrame, lists: DataFrame, how: str, rows: int | None = None) -> DataFrame:
-    """docs joined with lists (_doc, _hash, ...), which are broadcast if they have few entries, and else hashed after a shuffle."""
-    lists = hinted(lists.hint("shuffle_hash"), lists.count() if rows is None else rows)
+def by_document(docs: DataFrame, lists: DataFrame, how: str) -> DataFrame:
+    """docs joined with saved lists (_doc, _hash, ...) of the rows with that doc_id and text."""
     same = docs["doc_id"].eqNullSafe(lists["_doc"]) & (docs["text_hash"] == lists["_hash"])
     return docs.join(lists, same, how)
 
 
-RESULT = "n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary"
+def merged(first: list[int], end: list[int]) -> list[tuple[int, int]]:
+    """The union of the stretches [first, end) as maximal ones, in order."""
+    if not first:
+        return []
+    a, b = np.array(first, np.int64), np.array(end, np.int64)
+    order = np.argsort(a, kind="stable")
+    a, b = a[order], np.maximum.accumulate(b[order])
+    new = np.flatnonzero(np.concatenate([[True], a[1:] > b[:-1]]))
+    return list(zip(a[new].tolist(), b[np.append(new[1:] - 1, len(b) - 1)].tolist(), strict=True))
+
+
+RESULT = "n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary, kept_text string"
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, n_bytes, n_removed, spans and kept (the bytes that stay) of each row.
+    """doc_id, n_bytes, n_removed, spans, kept (the bytes that stay) and kept_text of each row.
 
     Removed is each byte of a string of `length` bytes that also starts at
     another place, in the same row or another. Spans are the maximal removed
-    stretches, as byte places. A null or empty text has no bytes. Repeated rows
-    are documents of their own, so they repeat each other. Only doc_id and text
-    are read. An empty table gives an empty one.
+    stretches, as byte places. kept_text holds the characters of which every
+    byte stays. A null or empty text has no bytes. Texts of any length are read
+    whole. Repeated rows are documents of their own, so they repeat each other.
+    Only doc_id and text are read. An empty table gives an empty one.
     """
     docs = docs.select(F.col("doc_id").cast("long"), "text", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("text_hash"))
-    marks, rows = repeated(docs.where(F.octet_length("text") >= length), length)
-    lists = marks.groupBy(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash")).agg(F.collect_list(F.struct("first", "last")).alias("marks"))
+    marks = repeated(docs.where(F.octet_length("text") >= length), length)
+    lists = marks.groupBy(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash")).agg(F.collect_set(F.struct("first", "last")).alias("marks"))
+    lists = Scratch(docs.sparkSession, "suffix-lists").save("lists", lists)
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, removed, spans_, kept = [], [], [], []
+            sizes, removed, spans_, kept, texts = [], [], [], [], []
             for text, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 data = (text or "").encode()
-                edge = np.zeros(len(data) + 1, np.int32)
-                for m in found or ():
-                    edge[m["first"]] += 1
-                    edge[m["last"] + length] -= 1
-                gone = np.cumsum(edge)[:-1] > 0
-                cuts = stretches(gone)
+                cuts = merged([m["first"] for m in found or ()], [m["last"] + length for m in found or ()])
+                edges = [0, *(x for cut in cuts for x in cut), len(data)]
+                parts = [data[a:b] for a, b in zip(edges[0::2], edges[1::2], strict=True)]
                 sizes.append(len(data))
-                removed.append(int(gone.sum()))
-                spans_.append([{"start": c["first"], "end": c["last"] + 1} for c in cuts])
-                kept.append(np.frombuffer(data, np.uint8)[~gone].tobytes() if cuts else data)
+                removed.append(sum(b - a for a, b in cuts))
+                spans_.append([{"start": a, "end": b} for a, b in cuts])
+                kept.append(b"".join(parts))
+                texts.append("".join(x.decode(errors="ignore") for x in parts))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans_, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())],
-                names=["doc_id", "n_bytes", "n_removed", "spans", "kept"],
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans_, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary()), pa.array(texts, pa.string())],
+                names=["doc_id", "n_bytes", "n_removed", "spans", "kept", "kept_text"],
             )
 
-    joined = by_document(docs, lists, "left", rows).select("doc_id", "text", "marks")
+    joined = by_document(docs, lists, "left").select("doc_id", "text", "marks")
     return joined.mapInArrow(made, "doc_id long, " + RESULT)

@@ -15,10 +15,8 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldbook.llm.common import Scratch, hinted
+from fieldbook.llm.common import Scratch, dealt_join
 
-#: Read by the SQL twin alone, which asks for this share of the labelled pages too.
-MIN_SUPPORT = 0.002
 #: Bad labelled pages that a rule must hold for at least, however many pages there are.
 MIN_PAGES = 5
 MIN_CONFIDENCE = 0.5
@@ -86,7 +84,7 @@ def mine(pages: DataFrame, labels: DataFrame) -> DataFrame:
     sure = F.col("both") >= MIN_CONFIDENCE * F.col("freq")
     index = single.where(sure).select(F.col("token").alias("key"), F.array("token").alias("tokens"))
     unsure = scratch.save("unsure", single.where(~sure).select("token"))
-    rest = each.join(hinted(unsure), "token").groupBy("row").agg(F.first("bad").alias("bad"), F.collect_list("token").alias("own")).where(F.size("own") > 1)
+    rest = each.join(unsure, "token").groupBy("row").agg(F.first("bad").alias("bad"), F.collect_list("token").alias("own")).where(F.size("own") > 1)
     rest = scratch.save("rest", rest.select("bad", F.when(F.col("bad"), F.array_append("own", F.lit(BAD))).otherwise(F.col("own")).alias("items")))
     n, n_bad = rest.agg(F.count("*"), F.count_if("bad")).first()
     if n_bad < least:
@@ -115,11 +113,12 @@ def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]]) ->
     Other columns are not read. Without labels nothing is mined.
     """
     pages = pages.select("page_id", "url")
-    index = hinted(mine(pages, labels))
-    urls = pages.where("url IS NOT NULL").select("url").distinct().withColumn("own", tokens_of(F.col("url")))
-    met = urls.select("url", "own", F.explode("own").alias("key")).join(index, "key").where(F.size(F.array_except("tokens", "own")) == 0)
-    blocked = Scratch(pages.sparkSession, "url-blocked").save("urls", met.select("url").distinct())
-    joined = pages.join(hinted(blocked.withColumn("mined", F.lit("block"))), "url", "left")
+    index = mine(pages, labels)
+    scratch = Scratch(pages.sparkSession, "url-blocked")
+    urls = pages.where("url IS NOT NULL").groupBy("url").agg(F.count("*").alias("n")).withColumn("own", tokens_of(F.col("url")))
+    met = urls.select("url", "n", "own", F.explode("own").alias("key")).join(index, "key").where(F.size(F.array_except("tokens", "own")) == 0)
+    blocked = scratch.save("urls", met.select("url", "n").distinct().withColumn("mined", F.lit("block")))
+    joined = dealt_join(pages, blocked, ["url"], F.xxhash64("page_id"), "left")
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     out = joined.select("page_id", "url", host.alias("host"), path.alias("path"), "mined").withColumn("found", written_rule(F.col("host"), F.col("path"), rules))
     return out.select("page_id", "url", "host", "path", F.col("found.rule").alias("rule"), F.coalesce("found.verdict", "mined", F.lit("allow")).alias("verdict"))
