@@ -10,8 +10,10 @@ from pathlib import Path
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from fieldbook.llm import fingerprints, line_dedup, packing, quality_classifier, sharding
+from fieldbook.llm.bytehash import PLACES, mix, spans, sums
 from fieldbook.llm.queries import QUERIES, tokenizer_path
 
 TABLES = Path("/root/testdata/sf0.01")
@@ -63,13 +65,37 @@ def test_quality_learns_from_long_and_repeated_texts(spark):
     rows = [(i, ("fine words here " if i % 2 else "$$$ 111 !!! ") * 40) for i in range(60)]
     docs = documents(spark, [*rows, *[(1, "fine words here again")] * 50, *[(i, None) for i in range(60, 120)]])
     known = spark.createDataFrame([(i, i % 2) for i in range(120)], "doc_id long, label int")
-    got = quality_classifier.sample(docs, known, 30, 400)
-    assert {y: len(t) for y, t in got.items()} == {0: 30, 1: 30}
-    assert all(len(t) <= 400 for found in got.values() for t in found)
-    scores = {r.doc_id: r.score for r in quality_classifier.classify(documents(spark, rows), known.withColumnRenamed("label", "quality"), max_text_bytes=400).collect()}
+    keys = quality_classifier.chosen(docs, known, 20)
+    assert Counter(r.label for r in keys.collect()) == {0: 20, 1: 20}
+    got = quality_classifier.texts_of(docs, keys, F.col("text")).collect()
+    assert sorted((r.label, r.place) for r in got) == [(y, k) for y in (0, 1) for k in range(1, 21)]
+    scores = {r.doc_id: r.score for r in quality_classifier.classify(documents(spark, [(i, t * 50) for i, t in rows]), known.withColumnRenamed("label", "quality"), 20).collect()}
     assert min(s for i, s in scores.items() if i % 2) > max(s for i, s in scores.items() if not i % 2)
 
 
+def test_quality_model_against_plain_fit(spark):
+    """The score is the logistic regression of the features under the two dictionaries, learned from no held-out row."""
+    rows = [(i, t if i % 2 else t.replace("the", "$$").upper()) for i, t in enumerate(texts(21, 160, 4))]
+    docs, known = documents(spark, rows), spark.createDataFrame([(i, i % 2) for i, _ in rows if zlib.crc32(str(i).encode()) % 5], "doc_id long, label int")
+    model = quality_classifier.fit(docs, known, 1000)
+    good, bad = model.compressors()
+    x = {i: np.array(quality_classifier.features(t.encode(), good, bad)) for i, t in rows}
+    for i, t in rows[:20]:
+        parts = [t.encode()[k : k + 512] for k in range(0, len(t), 512)]
+        g, b = (sum(len(c.compress(p)) for p in parts) for c in (good, bad))
+        assert x[i][0] == pytest.approx((b - g) / (b + g))
+    keys = {(r.label, r.place): r.doc_id for r in quality_classifier.chosen(docs, known, 1000).collect()}
+    held = [i for (_, place), i in keys.items() if place % 4 == 0]
+    assert not any(zlib.crc32(str(i).encode()) % 5 == 0 for i in held)
+    z = np.array([(x[i] - model.mean) / model.scale for i in held])
+    y = np.array([i % 2 for i in held])
+    p = 1 / (1 + np.exp(-(z @ model.weights + quality_classifier.logistic(z, y)[1])))
+    assert np.abs(z.T @ (p - y) + 1e-3 * model.weights).max() < 1e-3  # where the penalised likelihood is greatest
+    labels = known.withColumnRenamed("label", "quality")
+    for r in quality_classifier.classify(docs, labels, 1000).collect():
+        assert r.score == pytest.approx(float(model.probability(x[r.doc_id][None, :])[0]), abs=1e-9)
+
+
 @pytest.mark.parametrize(("n", "k", "m"), [(10, 4, 5), (50, 20, 7), (7, 7, 3), (9, 0, 4), (1000, 400, 500)])
 def test_hypergeometric_draws_follow_the_exact_law(spark, n, k, m):
     steps = 2000
@@ -97,10 +123,10 @@ def test_shards(spark):
 
 
 def test_packing_is_a_round_trip(spark):
-    rows = [*ODD[:-1], *enumerate(texts(2, 200, 30), 10), (900, "tab\there  and\n\nlines \u00a0x <|endoftext|> ünï 漢字 🎉"), (901, " lead"), (902, "trail ")]
+    rows = [*ODD, *enumerate(texts(2, 200, 30), 10), (899, "x <|endoftext|> y"), (898, "a<|endoftext|>"), (900, "tab\there  and\n\nlines \u00a0x <|endoftext|> ünï 漢字 🎉"), (901, " lead"), (902, "trail ")]
     docs = documents(spark, rows, ["ids", "start"])
     pieces = packing.pack_documents(docs, tokenizer_path(), set_tokens=20_000, keep_ids=True).collect()
-    enc = packing.Tokenizer(tokenizer_path()).encoder
+    enc = Tokenizer.from_file(tokenizer_path())
     want = Counter((i, tuple(enc.encode(t or "", add_special_tokens=False).ids) + (0,)) for i, t in rows)
     by_sequence, by_doc = {}, {}
     for p in pieces:
@@ -121,6 +147,28 @@ def test_packing_is_a_round_trip(spark):
     assert packing.pack_documents(docs.limit(0), tokenizer_path()).count() == 0
 
 
+def plain_pack(lengths, capacity):
+    """Each document, longest first, goes piece by piece to the sequence of least cost, then most room, then least number."""
+    total = sum(lengths)
+    room = [capacity] * (total // capacity) + [p for p in (1 << b for b in range(20, -1, -1)) if p < capacity and total % capacity & p]
+    cost, used, out = [0.0] * len(room), [0] * len(room), []
+    for d in sorted(range(len(lengths)), key=lambda d: (-lengths[d], d)):
+        start = 0
+        while start < lengths[d]:
+            s = min((s for s in range(len(room)) if used[s] < room[s]), key=lambda s: (cost[s], used[s] - room[s], s))
+            n = min(lengths[d] - start, room[s] - used[s])
+            out.append((d, start, n, s, used[s]))
+            used[s], start, cost[s] = used[s] + n, start + n, cost[s] + n + n * n / 1024
+    return out
+
+
+def test_packing_against_plain_assignment():
+    r = random.Random(4)
+    for _ in range(20):
+        lengths = [r.choice([1, 5, 40, 200, 900, 3000]) + r.randrange(9) for _ in range(r.randrange(1, 60))]
+        assert packing.pack(lengths, 1024) == plain_pack(lengths, 1024)
+
+
 def test_packing_balances_cost():
     rows = packing.pack([1500, 900, 500, 500, 300, 100], 1024)
     assert sum(n for *_, n, _, _ in rows) == 3800
@@ -175,6 +223,73 @@ def test_entropy_of_windows():
         assert abs(bins[k] - 1000 * h) <= 2
 
 
+def plain_chain(text, rank):
+    """Votes of every run of 64 windows, gaps filled, and bits set one by one."""
+    buf = np.frombuffer(text, np.uint8)
+    bins = fingerprints.entropy_bins(buf)
+    votes = Counter()
+    for k in range(len(bins) - 63):
+        keys = [(rank[bins[w]], w) for w in range(k, k + 64) if bins[w] >= fingerprints.LEAST_BIN]
+        if keys:
+            votes[min(keys)[1]] += 1
+    at = sorted(w for w, n in votes.items() if n >= 16)
+    edges, places = [-64, *at, len(text)], set(at)
+    for a, b in zip(edges, edges[1:]):
+        if b - a > fingerprints.GAP:
+            places |= set(range(a + 64, b - 63, 64))
+    running = sums(buf)
+    h, seen = [], Counter()
+    for w in sorted(places):
+        x = spans(running, np.array([w]), np.array([w + 64]))
+        n = seen[int(x[0])] if w not in at else 0
+        seen[int(x[0])] += w not in at
+        h.append(int((mix(x + np.uint64(n) * PLACES[0]) if n else x)[0]))
+    h = list(dict.fromkeys(h))
+    bits = np.zeros((-(-len(h) // 160), 2048), np.uint8)
+    for k, x in enumerate(h):
+        for e in range(5):
+            bits[k // 160, x >> 11 * e & 2047] = 1
+    return bits
+
+
+def plain_likeness(a, b):
+    def one(x, y):
+        n, m, both = x.sum(), y.sum(), (x & y).sum()
+        chance, most = n * m / 2048, min(n, m)
+        least = chance + 0.3 * max(0, most - chance)
+        return min(1, max(0, (both - least) / max(most - least, 1e-9)))
+
+    rows = np.mean([max(one(x, y) for y in b) for x in a])
+    columns = np.mean([max(one(x, y) for x in a) for y in b])
+    return rows if len(a) < len(b) else columns if len(b) < len(a) else (rows + columns) / 2
+
+
+def test_fingerprints_against_plain_votes():
+    r = random.Random(6)
+    some = [t.encode() for t in texts(12, 6, 30)]
+    some += [b"x" * 700 + some[0][:400], bytes(r.randrange(256) for _ in range(9000)), some[1][:1500] + some[2][:900]]
+    rank = np.random.default_rng(1).permutation(fingerprints.BINS)
+    chains = fingerprints.chains(some, rank)
+    plain = [plain_chain(t, rank) for t in some]
+    for t, a, b in zip(some, chains, plain, strict=True):
+        assert np.array_equal(np.unpackbits(a, axis=1), b), len(t)
+    for a, pa in zip(chains, plain, strict=True):
+        for b, pb in zip(chains, plain, strict=True):
+            assert fingerprints.likeness(a, b) == pytest.approx(plain_likeness(pa, pb), abs=1e-9)
+    assert any(len(a) > 1 for a in chains)
+
+
+@pytest.mark.parametrize("intervals", [1024, 3])
+def test_next_documents_in_many_parts(spark, monkeypatch, intervals):
+    monkeypatch.setattr(fingerprints, "INTERVALS", intervals)
+    r = random.Random(2)
+    rows = [(r.choice([None, *range(-50, 90, 3)]), f"t{k % 37}") for k in range(150)] + [(1 << 40, "far"), (4, None)]
+    got = fingerprints.compare_edited(documents(spark, rows), np.arange(fingerprints.BINS), parts=13).collect()
+    order = sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, x[1] is not None, x[1] or ""))
+    want = [(i, hashlib.sha256(((t or "")[: len(t or "") - len(t or "") // 4] + (order[(k + 1) % len(order)][1] or "")[: len(t or "") // 4]).encode()).hexdigest()) for k, (i, t) in enumerate(order)]
+    assert Counter((g.doc_id, g.edited_sha256) for g in got) == Counter(want)
+
+
 def test_fingerprints(spark):
     rows = [*ODD[:-1], *enumerate(texts(7, 60, 20), 10)]
     docs = documents(spark, rows, ["fingerprint", "part", "mark", "head"])
