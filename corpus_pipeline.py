@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldbook.llm import jaccard_join, line_dedup, mixing, packing, quality_classifier
-from fieldbook.llm.common import Scratch, hinted
+from fieldbook.llm.common import Scratch
 from fieldbook.llm.queries import table, tokenizer_path
 
 #: Documents that score less are rejected.
@@ -53,7 +53,7 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     keys = own.select("doc_id", *hashes).distinct().orderBy(F.asc_nulls_last("doc_id"), *hashes).withColumn("_key", F.monotonically_increasing_id())
     keys = scratch.save("keys", keys.toDF("_id", "_a", "_b", "_key"))
     equal = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_same") == F.col("_a")) & (F.col("_also") == F.col("_b"))
-    keyed = own.join(hinted(keys), equal)
+    keyed = own.join(keys, equal)
     keyed = scratch.save("keyed", keyed.select(*docs.columns, "_key"))
     later = _later(keyed.select(F.col("_key").alias("doc_id"), "text"), scratch)
     kept = keyed.join(later.withColumnRenamed("doc_id", "_key"), "_key", "left_anti")
@@ -64,7 +64,7 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def _later(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """The doc_id of each document that is a near copy of one with a lesser doc_id."""
     linked = scratch.save("linked", jaccard_join.link_documents(docs, WORDS, SIMILAR, OF))
-    return hinted(scratch.save("later", linked.where("doc_id <> component_id").select("doc_id").distinct()))
+    return scratch.save("later", linked.where("doc_id <> component_id").select("doc_id").distinct())
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -94,7 +94,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written as Parquet to the shared folder and read again."""
     scratch = Scratch(spark, "pipeline")
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = scratch.save(name, stage(spark, docs, sf_dir))
+        if before:
+            scratch.drop(before)
+        before = name
     return docs
