@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Types of marked text and of a checklist's items.
+RUNS = "array<struct<text:string,bold:boolean,italic:boolean,underline:boolean>>"
+ITEMS = f"array<struct<id:string,text:string,done:boolean,timer_minutes:int,runs:{RUNS}>>"
+
+
 def listed(values: Column, kind: str = "array<string>") -> Column:
     """values, or an empty array for null."""
     return F.coalesce(values, F.array().cast(kind))
@@ -50,8 +55,11 @@ def display_tag(experiment_tags: Column, project_tags: Column, tags: Column) ->
 
 def last_wins(entries: Column) -> Column:
     """A map from an array of (key, value) structs; the last of equal keys stays, at the first one's place."""
-    keys = F.array_distinct(F.transform(entries, lambda e: e["key"]))
-    return F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(F.filter(entries, lambda e: e["key"] == k), -1)["value"]))
+    placed = F.array_sort(F.transform(entries, lambda e, i: F.struct(e["key"].alias("key"), i.alias("i"), e["value"].alias("value"))))
+    last = F.filter(placed, lambda e, i: ~e["key"].eqNullSafe(F.get(placed, i + 1)["key"]))
+    first = F.filter(placed, lambda e, i: (i == 0) | ~e["key"].eqNullSafe(F.get(placed, i - 1)["key"]))
+    both = F.array_sort(F.zip_with(first, last, lambda a, b: F.struct(a["i"].alias("i"), b["key"].alias("key"), b["value"].alias("value"))))
+    return F.map_from_entries(F.transform(both, lambda e: F.struct(e["key"], e["value"])))
 
 
 def widest(data: Column) -> Column:
@@ -83,9 +91,10 @@ def done_set(items: Column, item_id: Column, done: Column) -> Column:
 
 
 def checked_items(items: Column) -> Column:
-    """A checklist that is never empty, whose items have ids by place and a state."""
-    blank = F.array(F.struct(F.lit("item-1").alias("id"), F.lit("").alias("text"), F.lit(False).alias("done")))
-    own = F.transform(items, lambda i, n: F.struct(F.coalesce(i["id"], F.concat(F.lit("item-"), (n + 1).cast("string"))).alias("id"), F.coalesce(i["text"], F.lit("")).alias("text"), F.coalesce(i["done"], F.lit(False)).alias("done")))
+    """A checklist (ITEMS) that is never empty, whose items have ids by place and a state."""
+    rest = (F.lit(None).cast("int").alias("timer_minutes"), F.lit(None).cast(RUNS).alias("runs"))
+    blank = F.array(F.struct(F.lit("item-1").alias("id"), F.lit("").alias("text"), F.lit(False).alias("done"), *rest))
+    own = F.transform(items, lambda i, n: F.struct(F.coalesce(i["id"], F.concat(F.lit("item-"), (n + 1).cast("string"))).alias("id"), F.coalesce(i["text"], F.lit("")).alias("text"), F.coalesce(i["done"], F.lit(False)).alias("done"), i["timer_minutes"].alias("timer_minutes"), i["runs"].alias("runs")))
     return F.when(F.coalesce(F.size(items), F.lit(0)) > 0, own).otherwise(blank)
 
 
@@ -94,7 +103,7 @@ def split_item(items: Column, item_id: Column, at: Column, new_id: Column) -> Co
 
     def cut(i: Column) -> Column:
         head = i.withField("text", F.substr(i["text"], F.lit(1), at))
-        tail = F.struct(new_id.alias("id"), F.substr(i["text"], at + 1).alias("text"), F.lit(False).alias("done"))
+        tail = i.withField("id", new_id).withField("text", F.substr(i["text"], at + 1)).withField("done", F.lit(False))
         return F.when(i["id"] == item_id, F.array(head, tail)).otherwise(F.array(i))
 
     return F.flatten(F.transform(items, cut))

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fieldbook.functions.text import tidy, title_key
+from fieldbook.functions.arrays import ITEMS, RUNS
+from fieldbook.functions.text import tidy, title_key, trimmed
 
 
 def queue_counts(changes: DataFrame, key: str = "entry_id") -> DataFrame:
@@ -18,17 +19,31 @@ def queue_state(syncing: Column, failed: Column, pending: Column) -> Column:
     return F.when(syncing, "syncing").when(failed > 0, "failed").when(pending > 0, "pending").otherwise("synced")
 
 
-def get_or_create(table: DataFrame, titles: DataFrame, by: list[str], prefix: str) -> DataFrame:
-    """table with a row for each title (title and the columns of by) that matches none, trimmed and without regard to case.
+def get_or_create(table: DataFrame, titles: DataFrame, by: list[str], prefix: str, defaults: dict[str, Column] | None = None) -> DataFrame:
+    """table with a row for each title (title and the columns of by) that matches none.
 
-    Ids follow from the key, so that a retried task makes the same ones.
+    A new title is trimmed and has one space for each run of white space; a
+    table's own titles are only trimmed before they are matched, without regard
+    to case. defaults are values of new rows' other columns, such as empty tags
+    or a start. Ids follow from the key, so that a retried task makes the same
+    ones.
     """
     keyed = titles.withColumn("title", tidy(F.col("title"))).where("title <> ''").withColumn("_key", title_key(F.col("title")))
     one = keyed.groupBy(*by, "_key").agg(F.min("title").alias("title"))
-    known = table.select(*by, title_key(F.col("title")).alias("_key")).distinct()
+    known = table.select(*by, F.lower(trimmed(F.col("title"))).alias("_key")).distinct()
     new = one.join(known, [*by, "_key"], "left_anti")
     new_id = F.concat(F.lit(prefix), F.sha2(F.concat_ws("/", *by, "_key"), 256).substr(1, 16))
-    return table.unionByName(new.select(new_id.alias("id"), *by, "title"), allowMissingColumns=True)
+    others = [value.alias(c) for c, value in (defaults or {}).items()]
+    return table.unionByName(new.select(new_id.alias("id"), *by, "title", *others), allowMissingColumns=True)
+
+
+def prepended(table: DataFrame, batch: DataFrame) -> DataFrame:
+    """table (seq, ...) with a batch (pos, ...) before its first row, in the batch's own order; seq is the order of the list."""
+    first = table.agg((F.coalesce(F.min("seq"), F.lit(0)) - 1).alias("_before"))  # one row each
+    last = batch.agg(F.max("pos").alias("_last"))
+    placed = batch.join(F.broadcast(first)).join(F.broadcast(last))
+    new = placed.withColumn("seq", (F.col("_before") - (F.col("_last") - F.col("pos"))).cast("long")).drop("pos", "_before", "_last")
+    return table.unionByName(new, allowMissingColumns=True)
 
 
 def daily_entries(entries: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -121,20 +136,59 @@ def attachment_block(attachments: DataFrame, label: Column | None = None) -> Dat
     return attachments.select("entry_id", F.concat(F.lit("b-"), F.col("id")).alias("block_id"), F.when(image, "image").otherwise("file").alias("type"), F.col("id").alias("attachment_id"), F.when(image, F.col("filename")).alias("caption"), F.when(~image, name).alias("label"))
 
 
+#: What a node keeps of a block that an editor does not look into.
+META = ("id", "type", "data", "caption", "header_row", "attachment_id", "label", "locked", "align", "updated_ts", "updated_by")
+ALIGNS = ("left", "center", "right", "justify")
+
+
+def _leaves(runs: Column, text: Column) -> Column:
+    """A node's texts with marks: the runs, or one plain run."""
+    plain = F.array(F.struct(F.coalesce(text, F.lit("")).alias("text"), *[F.lit(None).cast("boolean").alias(m) for m in ("bold", "italic", "underline")]))
+    return F.when(F.coalesce(F.size(runs), F.lit(0)) > 0, runs).otherwise(plain.cast(RUNS))
+
+
 def to_nodes(blocks: DataFrame) -> DataFrame:
-    """Blocks as editor nodes (entry_id, pos, id, type, level, children): lists as items, tables as rows of cells."""
-    children = F.when(F.col("type") == "checklist", F.transform("items", lambda i: i["text"])).when(F.col("type") == "table", F.transform("data", lambda r: F.array_join(r, "\t"))).otherwise(F.array(F.coalesce("text", F.lit(""))))
-    return blocks.select("entry_id", "pos", F.col("block_id").alias("id"), "type", F.when(F.col("type") == "heading", F.when(F.col("level") == 3, 3).otherwise(2)).alias("level"), children.alias("children"))
+    """Blocks as editor nodes (entry_id, pos, id, type, locked, align, children, items, meta).
+
+    children are texts with marks, items those of a checklist (id, done,
+    children); tables, images, files and dividers keep themselves as meta. An
+    unknown type is an empty paragraph with a new id.
+    """
+    kind = F.col("type")
+    heading, text = kind == "heading", kind.isin("heading", "paragraph", "quote")
+    known = text | kind.isin("checklist", "divider", "table", "image", "file")
+    items = F.transform("items", lambda i: F.struct(i["id"].alias("id"), i["done"].alias("done"), _leaves(i["runs"], i["text"]).alias("children")))
+    header = F.when(kind == "table", F.coalesce("header_row", F.lit(True))).otherwise(F.col("header_row"))
+    meta = F.struct(F.col("block_id").alias("id"), *[header.alias(c) if c == "header_row" else F.col(c) for c in META[1:]])
+    node = F.when(heading, F.when(F.col("level") == 3, "heading-three").otherwise("heading-two")).when(kind.isin("image", "file"), "attachment").when(known, kind).otherwise("paragraph")
+    return blocks.select(
+        "entry_id", "pos", F.when(known, F.col("block_id")).alias("id"), node.alias("type"), F.when(heading, F.coalesce("locked", F.lit(False))).alias("locked"), F.when(text, F.col("align")).alias("align"),
+        F.when(text, _leaves(F.col("runs"), F.col("text"))).when(~known, _leaves(F.lit(None).cast(RUNS), F.lit(""))).alias("children"), F.when(kind == "checklist", items).alias("items"),
+        F.when(kind.isin("divider", "table", "image", "file"), meta).alias("meta"),
+    )
 
 
 def from_nodes(nodes: DataFrame) -> DataFrame:
-    """Blocks of editor nodes (entry_id, pos, id, type, level, children). What nodes lack (captions, states) is lost, and a heading without a level gets 2."""
-    words = F.array_join("children", "")
-    items = F.transform("children", lambda t, i: F.struct(F.concat(F.lit("item-"), (i + 1).cast("string")).alias("id"), t.alias("text"), F.lit(False).alias("done")))
+    """Blocks of editor nodes. As in an editor, a table's caption and an item's timer are lost; ids that are missing follow from the place."""
+    kind, meta = F.col("type"), F.col("meta")
+    heading = kind.isin("heading-two", "heading-three")
+    held = kind.isin("divider", "attachment", "readonly")
+    whole = F.coalesce(meta["id"].isNotNull() & meta["type"].isNotNull(), F.lit(False))  # a block that the node keeps as it was
+    text = heading | ~(held | kind.isin("checklist", "table"))
+    own_id = F.coalesce("id", F.concat_ws("-", F.lit("b"), F.col("entry_id").cast("string"), F.col("pos").cast("string")))
+    words = lambda c: F.array_join(F.transform(c, lambda r: r["text"]), "")
+    items = F.transform("items", lambda i, n: F.struct(F.coalesce(i["id"], F.concat(F.lit("ci-"), own_id, F.lit("-"), n.cast("string"))).alias("id"), words(i["children"]).alias("text"), F.coalesce(i["done"], F.lit(False)).alias("done"), F.lit(None).cast("int").alias("timer_minutes"), merged_runs(i["children"]).alias("runs")))
+    kept = lambda c: F.when(held & whole, meta[c])
+    table = kind == "table"
+    align = F.when(F.col("align").isin(*ALIGNS), F.col("align"))
     return nodes.select(
-        "entry_id", "pos", F.coalesce("id", F.concat_ws("-", F.lit("b"), "entry_id", "pos")).alias("block_id"), "type", F.when(F.col("type").isin("heading", "paragraph", "quote"), words).alias("text"),
-        F.when(F.col("type") == "heading", F.when(F.coalesce("level", F.lit(1)) == 1, 2).otherwise(F.col("level"))).alias("level"), F.when(F.col("type") == "checklist", items).alias("items"),
-        F.when(F.col("type") == "table", F.transform("children", lambda r: F.split(r, "\t"))).alias("data"),
+        "entry_id", "pos", F.when(held & whole, meta["id"]).when(table, F.coalesce("id", meta["id"], own_id)).otherwise(own_id).alias("block_id"),
+        F.when(heading, "heading").when(held, F.when(whole, meta["type"]).otherwise("divider")).when(kind.isin("quote", "checklist", "table"), kind).otherwise("paragraph").alias("type"),
+        F.when(text, F.coalesce(words(F.col("children")), F.lit(""))).alias("text"), F.when(kind == "heading-two", 2).when(kind == "heading-three", 3).alias("level"), F.when(text, merged_runs(F.col("children"))).alias("runs"),
+        F.when(table, F.when(meta["type"] == "table", F.coalesce(meta["data"], F.array().cast("array<array<string>>"))).otherwise(F.array().cast("array<array<string>>"))).otherwise(kept("data")).alias("data"), kept("caption").alias("caption"),
+        F.when(table, F.coalesce(F.when(meta["type"] == "table", meta["header_row"]), F.lit(True))).otherwise(kept("header_row")).alias("header_row"), kept("attachment_id").alias("attachment_id"), kept("label").alias("label"),
+        F.when(kind == "checklist", F.coalesce(items, F.array().cast(ITEMS))).alias("items"), F.when(heading, F.coalesce("locked", F.lit(False))).otherwise(kept("locked")).alias("locked"),
+        F.when(text | (kind == "checklist"), align).otherwise(kept("align")).alias("align"), kept("updated_ts").alias("updated_ts"), kept("updated_by").alias("updated_by"),
     )
 
 

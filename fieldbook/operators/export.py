@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow.fs import FileSystem, LocalFileSystem
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -112,10 +117,44 @@ def printable(entries: DataFrame, blocks: DataFrame, attachments: DataFrame, exp
     return whole.select("experiment_id", F.concat(safe_file_name(F.col("experiment_title")), F.lit(".html")).alias("name"), page.alias("html"))
 
 
-def write_bundle(files: DataFrame, root: str) -> None:
-    """Write files (folder, name, content) as text under root/folder=.../name=.../; each ends with one line's end."""
-    body = F.regexp_replace("content", "\n$", "").alias("value")
-    files.select("folder", "name", body).write.mode("overwrite").partitionBy("folder", "name").text(root)
+def bundle(entries: DataFrame, blocks: DataFrame, attachments: DataFrame, experiments: DataFrame, projects: DataFrame, exported_at: str, blobs: DataFrame | None = None) -> DataFrame:
+    """(path, content): all files of all experiments' folders: the experiment's Markdown, manifest.json, entries/ and, with blobs (id, content), attachments/."""
+    tables = (entries, blocks, attachments, experiments, projects)
+    whole = experiment_markdown(*tables, exported_at)
+    folders = whole.select("experiment_id", "folder")
+    texts = whole.select("folder", "name", F.encode("content", "UTF-8").alias("content"))
+    manifest = manifests(entries, attachments, experiments, projects, exported_at).select("experiment_id", F.lit("manifest.json").alias("name"), F.encode("manifest", "UTF-8").alias("content"))
+    own = entry_files(entries, blocks, attachments).select("experiment_id", F.concat(F.lit("entries/"), "name").alias("name"), F.encode("content", "UTF-8").alias("content"))
+    parts = manifest.unionByName(own)
+    if blobs is not None:
+        held = attachments.join(blobs, "id").join(entries.select(F.col("id").alias("entry_id"), "experiment_id"), "entry_id")
+        parts = parts.unionByName(held.select("experiment_id", export_path(F.col("id"), F.col("filename")).alias("name"), "content"))
+    files = texts.unionByName(parts.join(folders, "experiment_id").select("folder", "name", "content"))
+    return files.select(F.concat_ws("/", "folder", "name").alias("path"), "content")
+
+
+def write_bundle(files: DataFrame, root: str) -> DataFrame:
+    """Write files (path, content binary) under root, a folder or URI that all executors share; (path, bytes) of what was written.
+
+    Each file is written beside its place and then moved there, so that a
+    repeated task leaves whole files.
+    """
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = FileSystem.from_uri(root) if "://" in root else (LocalFileSystem(), root)
+        for batch in batches:
+            sizes = []
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                target = f"{base}/{path}"
+                store.create_dir(target.rpartition("/")[0], recursive=True)
+                draft = f"{target}.{uuid.uuid4().hex}"
+                with store.open_output_stream(draft) as out:
+                    out.write(content)
+                store.move(draft, target)
+                sizes.append(len(content))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64())], names=["path", "bytes"])
+
+    return files.select("path", "content").mapInArrow(put, "path string, bytes long")
 
 
 def write_blobs(attachments: DataFrame, blobs: DataFrame, root: str) -> None:

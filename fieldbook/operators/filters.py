@@ -18,7 +18,7 @@ FILE_TYPES = ["file", "raw", "pdf"]
 class EntryFilter:
     """What is selected; the defaults select everything."""
 
-    project: str = "all"
+    project: str | int = "all"
     experiment: str = "all"
     project_tags: list[str] = field(default_factory=list)
     experiment_tags: list[str] = field(default_factory=list)
@@ -28,10 +28,16 @@ class EntryFilter:
     days: tuple[date, date] | None = None
 
 
-def in_project(project: str) -> Column:
+def in_project(project: str | int) -> Column:
     return F.lit(True) if project == "all" else F.col("project_id") == project
 
 
+def on_day(ts: Column, day: date) -> Column:
+    """Whether a time without zone falls on a date, as a range that reaches the scan."""
+    begin = F.to_timestamp_ntz(F.lit(f"{day.isoformat()} 00:00:00"))
+    return (ts >= begin) & (ts < begin + F.expr("INTERVAL 1 DAY"))
+
+
 def in_experiment(experiment: str) -> Column:
     """'all', 'none' (null or empty), or one id."""
     if experiment == "all":

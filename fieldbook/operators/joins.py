@@ -4,21 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from fieldbook.sources.notebook import LOCKED_LABELS
 
 
 def first_by_id(table: DataFrame) -> DataFrame:
-    """One row for each id, the last in order of seq; where a table has none, any."""
-    order = F.desc("seq") if "seq" in table.columns else F.lit(0)
-    return table.withColumn("_n", F.row_number().over(Window.partitionBy("id").orderBy(order))).where("_n = 1").drop("_n")
+    """One row for each id: the first in the order of seq, else of the table's other columns."""
+    rest = [c for c in table.columns if c not in ("id", "seq")]
+    row = F.struct(*(["seq"] if "seq" in table.columns else []), *rest)
+    return table.groupBy("id").agg(F.min(row).alias("row")).select("id", "row.*").select(*table.columns)
 
 
 def breadcrumbs(entries: DataFrame, experiments: DataFrame, projects: DataFrame) -> DataFrame:
-    """entries with project_title and experiment_title, null where there is none."""
-    e = experiments.select(F.col("id").alias("experiment_id"), F.col("title").alias("experiment_title"))
-    p = projects.select(F.col("id").alias("project_id"), F.col("title").alias("project_title"))
+    """entries with project_title and experiment_title, null where there is none; of rows of one id the first counts."""
+
+    def titles(table: DataFrame, name: str) -> DataFrame:
+        first = first_by_id(table.select("id", "title", *[c for c in ("seq",) if c in table.columns]))
+        return first.select(F.col("id").alias(f"{name}_id"), F.col("title").alias(f"{name}_title"))
+
+    e, p = titles(experiments, "experiment"), titles(projects, "project")
     return entries.join(e, "experiment_id", "left").join(p, "project_id", "left")
 
 
@@ -32,6 +36,17 @@ def attachments_of(attachments: DataFrame, entries: DataFrame) -> DataFrame:
     return attachments.join(entries.select(F.col("id").alias("entry_id")), "entry_id", "left_semi")
 
 
+def without_attachments(entries: DataFrame, attachments: DataFrame) -> DataFrame:
+    """The entries that no attachment belongs to."""
+    return entries.join(attachments.select(F.col("entry_id").alias("id")), "id", "left_anti")
+
+
+def ids_in_order(entries: DataFrame, by: str = "experiment_id") -> DataFrame:
+    """(by, ids): the ids of each experiment's entries in the order of their creation."""
+    own = entries.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("created_ts", "seq", "id"))).alias("e"))
+    return own.select(by, F.transform("e", lambda x: x["id"]).alias("ids"))
+
+
 def attachment_text(entries: DataFrame, attachments: DataFrame) -> DataFrame:
     """(id, attachments): file names and sample ids of each entry's attachments in order, '' without any."""
     word = F.trim(F.concat_ws(" ", "filename", "sample_id"))
@@ -52,10 +67,15 @@ def in_order(ids: DataFrame, entries: DataFrame) -> DataFrame:
 
 
 def updated(table: DataFrame, changes: DataFrame, now=None) -> DataFrame:
-    """table with the non-null values of changes (id, some of its columns) put in by id, and last_edited_ts stamped if now is given."""
-    columns = [c for c in changes.columns if c != "id"]
-    new = changes.select("id", F.lit(True).alias("_hit"), *[F.col(c).alias(f"_new_{c}") for c in columns])
-    out = table.join(new, "id", "left").withColumns({c: F.coalesce(f"_new_{c}", c) for c in columns})
+    """table with the values of changes (id, some of its columns) put in by id, and last_edited_ts stamped if now is given.
+
+    A null clears a value. Where changes have a column given (array of names),
+    each row puts in only the columns it names; ids of changes are unique.
+    """
+    columns = [c for c in changes.columns if c not in ("id", "given")]
+    given = F.col("given") if "given" in changes.columns else F.array(*[F.lit(c) for c in columns]).cast("array<string>")
+    new = changes.select("id", F.lit(True).alias("_hit"), given.alias("_given"), *[F.col(c).alias(f"_new_{c}") for c in columns])
+    out = table.join(new, "id", "left").withColumns({c: F.when(F.array_contains("_given", c), F.col(f"_new_{c}")).otherwise(F.col(c)) for c in columns})
     if now is not None:
         out = out.withColumn("last_edited_ts", F.when(F.col("_hit"), now).otherwise(F.col("last_edited_ts")))
     return out.select(*table.columns)

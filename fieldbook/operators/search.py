@@ -69,23 +69,28 @@ def search_documents(entries: DataFrame, blocks: DataFrame, attachments: DataFra
 
 
 def terms_of(text: Column) -> Column:
-    """Lower-case words, parted at white space and hyphens, without marks at their ends."""
-    words = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\s\-]+")
-    clean = F.transform(words, lambda w: F.regexp_replace(w, r"^\W+|\W+$", ""))
-    return F.filter(clean, lambda w: w != "")
+    """Lower-case words, parted at white space and hyphens, without marks at their ends; some may be empty.
 
+    Marks that stand beside a separator part words together with it, so that
+    each text takes two passes and its words none.
+    """
+    return F.split(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"^\W+|\W+$", ""), r"\W*[\s\-]\W*")
 
-def index(documents: DataFrame, fields: list[str] = FIELDS, stop_words: frozenset[str] = STOP_WORDS, stem: bool = True) -> DataFrame:
-    """(id, field, term, tf): how often each term stands in each field of each document."""
 
-    def own(field: str) -> Column:
-        return F.transform(terms_of(F.col(field)), lambda w: F.struct(F.lit(field).alias("field"), w.alias("term")))
+def words(documents: DataFrame, fields: list[str] = FIELDS, stop_words: frozenset[str] = STOP_WORDS, only: list[str] | None = None) -> DataFrame:
+    """(id, field, term) of every word that is no stop word, or of the words `only`, for which other texts are not parted."""
+    if only is not None:
+        held = reduce(Column.__or__, [F.contains(F.lower(F.coalesce(f, F.lit(""))), F.lit(w)) for f in fields for w in only], F.lit(False))
+        return words(documents.where(held), fields, stop_words).where(F.col("term").isin(only))
+    own = F.array(*[F.struct(F.lit(f).alias("field"), terms_of(F.col(f)).alias("terms")) for f in fields])
+    each = documents.select("id", F.explode(own).alias("f")).select("id", "f.field", F.explode("f.terms").alias("term"))
+    out = each.where("term <> ''")
+    return out.where(~F.col("term").isin(sorted(stop_words))) if stop_words else out
 
-    each = F.flatten(F.array(*[own(f) for f in fields]))
-    rows = documents.select("id", F.explode(each).alias("t")).select("id", "t.*")
-    if stop_words:
-        rows = rows.where(~F.col("term").isin(sorted(stop_words)))
-    counted = rows.groupBy("id", "field", "term").agg(F.count("*").alias("tf"))
+
+def index(documents: DataFrame, fields: list[str] = FIELDS, stop_words: frozenset[str] = STOP_WORDS, stem: bool = True) -> DataFrame:
+    """(id, field, term, tf): how often each term stands in each field of each document."""
+    counted = words(documents, fields, stop_words).groupBy("id", "field", "term").agg(F.count("*").alias("tf"))
     if stem:
         stems = counted.select("term").distinct().withColumn("stem", stemmed("term"))
         counted = counted.join(stems, "term").groupBy("id", "field", F.col("stem").alias("term")).agg(F.sum("tf").alias("tf"))
@@ -130,14 +135,18 @@ def _fits(c: Clause) -> Column:
     if "*" in c.term:
         hit = term.rlike("^" + ".*".join(re.escape(p) for p in c.term.split("*")) + "$")
     elif c.edits:
-        hit = F.levenshtein(term, F.lit(c.term)) <= c.edits
+        hit = (F.abs(F.length(term) - len(c.term)) <= c.edits) & (F.levenshtein(term, F.lit(c.term)) <= c.edits)
     else:
         hit = term == c.term
     return hit & (F.col("field") == c.field) if c.field else hit
 
 
 def search(entries: DataFrame, indexed: DataFrame, query: str, fields: list[str] = FIELDS, stem: bool = True) -> DataFrame:
-    """(id) of the entries that match; a blank query matches all, a broken one none."""
+    """(id) of the entries that match; a blank query matches all, a broken one none.
+
+    indexed is an index, or the words themselves where no stems are asked for:
+    only words that fit the query are grouped then.
+    """
     if not query.strip():
         return entries.select("id")
     try:
@@ -158,18 +167,31 @@ def search(entries: DataFrame, indexed: DataFrame, query: str, fields: list[str]
     return found.where(keep).select("id")
 
 
-def ranked(indexed: DataFrame, terms: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(id, score): BM25 of some terms over all fields together; an extension."""
-    lengths = indexed.groupBy("id").agg(F.sum("tf").alias("n"))
+def ranked(indexed: DataFrame, terms: list[str], lengths: DataFrame | None = None, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(id, score): BM25 of some terms over all fields together; an extension.
+
+    lengths (id, n) of all documents follow from an index (id, term, tf); with
+    them given, as from word_counts, the index needs no more than the terms.
+    """
+    if lengths is None:
+        lengths = indexed.groupBy("id").agg(F.sum("tf").alias("n"))
     corpus = lengths.agg(F.count("*").alias("docs"), F.avg("n").alias("mean"))
     hits = indexed.where(F.col("term").isin(terms)).groupBy("id", "term").agg(F.sum("tf").alias("tf"))
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    rows = hits.join(F.broadcast(df), "term").join(lengths, "id").join(F.broadcast(corpus))
+    rows = hits.join(F.broadcast(df), "term").join(lengths, "id").join(F.broadcast(corpus))  # a row for each term asked for, and one
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("n") / F.col("mean")))
     return rows.groupBy("id").agg(F.sum(part).alias("score"))
 
 
+def word_counts(documents: DataFrame, fields: list[str] = FIELDS, stop_words: frozenset[str] = STOP_WORDS) -> DataFrame:
+    """(id, n): how many words each document has; documents without any are left out."""
+    if stop_words:
+        return words(documents, fields, stop_words).groupBy("id").agg(F.count("*").alias("n"))
+    n = reduce(Column.__add__, [F.size(F.array_remove(terms_of(F.col(f)), "")) for f in fields])
+    return documents.select("id", n.cast("long").alias("n")).where("n > 0")
+
+
 def found_terms(text: Column, patterns: list[str]) -> Column:
     """Distinct ids in a text by patterns, an extension."""
     return F.array_distinct(F.flatten(F.array(*[F.regexp_extract_all(text, F.lit(p), F.lit(0)) for p in patterns])))

@@ -7,12 +7,16 @@ and pages texts and paths.
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from fieldbook.functions import arrays, blocks, text
 from fieldbook.operators import collections, export, filters, joins, search
 from fieldbook.plans.catalog import query
+from fieldbook.sources.notebook import SCHEMAS, with_seeds
 from fieldbook.streaming import changes
 
 
@@ -41,7 +45,7 @@ def conversation_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = lambda t: F.lit(None).cast(t)
     return table(spark, sf_dir, "conversations").select(
         F.col("conv_id").alias("entry_id"), F.col("turn").cast("int").alias("pos"), F.concat_ws("-", F.lit("b"), "conv_id", "turn").alias("block_id"), kind.alias("type"), F.when(F.col("role") == "user", 2).alias("level"), "text",
-        none("array<array<string>>").alias("data"), none("string").alias("caption"), none("boolean").alias("header_row"), none("string").alias("label"), none("array<struct<id:string,text:string,done:boolean>>").alias("items"), none("string").alias("attachment_id"), none("boolean").alias("locked"),
+        none("array<array<string>>").alias("data"), none("string").alias("caption"), none("boolean").alias("header_row"), none("string").alias("label"), none(arrays.ITEMS).alias("items"), none("string").alias("attachment_id"), none("boolean").alias("locked"),
     )
 
 
@@ -54,7 +58,7 @@ def queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as changes: errors have failed, clicks are pending, the rest are synced."""
     status = F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "click", "pending").otherwise("synced")
     tried = F.when(status == "pending", 0).otherwise(1)
-    return table(spark, sf_dir, "events").select(F.concat(F.lit("chg-"), F.col("event_id").cast("string")).alias("id"), F.col("user_id").alias("entry_id"), status.alias("status"), F.col("ts").cast("timestamp").alias("updated_ts"), tried.alias("attempts"), F.lit(None).cast("timestamp").alias("last_tried_ts"), F.lit(None).cast("string").alias("last_error"))
+    return table(spark, sf_dir, "events").select(F.concat(F.lit("chg-"), F.col("event_id").cast("string")).alias("id"), (-F.col("event_id")).alias("seq"), F.col("user_id").alias("entry_id"), status.alias("status"), F.col("ts").cast("timestamp").alias("updated_ts"), tried.alias("attempts"), F.lit(None).cast("timestamp").alias("last_tried_ts"), F.lit(None).cast("string").alias("last_error"))
 
 
 @query(
@@ -69,15 +73,13 @@ def queue(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def filtered_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries of one project with one tag and an image, with their breadcrumbs."""
-    images = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'")
-    return (
-        table(spark, sf_dir, "orders")
-        .where("o_orderpriority = '1-URGENT'")
-        .join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-        .join(table(spark, sf_dir, "nation").where("n_nationkey = 0"), F.col("c_nationkey") == F.col("n_nationkey"))
-        .join(images, F.col("o_orderkey") == F.col("l_orderkey"), "left_semi")
-        .select(F.col("o_orderkey").alias("entry_id"), F.col("c_name").alias("experiment"), F.col("n_name").alias("project"), F.col("o_orderpriority").alias("tag"), F.to_date("o_orderdate").alias("date_bucket"))
-    )
+    customers = table(spark, sf_dir, "customer")
+    owner = customers.select(F.col("c_custkey").alias("experiment_id"), F.col("c_nationkey").alias("project_id"))
+    x = customers.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("title"))
+    p = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("title"))
+    by = filters.EntryFilter(project=0, experiment_tags=["1-URGENT"], has_image=True)
+    found = filters.filtered(entries(spark, sf_dir).join(owner, "experiment_id"), attachments(spark, sf_dir), by)
+    return joins.breadcrumbs(found, x, p).select(F.col("id").alias("entry_id"), F.col("experiment_title").alias("experiment"), F.col("project_title").alias("project"), "tag", "date_bucket")
 
 
 def _filter_query(name: str, by: filters.EntryFilter, condition: str) -> None:
@@ -95,15 +97,12 @@ _filter_query("entries_all_tags", filters.EntryFilter(project_tags=["F", "2-HIGH
 @query("entries_of_day", "SELECT o_orderkey AS id FROM orders WHERE CAST(o_orderdate AS DATE) = DATE '1997-01-01'")
 def entries_of_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One date's entries (F7); the range on the raw column reaches the scan."""
-    day = F.to_timestamp_ntz(F.lit("1997-01-01 00:00:00"))
-    return table(spark, sf_dir, "orders").where((F.col("o_orderdate") >= day) & (F.col("o_orderdate") < day + F.expr("INTERVAL 1 DAY"))).select(F.col("o_orderkey").alias("id"))
+    return table(spark, sf_dir, "orders").where(filters.on_day(F.col("o_orderdate"), date(1997, 1, 1))).select(F.col("o_orderkey").alias("id"))
 
 
 @query("entries_in_range", "SELECT o_orderkey AS id FROM orders WHERE CAST(o_orderdate AS DATE) BETWEEN DATE '1996-01-01' AND DATE '1996-01-30'")
 def entries_in_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A range of dates, an extension."""
-    from datetime import date
-
     return filters.filtered(entries(spark, sf_dir), attachments(spark, sf_dir), filters.EntryFilter(days=(date(1996, 1, 1), date(1996, 1, 30)))).select("id")
 
 
@@ -166,8 +165,7 @@ def entry_attachments_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("anti_missing_attachments", "SELECT o_orderkey AS id FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")
 def anti_missing_attachments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries without an attachment (J7's shape)."""
-    e = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"))
-    return e.join(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id")), "id", "left_anti")
+    return joins.without_attachments(entries(spark, sf_dir).select("id"), attachments(spark, sf_dir))
 
 
 @query(
@@ -186,8 +184,6 @@ def attachments_of_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def seed_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Saved rows, and the seeds that are not saved."""
-    from fieldbook.sources.notebook import with_seeds
-
     saved = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"), F.lit("saved").alias("title")).distinct()
     return with_seeds(saved, table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("title")))
 
@@ -212,7 +208,10 @@ def update_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def ordered_tabs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five tabs left after opening every entry in turn."""
-    own = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("user_id")).agg(F.array_sort(F.collect_list(F.struct("o_orderdate", "o_orderkey"))).alias("opened"))
+    # No more than the last five openings of a user leave a partition; each entry is opened once.
+    last = Window.partitionBy("o_custkey").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey"))
+    few = table(spark, sf_dir, "orders").withColumn("n", F.row_number().over(last)).where("n <= 5")
+    own = few.groupBy(F.col("o_custkey").alias("user_id")).agg(F.array_sort(F.collect_list(F.struct("o_orderdate", "o_orderkey"))).alias("opened"))
     tabs = F.aggregate(F.transform("opened", lambda x: x["o_orderkey"].cast("string")), F.array().cast("array<string>"), lambda acc, x: arrays.opened(acc, x))
     return own.select("user_id", F.array_join(tabs, ",").alias("tabs"))
 
@@ -467,8 +466,8 @@ _TURN = f"CASE role WHEN 'user' THEN '## ' || {_escaped_sql('text')} WHEN 'assis
 def entry_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each conversation's blocks as Markdown."""
     b = conversation_blocks(spark, sf_dir)
-    none = attachments(spark, sf_dir).select(F.col("id").cast("string"), "filename", F.lit(None).cast("string").alias("storage_path"), F.lit(None).cast("string").alias("thumbnail"))
-    return export.entry_markdown(b, none.distinct()).select("entry_id", F.md5(F.encode("md", "UTF-8")).alias("md"))
+    none = spark.createDataFrame([], SCHEMAS["attachments"])
+    return export.entry_markdown(b, none).select("entry_id", F.md5(F.encode("md", "UTF-8")).alias("md"))
 
 
 _TURN_HTML = f"CASE role WHEN 'user' THEN '<h2>' || {_html_sql('text')} || '</h2>' WHEN 'assistant' THEN '<p>' || {_html_sql('text')} || '</p>' ELSE '<blockquote>' || {_html_sql('text')} || '</blockquote>' END"
@@ -478,8 +477,8 @@ _TURN_HTML = f"CASE role WHEN 'user' THEN '<h2>' || {_html_sql('text')} || '</h2
 def entry_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each conversation's blocks as HTML."""
     b = conversation_blocks(spark, sf_dir)
-    none = attachments(spark, sf_dir).select(F.col("id").cast("string"), "filename", F.lit(None).cast("string").alias("storage_path"), F.lit(None).cast("string").alias("thumbnail"))
-    return export.entry_html(b, none.distinct()).select("entry_id", F.md5(F.encode("html", "UTF-8")).alias("html"))
+    none = spark.createDataFrame([], SCHEMAS["attachments"])
+    return export.entry_html(b, none).select("entry_id", F.md5(F.encode("html", "UTF-8")).alias("html"))
 
 
 @query(
@@ -514,8 +513,7 @@ def insert_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def export_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each experiment's entries in the order of creation (O1)."""
-    own = entries(spark, sf_dir).groupBy("experiment_id").agg(F.array_sort(F.collect_list(F.struct("created_ts", "id"))).alias("e"))
-    return own.select("experiment_id", F.array_join(F.transform("e", lambda x: x["id"].cast("string")), ",").alias("ids"))
+    return joins.ids_in_order(entries(spark, sf_dir)).select("experiment_id", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
 
 
 @query(
@@ -536,13 +534,13 @@ def file_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     "dates",
     """
     SELECT event_id, CAST(ts AS DATE) AS bucket, strftime(ts, '%b %-d, %Y') AS day, strftime(ts, '%b %-d, %Y, %I:%M %p') AS full_time,
-           strftime(ts, '%B %Y') AS month, CAST(date_trunc('month', ts) - INTERVAL 1 MONTH AS DATE) AS before FROM events
+           strftime(ts, '%B %Y') AS month, CAST(date_trunc('month', ts) - INTERVAL 1 MONTH AS DATE) AS before, CAST(CAST(ts AS DATE) AS VARCHAR) AS utc FROM events
     """,
 )
 def dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Date buckets and formats."""
+    """Date buckets and formats."""
     ts = F.col("ts").cast("timestamp")
-    return table(spark, sf_dir, "events").select("event_id", text.local_bucket(ts).alias("bucket"), text.long_date(ts).alias("day"), text.long_datetime(ts).alias("full_time"), text.month_title(ts).alias("month"), text.month_shift(F.to_date(F.trunc(ts, "MM")), -1).alias("before"))
+    return table(spark, sf_dir, "events").select("event_id", text.local_bucket(ts).alias("bucket"), text.long_date(ts).alias("day"), text.long_datetime(ts).alias("full_time"), text.month_title(ts).alias("month"), text.month_shift(F.to_date(F.trunc(ts, "MM")), -1).alias("before"), text.utc_bucket(text.iso_text(ts)).alias("utc"))
 
 
 @query("json_field", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, CAST(json_object('k', json_extract(props, '$.k'), 'none', NULL) AS VARCHAR) AS out FROM events")
@@ -552,9 +550,12 @@ def json_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", k.alias("k"), F.to_json(F.struct(k.alias("k"), F.lit(None).cast("string").alias("none")), {"ignoreNullFields": "false"}).alias("out"))
 
 
-def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.concat_ws(" ", "lang", "source").alias("tags"), F.col("text").alias("body"))
-    return search.index(docs, ["tags", "body"], frozenset(), stem=False)
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.concat_ws(" ", "lang", "source").alias("tags"), F.col("text").alias("body"))
+
+
+def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.words(_documents(spark, sf_dir), ["tags", "body"], frozenset())
 
 
 _INDEX_SQL = r"""
@@ -571,7 +572,7 @@ _INDEX_SQL = r"""
 def search_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A query with words that must and must not be there (Q1 Q2 Q3 F8)."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"))
-    return search.search(docs, _index(spark, sf_dir), "+inst -tags:src3", ["tags", "body"], stem=False)
+    return search.search(docs, _words(spark, sf_dir), "+inst -tags:src3", ["tags", "body"], stem=False)
 
 
 @query(
@@ -581,7 +582,7 @@ def search_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 def search_wildcard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wildcards, fields and edits, joined by 'or' (Q3)."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"))
-    return search.search(docs, _index(spark, sf_dir), "thor* tags:src3 oner~1", ["tags", "body"], stem=False)
+    return search.search(docs, _words(spark, sf_dir), "thor* tags:src3 oner~1", ["tags", "body"], stem=False)
 
 
 @query(
@@ -595,7 +596,9 @@ def search_wildcard(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of two terms (Q4 O5), an extension."""
-    return search.ranked(_index(spark, sf_dir), ["inst", "thor"]).select("id", F.round("score", 6).alias("score"))
+    counts = search.word_counts(_documents(spark, sf_dir), ["tags", "body"], frozenset())
+    hits = search.words(_documents(spark, sf_dir), ["tags", "body"], frozenset(), ["inst", "thor"]).withColumn("tf", F.lit(1))
+    return search.ranked(hits, ["inst", "thor"], counts).select("id", F.round("score", 6).alias("score"))
 
 
 @query(

@@ -9,13 +9,12 @@ from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldbook.functions.arrays import united
-from fieldbook.functions.text import attachment_type, basename, has_scheme, new_id, size_label, trimmed, without_scheme
+from fieldbook.functions.arrays import ITEMS, RUNS, listed, united
+from fieldbook.functions.text import attachment_type, basename, has_scheme, long_date, long_datetime, new_id, size_label, trimmed, without_scheme
 
-_RUNS = "array<struct<text:string,bold:boolean,italic:boolean,underline:boolean>>"
 BLOCK = (
-    "block_id string, type string, text string, level int, runs " + _RUNS + ", data array<array<string>>, caption string, header_row boolean, "
-    "attachment_id string, label string, items array<struct<id:string,text:string,done:boolean>>, locked boolean, align string, updated_ts timestamp, updated_by string"
+    "block_id string, type string, text string, level int, runs " + RUNS + ", data array<array<string>>, caption string, header_row boolean, "
+    "attachment_id string, label string, items " + ITEMS + ", locked boolean, align string, updated_ts timestamp, updated_by string"
 )
 SCHEMAS = {
     "users": "id string, name string, email string, role string, settings struct<theme:string,default_lab_id:string,default_project_id:string>",
@@ -28,7 +27,7 @@ SCHEMAS = {
     "attachments": "id string, seq bigint, entry_id string, type string, filename string, filesize string, storage_path string, thumbnail string, linked_region_id string, tag string, sample_id string, "
     "pinned_offline boolean, cached_path string",
     "regions": "id string, entry_id string, label string, block_ids array<string>, linked_attachments array<string>, summary string",
-    "changes": "id string, entry_id string, blocks array<string>, status string, updated_ts timestamp, attempts int, last_tried_ts timestamp, last_error string",
+    "changes": "id string, seq bigint, entry_id string, blocks array<string>, status string, updated_ts timestamp, attempts int, last_tried_ts timestamp, last_error string",
 }
 
 #: Fixed values of the seed.
@@ -56,7 +55,7 @@ def _seed_rows(now: datetime) -> dict[str, list[dict]]:
         if isinstance(body, str):
             blocks.append({**stamp, "block_id": f"b-{short}", "type": "paragraph", "text": body})
         else:
-            blocks.append({**stamp, "block_id": f"b-{short}", "type": "checklist", "items": [(f"c-{short}-{k}", text, False) for k, text in enumerate(body, 1)]})
+            blocks.append({**stamp, "block_id": f"b-{short}", "type": "checklist", "items": [(f"c-{short}-{k}", text, False, None, None) for k, text in enumerate(body, 1)]})
     return {
         "users": [
             {"id": "u1", "name": "Megha Sharma", "email": "megha@northlab.edu", "role": "student", "settings": _SETTINGS},
@@ -108,6 +107,21 @@ def write_version(spark: SparkSession, path: str, version: str = SEED_VERSION) -
     spark.createDataFrame([(version,)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
+#: What a new version of the seed takes away; the theme and the blobs stay.
+RESET = ["entries", "attachments", "projects", "experiments", "project_tags", "experiment_tags", "master_sync_path"]
+
+
+def reset_if_outdated(spark: SparkSession, root: str, version: str = SEED_VERSION) -> bool:
+    """Whether the folder `root` of saved tables was of another version; if so, its tables of RESET are gone, and its version is this one."""
+    if version_matches(spark, f"{root}/version", version):
+        return False
+    for name in RESET:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    write_version(spark, f"{root}/version", version)
+    return True
+
+
 def write_json(table: DataFrame, path: str) -> None:
     """Overwrite a table's JSON lines as a whole."""
     table.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
@@ -128,7 +142,7 @@ def template_blocks(entries: DataFrame, template: str, now: Column) -> DataFrame
             rows.append(F.struct(F.lit("checklist" if todo else "paragraph").alias("type"), F.lit(None if todo else body).cast("string").alias("text"), F.lit(None).cast("int").alias("level"), F.lit(None).cast("boolean").alias("locked"), F.array(*[F.lit(t) for t in todo]).cast("array<string>").alias("todo")))
     placed = entries.select(F.col("id").alias("entry_id"), F.posexplode(F.array(*rows)).alias("pos", "b"))
     block_id = F.concat(F.lit("b-"), F.col("entry_id"), F.lit("-"), F.col("pos").cast("string"))
-    items = F.transform("b.todo", lambda t, i: F.struct(F.concat(F.lit("ci-"), F.col("entry_id"), F.lit("-"), i.cast("string")).alias("id"), t.alias("text"), F.lit(False).alias("done")))
+    items = F.transform("b.todo", lambda t, i: F.struct(F.concat(F.lit("ci-"), F.col("entry_id"), F.lit("-"), i.cast("string")).alias("id"), t.alias("text"), F.lit(False).alias("done"), F.lit(None).cast("int").alias("timer_minutes"), F.lit(None).cast(RUNS).alias("runs")))
     return placed.select("entry_id", "pos", block_id.alias("block_id"), "b.type", "b.text", "b.level", "b.locked", F.when(F.col("b.type") == "checklist", items).alias("items"), now.alias("updated_ts"), F.lit("me").alias("updated_by"))
 
 
@@ -191,14 +205,22 @@ def hydrated(attachments: DataFrame, blobs: DataFrame, files: DataFrame) -> Data
 
 
 def created_entries(wanted: DataFrame, users: DataFrame, now: Column) -> DataFrame:
-    """Entry rows for wanted (id, seq, title, project_id, experiment_id, is_daily, date_bucket), with defaults for title, project and author."""
-    ranked = users.select("id", F.col("settings.default_project_id").alias("project")).withColumn("_n", F.monotonically_increasing_id())
-    second = ranked.agg(F.array_sort(F.collect_list(F.struct("_n", "id", "project"))).alias("u")).select(F.coalesce(F.get("u", F.lit(1))["id"], F.get("u", F.lit(0))["id"], F.lit("me")).alias("author_id"), F.get("u", F.lit(1))["project"].alias("_project"))
-    shown = F.when(F.col("is_daily"), F.concat(F.lit("Quick capture – "), F.date_format(now, "M/d/yyyy, h:mm:ss a"))).otherwise(F.concat(F.lit("Untitled note – "), F.date_format(now, "M/d/yyyy")))
+    """Entry rows for wanted (id, seq, title, project_id, experiment_id, is_daily, date_bucket), with defaults for title, project and author.
+
+    wanted may have project_tags and experiment_tags, which are kept, and
+    quick_capture, which is is_daily without it. The author is the second user
+    in the order of ids, else the first, else 'me'.
+    """
+    given = lambda c, other: F.col(c) if c in wanted.columns else other
+    ranked = users.select("id", F.col("settings.default_project_id").alias("project")).orderBy("id").limit(2)
+    second = ranked.agg(F.array_sort(F.collect_list(F.struct("id", "project"))).alias("u")).select(F.coalesce(F.get("u", F.lit(1))["id"], F.get("u", F.lit(0))["id"], F.lit("me")).alias("author_id"), F.get("u", F.lit(1))["project"].alias("_project"))
+    quick = F.coalesce(given("quick_capture", F.col("is_daily")), F.lit(False))
+    shown = F.when(quick, F.concat(F.lit("Quick capture – "), long_datetime(now))).otherwise(F.concat(F.lit("Untitled note – "), long_date(now)))
     title = F.coalesce(F.nullif(trimmed(F.col("title")), F.lit("")), shown)
     empty = F.array().cast("array<string>")
+    tags = {c: listed(given(c, empty)) for c in ("project_tags", "experiment_tags")}
     return wanted.join(F.broadcast(second)).select(
         F.coalesce("id", new_id("entry-")).alias("id"), "seq", "experiment_id", F.coalesce("project_id", "_project").alias("project_id"), now.alias("created_ts"), now.alias("last_edited_ts"), "author_id", title.alias("title"), "date_bucket", "is_daily",
-        *[empty.alias(c) for c in ("tags", "project_tags", "experiment_tags", "search_terms", "linked_files")],
+        *[tags.get(c, empty).alias(c) for c in ("tags", "project_tags", "experiment_tags", "search_terms", "linked_files")],
     )
 

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.window import Window
 
-from fieldbook.functions.text import fnv1a
+from fieldbook.functions.text import fnv1a, iso_text
 
 EVENT = "change_id string, entry_id string, seq long, kind string, ts timestamp"
 STATE = "change_id string, entry_id string, seq long, status string, attempts int, last_tried_ts timestamp, last_error string"
@@ -20,9 +20,13 @@ OFFLINE = "Offline"
 
 
 def enqueued(updates: DataFrame, now: Column) -> DataFrame:
-    """New changes for updates (entry_id, blocks), pending and not yet tried."""
-    key = F.concat(F.lit("chg-"), F.sha2(F.concat_ws("/", "entry_id", F.concat_ws(",", "blocks"), now.cast("string")), 256).substr(1, 16))
-    return updates.select(key.alias("id"), "entry_id", "blocks", F.lit("pending").alias("status"), now.alias("updated_ts"), F.lit(0).alias("attempts"), F.lit(None).cast("timestamp").alias("last_tried_ts"), F.lit(None).cast("string").alias("last_error"))
+    """New changes for updates (entry_id, blocks, pos), pending and not yet tried; collections.prepended puts them before a queue's.
+
+    An id is chg-time-hash, where the hash follows from the update, so that a
+    retried task makes the same one.
+    """
+    key = F.concat(F.lit("chg-"), iso_text(now), F.lit("-"), F.sha2(F.concat_ws("/", "entry_id", F.concat_ws(",", "blocks"), F.col("pos").cast("string")), 256).substr(1, 16))
+    return updates.select(key.alias("id"), "pos", "entry_id", "blocks", F.lit("pending").alias("status"), now.alias("updated_ts"), F.lit(0).alias("attempts"), F.lit(None).cast("timestamp").alias("last_tried_ts"), F.lit(None).cast("string").alias("last_error"))
 
 
 def fails_first(change_id: Column, attempts: Column) -> Column:
@@ -30,23 +34,30 @@ def fails_first(change_id: Column, attempts: Column) -> Column:
     return (attempts == 0) & (F.pmod(fnv1a(change_id), F.lit(5)) == 0)
 
 
+def would_try(entry: str | None = None, include_failed: bool = True) -> Column:
+    """Whether a sync of one entry's changes, or of all, would try a change."""
+    wanted = F.col("status").isin(["pending", "failed"] if include_failed else ["pending"])
+    return wanted if entry is None else wanted & (F.col("entry_id") == entry)
+
+
 def candidates(changes: DataFrame, entry: str | None = None, include_failed: bool = True) -> DataFrame:
     """The changes that a sync would try."""
-    wanted = ["pending", "failed"] if include_failed else ["pending"]
-    out = changes.where(F.col("status").isin(wanted))
-    return out if entry is None else out.where(F.col("entry_id") == entry)
+    return changes.where(would_try(entry, include_failed))
+
+
+def single_flight(spark: SparkSession, name: str, start: Callable[[], StreamingQuery]) -> StreamingQuery | None:
+    """start() a streaming query of this name, or None while one of this name runs: a second call is dropped."""
+    return None if any(q.name == name for q in spark.streams.active) else start()
 
 
 def synced(changes: DataFrame, now: Column, entry: str | None = None, include_failed: bool = True, online: bool = True, no_fail: bool = False, fail_next: bool = False) -> DataFrame:
     """changes after one sync: what it tried is synced or failed, with one more attempt.
 
     Offline everything fails, no_fail lets everything through, and fail_next
-    refuses the first change, in the order of updated_ts and id.
+    refuses the first change of the queue that is tried: the one of the least
+    seq, which is the newest, as new changes are put before the others.
     """
-    picked = candidates(changes, entry, include_failed).select("id", "updated_ts")
-    first = picked.agg(F.min_by("id", F.struct("updated_ts", "id")).alias("_first"))
-    tried = picked.select("id", F.lit(True).alias("_tried"))
-    out = changes.join(tried, "id", "left").join(F.broadcast(first))
+    hit, out = F.coalesce(would_try(entry, include_failed), F.lit(False)), changes
     if not online:
         error = F.lit(OFFLINE)
     elif no_fail:
@@ -54,8 +65,9 @@ def synced(changes: DataFrame, now: Column, entry: str | None = None, include_fa
     else:
         error = F.when(fails_first(F.col("id"), F.col("attempts")), ERROR)
         if fail_next:
-            error = F.when(F.col("id") == F.col("_first"), FORCED).otherwise(error)
-    hit = F.coalesce("_tried", F.lit(False))
+            first = candidates(changes, entry, include_failed).agg(F.min(F.struct("seq", "id")).alias("_first"))  # one row
+            out = changes.join(F.broadcast(first))
+            error = F.when(F.struct("seq", "id") == F.col("_first"), FORCED).otherwise(error)
     out = out.withColumn("_error", error)
     return out.withColumns(
         {
@@ -78,14 +90,15 @@ def latest(events: DataFrame) -> DataFrame:
     A pending or failed change is tried, a synced one is left alone; the first
     try fails for one id in five, so any second attempt succeeds.
     """
-    by = events.groupBy("change_id").agg(
-        F.max("entry_id").alias("entry_id"), F.max("seq").alias("seq"), F.count_if(F.col("kind") == "attempt").alias("asked"),
-        F.array_sort(F.collect_list(F.when(F.col("kind") == "attempt", F.struct("seq", "ts")))).alias("tries"),
-    )
+    by = events.groupBy("change_id").agg(F.max("entry_id").alias("entry_id"), F.max("seq").alias("seq"), F.count_if(F.col("kind") == "attempt").alias("asked"))
+    # No more than the first two attempts of a change leave a partition.
+    earliest = events.where("kind = 'attempt'").withColumn("n", F.row_number().over(Window.partitionBy("change_id").orderBy("seq", "ts"))).where("n <= 2")
+    tries = earliest.groupBy("change_id").agg(*[F.max(F.when(F.col("n") == k, F.col("ts"))).alias(f"try_{k}") for k in (1, 2)])
+    by = by.join(tries, "change_id", "left")
     bad = fails_first(F.col("change_id"), F.lit(0))
     attempts = F.least(F.col("asked"), F.when(bad, 2).otherwise(1)).cast("int")
     status = F.when(attempts == 0, "pending").when(bad & (attempts == 1), "failed").otherwise("synced")
-    return by.select("change_id", "entry_id", "seq", status.alias("status"), attempts.alias("attempts"), F.get("tries", attempts - 1)["ts"].alias("last_tried_ts"), F.when(status == "failed", ERROR).alias("last_error"))
+    return by.select("change_id", "entry_id", "seq", status.alias("status"), attempts.alias("attempts"), F.when(attempts == 1, F.col("try_1")).when(attempts == 2, F.col("try_2")).alias("last_tried_ts"), F.when(status == "failed", ERROR).alias("last_error"))
 
 
 def sessions(events: DataFrame, key: str, ts: str, gap_seconds: float) -> DataFrame:

@@ -44,6 +44,25 @@ def test_version_gate(spark, tmp_path):
     assert not notebook.version_matches(spark, path, "other")
 
 
+def test_reset_of_an_old_version(spark, book, tmp_path):
+    root = str(tmp_path)
+    for name in ("entries", "theme"):
+        notebook.write_json(book["entries"], f"{root}/{name}")
+    assert notebook.reset_if_outdated(spark, root) and not (tmp_path / "entries").exists() and (tmp_path / "theme").exists()
+    notebook.write_json(book["entries"], f"{root}/entries")
+    assert not notebook.reset_if_outdated(spark, root) and (tmp_path / "entries").exists()
+
+
+def test_files_and_blobs_of_attachments(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_bytes(b"one")
+    got = notebook.read_files(spark, str(tmp_path / "in")).first()
+    assert (got.name, got.bytes, bytes(got.content)) == ("a.txt", 3, b"one")
+    a = spark.createDataFrame([("1", "x y.png"), ("2", "none")], "id string, filename string")
+    export.write_blobs(a, spark.createDataFrame([("1", bytearray(b"z"))], "id string, content binary"), str(tmp_path / "out"))
+    assert [(r.path, bytes(r.content)) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [("attachments/1-x_y.png", b"z")]
+
+
 def test_templates(spark, book, now):
     ids = book["entries"].select(F.lit("e1").alias("id"))
     made = notebook.template_blocks(ids, "guided", now)
@@ -88,6 +107,10 @@ def test_get_or_create(spark):
     known = spark.createDataFrame([("p1", "My Plan")], "id string, title string")
     got = collections.get_or_create(known, spark.createDataFrame([("  my   plan ",), ("New\tone",), ("new one",), (" ",)], "title string"), [], "proj-").collect()
     assert sorted(r.title for r in got) == ["My Plan", "New one"]
+    known = spark.createDataFrame([("p1", " Wide  Plan ", ["t"])], "id string, title string, tags array<string>")
+    wanted = spark.createDataFrame([("wide plan",)], "title string")
+    got = collections.get_or_create(known, wanted, [], "proj-", {"tags": F.array().cast("array<string>")}).orderBy("id").collect()
+    assert [(r.title, r.tags) for r in got] == [(" Wide  Plan ", ["t"]), ("wide plan", [])]  # inner white space of a table's own title counts
 
 
 def test_daily_is_reused(spark, book):
@@ -117,7 +140,10 @@ def test_hydrate(spark):
 def test_new_entries(spark, book, now):
     wanted = spark.sql("SELECT 'n' AS id, 5L AS seq, '  ' AS title, CAST(NULL AS string) AS project_id, CAST(NULL AS string) AS experiment_id, false AS is_daily, date'2025-12-26' AS date_bucket")
     row = notebook.created_entries(wanted, book["users"], now).first()
-    assert (row.title, row.project_id, row.author_id) == ("Untitled note – 12/26/2025", "proj-guided", "u2")
+    assert (row.title, row.project_id, row.author_id, row.project_tags) == ("Untitled note – Dec 26, 2025", "proj-guided", "u2", [])
+    quick = wanted.withColumn("is_daily", F.lit(True)).withColumn("project_tags", F.array(F.lit("mine")))
+    row = notebook.created_entries(quick, book["users"].where("id = 'u1'"), now).first()
+    assert (row.title, row.author_id, row.project_tags) == ("Quick capture – Dec 26, 2025, 01:00 PM", "u1", ["mine"])
 
 
 def test_toggle_and_insert(spark, book, now):
@@ -168,10 +194,17 @@ def test_bundle(spark, book, tmp_path):
     m = json.loads(export.manifests(book["entries"], book["attachments"], book["experiments"], book["projects"], at).first().manifest)
     assert m["scope"]["projectTitle"] == "Guided lab notebook" and m["attachments"] == [] and m["entries"][0]["createdDatetime"] == "2025-12-26T12:00:00.000Z"
     assert "<h2>Context</h2>" in export.printable(*args).first().html
-    files = export.entry_files(book["entries"], book["blocks"], book["attachments"])
-    assert files.first().name == "2025-12-26_entry-guided.md"
-    export.write_bundle(files.withColumn("folder", F.lit("f")), str(tmp_path / "b"))
-    assert spark.read.text(str(tmp_path / "b"), wholetext=True).count() == 1
+    assert export.entry_files(book["entries"], book["blocks"], book["attachments"]).first().name == "2025-12-26_entry-guided.md"
+    a = spark.createDataFrame([("a1", 0, "entry-guided", "image", "p q.png"), ("a2", 1, "entry-guided", "file", "gone")], "id string, seq bigint, entry_id string, type string, filename string")
+    a = a.unionByName(book["attachments"], allowMissingColumns=True)
+    blobs = spark.createDataFrame([("a1", bytearray(b"\x89PNG"))], "id string, content binary")
+    files = export.bundle(book["entries"], book["blocks"], a, book["experiments"], book["projects"], at, blobs)
+    written = {r.path: r.bytes for r in export.write_bundle(files, str(tmp_path / "b")).collect()}
+    top = tmp_path / "b" / "notebook_2025-12-26_Guided_template_entry"
+    there = {str(p.relative_to(tmp_path / "b")): p.stat().st_size for p in top.rglob("*") if p.is_file()}
+    assert there == written and sorted(p.name for p in top.rglob("*") if p.is_file()) == ["2025-12-26_entry-guided.md", "Guided_template_entry.md", "a1-p_q.png", "manifest.json"]
+    assert (top / "attachments" / "a1-p_q.png").read_bytes() == b"\x89PNG"
+    assert (top / "Guided_template_entry.md").read_text() == row.content
 
 
 def test_block_kinds(spark):
@@ -202,7 +235,7 @@ def test_search(spark, book):
 def test_queue(spark, now):
     ids = [f"chg-{k}" for k in range(40)]
     then = datetime(2025, 12, 26, tzinfo=UTC)
-    q = spark.createDataFrame([(i, "e", ["b"], "pending", then, 0, None, None) for i in ids], notebook.SCHEMAS["changes"])
+    q = spark.createDataFrame([(i, -k, "e", ["b"], "pending", then, 0, None, None) for k, i in enumerate(ids)], notebook.SCHEMAS["changes"])
     bad = {i for i in ids if changes._fnv(i) % 5 == 0}
     one = changes.synced(q, now)
     assert {r.id for r in one.where("status = 'failed'").collect()} == bad and bad
@@ -211,7 +244,13 @@ def test_queue(spark, now):
     assert two.where("status = 'synced'").count() == 40 and two.where("attempts = 2").count() == len(bad)
     assert changes.synced(q, now, online=False).where("last_error = 'Offline'").count() == 40
     assert changes.synced(q, now, no_fail=True).where("status = 'synced'").count() == 40
-    assert changes.synced(q, now, no_fail=False, fail_next=True).where("last_error = 'Mock API error (forced)'").count() == 1
+    forced = changes.synced(q, now, no_fail=False, fail_next=True).where("last_error = 'Mock API error (forced)'")
+    assert [r.id for r in forced.collect()] == ["chg-39"]  # the newest
+    twice = q.unionByName(q.limit(1))
+    assert changes.synced(twice, now).count() == 41
+    new = spark.createDataFrame([("e", ["b1"], 0), ("e", ["b2"], 1)], "entry_id string, blocks array<string>, pos int")
+    queue = collections.prepended(q, changes.enqueued(new, now)).orderBy("seq").limit(3).collect()
+    assert [r.blocks for r in queue] == [["b1"], ["b2"], ["b"]] and queue[0].id.startswith("chg-2025-12-26T13:00:00.000Z-") and queue[2].id == "chg-39"
 
 
 def test_stream_agrees_with_batch(spark, tmp_path):
@@ -224,6 +263,25 @@ def test_stream_agrees_with_batch(spark, tmp_path):
     assert got == want
 
 
+def test_one_stream_of_a_name_at_a_time(spark, tmp_path):
+    start = lambda: spark.readStream.format("rate").load().writeStream.format("memory").queryName("once").start()
+    first = changes.single_flight(spark, "once", start)
+    try:
+        assert changes.single_flight(spark, "once", start) is None
+    finally:
+        first.stop()
+    again = changes.single_flight(spark, "once", start)
+    again.stop()
+
+
+def test_keep_latest(spark, tmp_path):
+    row = lambda k, seq, status: (k, "e", seq, status, 1, None, None)
+    path = str(tmp_path / "states")
+    spark.createDataFrame([row("a", 1, "failed"), row("b", 5, "synced")], changes.STATE).write.parquet(path)
+    got = changes.keep_latest(spark.createDataFrame([row("a", 2, "synced"), row("b", 4, "failed")], changes.STATE), path)
+    assert {(r.change_id, r.seq, r.status) for r in got.collect()} == {("a", 2, "synced"), ("b", 5, "synced")}
+
+
 def test_merge_of_versions(spark):
     base, mine, theirs = (spark.createDataFrame(rows, "entry_id string, block_id string, text string") for rows in ([("e", "1", "a"), ("e", "2", "b"), ("e", "3", "c")], [("e", "1", "A"), ("e", "2", "b"), ("e", "3", "x")], [("e", "1", "a"), ("e", "2", "B"), ("e", "3", "y")]))
     got = {r.block_id: (r.text, r.conflict) for r in joins.merged_versions(base, mine, theirs, ["entry_id", "block_id"], "text").collect()}
@@ -242,6 +300,12 @@ def test_blobs(spark, tmp_path):
 def test_nodes_and_updates(book, now):
     back = collections.from_nodes(collections.to_nodes(book["blocks"])).orderBy("pos").collect()
     want = book["blocks"].orderBy("pos").collect()
-    assert [(r.block_id, r.type, r.text, r.level) for r in back] == [(r.block_id, r.type, r.text, r.level) for r in want]
+    assert [(r.block_id, r.type, r.text, r.level, r.locked, r["items"]) for r in back] == [(r.block_id, r.type, r.text, r.level, r.locked, r["items"]) for r in want]
+    bare = book["blocks"].sparkSession.sql("SELECT 'e' AS entry_id, 3 AS pos, CAST(NULL AS string) AS id, 'table' AS type, CAST(NULL AS boolean) AS locked, 'sideways' AS align").withColumns({c: F.lit(None).cast(t) for c, t in collections.to_nodes(book["blocks"]).dtypes if c in ("children", "items", "meta")})
+    row = collections.from_nodes(bare).first()
+    assert (row.block_id, row.type, row.data, row.header_row, row.align) == ("b-e-3", "table", [], True, None)
+    row = collections.from_nodes(bare.withColumn("type", F.lit("attachment"))).first()
+    assert (row.block_id, row.type) == ("b-e-3", "divider")
+    assert collections.from_nodes(bare.withColumn("type", F.lit("other"))).first().type == "paragraph"
     edited = collections.update_block(book["blocks"], "b-obs", {"text": F.lit("seen")}, now).where("text = 'seen'").collect()
     assert [(r.block_id, r.updated_by, r.updated_ts.hour) for r in edited] == [("b-obs", "me", 13)]

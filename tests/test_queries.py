@@ -5,7 +5,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from fieldbook.plans import notebook_queries  # noqa: F401
+from fieldbook.plans import block_queries, notebook_queries  # noqa: F401
 from fieldbook.plans.catalog import QUERIES, SQL
 
 TABLES = Path("/root/testdata/sf0.001")
