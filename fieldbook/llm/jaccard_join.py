@@ -27,8 +27,8 @@ from fieldbook.llm.bytehash import mix, shingle_sets
 from fieldbook.llm.common import Scratch, connected, dealt_join
 
 #: Shingles and members of a cell that a task verifies at once; heavier cells are cut into blocks.
-CELL_SHINGLES = 1 << 19
-CELL_MEMBERS = 1024
+CELL_SHINGLES = 1 << 18
+CELL_MEMBERS = 256
 #: Columns of the incidence matrix that are multiplied at once.
 COLUMNS = 4096
 

@@ -11,6 +11,7 @@ no padding. Nothing is shuffled.
 from __future__ import annotations
 
 import heapq
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -147,8 +148,9 @@ class Tokenizer:
 
 
 def tokenizer(path: str) -> Tokenizer:
-    """This worker's tokenizer, read once."""
+    """This worker's tokenizer, read once; it runs in the task's own thread, since Spark deals out the cores."""
     if path not in _workers:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         _workers[path] = Tokenizer(path)
     return _workers[path]
 
