@@ -293,8 +293,8 @@ def changes_of_entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.candidates(queue(spark, sf_dir), entry=7).select("id", "status")
 
 
-@query("open_changes", "SELECT user_id AS entry_id, count(*) AS n FROM events WHERE event_type IN ('click', 'error') GROUP BY user_id")
-def open_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("unsynced_changes", "SELECT user_id AS entry_id, count(*) AS n FROM events WHERE event_type IN ('click', 'error') GROUP BY user_id")
+def unsynced_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The queue without what is synced (ST12), an extension."""
     return changes.cleared(queue(spark, sf_dir)).groupBy("entry_id").agg(F.count("*").alias("n"))
 
@@ -331,8 +331,8 @@ def enqueued_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collections.prepended(old, changes.enqueued(updates, F.lit(NOW).cast("timestamp"))).select("id", "seq", "entry_id", "status", "attempts")
 
 
-@query("open_tabs", "SELECT pos, o_orderkey AS id, o_orderpriority AS tag FROM (VALUES (0, 5), (1, 1), (3, 3)) t(pos, k) JOIN orders ON o_orderkey = k")
-def open_tabs(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("tabs_in_order", "SELECT pos, o_orderkey AS id, o_orderpriority AS tag FROM (VALUES (0, 5), (1, 1), (3, 3)) t(pos, k) JOIN orders ON o_orderkey = k")
+def tabs_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries in the order of a list of ids; an id without an entry is left out."""
     ids = spark.range(1).select(F.array(*[F.lit(x).cast("long") for x in (5, 1, -9, 3)]).alias("tabs"))
     return joins.in_order(ids, entries(spark, sf_dir)).select("pos", "id", "tag")
