@@ -72,16 +72,14 @@ def terms_of(text: Column) -> Column:
     """Lower-case words, parted at white space and hyphens, without marks at their ends; some may be empty.
 
     Marks that stand beside a separator part words together with it, so that
-    each text takes two passes and its words none.
+    each text takes two passes and its words none. A run of marks is looked at
+    from its start alone, or long ones would take time in their square.
     """
-    return F.split(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"^\W+|\W+$", ""), r"\W*[\s\-]\W*")
+    return F.split(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"^\W+|(?=\W)(?<!\W)\W+$", ""), r"(?=\W)(?<!\W)\W*[\s\-]\W*")
 
 
-def words(documents: DataFrame, fields: list[str] = FIELDS, stop_words: frozenset[str] = STOP_WORDS, only: list[str] | None = None) -> DataFrame:
-    """(id, field, term) of every word that is no stop word, or of the words `only`, for which other texts are not parted."""
-    if only is not None:
-        held = reduce(Column.__or__, [F.contains(F.lower(F.coalesce(f, F.lit(""))), F.lit(w)) for f in fields for w in only], F.lit(False))
-        return words(documents.where(held), fields, stop_words).where(F.col("term").isin(only))
+def words(documents: DataFrame, fields: list[str] = FIELDS, stop_words: frozenset[str] = STOP_WORDS) -> DataFrame:
+    """(id, field, term) of every word that is no stop word."""
     own = F.array(*[F.struct(F.lit(f).alias("field"), terms_of(F.col(f)).alias("terms")) for f in fields])
     each = documents.select("id", F.explode(own).alias("f")).select("id", "f.field", F.explode("f.terms").alias("term"))
     out = each.where("term <> ''")
@@ -167,29 +165,39 @@ def search(entries: DataFrame, indexed: DataFrame, query: str, fields: list[str]
     return found.where(keep).select("id")
 
 
-def ranked(indexed: DataFrame, terms: list[str], lengths: DataFrame | None = None, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(id, score): BM25 of some terms over all fields together; an extension.
+def bm25(tf: Column, df: Column, n: Column, docs: Column, mean: Column, k1: float, b: float) -> Column:
+    """What a term adds to a document's score: tf times in n words, in df of all docs, whose mean length is known."""
+    return F.log(1 + (docs - df + 0.5) / (df + 0.5)) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * n / mean))
 
-    lengths (id, n) of all documents follow from an index (id, term, tf); with
-    them given, as from word_counts, the index needs no more than the terms.
-    """
-    if lengths is None:
-        lengths = indexed.groupBy("id").agg(F.sum("tf").alias("n"))
+
+def ranked(indexed: DataFrame, terms: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(id, score): BM25 of some terms over all fields of an index together; an extension."""
+    lengths = indexed.groupBy("id").agg(F.sum("tf").alias("n"))
     corpus = lengths.agg(F.count("*").alias("docs"), F.avg("n").alias("mean"))
     hits = indexed.where(F.col("term").isin(terms)).groupBy("id", "term").agg(F.sum("tf").alias("tf"))
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     rows = hits.join(F.broadcast(df), "term").join(lengths, "id").join(F.broadcast(corpus))  # a row for each term asked for, and one
-    idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("n") / F.col("mean")))
-    return rows.groupBy("id").agg(F.sum(part).alias("score"))
+    return rows.groupBy("id").agg(F.sum(bm25(*map(F.col, ("tf", "df", "n", "docs", "mean")), k1, b)).alias("score"))
 
 
-def word_counts(documents: DataFrame, fields: list[str] = FIELDS, stop_words: frozenset[str] = STOP_WORDS) -> DataFrame:
-    """(id, n): how many words each document has; documents without any are left out."""
-    if stop_words:
-        return words(documents, fields, stop_words).groupBy("id").agg(F.count("*").alias("n"))
-    n = reduce(Column.__add__, [F.size(F.array_remove(terms_of(F.col(f)), "")) for f in fields])
-    return documents.select("id", n.cast("long").alias("n")).where("n > 0")
+def scored(documents: DataFrame, terms: list[str], fields: list[str] = FIELDS, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """The same from documents (id, fields) without an index, stems or stop words.
+
+    One pass counts what the formula needs of the corpus, another scores the
+    documents that hold a term somewhere; nothing but one row is shuffled.
+    """
+    wanted = list(dict.fromkeys(t.lower() for t in terms))
+
+    def counted(docs: DataFrame) -> DataFrame:
+        own = docs.select("id", F.array_remove(F.concat(*[terms_of(F.col(f)) for f in fields]), "").alias("w"))
+        return own.select("id", F.size("w").alias("n"), *[(F.size("w") - F.size(F.array_remove("w", t))).alias(f"tf_{k}") for k, t in enumerate(wanted)])
+
+    corpus = counted(documents).where("n > 0").agg(F.count("*").alias("docs"), F.avg("n").alias("mean"), *[F.count_if(F.col(f"tf_{k}") > 0).alias(f"df_{k}") for k in range(len(wanted))])
+    held = reduce(Column.__or__, [F.contains(F.lower(F.coalesce(f, F.lit(""))), F.lit(w)) for f in fields for w in wanted], F.lit(False))
+    rows = counted(documents.where(held)).join(F.broadcast(corpus))  # one row
+    parts = [F.when(F.col(f"tf_{k}") > 0, bm25(F.col(f"tf_{k}"), F.col(f"df_{k}"), *map(F.col, ("n", "docs", "mean")), k1, b)) for k in range(len(wanted))]
+    score = reduce(Column.__add__, [F.coalesce(x, F.lit(0.0)) for x in parts], F.lit(0.0))
+    return rows.where(reduce(Column.__or__, [x.isNotNull() for x in parts], F.lit(False))).select("id", score.alias("score"))
 
 
 def found_terms(text: Column, patterns: list[str]) -> Column:

@@ -596,9 +596,7 @@ def search_wildcard(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of two terms (Q4 O5), an extension."""
-    counts = search.word_counts(_documents(spark, sf_dir), ["tags", "body"], frozenset())
-    hits = search.words(_documents(spark, sf_dir), ["tags", "body"], frozenset(), ["inst", "thor"]).withColumn("tf", F.lit(1))
-    return search.ranked(hits, ["inst", "thor"], counts).select("id", F.round("score", 6).alias("score"))
+    return search.scored(_documents(spark, sf_dir), ["inst", "thor"], ["tags", "body"]).select("id", F.round("score", 6).alias("score"))
 
 
 @query(

@@ -232,6 +232,16 @@ def test_search(spark, book):
     assert search.stem_word("observations") == search.stem_word("observation")
 
 
+def test_scores_with_and_without_an_index(spark):
+    rows = [(1, "cell dose cell", "x"), (2, "Dose, (dose) well-fed mouse", "cell"), (3, "no such", None), (4, "", None), (5, "excellent cellar", "")]
+    docs = spark.createDataFrame(rows, "id long, body string, tags string")
+    plain = search.index(docs, ["body", "tags"], frozenset(), stem=False)
+    want = {r.id: round(r.score, 9) for r in search.ranked(plain, ["cell", "dose"]).collect()}
+    assert sorted(want) == [1, 2]
+    assert {r.id: round(r.score, 9) for r in search.scored(docs, ["Cell", "dose"], ["body", "tags"]).collect()} == want
+    assert {r.term for r in plain.where("id = 2").collect()} == {"dose", "well", "fed", "mouse", "cell"}
+
+
 def test_queue(spark, now):
     ids = [f"chg-{k}" for k in range(40)]
     then = datetime(2025, 12, 26, tzinfo=UTC)
