@@ -199,8 +199,11 @@ def test_line_dedup_against_brute_force(spark):
     r = random.Random(5)
     pool = [" ".join(r.choice(WORDS) for _ in range(r.choice([2, 3, 60]))) for _ in range(12)]
     rows = [(i, "\n".join(r.choice(pool) + " " * r.randrange(2) for _ in range(r.randrange(1, 9)))) for i in range(60)]
-    got = line_dedup.remove_repeated_lines(documents(spark, rows, ["_gone", "mark", "runs", "content"])).collect()
-    assert sorted((g.doc_id, g.text, g.n_removed) for g in got) == sorted(plain_line_dedup(rows))
+    rows += [(70, ""), (71, rows[3][1]), (71, rows[3][1]), (72, "\n".join([pool[0]] * 5)), (73, "\n\n\n"), (74, "x " * 40_000)]
+    docs = documents(spark, [*rows, (75, None)], ["_gone", "mark", "runs", "content", "n"])
+    got = line_dedup.remove_repeated_lines(docs).collect()
+    assert sorted((g.doc_id, g.text, g.n_removed) for g in got if g.doc_id != 75) == sorted(plain_line_dedup(rows))
+    assert [(g.text, g.n_lines, g.n_removed) for g in got if g.doc_id == 75] == [(None, 0, 0)]
     assert all(sum(s.lines for s in g.spans) == g.n_removed for g in got)
 
 
