@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fieldbook.llm.bytehash import PLACES, U, groups, mix, spans, sums
-from fieldbook.llm.common import small_batches
+from fieldbook.llm.common import Scratch, small_batches
 
 WIDTH = 64
 VOTES = 16
@@ -250,12 +250,12 @@ def with_next(docs: DataFrame, parts: int) -> DataFrame:
         part = part * sub + F.greatest(F.lit(0), F.least(F.lit(sub - 1), F.coalesce(inside, F.lit(0))))
     docs = docs.withColumn("part", part)
     # The order of documents: doc_id with nulls first, then text.
-    heads = docs.groupBy("part").agg(F.min(F.struct("doc_id")).alias("head"))  # a row of two numbers for each part
-    w = Window.orderBy("part")
-    after = F.coalesce(F.lead("head").over(w), F.first("head").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    heads = heads.select(F.col("part").alias("_part"), after["doc_id"].alias("_next"))
-    marks = docs.join(heads, docs["doc_id"].eqNullSafe(heads["_next"])).groupBy("_part", "_next").agg(F.min(F.struct("text")).alias("next"))
-    marks = marks.select(F.col("_part").alias("part"), F.lit(1).alias("mark"), F.col("_next").alias("doc_id"), "next.text")
+    heads = docs.groupBy("part").agg(F.min(F.struct("doc_id", "text")).alias("head"))
+    heads = Scratch(docs.sparkSession, "fingerprints").save("heads", heads)  # a document for each part
+    w = Window.orderBy("part")  # only numbers of parts are ordered in one task
+    after = F.coalesce(F.lead("part").over(w), F.first("part").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    following = heads.select(F.col("part").alias("_part"), after.alias("part"))
+    marks = following.join(heads, "part").select(F.col("_part").alias("part"), F.lit(1).alias("mark"), "head.doc_id", "head.text")
     rows = docs.select("part", F.lit(0).alias("mark"), "doc_id", "text").unionByName(marks)
     return rows.repartitionById(wide * sub, "part").sortWithinPartitions("part", "mark", "doc_id", "text")
 
