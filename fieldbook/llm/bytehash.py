@@ -41,7 +41,7 @@ _powers: list[np.ndarray] = [np.ones(1, U), np.ones(1, U)]
 def powers(n: int) -> list[np.ndarray]:
     """The first n+1 powers of the base and of its inverse."""
     if len(_powers[0]) <= n:
-        size = max(1 << 20, 1 << int(n).bit_length())
+        size = (int(n) // (1 << 20) + 1) << 20
         for k, r in enumerate((_R, _R_INV)):
             p = np.full(size + 1, r, U)
             p[0] = 1
@@ -63,7 +63,7 @@ def spans(running: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray
     return mix((running[end] - running[start]) * inverse[start] + (end - start).astype(U))
 
 
-def groups(sizes: list[int], limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def groups(sizes: list[int], limit: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Ranges of neighbouring items of at most limit bytes in all, or of one item."""
     start = total = 0
     for k, size in enumerate(sizes):

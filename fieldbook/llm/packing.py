@@ -30,6 +30,8 @@ CACHE_WORDS = 1 << 20
 
 #: Pieces that are encoded side by side.
 JOINED = 2048
+#: Bytes of texts whose words are looked up together; a longer text is cut at spaces.
+LOOKED_UP = 1 << 19
 #: White space other than a space or a line's end.
 OTHER_SPACE = [chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n"]
 OTHER_ASCII = [c for c in OTHER_SPACE if c.isascii()]
@@ -44,6 +46,20 @@ def unusual(text: str) -> bool:
     return any(c in text for c in (OTHER_ASCII if text.isascii() else OTHER_SPACE))
 
 
+def cut_at_spaces(text: bytes, size: int) -> list[bytes]:
+    """The text in parts of at most size bytes, as far as its spaces allow; all but the first begin with a space."""
+    parts, a = [], 0
+    while len(text) - a > size:
+        b = text.rfind(b" ", a + 1, a + size)
+        if b < 0:
+            b = text.find(b" ", a + size)
+        if b < 0:
+            break
+        parts.append(text[a:b])
+        a = b
+    return [*parts, text[a:]]
+
+
 class Tokenizer:
     """Token ids of whole texts, by a tokenizer file; words seen before are looked up.
 
@@ -115,10 +131,13 @@ class Tokenizer:
         for k, ids in zip(odd, self._encode([texts[k] for k in odd]), strict=True):
             out[k] = np.array(ids, np.uint32)
         plain = [k for k in range(len(texts)) if out[k] is None]
-        raw = [texts[k].encode() for k in plain]
-        for lo, hi in groups([len(x) for x in raw], 1 << 22):
-            for k, ids in zip(plain[lo:hi], self._pieces(raw[lo:hi]), strict=True):
-                out[k] = ids
+        parts = [(k, part) for k in plain for part in cut_at_spaces(texts[k].encode(), LOOKED_UP)]
+        own: dict[int, list[np.ndarray]] = {k: [] for k in plain}
+        for lo, hi in groups([len(x) for _, x in parts], LOOKED_UP):
+            for (k, _), ids in zip(parts[lo:hi], self._pieces([x for _, x in parts[lo:hi]]), strict=True):
+                own[k].append(ids)
+        for k, found in own.items():
+            out[k] = found[0] if len(found) == 1 else np.concatenate(found)
         return out
 
     def _pieces(self, raw: list[bytes]) -> list[np.ndarray]:
@@ -228,7 +247,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, s
 
         for batch in batches:
             texts, doc_ids = [t or "" for t in batch.column(1).to_pylist()], batch.column(0).to_pylist()
-            for lo, hi in groups([len(t) for t in texts], 1 << 22):
+            for lo, hi in groups([len(t) for t in texts], 1 << 20):
                 for k, x in enumerate(enc.encode(texts[lo:hi]), lo):
                     ids.append(np.append(x, np.uint32(END)))
                     keys.append(doc_ids[k])

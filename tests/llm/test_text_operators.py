@@ -147,6 +147,18 @@ def test_packing_is_a_round_trip(spark):
     assert packing.pack_documents(docs.limit(0), tokenizer_path()).count() == 0
 
 
+def test_long_texts_are_cut_at_spaces(monkeypatch):
+    some = [t.replace("\n", " ") for t in texts(13, 6, 12)] + ["x" * 300, "y" * 90 + " " + "z" * 200 + " end", "ünï " * 50 + "漢字", ""]
+    for t in some:
+        parts = packing.cut_at_spaces(t.encode(), 64)
+        assert b"".join(parts) == t.encode() and all(p[:1] == b" " for p in parts[1:])
+        assert all(len(p) <= 64 or b" " not in p[1:] for p in parts)
+    monkeypatch.setattr(packing, "LOOKED_UP", 64)
+    plain = Tokenizer.from_file(tokenizer_path())
+    got = packing.Tokenizer(tokenizer_path()).encode(some)
+    assert [x.tolist() for x in got] == [plain.encode(t, add_special_tokens=False).ids for t in some]
+
+
 def plain_pack(lengths, capacity):
     """Each document, longest first, goes piece by piece to the sequence of least cost, then most room, then least number."""
     total = sum(lengths)
