@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldbook.llm import fingerprints, jaccard_join, line_dedup, mixing, nearest, packing, quality_classifier, sharding, suffix_dedup, url_filters
+from fieldbook.llm import fill_in_middle, fingerprints, jaccard_join, line_dedup, merkle, mixing, nearest, packing, quality_classifier, sharding, suffix_dedup, topk, url_filters
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -226,3 +226,103 @@ SQL["op9_suffix_dedup"] = """
 def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest vectors found for each fiftieth vec_id."""
     return nearest.nearest(table(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
+@query
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's leaf, the roots over it, and whether its row, of which every other one lost its line ends, still leads to the root."""
+    docs = table(spark, sf_dir, "documents")
+    changed = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.lit(False))
+    text = F.when(changed, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    found = merkle.manifest(docs, {"now": merkle.leaf(*[text if c == "text" else F.col(c) for c in merkle.COLUMNS])})
+    found = found.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("proof")).alias("proof_sha256"), merkle.folded(F.col("now"), F.col("proof")).alias("folded_root"))
+    return found.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def _tree_sql(name: str, nodes: str) -> str:
+    """Common table expressions: all levels over nodes (tree, pos, digest) as {name}, their tops as {name}_top, and siblings (tree, level, pos, before, after) as {name}_side."""
+    return f"""
+    {name} AS (
+        SELECT tree, 0 AS level, pos, digest, count(*) OVER (PARTITION BY tree) AS n FROM {nodes}
+        UNION ALL
+        SELECT tree, level + 1, pos // 3, sha256(string_agg(digest, '' ORDER BY pos)), (n + 2) // 3 FROM {name} WHERE n > 1 GROUP BY tree, level, pos // 3, n
+    ),
+    {name}_top AS (SELECT tree, digest AS top FROM {name} WHERE n = 1),
+    {name}_side AS (
+        SELECT a.tree, a.level, a.pos, coalesce(string_agg(b.digest, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS before, coalesce(string_agg(b.digest, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS after
+        FROM {name} a JOIN {name} b ON a.tree = b.tree AND a.level = b.level AND a.pos // 3 = b.pos // 3 WHERE a.n > 1 GROUP BY a.tree, a.level, a.pos
+    )"""
+
+
+_ENCODED = " || ".join(f"coalesce(strlen({c}::VARCHAR) || ':' || {c}, '-')" for c in ("doc_id", "source", "lang", "n_chars"))
+
+SQL["op11_merkle_manifest"] = f"""
+    WITH RECURSIVE crc AS (
+        SELECT doc_id, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), lambda x, c:
+            list_reduce(list_prepend(xor(x, c), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda y, z: CASE WHEN y & 1 = 1 THEN xor(y >> 1, 3988292384) ELSE y >> 1 END)) AS inverted
+        FROM documents
+    ),
+    leaves AS (
+        SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS pos, sha256({_ENCODED} || coalesce(strlen(text) || ':' || text, '-')) AS digest,
+               CASE WHEN inverted & 1 = 1 THEN sha256({_ENCODED} || coalesce(strlen(replace(text, chr(10), '')) || ':' || replace(text, chr(10), ''), '-')) END AS now
+        FROM documents JOIN crc USING (doc_id)
+    ),
+    sources AS (SELECT source, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS tree FROM (SELECT DISTINCT source FROM documents)),
+    placed AS (SELECT l.*, s.tree FROM leaves l JOIN sources s ON l.source IS NOT DISTINCT FROM s.source),
+    {_tree_sql("t", "placed")},
+    tops AS (SELECT 0 AS tree, tree AS pos, top AS digest FROM t_top),
+    {_tree_sql("u", "tops")},
+    steps AS (
+        SELECT p.doc_id, 0 AS half, level, before, after FROM placed p JOIN t_side s ON s.tree = p.tree AND s.pos = p.pos // (3 ** level)::BIGINT
+        UNION ALL SELECT p.doc_id, 1, level, before, after FROM placed p JOIN u_side s ON s.pos = p.tree // (3 ** level)::BIGINT
+    ),
+    numbered AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY half, level) AS k FROM steps),
+    fold AS (
+        SELECT doc_id, 0::BIGINT AS k, coalesce(now, digest) AS own FROM placed
+        UNION ALL SELECT f.doc_id, n.k, sha256(n.before || own || n.after) FROM fold f JOIN numbered n ON n.doc_id = f.doc_id AND n.k = f.k + 1
+    ),
+    folded AS (SELECT doc_id, arg_max(own, k) AS folded_root FROM fold GROUP BY doc_id),
+    proofs AS (SELECT doc_id, sha256(string_agg(before || after, '' ORDER BY k)) AS proof_sha256 FROM numbered GROUP BY doc_id)
+    SELECT p.doc_id, p.digest AS leaf, t_top.top AS subroot, u_top.top AS root, coalesce(proof_sha256, sha256('')) AS proof_sha256, folded_root, folded_root = u_top.top AS verified
+    FROM placed p JOIN t_top ON t_top.tree = p.tree CROSS JOIN u_top JOIN folded f ON f.doc_id = p.doc_id LEFT JOIN proofs r ON r.doc_id = p.doc_id
+"""
+
+
+@query
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's arrangement, and the text that is read back from it."""
+    out = fill_in_middle.rearrange(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    back = fill_in_middle.restored(F.col("output"), F.col("form"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
+SQL["op12_fill_in_middle"] = """
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+    x AS (SELECT doc_id, t, length(t) AS n, list_transform([1, 9, 17, 25], lambda i: ('0x' || substr(h, i, 8))::BIGINT) AS h FROM d),
+    c AS (
+        SELECT doc_id, t, n, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+               CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 90 THEN 'plain' WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM x
+    ),
+    p AS (SELECT *, substr(t, 1, a) AS pre, substr(t, a + 1, b - a) AS mid, substr(t, b + 1) AS suf FROM c)
+    SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+           sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+           sha256(t) AS restored_sha256
+    FROM p
+"""
+
+
+@query
+def op13_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty highest inner products of each twentieth vec_id."""
+    return topk.top(table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
+SQL["op13_exact_top_k"] = """
+    WITH v AS (
+        SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
+        WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    ),
+    s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)
+    SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s
+    QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20
+"""
