@@ -2,88 +2,57 @@
 
 Supported: terms joined by 'or', field:term, * as a wildcard, term~N for up to
 N edits, term^N as a weight, and +term / -term for must and must not. A
-broken query finds nothing, a blank one everything. Scores are BM25 over all
-fields and are not those of any other engine.
+broken query finds nothing, a blank one everything. Scores follow the published
+form of field-wise BM25 vectors; no score claims to be another engine's.
+postings.py keeps an index between queries.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.window import Window
 
 from fieldbook.functions.arrays import listed
 from fieldbook.functions.blocks import search_text
+from fieldbook.functions.stem import stem_word, stemmed
 from fieldbook.operators.joins import attachment_text
 
 FIELDS = ["title", "tags", "body", "attachments"]
 #: English words that are not indexed; parameters take another list.
 STOP_WORDS = frozenset("a about after all also an and any are as at be been but by can do for from had has have he her his how i if in into is it its just like may me my no nor not of on or our own said she so than that the their them then there these they this to too us was we were what when which while who why will with would you your".split())
 
-_STEPS = [
-    [("sses", "ss"), ("ies", "i"), ("ss", "ss"), ("s", "")],
-    [("ational", "ate"), ("ization", "ize"), ("fulness", "ful"), ("ousness", "ous"), ("iveness", "ive"), ("ation", "ate"), ("ically", "ic"), ("ness", ""), ("ment", ""), ("ing", ""), ("ed", ""), ("ly", "")],
-]
-
-
-def stem_word(word: str) -> str:
-    """A small suffix stripper: plural endings, then one common ending if three letters with a vowel stay."""
-    for rules in _STEPS:
-        for end, new in rules:
-            if word.endswith(end):
-                left = word[: len(word) - len(end)]
-                if len(left) >= 3 and re.search("[aeiouy]", left):
-                    word = left + new
-                    if end in ("ing", "ed") and len(word) > 3 and word[-1] == word[-2] and word[-1] not in "aeiouls":
-                        word = word[:-1]
-                break
-    return word[:-1] + "i" if len(word) > 3 and word.endswith("y") else word
-
-
-@F.pandas_udf(StringType())
-def stemmed(words: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Stems of words; run it over distinct terms."""
-    known: dict[str, str] = {}
-    for batch in words:
-        for w in batch.unique():
-            if w not in known:
-                known[w] = stem_word(w)
-        yield batch.map(known)
-        if len(known) > 1 << 18:
-            known.clear()
-
-
 def search_documents(entries: DataFrame, blocks: DataFrame, attachments: DataFrame) -> DataFrame:
     """(id, title, tags, body, attachments) of each entry."""
     whole = F.struct(*[F.col(c) for c in ("type", "text", "data", "items", "caption", "label")])
     body = blocks.groupBy(F.col("entry_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("pos", search_text(whole).alias("t")))).alias("b"))
     tags = F.array_join(F.concat(listed(F.col("tags")), listed(F.col("project_tags")), listed(F.col("experiment_tags"))), " ")
     words = attachment_text(entries, attachments)
-    return entries.select("id", "title", tags.alias("tags")).join(body, "id", "left").join(words, "id").select("id", "title", "tags", F.coalesce(F.array_join(F.transform("b", lambda x: x["t"]), "\n"), F.lit("")).alias("body"), "attachments")
+    return entries.select("id", "title", tags.alias("tags")).join(body, "id", "left").join(words, "id").select("id", "title", "tags", F.coalesce(F.array_join(F.transform("b", lambda x: x["t"]), " "), F.lit("")).alias("body"), "attachments")
 
 
 def terms_of(text: Column) -> Column:
-    """Lower-case words, parted at white space and hyphens, without marks at their ends; some may be empty.
+    """Lower-case words, parted at white space and hyphens, without marks at their ends.
 
-    Marks that stand beside a separator part words together with it, so that
-    each text takes two passes and its words none. A run of marks is looked at
-    from its start alone, or long ones would take time in their square.
+    A word reaches from the first letter, digit or underscore of what stands
+    between two separators to the last one.
     """
-    return F.split(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"^\W+|(?=\W)(?<!\W)\W+$", ""), r"(?=\W)(?<!\W)\W*[\s\-]\W*")
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"\w(?:[^\s\-]*\w)?"), F.lit(0))
+
+
+def kept_terms(text: Column, stop_words: frozenset[str] = STOP_WORDS) -> Column:
+    """The words of a text that are no stop words."""
+    return F.filter(terms_of(text), lambda t: ~t.isin(sorted(stop_words))) if stop_words else terms_of(text)
 
 
 def words(documents: DataFrame, fields: list[str] = FIELDS, stop_words: frozenset[str] = STOP_WORDS) -> DataFrame:
     """(id, field, term) of every word that is no stop word."""
-    own = F.array(*[F.struct(F.lit(f).alias("field"), terms_of(F.col(f)).alias("terms")) for f in fields])
-    each = documents.select("id", F.explode(own).alias("f")).select("id", "f.field", F.explode("f.terms").alias("term"))
-    out = each.where("term <> ''")
-    return out.where(~F.col("term").isin(sorted(stop_words))) if stop_words else out
+    own = F.array(*[F.struct(F.lit(f).alias("field"), kept_terms(F.col(f), stop_words).alias("terms")) for f in fields])
+    return documents.select("id", F.explode(own).alias("f")).select("id", "f.field", F.explode("f.terms").alias("term"))
 
 
 def index(documents: DataFrame, fields: list[str] = FIELDS, stop_words: frozenset[str] = STOP_WORDS, stem: bool = True) -> DataFrame:
@@ -128,15 +97,18 @@ def parse(query: str, fields: list[str] = FIELDS, stem: bool = True) -> list[Cla
     return out
 
 
-def _fits(c: Clause) -> Column:
+def fits_term(c: Clause) -> Column:
+    """Whether a term is one that a clause means: itself, by a wildcard, or by edits."""
     term = F.col("term")
     if "*" in c.term:
-        hit = term.rlike("^" + ".*".join(re.escape(p) for p in c.term.split("*")) + "$")
-    elif c.edits:
-        hit = (F.abs(F.length(term) - len(c.term)) <= c.edits) & (F.levenshtein(term, F.lit(c.term)) <= c.edits)
-    else:
-        hit = term == c.term
-    return hit & (F.col("field") == c.field) if c.field else hit
+        return term.rlike("^(?s:" + ".*".join(re.escape(p) for p in c.term.split("*")) + ")$")
+    if c.edits:
+        return F.levenshtein(term, F.lit(c.term), c.edits) >= 0
+    return term == c.term
+
+
+def _fits(c: Clause) -> Column:
+    return fits_term(c) & (F.col("field") == c.field) if c.field else fits_term(c)
 
 
 def search(entries: DataFrame, indexed: DataFrame, query: str, fields: list[str] = FIELDS, stem: bool = True) -> DataFrame:
@@ -165,14 +137,52 @@ def search(entries: DataFrame, indexed: DataFrame, query: str, fields: list[str]
     return found.where(keep).select("id")
 
 
+def weighted(indexed: DataFrame, lengths: DataFrame, query: str, fields: list[str] = FIELDS, stem: bool = True, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(id, score) of the entries that a query matches, with its ^ weights.
+
+    indexed: (id, field, term, tf, n), where n counts the words of the field;
+    no more than the query's own terms need to be there. lengths: (field, docs,
+    words), a row for each field. Every field is a vector of its terms' BM25
+    weights, and of the query's weights for the terms that it has; the score
+    is the sum over the fields of their product over the query vector's
+    length. What must be missing adds nothing. Without words that may be there
+    all scores are 0.
+    """
+    try:
+        clauses = [c for c in parse(query, fields, stem) if c.presence != "-"]
+    except QueryError:
+        clauses = []
+    weight = reduce(Column.__add__, [F.when(_fits(c), c.boost).otherwise(0.0) for c in clauses], F.lit(0.0))
+    met = indexed.withColumn("weight", weight).where("weight <> 0")
+    # df counts a document once for each of its fields that has the term.
+    terms = met.groupBy("field", "term").agg(F.count("*").alias("held"), F.first("weight").alias("weight"))
+    size = F.sqrt(F.sum(F.col("weight") ** 2).over(Window.partitionBy("field")))
+    of_terms = terms.select("field", "term", size.alias("size"), F.sum("held").over(Window.partitionBy("term")).alias("df"))
+    rows = met.join(of_terms, ["field", "term"]).join(F.broadcast(lengths), "field")  # a row for each field
+    rarity = F.log(1 + F.abs((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    mean = F.col("words") / F.col("docs")
+    own = rarity * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("n") / mean))
+    return rows.groupBy("id").agg(F.sum(own * F.col("weight") / F.col("size")).alias("score"))
+
+
+def best(scores: DataFrame, k: int) -> DataFrame:
+    """(rank, id, score) of the k highest scores, ties to smaller ids; each task keeps no more than k."""
+    top = scores.select("id", "score").orderBy(F.desc("score"), "id").limit(k)
+    return top.select(F.row_number().over(Window.orderBy(F.desc("score"), "id")).alias("rank"), "id", "score")
+
+
 def bm25(tf: Column, df: Column, n: Column, docs: Column, mean: Column, k1: float, b: float) -> Column:
     """What a term adds to a document's score: tf times in n words, in df of all docs, whose mean length is known."""
     return F.log(1 + (docs - df + 0.5) / (df + 0.5)) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * n / mean))
 
 
-def ranked(indexed: DataFrame, terms: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(id, score): BM25 of some terms over all fields of an index together; an extension."""
-    lengths = indexed.groupBy("id").agg(F.sum("tf").alias("n"))
+def ranked(indexed: DataFrame, terms: list[str], k1: float = 1.2, b: float = 0.75, lengths: DataFrame | None = None) -> DataFrame:
+    """(id, score): BM25 of some terms over all fields of an index together; an extension.
+
+    lengths (id, n), the words of each entry that has any, lets indexed hold
+    no more than the terms asked for.
+    """
+    lengths = indexed.groupBy("id").agg(F.sum("tf").alias("n")) if lengths is None else lengths
     corpus = lengths.agg(F.count("*").alias("docs"), F.avg("n").alias("mean"))
     hits = indexed.where(F.col("term").isin(terms)).groupBy("id", "term").agg(F.sum("tf").alias("tf"))
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
@@ -189,7 +199,7 @@ def scored(documents: DataFrame, terms: list[str], fields: list[str] = FIELDS, k
     wanted = list(dict.fromkeys(t.lower() for t in terms))
 
     def counted(docs: DataFrame) -> DataFrame:
-        own = docs.select("id", F.array_remove(F.concat(*[terms_of(F.col(f)) for f in fields]), "").alias("w"))
+        own = docs.select("id", F.concat(*[terms_of(F.col(f)) for f in fields]).alias("w"))
         return own.select("id", F.size("w").alias("n"), *[(F.size("w") - F.size(F.array_remove("w", t))).alias(f"tf_{k}") for k, t in enumerate(wanted)])
 
     corpus = counted(documents).where("n > 0").agg(F.count("*").alias("docs"), F.avg("n").alias("mean"), *[F.count_if(F.col(f"tf_{k}") > 0).alias(f"df_{k}") for k in range(len(wanted))])

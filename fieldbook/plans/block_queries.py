@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldbook.functions import arrays, text
+from fieldbook.functions.stem import stem_sql
 from fieldbook.operators import collections, export, filters, joins, search
 from fieldbook.plans.catalog import query
 from fieldbook.plans.notebook_queries import _escaped_sql, _html_sql, attachments, conversation_blocks, entries, queue, table
@@ -114,7 +115,7 @@ _SEARCHED = "CASE kind WHEN 'table' THEN 'k| ' || event_id || ' <v> ' || user_id
 @query(
     "search_documents",
     f"""
-    WITH {_BLOCKS}, body AS (SELECT user_id AS id, string_agg({_SEARCHED}, chr(10) ORDER BY event_id) AS body FROM e GROUP BY user_id),
+    WITH {_BLOCKS}, body AS (SELECT user_id AS id, string_agg({_SEARCHED}, ' ' ORDER BY event_id) AS body FROM e GROUP BY user_id),
     att AS (SELECT c_custkey % 150 AS id, string_agg(trim(c_name || ' ' || CASE WHEN c_nationkey % 2 = 0 THEN c_mktsegment ELSE '' END), ' ' ORDER BY c_custkey) AS attachments FROM customer GROUP BY 1)
     SELECT id, 'U' || id AS title, concat_ws(' ', 't', 'p' || id % 3, 'x') AS tags, md5(body) AS body, coalesce(attachments, '') AS attachments FROM body LEFT JOIN att USING (id)
     """,
@@ -274,6 +275,20 @@ def index_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.index(docs, ["body"], stem=False).groupBy("term").agg(F.sum("tf").alias("n"))
 
 
+@query(
+    "index_stems",
+    f"""
+    WITH w AS (SELECT regexp_replace(unnest(regexp_split_to_array(lower(text), '[\\s\\-]+')), '^\\W+|\\W+$', '', 'g') AS term FROM documents),
+    n AS (SELECT term, count(*) AS n FROM w WHERE term <> '' AND term NOT IN ({", ".join(f"'{w}'" for w in sorted(search.STOP_WORDS))}) GROUP BY term)
+    SELECT stem AS term, sum(n)::BIGINT AS n FROM (SELECT {stem_sql("term")} AS stem, n FROM n) GROUP BY stem
+    """,
+)
+def index_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stems of the index without stop words, and how often they stand anywhere (Q1 Q5)."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("body"))
+    return search.index(docs, ["body"]).groupBy("term").agg(F.sum("tf").alias("n"))
+
+
 @query("found_terms", "SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '[A-Z][a-z]+ing\\b'))), ',') AS terms, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '[0-9]{2,}'))), ',') AS numbers FROM documents")
 def found_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids found by patterns (Q7), an extension."""

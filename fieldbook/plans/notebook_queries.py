@@ -8,14 +8,16 @@ and pages texts and paths.
 from __future__ import annotations
 
 from datetime import date
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fieldbook.functions import arrays, blocks, text
-from fieldbook.operators import collections, export, filters, joins, search
+from fieldbook.operators import collections, export, filters, joins, postings, search
 from fieldbook.plans.catalog import query
+from fieldbook.sources.commits import shared_folder
 from fieldbook.sources.notebook import SCHEMAS, with_seeds
 from fieldbook.streaming import changes
 
@@ -554,8 +556,24 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.concat_ws(" ", "lang", "source").alias("tags"), F.col("text").alias("body"))
 
 
-def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.words(_documents(spark, sf_dir), ["tags", "body"], frozenset())
+@lru_cache(maxsize=8)
+def _index_of(application: str, stamp: tuple, sf_dir: str) -> postings.Postings:
+    spark = SparkSession.getActiveSession()
+    kept = postings.Postings(spark, shared_folder(spark, "index"), ["tags", "body"], frozenset(), stem=False)
+    kept.update(_documents(spark, sf_dir))
+    return kept
+
+
+def kept_index(spark: SparkSession, sf_dir: str) -> postings.Postings:
+    """The index of documents, made by the first query that needs it and again where their files have changed."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/documents.parquet")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    files = fs.listFiles(path, True)
+    stamp = []
+    while files.hasNext():
+        f = files.next()
+        stamp.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return _index_of(spark.sparkContext.applicationId, tuple(sorted(stamp)), sf_dir)
 
 
 _INDEX_SQL = r"""
@@ -571,8 +589,7 @@ _INDEX_SQL = r"""
 )
 def search_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A query with words that must and must not be there (Q1 Q2 Q3 F8)."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"))
-    return search.search(docs, _words(spark, sf_dir), "+inst -tags:src3", ["tags", "body"], stem=False)
+    return kept_index(spark, sf_dir).search(_documents(spark, sf_dir).select("id"), "+inst -tags:src3")
 
 
 @query(
@@ -581,8 +598,7 @@ def search_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def search_wildcard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wildcards, fields and edits, joined by 'or' (Q3)."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"))
-    return search.search(docs, _words(spark, sf_dir), "thor* tags:src3 oner~1", ["tags", "body"], stem=False)
+    return kept_index(spark, sf_dir).search(_documents(spark, sf_dir).select("id"), "thor* tags:src3 oner~1")
 
 
 @query(
@@ -595,8 +611,61 @@ def search_wildcard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """,
 )
 def bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores of two terms (Q4 O5), an extension."""
-    return search.scored(_documents(spark, sf_dir), ["inst", "thor"], ["tags", "body"]).select("id", F.round("score", 6).alias("score"))
+    """Scores of two terms over all fields together (Q4 O5), an extension."""
+    kept = kept_index(spark, sf_dir)
+    terms = ["inst", "thor"]
+    return search.ranked(kept.postings([search.Clause(t) for t in terms]), terms, lengths=kept.lengths()).select("id", F.round("score", 6).alias("score"))
+
+
+_WEIGHTED = "inst^4 thor* tags:src3^0.5 -tags:en"
+
+
+def _weighted_sql(clauses: str, missing: str) -> str:
+    """The 100 best by field-wise vectors; clauses: (weight, condition) pairs as a sum."""
+    return f"""
+    WITH {_INDEX_SQL}, n AS (SELECT id, field, sum(tf) AS n FROM idx GROUP BY id, field), mean AS (SELECT field, sum(n) / (SELECT count(*) FROM documents) AS mean FROM n GROUP BY field),
+    met AS (SELECT * FROM (SELECT *, {clauses} AS weight FROM idx) WHERE weight <> 0), df AS (SELECT term, count(*) AS df FROM met GROUP BY term),
+    size AS (SELECT field, sqrt(sum(weight * weight)) AS size FROM (SELECT DISTINCT field, term, weight FROM met) GROUP BY field),
+    s AS (
+        SELECT id, sum(weight / size * ln(1 + abs(((SELECT count(*) FROM documents) - df + 0.5) / (df + 0.5))) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean))) AS score
+        FROM met JOIN df USING (term) JOIN size USING (field) JOIN n USING (id, field) JOIN mean USING (field) WHERE id NOT IN (SELECT id FROM idx WHERE {missing}) GROUP BY id
+    )
+    SELECT row_number() OVER (ORDER BY score DESC, id)::INTEGER AS rank, id, score FROM (SELECT id, round(score, 6) AS score FROM s) ORDER BY score DESC, id LIMIT 100
+    """
+
+
+@query("weighted_search", _weighted_sql("(CASE WHEN term = 'inst' THEN 4 ELSE 0 END + CASE WHEN term LIKE 'thor%' THEN 1 ELSE 0 END + CASE WHEN field = 'tags' AND term = 'src3' THEN 0.5 ELSE 0 END)::DOUBLE", "field = 'tags' AND term = 'en'"))
+def weighted_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best hundred of a query with weights, a wildcard, a field and a word that must not be there."""
+    kept = kept_index(spark, sf_dir)
+    scores = kept.ranked(_documents(spark, sf_dir).select("id"), _WEIGHTED)
+    return search.best(scores.withColumn("score", F.round("score", 6)), 100)
+
+
+@query("unweighted_search", _weighted_sql("(CASE WHEN term = 'inst' THEN 1 ELSE 0 END + CASE WHEN term LIKE 'thor%' THEN 1 ELSE 0 END + CASE WHEN field = 'tags' AND term = 'src3' THEN 1 ELSE 0 END)::DOUBLE", "field = 'tags' AND term = 'en'"))
+def unweighted_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same without weights, in another order."""
+    kept = kept_index(spark, sf_dir)
+    scores = kept.ranked(_documents(spark, sf_dir).select("id"), "inst thor* tags:src3 -tags:en")
+    return search.best(scores.withColumn("score", F.round("score", 6)), 100)
+
+
+@query(
+    "updated_index",
+    r"""
+    WITH changed AS (SELECT doc_id, CASE WHEN doc_id % 10 = 3 THEN 'inst thor new' ELSE text END AS text FROM documents WHERE doc_id % 10 <> 7),
+    w AS (SELECT doc_id AS id, regexp_replace(unnest(regexp_split_to_array(lower(text), '[\s\-]+')), '^\W+|\W+$', '', 'g') AS term FROM changed)
+    SELECT id, count(*) AS n FROM w WHERE term = 'thor' GROUP BY id
+    """,
+)
+def updated_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries that hold a word after two updates of a kept index: a tenth of them changed, another tenth removed (Q1)."""
+    docs = _documents(spark, sf_dir)
+    kept = postings.Postings(spark, shared_folder(spark, "index"), ["body"], frozenset(), stem=False)
+    kept.update(docs)
+    kept.update(docs.where("id % 10 = 3").withColumn("body", F.lit("inst thor new")))
+    kept.update(docs.limit(0), docs.where("id % 10 = 7"))
+    return kept.postings([search.Clause("thor")]).select("id", F.col("tf").alias("n"))
 
 
 @query(
