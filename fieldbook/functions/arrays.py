@@ -75,6 +75,11 @@ def with_column(data: Column) -> Column:
     return F.transform(data, lambda r: F.array_append(r, F.lit("")))
 
 
+def toggled_header(header_row: Column) -> Column:
+    """The other state of a table's header row; one that was never set is on."""
+    return ~F.coalesce(header_row, F.lit(True))
+
+
 def with_cell(data: Column, row: int, column: int, value: Column) -> Column:
     return F.transform(data, lambda r, i: F.when(i == row, F.transform(r, lambda v, j: F.when(j == column, value).otherwise(v))).otherwise(r))
 

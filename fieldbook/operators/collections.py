@@ -168,6 +168,70 @@ def to_nodes(blocks: DataFrame) -> DataFrame:
     )
 
 
+def _is(value: Column, kind: str) -> Column:
+    """Whether an untyped value is of a kind (STRING, BOOLEAN, OBJECT, ARRAY)."""
+    return F.coalesce(F.startswith(F.schema_of_variant(value), F.lit(kind)), F.lit(False))
+
+
+def _at(value: Column, name: str, kind: str = "variant") -> Column:
+    return F.try_variant_get(value, f"$.{name}", kind)
+
+
+def _text_at(value: Column, name: str) -> Column:
+    """A field that is a string, else null."""
+    return F.when(_is(_at(value, name), "STRING"), _at(value, name, "string"))
+
+
+def _flag_at(value: Column, name: str) -> Column:
+    """A field that is true or false, else null."""
+    return F.when(_is(_at(value, name), "BOOLEAN"), _at(value, name, "boolean"))
+
+
+def _children_at(value: Column) -> Column:
+    """An element's children; null for what is no element."""
+    return F.when(_is(value, "OBJECT") & _is(_at(value, "children"), "ARRAY"), _at(value, "children", "array<variant>"))
+
+
+def _runs_of(children: Column) -> Column:
+    """The texts among children, with those of their marks that are true."""
+    mark = lambda c, m: F.when(_flag_at(c, m), True).alias(m)
+    texts = F.filter(children, lambda c: _is(c, "OBJECT") & _text_at(c, "text").isNotNull())
+    return F.transform(texts, lambda c: F.struct(_text_at(c, "text").alias("text"), *[mark(c, m) for m in ("bold", "italic", "underline")])).cast(RUNS)
+
+
+def nodes_of_json(texts: DataFrame) -> DataFrame:
+    """Editor nodes, as from_nodes takes them, of untyped JSON (entry_id, nodes string); no field is trusted to have its type.
+
+    Text that is no JSON array gives no nodes. A value that is no element is a
+    paragraph. A field of another type than it should have counts as missing;
+    meta counts only if it is a block, with an id and a type that are strings,
+    and falls away else, so that from_nodes makes a divider of its node.
+    """
+    each = texts.select("entry_id", F.posexplode(F.try_variant_get(F.try_parse_json("nodes"), "$", "array<variant>")).alias("pos", "v"))
+    v = F.col("v")
+    each = each.withColumn("own", _children_at(v)).withColumn("element", F.col("own").isNotNull())
+    kind = F.when(F.col("element"), F.coalesce(_text_at(v, "type"), F.lit("paragraph"))).otherwise("paragraph")
+    m = _at(v, "meta")
+    names = {"header_row": "headerRow", "attachment_id": "attachmentId", "updated_ts": "updatedAt", "updated_by": "updatedBy"}
+    flags, cells = ("header_row", "locked"), F.when(_is(_at(m, "data"), "ARRAY"), _at(m, "data", "array<array<string>>"))
+
+    def field(c: str) -> Column:
+        name = names.get(c, c)
+        value = cells if c == "data" else _flag_at(m, name) if c in flags else _text_at(m, name)
+        return (value.try_cast("timestamp") if c == "updated_ts" else value).alias(c)
+
+    whole = _is(m, "OBJECT") & _text_at(m, "id").isNotNull() & _text_at(m, "type").isNotNull()
+    items = F.transform(
+        F.filter("own", lambda c: _children_at(c).isNotNull()),
+        lambda c: F.struct(_text_at(c, "itemId").alias("id"), F.coalesce(_flag_at(c, "done"), F.lit(False)).alias("done"), _runs_of(_children_at(c)).alias("children")),
+    )
+    align = _text_at(v, "align")
+    return each.select(
+        "entry_id", "pos", F.when(F.col("element"), _text_at(v, "blockId")).alias("id"), kind.alias("type"), F.coalesce(_flag_at(v, "locked"), F.lit(False)).alias("locked"), F.when(align.isin(*ALIGNS), align).alias("align"),
+        F.coalesce(_runs_of(F.col("own")), F.array().cast(RUNS)).alias("children"), F.when(kind == "checklist", items).alias("items"), F.when(whole, F.struct(*[field(c) for c in META])).alias("meta"),
+    )
+
+
 def from_nodes(nodes: DataFrame) -> DataFrame:
     """Blocks of editor nodes. As in an editor, a table's caption and an item's timer are lost; ids that are missing follow from the place."""
     kind, meta = F.col("type"), F.col("meta")

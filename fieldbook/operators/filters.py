@@ -68,6 +68,13 @@ def experiments_of(experiments: DataFrame, project: str) -> DataFrame:
     return experiments if project in ("all", "") else experiments.where(F.col("project_id") == project)
 
 
+def valid_experiments(experiments: DataFrame, selected: DataFrame, project: str) -> DataFrame:
+    """selected (experiment) with shown: the experiment, or 'all' if it is gone or in another project."""
+    there = experiments_of(experiments, project).select(F.col("id").alias("experiment"), F.lit(True).alias("_there")).distinct()
+    kept = F.col("_there") | F.col("experiment").isin("all", "none")
+    return selected.join(there, "experiment", "left").withColumn("shown", F.when(kept, F.col("experiment")).otherwise("all")).drop("_there")
+
+
 def valid_experiment(experiments: DataFrame, project: str, experiment: str) -> str:
     """The selected experiment, or 'all' if it is gone or in another project."""
     if experiment in ("all", "none"):

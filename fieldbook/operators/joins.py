@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from fieldbook.sources.notebook import LOCKED_LABELS
 
@@ -94,6 +95,29 @@ def as_of(versions: DataFrame, keys: list[str], ts: str, order: str, at) -> Data
     return latest.select(*keys, "v.*")
 
 
+def validity(versions: DataFrame, keys: list[str], ts: str, order: str) -> DataFrame:
+    """versions with valid_from and valid_to (null: still valid), an extension; of those of one time the last by `order` counts, and ends are exclusive."""
+    w = Window.partitionBy(*keys).orderBy(ts, order)
+    out = versions.withColumn("valid_from", F.col(ts)).withColumn("valid_to", F.lead(ts).over(w))
+    return out.where("valid_to IS NULL OR valid_from < valid_to")
+
+
+def at_instants(intervals: DataFrame, instants: DataFrame, keys: list[str], at: str, seconds: int = 86_400) -> DataFrame:
+    """Each instant (keys, at and what else it has) with the version that was valid then, an extension; instants before the first version are left out.
+
+    Both sides are dealt to spans of so many seconds that they touch, so a key
+    with many versions is not one task's work; open ends reach to the last
+    instant.
+    """
+    span = lambda c: F.floor(F.unix_seconds(c.cast("timestamp")) / seconds)
+    last = instants.agg(F.max(at).alias("_last"))  # one row
+    ends = F.least(F.coalesce("valid_to", "_last"), F.col("_last"))
+    cut = intervals.join(F.broadcast(last)).where(F.col("valid_from") <= F.col("_last")).withColumn("_span", F.explode(F.sequence(span(F.col("valid_from")), span(ends)))).drop("_last")
+    asked = instants.withColumn("_span", span(F.col(at)))
+    hit = (F.col("valid_from") <= F.col(at)) & (F.col("valid_to").isNull() | (F.col(at) < F.col("valid_to")))
+    return asked.join(cut, [*keys, "_span"]).where(hit).drop("_span")
+
+
 def merged_versions(base: DataFrame, mine: DataFrame, theirs: DataFrame, keys: list[str], value: str) -> DataFrame:
     """(keys, value, conflict) of a three-way merge by block, an extension: one side's change wins, two different ones conflict and keep mine."""
     b, m, t = (df.select(*keys, F.struct(F.col(value).alias("v")).alias(n)) for df, n in ((base, "b"), (mine, "m"), (theirs, "t")))

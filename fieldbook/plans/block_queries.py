@@ -379,19 +379,111 @@ def cleared_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "new_entries",
     """
-    SELECT event_id AS id, CASE WHEN event_id % 3 = 0 THEN 'T' || event_id WHEN event_type = 'click' THEN 'Quick capture – Feb 1, 2024, 09:05 AM' ELSE 'Untitled note – Feb 1, 2024' END AS title,
-           CASE WHEN event_id % 2 = 0 THEN 'p1' ELSE 'proj-guided' END AS project_id, 'u2' AS author_id, CASE WHEN event_id % 2 = 0 THEN 'mine' ELSE '' END AS project_tags FROM events
+    WITH w AS (SELECT event_id AS id, CAST(ts AS DATE) AS day, event_type = 'click' AS quick, CASE WHEN event_type = 'view' THEN true END AS daily FROM events),
+    d AS (SELECT *, quick OR coalesce(daily, false) AS once, coalesce(daily, quick) AS makes FROM w),
+    f AS (SELECT day, min(id) AS first FROM d WHERE once AND makes GROUP BY day),
+    k AS (SELECT d.* FROM d LEFT JOIN f ON d.day = f.day WHERE NOT once OR (day(d.day) % 4 <> 0 AND d.id <= coalesce(first, d.id)))
+    SELECT id, CASE WHEN id % 3 = 0 THEN 'T' || id WHEN quick THEN 'Quick capture – Feb 1, 2024, 09:05 AM' ELSE 'Untitled note – Feb 1, 2024' END AS title, makes AS is_daily,
+           CASE WHEN id % 2 = 0 THEN 'p1' ELSE 'proj-guided' END AS project_id, 'u2' AS author_id, CASE WHEN id % 2 = 0 THEN 'mine' ELSE '' END AS project_tags FROM k
     """,
 )
 def new_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entries with defaults for what is not given (P5)."""
+    """Entries with defaults for what is not given; a quick capture or daily entry of a date that has one makes none."""
     k = F.col("event_id")
-    wanted = table(spark, sf_dir, "events").select(
+    events = table(spark, sf_dir, "events")
+    wanted = events.select(
         k.cast("string").alias("id"), k.alias("seq"), F.when(k % 3 == 0, F.concat(F.lit(" T"), k.cast("string"), F.lit(" "))).when(k % 3 == 1, "  ").alias("title"), F.when(k % 2 == 0, "p1").alias("project_id"), F.lit(None).cast("string").alias("experiment_id"),
-        (F.col("event_type") == "click").alias("is_daily"), F.to_date("ts").alias("date_bucket"), F.when(k % 2 == 0, F.array(F.lit("mine"))).alias("project_tags"),
+        F.when(F.col("event_type") == "view", True).alias("is_daily"), (F.col("event_type") == "click").alias("quick_capture"), F.to_date("ts").alias("date_bucket"), F.when(k % 2 == 0, F.array(F.lit("mine"))).alias("project_tags"),
     )
-    made = notebook.created_entries(wanted, notebook.seed(spark, "users"), F.lit(NOW).cast("timestamp"))
-    return made.select(F.col("id").cast("long").alias("id"), "title", "project_id", "author_id", F.array_join("project_tags", ",").alias("project_tags"))
+    there = wanted.where(F.day("date_bucket") % 4 == 0).select("date_bucket", F.lit(True).alias("is_daily"))
+    made = notebook.created_entries(notebook.new_days(wanted, there), notebook.seed(spark, "users"), F.lit(NOW).cast("timestamp"))
+    return made.select(F.col("id").cast("long").alias("id"), "title", "is_daily", "project_id", "author_id", F.array_join("project_tags", ",").alias("project_tags"))
+
+
+#: Node texts by an event's number: whole ones, ones with fields of wrong types, and what is no node.
+_NODES = [
+    '{"type":"heading-two","blockId":"b#","locked":true,"align":"center","children":[{"text":"a#"}]}',
+    '{"type":"heading-three","blockId":#,"locked":"yes","align":"sideways","children":[{"text":"a"},{"text":5},{"text":"c","bold":true},7]}',
+    '"just text"',
+    '{"type":"divider","meta":{"id":"d#","type":"divider"},"children":[]}',
+    '{"type":"attachment","blockId":"x#","meta":{"id":#,"type":"image"},"children":[{"text":""}]}',
+    '{"type":"table","blockId":"t#","meta":{"id":"t#","type":"table","data":[["x","#"]],"headerRow":false},"children":[{"text":""}]}',
+    '{"type":"checklist","blockId":"c#","children":[{"type":"check-item","itemId":"i","done":"yes","children":[{"text":"s#"}]},{"text":"stray"}]}',
+    "{broken",
+    '{"type":"quote","blockId":"q#","children":"none"}',
+    '{"type":{"a":1},"blockId":"p#","children":[{"text":"p"}]}',
+]
+
+
+@query(
+    "nodes_of_json",
+    """
+    SELECT event_id AS entry_id,
+           CASE event_id % 10 WHEN 0 THEN 'b' || event_id WHEN 3 THEN 'd' || event_id WHEN 4 THEN 'x' || event_id WHEN 5 THEN 't' || event_id WHEN 6 THEN 'c' || event_id WHEN 9 THEN 'p' || event_id ELSE 'b-' || event_id || '-0' END AS block_id,
+           CASE event_id % 10 WHEN 0 THEN 'heading' WHEN 1 THEN 'heading' WHEN 3 THEN 'divider' WHEN 4 THEN 'divider' WHEN 5 THEN 'table' WHEN 6 THEN 'checklist' ELSE 'paragraph' END AS type,
+           CASE event_id % 10 WHEN 0 THEN 'a' || event_id WHEN 1 THEN 'ac' WHEN 2 THEN '' WHEN 8 THEN '' WHEN 9 THEN 'p' END AS text,
+           CASE event_id % 10 WHEN 0 THEN true WHEN 1 THEN false END AS locked, CASE event_id % 10 WHEN 0 THEN 'center' END AS align,
+           CASE event_id % 10 WHEN 5 THEN 'x,' || event_id END AS data, CASE event_id % 10 WHEN 5 THEN false END AS header_row, CASE event_id % 10 WHEN 6 THEN 'i:s' || event_id || ':false' END AS items
+    FROM events WHERE event_id % 10 <> 7
+    """,
+)
+def nodes_of_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of untyped JSON, whole and broken (JS2 P14)."""
+    k = F.col("event_id").cast("string")
+    text = F.concat(F.lit("["), F.replace(F.get(F.array(*map(F.lit, _NODES)), (F.col("event_id") % 10).cast("int")), F.lit("#"), k), F.lit("]"))
+    back = collections.from_nodes(collections.nodes_of_json(table(spark, sf_dir, "events").select(F.col("event_id").alias("entry_id"), text.alias("nodes"))))
+    items = F.array_join(F.transform("items", lambda i: F.concat_ws(":", i["id"], i["text"], i["done"].cast("string"))), ";")
+    return back.select("entry_id", "block_id", "type", "text", "locked", "align", F.array_join(F.transform("data", lambda r: F.array_join(r, ",")), ";").alias("data"), "header_row", items.alias("items"))
+
+
+@query(
+    "version_history",
+    """
+    WITH v AS (SELECT user_id, event_id, ts, value FROM events WHERE event_type <> 'error'), q AS (SELECT user_id, event_id AS asked, ts AS at FROM events WHERE event_type = 'error')
+    SELECT asked, arg_max(v.event_id, (v.ts, v.event_id)) AS event_id, arg_max(value, (v.ts, v.event_id)) AS value FROM q JOIN v ON v.user_id = q.user_id AND v.ts <= q.at GROUP BY asked
+    """,
+)
+def version_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's version at many instants, one join for all (ST10), an extension."""
+    events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    history = joins.validity(events.where("event_type <> 'error'").select("user_id", "event_id", "ts", "value"), ["user_id"], "ts", "event_id").drop("ts")
+    asked = events.where("event_type = 'error'").select("user_id", F.col("event_id").alias("asked"), F.col("ts").alias("at"))
+    return joins.at_instants(history, asked, ["user_id"], "at").select("asked", "event_id", "value")
+
+
+@query("stamped_blocks", f"SELECT event_id AS pos, '{NOW}' AS updated, 'me' AS updated_by FROM events")
+def stamped_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All blocks with one time, as a save stamps them."""
+    out = collections.stamped(event_blocks(spark, sf_dir), F.lit(NOW).cast("timestamp"))
+    return out.select("pos", F.date_format("updated_ts", "yyyy-MM-dd HH:mm:ss").alias("updated"), "updated_by")
+
+
+@query("utc_buckets", "SELECT event_id, strftime(ts, '%Y-%m-%d') AS utc, strftime(ts - INTERVAL 5 HOUR, '%Y-%m-%d') AS elsewhere FROM events")
+def utc_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A time's date by its ISO text, and its date five hours west."""
+    at = F.col("ts").cast("timestamp")
+    return table(spark, sf_dir, "events").select("event_id", text.utc_bucket(text.iso_text(at)).alias("utc"), F.date_format(text.local_bucket(F.from_utc_timestamp(at, "GMT-05:00")), "yyyy-MM-dd").alias("elsewhere"))
+
+
+@query("random_ids", "SELECT count(*) AS ids, true AS fits FROM events")
+def random_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Random ids are distinct and start with their prefix."""
+    made = table(spark, sf_dir, "events").select(text.new_id("chg-").alias("id"))
+    return made.agg(F.count_distinct("id").alias("ids"), F.bool_and(F.col("id").rlike("^chg-[0-9a-f]{8}-[0-9a-f]{4}-4[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$")).alias("fits"))
+
+
+@query("valid_experiments", "SELECT c_custkey AS asked, CASE WHEN c_nationkey = 3 THEN CAST(c_custkey AS VARCHAR) ELSE 'all' END AS shown FROM customer")
+def valid_experiments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Selected experiments of a project, or all where they are none of it (F16)."""
+    x = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("id"), F.col("c_nationkey").alias("project_id"))
+    return filters.valid_experiments(x, x.select(F.col("id").alias("experiment")), "3").select(F.col("experiment").cast("long").alias("asked"), "shown")
+
+
+@query("kept_lines", "SELECT s_suppkey, concat_ws(chr(10), nullif(CASE WHEN s_suppkey % 2 = 0 THEN s_name END, ''), nullif(CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE 'n' || s_nationkey END, ''), 'end') AS lines FROM supplier")
+def kept_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines without the empty ones."""
+    k = F.col("s_suppkey")
+    return table(spark, sf_dir, "supplier").select("s_suppkey", export._lines(F.when(k % 2 == 0, F.col("s_name")), F.when(k % 3 == 0, "").otherwise(F.concat(F.lit("n"), F.col("s_nationkey").cast("string"))), F.lit("end")).alias("lines"))
 
 
 @query("sample_files", "SELECT l_linestatus AS sample_id, count(DISTINCT l_partkey) AS files, count(DISTINCT l_orderkey) AS entries FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY l_linestatus")

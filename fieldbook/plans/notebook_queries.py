@@ -444,18 +444,20 @@ def markdown_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "table_edits",
     """
-    SELECT n_nationkey, n_name || '|' || n_regionkey || '|;||' AS with_row, n_name || '|' || n_regionkey || '|' AS with_column, n_name || '|x' AS with_cell FROM nation
+    SELECT n_nationkey, n_name || '|' || n_regionkey || '|;||' AS with_row, n_name || '|' || n_regionkey || '|' AS with_column, n_name || '|x' AS with_cell, n_nationkey % 3 <> 0 AS header_row FROM nation
     """,
 )
 def table_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A one-row table with a row, a column and a cell edited."""
+    """A one-row table with a row, a column and a cell edited, and its header turned."""
     data = F.array(F.array("n_name", F.col("n_regionkey").cast("string")))
 
     def shown(d: Column) -> Column:
         return F.array_join(F.transform(d, lambda r: F.array_join(r, "|")), ";")
 
     wide = arrays.with_column(data)
-    return table(spark, sf_dir, "nation").select("n_nationkey", shown(arrays.with_row(wide)).alias("with_row"), shown(wide).alias("with_column"), shown(arrays.with_cell(data, 0, 1, F.lit("x"))).alias("with_cell"))
+    header = F.when(F.col("n_nationkey") % 3 == 1, False).when((F.col("n_nationkey") % 3 == 0) & (F.col("n_nationkey") % 2 == 0), True)
+    header = F.when(F.col("n_nationkey") % 3 == 2, False).otherwise(header)
+    return table(spark, sf_dir, "nation").select("n_nationkey", shown(arrays.with_row(wide)).alias("with_row"), shown(wide).alias("with_column"), shown(arrays.with_cell(data, 0, 1, F.lit("x"))).alias("with_cell"), arrays.toggled_header(header).alias("header_row"))
 
 
 _TURN = f"CASE role WHEN 'user' THEN '## ' || {_escaped_sql('text')} WHEN 'assistant' THEN text ELSE '> ' || replace(text, chr(10), chr(10) || '> ') END"

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
 from datetime import UTC, datetime
 
+import pyarrow as pa
 from py4j.protocol import Py4JJavaError
+from pyarrow.fs import FileSystem, LocalFileSystem
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from fieldbook.functions.arrays import ITEMS, RUNS, listed, united
 from fieldbook.functions.text import attachment_type, basename, has_scheme, long_date, long_datetime, new_id, size_label, trimmed, without_scheme
@@ -204,23 +209,119 @@ def hydrated(attachments: DataFrame, blobs: DataFrame, files: DataFrame) -> Data
     return own.withColumn("url", url).drop("_key", "_name", "_blob", "_file")
 
 
+def new_days(wanted: DataFrame, entries: DataFrame) -> DataFrame:
+    """wanted entries without quick captures and daily ones whose date has its daily entry; of several for one new date the first by seq stays."""
+    quick = F.coalesce(F.col("quick_capture"), F.lit(False)) if "quick_capture" in wanted.columns else F.lit(False)
+    rows = wanted.withColumn("_day", F.when(quick | F.coalesce("is_daily", F.lit(False)), F.col("date_bucket")))
+    known = entries.where("is_daily").select(F.col("date_bucket").alias("_day")).distinct()
+    open_days = rows.where("_day IS NOT NULL").join(known, "_day", "left_anti")
+    makes = F.coalesce("is_daily", quick)  # only a daily entry stops the next one
+    first = open_days.where(makes).groupBy("_day").agg(F.min("seq").alias("_first"))
+    kept = open_days.join(first, "_day", "left").where("_first IS NULL OR seq <= _first")
+    return kept.select(*wanted.columns).unionByName(rows.where("_day IS NULL").select(*wanted.columns))
+
+
+def cache_files(files: DataFrame, folder: str, blobs: str, outcomes: str, now_ms: int) -> DataFrame:
+    """files (name, content and what else there is) with cached_path: fs://<now_ms>-<name> where the folder took the file, else idb://<key> in the blob table.
+
+    The outcome of each write is a row of the table `outcomes`, so that a file
+    is written to one place. A file is written beside its place and then
+    moved; one whose name has a slash is not tried. The folder is one that all
+    executors share, as in export.write_bundle.
+    """
+    spark = files.sparkSession
+    names = F.concat(F.lit(f"{now_ms}-"), F.col("name"))
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            done = [_stored(folder, n, c) for n, c in zip(batch.column("_stored").to_pylist(), batch.column("content").to_pylist(), strict=True)]
+            yield batch.append_column("_done", pa.array(done, pa.bool_()))
+
+    tried = files.withColumn("_stored", names)
+    schema = StructType([*tried.schema.fields, *StructType.fromDDL("_done boolean").fields])
+    tried.mapInArrow(put, schema).write.mode("overwrite").parquet(outcomes)
+    done = spark.read.schema(schema).parquet(outcomes)
+    failed = done.where("NOT _done AND content IS NOT NULL")
+    if failed.take(1):
+        put_blobs(failed, blobs)
+    path = F.when(F.col("_done"), F.concat(F.lit("fs://"), "_stored")).otherwise(F.concat(F.lit("idb://"), F.sha2("content", 256)))
+    return done.withColumn("cached_path", path).select(*files.columns, "cached_path")
+
+
+def _store(folder: str) -> tuple[FileSystem, str]:
+    return FileSystem.from_uri(folder) if "://" in folder else (LocalFileSystem(), folder)
+
+
+def _stored(folder: str, name: str | None, content: bytes | None) -> bool:
+    """Whether a folder took a file."""
+    if name is None or content is None or "/" in name or "\0" in name:
+        return False
+    try:
+        store, base = _store(folder)
+        draft = f"{base}/.{uuid.uuid4().hex}"
+        with store.open_output_stream(draft) as out:
+            out.write(content)
+        store.move(draft, f"{base}/{name}")
+        return True
+    except (OSError, pa.ArrowException):
+        return False
+
+
+def attachment_contents(attachments: DataFrame, folder: str | None, blobs: DataFrame, fetched: DataFrame) -> DataFrame:
+    """(id, content) of the attachments (id, cached_path, thumbnail) that can be read; the rest is left out.
+
+    idb:// reads the blob table (key, content) alone and fs:// the folder
+    alone, none if there is no folder or no such file; neither falls back to
+    the thumbnail. What has no such path is fetched by its url, if it has one,
+    else by its thumbnail: data: URLs are decoded, others are looked up in
+    fetched (url, content).
+    """
+    path = F.col("cached_path")
+    url = F.coalesce("url", "thumbnail") if "url" in attachments.columns else F.col("thumbnail")
+    own = attachments.select("id", F.when(has_scheme(path, "idb"), without_scheme(path, "idb")).alias("key"), F.when(has_scheme(path, "fs"), without_scheme(path, "fs")).alias("name"), url.alias("url"))
+    held = own.where("key IS NOT NULL").join(blobs.dropDuplicates(["key"]), "key").select("id", "content")
+    plain = own.where("key IS NULL AND name IS NULL AND url IS NOT NULL")
+    data = plain.where(F.startswith("url", F.lit("data:")))
+    body = F.substring_index("url", ",", -1)
+    coded = F.endswith(F.substring_index("url", ",", 1), F.lit(";base64"))
+    decoded = F.when(coded, F.expr("try_to_binary(substring_index(url, ',', -1), 'base64')")).otherwise(F.encode(F.try_url_decode(F.replace(body, F.lit("+"), F.lit("%2B"))), "UTF-8"))
+    out = held.unionByName(data.select("id", decoded.alias("content"))).unionByName(plain.where(~F.startswith("url", F.lit("data:"))).join(fetched, "url").select("id", "content"))
+    if folder is None:
+        return out.where("content IS NOT NULL")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, name in enumerate(batch.column("name").to_pylist()):  # a file at a time
+                try:
+                    store, base = _store(folder)
+                    with store.open_input_stream(f"{base}/{name}") as f:
+                        yield pa.RecordBatch.from_arrays([batch.column("id").slice(k, 1), pa.array([f.read()], pa.binary())], names=["id", "content"])
+                except (OSError, pa.ArrowException):
+                    continue
+
+    files = own.where("name IS NOT NULL AND NOT contains(name, '/')").select("id", "name").mapInArrow(read, StructType([own.schema["id"], *StructType.fromDDL("content binary").fields]))
+    return out.where("content IS NOT NULL").unionByName(files)
+
+
 def created_entries(wanted: DataFrame, users: DataFrame, now: Column) -> DataFrame:
     """Entry rows for wanted (id, seq, title, project_id, experiment_id, is_daily, date_bucket), with defaults for title, project and author.
 
     wanted may have project_tags and experiment_tags, which are kept, and
-    quick_capture, which is is_daily without it. The author is the second user
-    in the order of ids, else the first, else 'me'.
+    quick_capture, which alone decides how an untitled entry is called and
+    makes it a daily one where is_daily is null. The author is the second user
+    in the order of ids, else the first, else 'me'. new_days() leaves out what
+    a day has already.
     """
     given = lambda c, other: F.col(c) if c in wanted.columns else other
     ranked = users.select("id", F.col("settings.default_project_id").alias("project")).orderBy("id").limit(2)
     second = ranked.agg(F.array_sort(F.collect_list(F.struct("id", "project"))).alias("u")).select(F.coalesce(F.get("u", F.lit(1))["id"], F.get("u", F.lit(0))["id"], F.lit("me")).alias("author_id"), F.get("u", F.lit(1))["project"].alias("_project"))
-    quick = F.coalesce(given("quick_capture", F.col("is_daily")), F.lit(False))
+    quick = F.coalesce(given("quick_capture", F.lit(False)), F.lit(False))
     shown = F.when(quick, F.concat(F.lit("Quick capture – "), long_datetime(now))).otherwise(F.concat(F.lit("Untitled note – "), long_date(now)))
     title = F.coalesce(F.nullif(trimmed(F.col("title")), F.lit("")), shown)
     empty = F.array().cast("array<string>")
     tags = {c: listed(given(c, empty)) for c in ("project_tags", "experiment_tags")}
     return wanted.join(F.broadcast(second)).select(
-        F.coalesce("id", new_id("entry-")).alias("id"), "seq", "experiment_id", F.coalesce("project_id", "_project").alias("project_id"), now.alias("created_ts"), now.alias("last_edited_ts"), "author_id", title.alias("title"), "date_bucket", "is_daily",
+        F.coalesce("id", new_id("entry-")).alias("id"), "seq", "experiment_id", F.coalesce("project_id", "_project").alias("project_id"), now.alias("created_ts"), now.alias("last_edited_ts"), "author_id", title.alias("title"), "date_bucket", F.coalesce(F.col("is_daily"), quick).alias("is_daily"),
         *[tags.get(c, empty).alias(c) for c in ("tags", "project_tags", "experiment_tags", "search_terms", "linked_files")],
     )
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import threading
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -11,6 +13,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from pyspark.sql.window import Window
 
 from fieldbook.functions.text import fnv1a, iso_text
+from fieldbook.sources.commits import Lease, Snapshot, lease
 
 EVENT = "change_id string, entry_id string, seq long, kind string, ts timestamp"
 STATE = "change_id string, entry_id string, seq long, status string, attempts int, last_tried_ts timestamp, last_error string"
@@ -45,9 +48,41 @@ def candidates(changes: DataFrame, entry: str | None = None, include_failed: boo
     return changes.where(would_try(entry, include_failed))
 
 
-def single_flight(spark: SparkSession, name: str, start: Callable[[], StreamingQuery]) -> StreamingQuery | None:
-    """start() a streaming query of this name, or None while one of this name runs: a second call is dropped."""
-    return None if any(q.name == name for q in spark.streams.active) else start()
+def single_flight(spark: SparkSession, name: str, start: Callable[[], StreamingQuery], folder: str | None = None, seconds: float = 60.0) -> StreamingQuery | None:
+    """start() a streaming query of this name, or None while one of this name runs: a second call is dropped.
+
+    With a folder that several drivers share, only one of them runs it: a
+    lease of so many seconds is renewed while the query runs and let go when
+    it ends. A driver that dies lets others in when its lease expires; one
+    that has lost its lease stops its query.
+    """
+    if any(q.name == name for q in spark.streams.active):
+        return None
+    held = lease(spark, folder, seconds) if folder else None
+    if folder and held is None:
+        return None
+    try:
+        query = start()
+    except Exception:
+        if held:
+            held.release()
+        raise
+    if held:
+        threading.Thread(target=_hold, args=(held, query, seconds), daemon=True).start()
+    return query
+
+
+def _hold(held: Lease, query: StreamingQuery, seconds: float) -> None:
+    lost = False
+    while query.isActive and not lost:
+        deadline = time.monotonic() + seconds / 3
+        while query.isActive and time.monotonic() < deadline:
+            time.sleep(min(0.2, seconds / 10))
+        lost = query.isActive and not held.renew(seconds)
+    if lost:
+        query.stop()
+    else:
+        held.release()
 
 
 def synced(changes: DataFrame, now: Column, entry: str | None = None, include_failed: bool = True, online: bool = True, no_fail: bool = False, fail_next: bool = False) -> DataFrame:
@@ -116,7 +151,7 @@ class _Queue(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("change", "entry_id string, seq long, status string, attempts int, tried timestamp, error string, queued boolean", 86_400_000)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         old = self.state.get() if self.state.exists() else None
         entry, seq, status, attempts, tried, error, queued = tuple(old) if old is not None else (None, -1, "pending", 0, None, None, False)
         events = pd.concat(list(rows)).sort_values("seq")
@@ -157,11 +192,87 @@ def tracked(events: DataFrame) -> DataFrame:
     return events.groupBy("change_id").transformWithStateInPandas(_Queue(), STATE, "Update", "ProcessingTime")
 
 
+def newest(states: DataFrame) -> DataFrame:
+    """One STATE row for each change, the one of the highest seq."""
+    columns = [c for c in states.columns if c != "change_id"]
+    return states.groupBy("change_id").agg(F.max_by(F.struct(*columns), "seq").alias("s")).select("change_id", "s.*")
+
+
 def keep_latest(batch: DataFrame, path: str) -> DataFrame:
-    """One row for each change of a folder of STATE rows and a new batch, the one of the highest seq; a new folder beside it is written by the caller."""
-    old = batch.sparkSession.read.schema(STATE).parquet(path)
-    w = Window.partitionBy("change_id").orderBy(F.desc("seq"))
-    return old.unionByName(batch).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    """The newest rows of a folder of STATE rows and a new batch; a new folder beside it is written by the caller."""
+    return newest(batch.sparkSession.read.schema(STATE).parquet(path).unionByName(batch))
+
+
+def overwrite_latest(states: DataFrame, path: str, checkpoint: str, pause: str = "250 milliseconds"):
+    """A streaming query writer that overwrites the whole table of states with each batch, at most once in a pause.
+
+    Readers (commits.Snapshot) see the table before a batch or after it. A
+    batch that is repeated after a crash takes effect once. The path belongs
+    to this checkpoint: its versions are numbered as the batches are.
+    """
+    table = Snapshot(states.sparkSession, path)
+
+    def put(batch: DataFrame, number: int) -> None:
+        old = table.read()
+        table.write(newest(batch if old is None else old.unionByName(batch)), number)
+
+    return states.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(processingTime=pause).foreachBatch(put)
+
+
+BURST = "key string, events long, first timestamp, last timestamp"
+
+
+class _Debounce(StatefulProcessor):
+    """Bursts of a key's events that may still grow, each with a timer that fires a gap after its last event."""
+
+    def __init__(self, gap_ms: int):
+        self.gap_ms = gap_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.bursts = handle.getListState("bursts", "first long, last long, events long")
+
+    def _keep(self, bursts: list[tuple[int, int, int]]) -> None:
+        for at in list(self.handle.listTimers()):
+            self.handle.deleteTimer(at)
+        if not bursts:
+            self.bursts.clear()
+            return
+        self.bursts.put(bursts)
+        for _, last, _ in bursts:
+            self.handle.registerTimer(-(-last // 1000) + self.gap_ms)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        new = [(int(t), int(t), 1) for batch in rows for t in batch["us"]]
+        joined: list[tuple[int, int, int]] = []
+        for first, last, n in sorted([*map(tuple, self.bursts.get()), *new]):
+            if joined and first - joined[-1][1] <= self.gap_ms * 1000:
+                joined[-1] = (joined[-1][0], max(last, joined[-1][1]), joined[-1][2] + n)
+            else:
+                joined.append((first, last, n))
+        self._keep(joined)
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        bursts = [tuple(b) for b in self.bursts.get()]
+        over = [b for b in bursts if -(-b[1] // 1000) + self.gap_ms <= now]
+        self._keep([b for b in bursts if b not in over])
+        yield pd.DataFrame({"key": [key[0]] * len(over), "events": [b[2] for b in over], "first": pd.to_datetime([b[0] for b in over], unit="us"), "last": pd.to_datetime([b[1] for b in over], unit="us")})
+
+    def close(self) -> None:
+        pass
+
+
+def debounced(events: DataFrame, key: str, ts: str, gap_ms: int = 900, late: str = "10 seconds") -> DataFrame:
+    """BURST rows of a stream: each key's bursts as `sessions` has them, one as soon as it has been quiet for the gap.
+
+    Time is the events' own; those that come later than `late` after newer
+    ones are dropped. What a burst starts, such as a sync of all that is
+    pending, belongs to the sink. Needs the RocksDB state store provider.
+    """
+    timed = events.select(F.col(key).cast("string").alias("key"), F.col(ts).cast("timestamp").alias("at")).withWatermark("at", late)
+    return timed.withColumn("us", F.unix_micros("at")).groupBy("key").transformWithStateInPandas(_Debounce(gap_ms), BURST, "Append", "EventTime")
 
 
 def write_latest(states: DataFrame, path: str, checkpoint: str):

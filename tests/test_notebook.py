@@ -141,7 +141,9 @@ def test_new_entries(spark, book, now):
     wanted = spark.sql("SELECT 'n' AS id, 5L AS seq, '  ' AS title, CAST(NULL AS string) AS project_id, CAST(NULL AS string) AS experiment_id, false AS is_daily, date'2025-12-26' AS date_bucket")
     row = notebook.created_entries(wanted, book["users"], now).first()
     assert (row.title, row.project_id, row.author_id, row.project_tags) == ("Untitled note – Dec 26, 2025", "proj-guided", "u2", [])
-    quick = wanted.withColumn("is_daily", F.lit(True)).withColumn("project_tags", F.array(F.lit("mine")))
+    daily = notebook.created_entries(wanted.withColumn("is_daily", F.lit(True)), book["users"], now).first()
+    assert (daily.title, daily.is_daily) == ("Untitled note – Dec 26, 2025", True)
+    quick = wanted.withColumn("quick_capture", F.lit(True)).withColumn("project_tags", F.array(F.lit("mine")))
     row = notebook.created_entries(quick, book["users"].where("id = 'u1'"), now).first()
     assert (row.title, row.author_id, row.project_tags) == ("Quick capture – Dec 26, 2025, 01:00 PM", "u1", ["mine"])
 
