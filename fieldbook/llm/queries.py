@@ -139,9 +139,11 @@ SQL["op6_url_filters"] = f"""
     bad AS (SELECT doc_id, bool_or(coalesce(quality = 0 OR toxic = 1, false)) AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
     known AS (SELECT page_id, url, own, bad FROM (SELECT DISTINCT page_id, url FROM pages) JOIN bad ON page_id = doc_id JOIN urls USING (url) WHERE len(own) > 0 OR bad),
     least AS (SELECT least(count(*), {url_filters.MIN_PAGES}) AS n FROM known),
-    t AS (SELECT page_id, url, bad, unnest(own) AS tok FROM known),
-    single AS (SELECT tok, count(*) FILTER (bad) >= {url_filters.MIN_CONFIDENCE} * count(*) AS sure FROM t GROUP BY tok HAVING count(*) FILTER (bad) >= (SELECT n FROM least)),
-    unsure AS (SELECT t.* FROM t JOIN single USING (tok) WHERE NOT sure),
+    each AS (SELECT page_id, url, bad, unnest(own) AS token FROM known),
+    tokens AS (SELECT token, count(*) AS freq, count(*) FILTER (bad) AS both, md5(string_agg(page_id || ' ' || url, chr(10) ORDER BY page_id, url)) AS held_by FROM each GROUP BY token HAVING count(*) FILTER (bad) >= (SELECT n FROM least)),
+    items AS (SELECT *, min(token) OVER (PARTITION BY held_by) AS tok FROM tokens),
+    single AS (SELECT tok, both >= {url_filters.MIN_CONFIDENCE} * freq AS sure FROM items WHERE token = tok),
+    unsure AS (SELECT e.page_id, e.url, e.bad, tok FROM each e JOIN single ON token = tok WHERE NOT sure),
     sets AS (
         SELECT page_id, url, bad, [tok] AS toks FROM unsure
         UNION ALL SELECT s.page_id, s.url, s.bad, list_append(s.toks, u.tok) FROM sets s JOIN unsure u ON s.page_id = u.page_id AND s.url = u.url AND s.toks[-1] < u.tok
@@ -150,7 +152,8 @@ SQL["op6_url_filters"] = f"""
         SELECT [tok] AS toks FROM single WHERE sure
         UNION ALL SELECT toks FROM sets WHERE len(toks) > 1 GROUP BY toks HAVING count(*) FILTER (bad) >= (SELECT n FROM least) AND count(*) FILTER (bad) >= {url_filters.MIN_CONFIDENCE} * count(*)
     ),
-    blocked AS (SELECT DISTINCT url FROM urls JOIN mined ON list_has_all(own, toks)),
+    holding AS (SELECT url, list(DISTINCT tok) AS toks FROM (SELECT url, unnest(own) AS token FROM urls) JOIN items USING (token) GROUP BY url),
+    blocked AS (SELECT DISTINCT url FROM holding h JOIN mined m ON list_has_all(h.toks, m.toks)),
     rules AS (SELECT * FROM (VALUES {", ".join(f"('{r}', '{r.partition('/')[0]}', '/{r.partition('/')[2]}', '{v}')" for r, v in URL_RULES)}) v(rule, rule_host, rule_path, rule_verdict)),
     fitting AS (
         SELECT url, arg_max(rule, length(rule)) AS rule, arg_max(rule_verdict, length(rule)) AS rule_verdict

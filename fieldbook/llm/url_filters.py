@@ -3,10 +3,12 @@
 A URL is a set of tokens: its host's labels and the words of its path and
 query. FP-growth finds the token sets that occur often among labelled pages;
 those that are followed by a bad label with enough support and confidence are
-rules, and rules that contain a shorter one are pruned. Single tokens are
-counted first, and those that are rules alone stay out of the longer sets. Each rule is indexed
-under its rarest token, where a page's tokens look it up. Only DataFrame
-expressions are used.
+rules, and rules that contain a shorter one are pruned. Tokens that stand on
+the same labelled pages are one item, for a set that holds two of them says
+no more than with one: a URL that is crawled again and again adds one item and
+not each subset of its words. Items are counted first, and those that are
+rules alone stay out of the longer sets. Each rule is indexed under its rarest
+item, where a page's items look it up. Only DataFrame expressions are used.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from __future__ import annotations
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from fieldbook.llm.common import Scratch, dealt_join
 
@@ -62,61 +65,73 @@ def written_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> Co
     return F.when(best.isNotNull(), F.struct(best.rule.alias("rule"), best.verdict.alias("verdict")))
 
 
-def mine(pages: DataFrame, labels: DataFrame) -> DataFrame:
-    """(key, tokens): the token sets that block, each under its rarest token.
+def mine(pages: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key, items), the item sets that block, each under its rarest item; and (token, item), the tokens of these items.
 
     pages: (page_id, url), labels: (doc_id, quality, toxic) for page ids. Bad
-    is a page with quality 0 or toxic 1 in any of its label rows. Rules have any
-    number of tokens and need MIN_PAGES bad pages (all pages, if fewer are labelled).
+    is a page with quality 0 or toxic 1 in any of its label rows. An item is
+    named by the least of its tokens; a URL has it if it has any of them, which
+    is the same on labelled pages. Rules have any number of items and need
+    MIN_PAGES bad pages (all pages, if fewer are labelled).
     """
     scratch = Scratch(pages.sparkSession, "url-rules")
     bad = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.bool_or(F.coalesce((F.col("quality") == 0) | (F.col("toxic") == 1), F.lit(False))).alias("bad"))
     known = pages.where("url IS NOT NULL").select("page_id", "url").distinct().join(bad, F.col("page_id") == F.col("doc_id"))
     tokens = tokens_of(F.col("url"))
-    baskets = known.select(F.monotonically_increasing_id().alias("row"), tokens.alias("items"), "bad").where((F.size("items") > 0) | F.col("bad"))
+    baskets = known.select(F.monotonically_increasing_id().alias("row"), tokens.alias("tokens"), "bad").where((F.size("tokens") > 0) | F.col("bad"))
     baskets = scratch.save("baskets", baskets)
     least = min(baskets.count(), MIN_PAGES)
     if not least:
-        return pages.sparkSession.createDataFrame([], "key string, tokens array<string>")
-    # No rule has a token of fewer bad pages, and none but itself one that is a rule alone.
-    each = baskets.select("row", "bad", F.explode("items").alias("token"))
-    single = scratch.save("single", each.groupBy("token").agg(F.count("*").alias("freq"), F.count_if("bad").alias("both")).where(F.col("both") >= least))
+        spark = pages.sparkSession
+        return spark.createDataFrame([], "key string, items array<string>"), spark.createDataFrame([], "token string, item string")
+    # No rule has a token of fewer bad pages. Equal sums of two hashes of the pages tell equal pages.
+    each = baskets.select("row", "bad", F.explode("tokens").alias("token"))
+    where = [F.sum(F.xxhash64(F.lit(k), "row").cast("decimal(38,0)")).alias(f"at_{k}") for k in (0, 1)]
+    single = each.groupBy("token").agg(F.count("*").alias("freq"), F.count_if("bad").alias("both"), *where).where(F.col("both") >= least)
+    same = Window.partitionBy("freq", "both", "at_0", "at_1")
+    single = scratch.save("single", single.withColumn("item", F.min("token").over(same)).select("token", "item", "freq", "both"))
+    # And no rule but itself has an item that is one alone.
     sure = F.col("both") >= MIN_CONFIDENCE * F.col("freq")
-    index = single.where(sure).select(F.col("token").alias("key"), F.array("token").alias("tokens"))
-    unsure = scratch.save("unsure", single.where(~sure).select("token"))
+    alone = single.where(F.col("token") == F.col("item"))
+    index = alone.where(sure).select(F.col("item").alias("key"), F.array("item").alias("items"))
+    unsure = scratch.save("unsure", alone.where(~sure).select("token"))
     rest = each.join(unsure, "token").groupBy("row").agg(F.first("bad").alias("bad"), F.collect_list("token").alias("own")).where(F.size("own") > 1)
     rest = scratch.save("rest", rest.select("bad", F.when(F.col("bad"), F.array_append("own", F.lit(BAD))).otherwise(F.col("own")).alias("items")))
     n, n_bad = rest.agg(F.count("*"), F.count_if("bad")).first()
-    if n_bad < least:
-        return scratch.save("index", index)
-    # Half a page less, so that rounding up the product gives `least` whatever the quotient's last bit.
-    model = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / n, minConfidence=MIN_CONFIDENCE).fit(rest)
-    sets = scratch.save("sets", model.freqItemsets.where(F.size("items") > 1))
-    with_bad = sets.where(F.array_contains("items", BAD)).select(F.array_sort(F.array_remove("items", BAD)).alias("tokens"), F.col("freq").alias("both"))
-    alone = sets.where(~F.array_contains("items", BAD)).select(F.array_sort("items").alias("tokens"), "freq")
-    rules = with_bad.join(alone, "tokens").where(sure).select("tokens")
-    keyed = rules.select("tokens", F.explode("tokens").alias("token")).join(single, "token").groupBy("tokens").agg(F.min(F.struct("freq", "token")).alias("rarest"))
-    keyed = scratch.save("keyed", keyed.select(F.col("rarest.token").alias("key"), "tokens"))
-    # A rule that holds a shorter rule, of any length, says nothing new.
-    parts = keyed.select("key", F.col("tokens").alias("part"))
-    holds = (F.size("part") < F.size("tokens")) & (F.size(F.array_except("part", "tokens")) == 0)
-    pruned = keyed.select("tokens", F.explode("tokens").alias("key")).join(parts, "key").where(holds).select("tokens").distinct()
-    return scratch.save("index", index.unionByName(keyed.join(pruned, "tokens", "left_anti").select("key", "tokens")))
+    if n_bad >= least:
+        # Half a page less, so that rounding up the product gives `least` whatever the quotient's last bit.
+        model = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / n, minConfidence=MIN_CONFIDENCE).fit(rest)
+        sets = scratch.save("sets", model.freqItemsets.where(F.size("items") > 1))
+        with_bad = sets.where(F.array_contains("items", BAD)).select(F.array_sort(F.array_remove("items", BAD)).alias("items"), F.col("freq").alias("both"))
+        plain = sets.where(~F.array_contains("items", BAD)).select(F.array_sort("items").alias("items"), "freq")
+        rules = with_bad.join(plain, "items").where(sure).select("items")
+        keyed = rules.select("items", F.explode("items").alias("item")).join(alone, "item").groupBy("items").agg(F.min(F.struct("freq", "item")).alias("rarest"))
+        keyed = scratch.save("keyed", keyed.select(F.col("rarest.item").alias("key"), "items"))
+        # A rule that holds a shorter rule, of any length, says nothing new.
+        parts = keyed.select("key", F.col("items").alias("part"))
+        holds = (F.size("part") < F.size("items")) & (F.size(F.array_except("part", "items")) == 0)
+        pruned = keyed.select("items", F.explode("items").alias("key")).join(parts, "key").where(holds).select("items").distinct()
+        index = index.unionByName(keyed.join(pruned, "items", "left_anti").select("key", "items"))
+    index = scratch.save("index", index)
+    used = index.select(F.explode("items").alias("item")).distinct()
+    return index, scratch.save("names", single.join(used, "item", "left_semi").select("token", "item"))
 
 
 def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
     """page_id, url, host, path, rule and verdict ('allow' or 'block') of each page.
 
     A written rule decides where one fits; else a page is blocked if a mined
-    rule's tokens are all among its own, and allowed if not. A null URL, or one
+    rule's items are all among its own, and allowed if not. A null URL, or one
     without ://, has an empty host and path and no tokens. Repeated rows stay.
     Other columns are not read. Without labels nothing is mined.
     """
     pages = pages.select("page_id", "url")
-    index = mine(pages, labels)
+    index, names = mine(pages, labels)
     scratch = Scratch(pages.sparkSession, "url-blocked")
-    urls = pages.where("url IS NOT NULL").groupBy("url").agg(F.count("*").alias("n")).withColumn("own", tokens_of(F.col("url")))
-    met = urls.select("url", "n", "own", F.explode("own").alias("key")).join(index, "key").where(F.size(F.array_except("tokens", "own")) == 0)
+    urls = pages.where("url IS NOT NULL").groupBy("url").agg(F.count("*").alias("n"))
+    held = urls.select("url", "n", F.explode(tokens_of(F.col("url"))).alias("token")).join(names, "token")
+    own = held.groupBy("url").agg(F.max("n").alias("n"), F.collect_set("item").alias("own"))
+    met = own.select("url", "n", "own", F.explode("own").alias("key")).join(index, "key").where(F.size(F.array_except("items", "own")) == 0)
     blocked = scratch.save("urls", met.select("url", "n").distinct().withColumn("mined", F.lit("block")))
     joined = dealt_join(pages, blocked, ["url"], F.xxhash64("page_id"), "left")
     host, path = host_of(F.col("url")), path_of(F.col("url"))

@@ -212,7 +212,7 @@ def test_mined_rules(spark, both_ways):
                 hit[c] += label(u)
     mined = [set(c) for c in seen if hit[c] >= 5 and hit[c] >= 0.5 * seen[c]]
     assert all((g.verdict == "block") == bool(g.url and any(m <= tokens(g.url) for m in mined)) for g in got.collect())
-    index = [set(x.tokens) for x in url_filters.mine(pages, labels).collect()]
+    index = [set(x["items"]) for x in url_filters.mine(pages, labels)[0].collect()]
     assert {"h:spam"} in index and not any(a < b for a in index for b in index)
     assert url_filters.judge(pages.limit(0), labels, RULES).count() == 0
 
@@ -232,7 +232,20 @@ def test_rules_of_four_tokens(spark, both_ways):
     labels = spark.createDataFrame([(i, int(good), 0) for i, (_, good) in enumerate(urls)], "doc_id long, quality int, toxic int")
     pages = spark.createDataFrame([*rows, (900, "http://other.org/d/c/b/a/e")], "page_id long, url string")
     assert {g.page_id for g in url_filters.judge(pages, labels, []).collect() if g.verdict == "block"} == {0, 1, 2, 3, 4, 5, 900}
-    assert [sorted(x.tokens) for x in url_filters.mine(pages, labels).collect()] == [["p:a", "p:b", "p:c", "p:d"]]
+    assert [sorted(x["items"]) for x in url_filters.mine(pages, labels)[0].collect()] == [["p:a", "p:b", "p:c", "p:d"]]
+
+
+def test_one_long_url_on_many_pages(spark, both_ways):
+    """40 words that always stand together are one item; with a word of another URL they make a rule."""
+    words = [f"w{k}" for k in range(40)]
+    rows = [(i, "http://long.net/" + "/".join(words) + ("/ad" if i < 5 else "")) for i in range(11)] + [(i, f"http://other.net/ad/{i}") for i in range(20, 30)]
+    labels = spark.createDataFrame([(i, int(i >= 5), 0) for i, _ in rows], "doc_id long, quality int, toxic int")
+    pages = spark.createDataFrame([*rows, (90, "http://x.net/w39/ad"), (91, "http://x.net/w3/w4"), (92, "http://x.net/ad"), (93, "http://x.net/" + "a/" * 20_000), (94, "http://x.net/" + "/".join(f"u{k}" for k in range(5000)))], "page_id long, url string")
+    index, names = url_filters.mine(pages, labels)
+    assert [sorted(x["items"]) for x in index.collect()] == [["h:long", "p:ad"]]
+    assert {x.token for x in names.where("item = 'h:long'").collect()} == {"h:long", *(f"p:{w}" for w in words)}
+    got = url_filters.judge(pages.unionByName(pages.where("page_id = 90")), labels, []).collect()
+    assert sorted(g.page_id for g in got if g.verdict == "block") == [0, 1, 2, 3, 4, 90, 90]
 
 
 def plain_repeats(rows, length):
