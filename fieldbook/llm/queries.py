@@ -80,7 +80,7 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 MIXING_POWER = 0.7
 MIXING_BUDGET = 0.5
 #: Rounds after which the SQL's raking has converged.
-MIXING_ROUNDS = 25
+MIXING_ROUNDS = 40
 
 
 @query
@@ -100,9 +100,9 @@ SQL["op5_mixing"] = f"""
         FROM documents LEFT JOIN topics ON doc_id = vec_id
     ),
     cells AS (SELECT s, l, p, sum(tokens)::BIGINT AS tokens FROM counted GROUP BY s, l, p),
-    {mixing.raking_sql(["s", "l", "p"], MIXING_POWER, MIXING_ROUNDS)},
+    {mixing.raking_sql(["s", "l", "p"], MIXING_POWER, MIXING_ROUNDS, MIXING_BUDGET)},
     chances AS (
-        SELECT d.*, CASE WHEN r.tokens > 0 THEN least(1.0::DOUBLE, {MIXING_BUDGET}::DOUBLE * r.weight / r.tokens) ELSE 1.0::DOUBLE END AS chance,
+        SELECT d.*, CASE WHEN r.tokens > 0 THEN least(1.0::DOUBLE, r.budget * r.weight / r.tokens) ELSE 1.0::DOUBLE END AS chance,
                ('0x' || substr(md5('{mixing.SEED}:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT::DOUBLE / 4294967296 AS u
         FROM counted d JOIN raked r ON d.s = r.s AND d.l = r.l AND d.p = r.p
     )
@@ -140,9 +140,9 @@ SQL["op6_url_filters"] = f"""
     known AS (SELECT page_id, url, own, bad FROM (SELECT DISTINCT page_id, url FROM pages) JOIN bad ON page_id = doc_id JOIN urls USING (url) WHERE len(own) > 0 OR bad),
     least AS (SELECT least(count(*), {url_filters.MIN_PAGES}) AS n FROM known),
     each AS (SELECT page_id, url, bad, unnest(own) AS token FROM known),
-    tokens AS (SELECT token, count(*) AS freq, count(*) FILTER (bad) AS both, md5(string_agg(page_id || ' ' || url, chr(10) ORDER BY page_id, url)) AS held_by FROM each GROUP BY token HAVING count(*) FILTER (bad) >= (SELECT n FROM least)),
+    tokens AS (SELECT token, count(*) AS freq, count(*) FILTER (bad) AS n_bad, md5(string_agg(page_id || ' ' || url, chr(10) ORDER BY page_id, url)) AS held_by FROM each GROUP BY token HAVING count(*) FILTER (bad) >= (SELECT n FROM least)),
     items AS (SELECT *, min(token) OVER (PARTITION BY held_by) AS tok FROM tokens),
-    single AS (SELECT tok, both >= {url_filters.MIN_CONFIDENCE} * freq AS sure FROM items WHERE token = tok),
+    single AS (SELECT tok, n_bad >= {url_filters.MIN_CONFIDENCE} * freq AS sure FROM items WHERE token = tok),
     unsure AS (SELECT e.page_id, e.url, e.bad, tok FROM each e JOIN single ON token = tok WHERE NOT sure),
     sets AS (
         SELECT page_id, url, bad, [tok] AS toks FROM unsure

@@ -115,36 +115,54 @@ def test_jaccard_edge_cases(spark):
     assert jaccard_join.link_documents(documents(spark, [])).count() == 0
 
 
-def plain_raking(cells, power, rounds=200):
-    w = {k: float(v) for k, v in cells.items()}
+def plain_raking(cells, power, budget, rounds=400):
+    """Weights of at most a cell's tokens over the budget: each value's factor is found by bisection."""
+    w = {k: float(v) for k, v in cells.items() if v}
     total = sum(w.values())
     for _ in range(rounds):
         for d in range(3):
-            sums, goal = Counter(), Counter()
+            have = Counter()
             for k in w:
-                sums[k[d]] += w[k]
-                goal[k[d]] += cells[k]
-            goal = {v: n**power for v, n in goal.items() if n}
-            whole = sum(goal.values())
-            w = {k: x * goal[k[d]] / whole * total / sums[k[d]] if sums[k[d]] else 0 for k, x in w.items()}
-    return w
-
-
-@pytest.mark.parametrize("few", [20_000, 0])
-def test_mixing_against_plain_raking(spark, monkeypatch, both_ways, few):
+                have[k[d]] += cells[k]
+            whole = sum(n**power for n in have.values())
+            for v, n in have.items():
+                own, goal = [k for k in w if k[d] == v], n**power / whole * total
+                low, high = 0.0, 1e9
+                for _ in range(120):
+                    f = (low + high) / 2
+                    low, high = (f, high) if sum(min(cells[k] / budget, f * w[k]) for k in own) < goal else (low, f)
+                for k in own:
+                    w[k] *= low
+    return {k: min(x, cells[k] / budget) for k, x in w.items()}
+
+
+@pytest.mark.parametrize(("few", "budget"), [(20_000, 0.5), (20_000, 1.0), (0, 0.7)])
+def test_mixing_against_plain_raking(spark, monkeypatch, both_ways, few, budget):
+    """Some cells are full, and the shares are still the targets."""
     monkeypatch.setattr(mixing, "FEW_CELLS", few)
+    monkeypatch.setattr(mixing, "TOLERANCE", 1e-8)
     r = random.Random(3)
     rows = [(i, "w " * r.randrange(1, 30), r.choice(["en"] * 6 + ["de", None]), r.choice(["a"] * 5 + ["b", "c"]), 0, r.choice("xyz")) for i in range(400)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, topic string").withColumn("_all", F.lit(1)).withColumn("tokens", F.lit("mine"))
-    got = mixing.mix(docs, {n: F.col(n) for n in ("source", "lang", "topic")}, power=0.6, budget=0.5).collect()
-    cells = Counter()
+    got = mixing.mix(docs, {n: F.col(n) for n in ("source", "lang", "topic")}, power=0.6, budget=budget).collect()
+    cells, chances = Counter(), {}
     for g in got:
         cells[g.source, g.lang, g.topic] += g.tokens
-    want = plain_raking(cells, 0.6)
-    for g in got:
-        key = (g.source, g.lang, g.topic)
-        assert abs(g.cell_weight - want[key]) < 1e-5 * max(1, want[key])
-        assert abs(g.probability - min(1, 0.5 * want[key] / cells[key])) < 1e-6
+        chances[g.source, g.lang, g.topic] = g.probability
+    asked = sum(cells[k] * p for k, p in chances.items()) / sum(cells.values())
+    assert 0.2 < asked <= budget and max(chances.values()) <= 1
+    if budget > 0.5:
+        assert max(chances.values()) == 1
+    want = plain_raking(cells, 0.6, asked, 60 if few == 0 else 200)
+    for k, p in chances.items():
+        assert abs(p - asked * want[k] / cells[k]) < 1e-4
+    for d in range(3):
+        tokens, mixed = Counter(), Counter()
+        for k, n in cells.items():
+            tokens[k[d]] += n
+            mixed[k[d]] += n * chances[k]
+        whole = sum(n**0.6 for n in tokens.values())
+        assert all(abs(mixed[v] / sum(mixed.values()) / (n**0.6 / whole) - 1) < 1e-3 for v, n in tokens.items())
     assert abs(sum(g.sampled for g in got) - sum(g.probability for g in got)) < 60
 
 
@@ -164,7 +182,8 @@ def test_mixing_edge_cases(spark):
     docs = documents(spark, ODD)
     dims = {n: F.col(n) for n in ("source", "lang")}
     got = mixing.mix(docs, dims).collect()
-    assert len(got) == len(ODD) and all(g.probability == pytest.approx(1) for g in got)
+    assert len(got) == len(ODD) and all(0 < g.probability <= 1 for g in got) and all(g.probability == 1 for g in got if not g.tokens)
+    assert all(g.probability == pytest.approx(1) for g in mixing.mix(docs, dims, power=1).collect())
     target = spark.createDataFrame([("s", 0.5), ("absent", 0.5)], "value string, share double")
     assert mixing.mix(docs, dims, {"source": target}).agg(F.max("probability")).first()[0] == pytest.approx(1)
     assert mixing.mix(docs.limit(0), dims).count() == 0
