@@ -44,7 +44,6 @@ PART_ROWS = 40_000
 HEAVY_ROWS = 20_000
 #: Queries that are compared with a part's rows at once where all rows count.
 BLOCK = 64
-VECTOR = "vec_id long, embedding array<float>"
 
 
 @dataclass
@@ -106,18 +105,27 @@ def matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times powers of two that bring their largest component near 1, so that no square leaves the range of doubles; cosines stay as they are."""
+    _, exponent = np.frexp(np.abs(x).max(1, keepdims=True))
+    return np.ldexp(x, -exponent)
+
+
 def cosines(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     """The cosine of each row with q; a row's bits don't depend on the other rows."""
+    x, q = scaled(x), scaled(q[None])[0]
     return (x * q).sum(1) / (np.sqrt((x * x).sum(1)) * np.sqrt((q * q).sum()))
 
 
 def unit(x: np.ndarray) -> np.ndarray:
+    x = scaled(x)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """(vec_id, embedding) of rows that take part; of different lengths, only the most frequent one (of equals, the longest)."""
-    fine = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<float>")).where("vec_id IS NOT NULL AND embedding IS NOT NULL")
+    """(vec_id, embedding) of rows that take part; of different lengths, only the most frequent one (of equals, the longest). Floats stay floats, all else becomes doubles."""
+    own = vectors.schema["embedding"].dataType.simpleString()
+    fine = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast(own if own == "array<float>" else "array<double>")).where("vec_id IS NOT NULL AND embedding IS NOT NULL")
     fine = fine.where(F.forall("embedding", lambda v: F.coalesce(F.abs(v) < float("inf"), F.lit(False)) & ~F.isnan(v)) & F.exists("embedding", lambda v: v != 0))
     sizes = fine.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
     return fine.where(F.size("embedding") == (sizes.n if sizes else 0))
@@ -220,7 +228,7 @@ def bucketed(vectors: DataFrame, index: Index) -> DataFrame:
                 for t in range(TABLES):
                     yield pa.RecordBatch.from_arrays([pa.array(ix.keys(ix.cells(x, t)[0], t)), *batch.columns], names=["bucket", "vec_id", "embedding"])
 
-    return vectors.select("vec_id", "embedding").mapInArrow(made, "bucket long, " + VECTOR)
+    return vectors.select("vec_id", "embedding").mapInArrow(made, f"bucket long, vec_id long, embedding {vectors.schema['embedding'].dataType.simpleString()}")
 
 
 def visited(queries: DataFrame, index: Index) -> DataFrame:

@@ -185,9 +185,10 @@ def classify(docs: DataFrame, labels: DataFrame, max_rows_per_class: int = 4000)
     by 5 are learned from, and of these at most max_rows_per_class ids of each
     label: one text each, of any length. Every text is scored whole. Labels
     without a document, and documents without a label, are fine; a null doc_id
-    or label is never learned from.
+    or label is never learned from, nor an id with both labels.
     """
-    known = labels.select("doc_id", F.col("quality").alias("label")).where(F.col("label").isin(0, 1) & ~held_out("doc_id")).dropDuplicates(["doc_id"])
+    own = labels.where(F.col("quality").isin(0, 1) & ~held_out("doc_id")).groupBy("doc_id").agg(F.min("quality").alias("label"), F.max("quality").alias("_most"))
+    known = own.where(F.col("label") == F.col("_most")).select("doc_id", "label")
     return score(docs, fit(docs, known, max_rows_per_class))
 
 

@@ -353,6 +353,22 @@ def test_nearest_ids_with_two_vectors(spark):
     assert [g.vec_id for g in sorted(got, key=lambda g: (g.query_id, g.rank))] == [1, 3, 2, 1, 2, 3]
 
 
+@pytest.mark.parametrize("share", [1e-160, 1.0, 1e160])
+def test_nearest_of_tiny_and_huge_doubles(spark, share):
+    """Cosines as of whole numbers in exact arithmetic: the size of vectors says nothing."""
+    r = np.random.default_rng(9)
+    x = r.integers(-9, 10, (120, 5))
+    x[(x == 0).all(1)] = 1
+    size = share * 2.0 ** r.integers(-30, 30, 120)
+    df = spark.createDataFrame([(k, (v * s).tolist()) for k, (v, s) in enumerate(zip(x, size, strict=True))], "vec_id long, embedding array<double>")
+    got = {(g.query_id, g.vec_id): g.score for g in nearest.nearest(df, 10, 119).collect()}
+    assert len(got) == 12 * 119
+    for (q, k), s in got.items():
+        a, b = [[int(c) for c in x[n]] for n in (q, k)]
+        dot = sum(c * d for c, d in zip(a, b, strict=True))
+        assert s == pytest.approx(dot / (sum(c * c for c in a) * sum(d * d for d in b)) ** 0.5, abs=2e-15)
+
+
 def test_nearest_edge_cases(spark):
     schema = "vec_id long, embedding array<float>, label int"
     bad = [(7, None, 0), (8, [0.0, 0.0], 0), (9, [1.0, None], 0), (10, [float("nan"), 1.0], 0), (11, [float("inf"), 1.0], 0), (12, [1.0, 2.0, 3.0], 0), (None, [1.0, 1.0], 0)]
