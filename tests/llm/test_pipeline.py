@@ -25,7 +25,8 @@ def test_stages(spark, tmp_path):
         docs = spark.read.parquet(path)
         assert docs.columns == columns
         now = {r.doc_id: r.text for r in docs.collect()}
-        assert set(now) <= set(kept) and rows // 2 < len(now)
+        # Filters keep most documents; a mix keeps what its scarcest source, language or topic allows.
+        assert set(now) <= set(kept) and len(now) > (rows // 5 if name == "mixing" else rows // 2)
         if name != "line_dedup":
             assert all(now[i] == kept[i] for i in now)
         kept = now
