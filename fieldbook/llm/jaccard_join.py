@@ -10,7 +10,8 @@ share a prefix shingle meet in cells, one for each range of sizes, so that no
 cell holds groups of which none can be similar. Pairs of groups are filtered
 by their sizes and by the places of their shared shingles; those that pass are
 expanded to their members and verified, which gives at most one link per
-member. Cells that are too heavy for a task are dealt out in pairs of blocks.
+member. Cells that are too heavy for a task are dealt out in blocks, and what
+the blocks have connected is not compared again.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldbook.llm.bytehash import mix, shingle_sets
@@ -171,7 +172,7 @@ def verified(cells: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def cells_of(groups: DataFrame, members: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame:
-    """(cell, key, gid, home, rest): the members of each cell, of groups (gid, n, prefix, kept, members) and members (gid, key).
+    """(leader, band, key, gid, size, home, rest, blocks): the members of each cell and how many blocks it has, of groups (gid, n, prefix, kept, members) and members (gid, key).
 
     Sizes fall into bands, so that similar sets are of one band or of
     neighbouring ones; each group is at home in its own band and a guest in the
@@ -187,13 +188,90 @@ def cells_of(groups: DataFrame, members: DataFrame, num: int, den: int, scratch:
     least = scratch.save("least", least.where("any AND all > 1").select("token", "band", "leader", "n"))
     met = dealt_join(entries, least, ["token", "band"], F.col("gid")).groupBy("leader", "band", "gid", "n", "members", "home").agg(F.max("rest").alias("rest"))
     pairs = scratch.save("pairs", met)
-    blocks = F.ceil(F.greatest(F.sum(F.col("n") * F.col("members")) / CELL_SHINGLES, F.sum("members") / CELL_MEMBERS)).cast("int")
+    blocks = blocks_for(F.sum("members"), F.sum(F.col("n") * F.col("members")))
     cells = scratch.save("heads", pairs.groupBy("leader", "band").agg(blocks.alias("blocks"), F.count("*").alias("n")))
-    rows = dealt_join(pairs.select("leader", "band", "gid", "home", "rest", "members"), cells, ["leader", "band"], F.col("gid"))
+    rows = dealt_join(pairs.withColumnRenamed("n", "size"), cells, ["leader", "band"], F.col("gid"))
     rows = dealt_join(members, scratch.save("rows", rows.withColumnRenamed("members", "n")), ["gid"], F.col("key"))
-    own = F.pmod(F.xxhash64("key"), F.col("blocks"))
-    rows = rows.select("leader", "band", "key", "gid", "home", "rest", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    return rows.select(F.xxhash64("leader", "band", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "key", "gid", "home", "rest")
+    return rows.select("leader", "band", "key", "gid", "size", "home", "rest", "blocks")
+
+
+def blocks_for(members: Column, shingles: Column) -> Column:
+    """In how many blocks so many members with so many shingles are verified."""
+    return F.ceil(F.greatest(members / CELL_MEMBERS, shingles / CELL_SHINGLES)).cast("int")
+
+
+def in_blocks(rows: DataFrame, *block: Column) -> DataFrame:
+    """rows as cells to be verified, one for each leader, band and block."""
+    return rows.select(F.xxhash64("leader", "band", *block).alias("cell"), "key", "gid", "home", "rest")
+
+
+def across_blocks(heavy: DataFrame, found: DataFrame, links: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame:
+    """links, and those that heavy cells add between their blocks; heavy: (leader, band, key, gid, size, home, rest), links: those within blocks.
+
+    What is connected already needs no more links. So one member of each
+    connected set of a cell meets those of the other sets, as long as that
+    halves the sets; near copies of one text become one set, with work in
+    proportion to their number. Then members leave of whose shingles too few
+    occur in other sets of the cell for a link; texts that merely share a
+    passage go so. Those that remain meet the members of other sets, where
+    pairs within the largest set are left out.
+    """
+    before, k = heavy.count(), 0
+    while before:
+        # Each round's sets, from all links so far.
+        roots = connected(links, Scratch(heavy.sparkSession, "jaccard-sets"))
+        named = heavy.join(roots, heavy.key == roots.node, "left").select(*heavy.columns, F.coalesce("root", "key").alias("set"))
+        named = scratch.save(f"heavy-{k}", named)
+        one = F.min(F.struct(~F.col("home"), F.xxhash64(F.lit(k), "key"), "key", "gid", "size", "home", "rest")).alias("one")
+        parts = scratch.save(f"sets-{k}", named.groupBy("leader", "band", "set").agg(one).select("leader", "band", "one.*"))
+        several = parts.groupBy("leader", "band").agg(F.count("*").alias("n"), F.sum("size").alias("shingles")).where("n > 1")
+        several = scratch.save(f"several-{k}", several.withColumn("blocks", blocks_for(F.col("n"), F.col("shingles"))).drop("shingles"))
+        now = several.agg(F.sum("n")).first()[0] or 0
+        if 2 * now > before or not now:
+            break
+        parts = dealt_join(parts, several, ["leader", "band"], F.xxhash64("key"))
+        more = in_blocks(parts, F.pmod(F.xxhash64(F.lit(k), "key"), F.col("blocks")))
+        links = scratch.save(f"links-{k}", links.union(verified(more.join(found, "key"), num, den)).distinct())
+        before, k = now, k + 1
+    if not before or not now:
+        return links
+    every = named.groupBy("leader", "band").agg(F.count("*").alias("n")).join(several.select("leader", "band"), ["leader", "band"])
+    stuck = scratch.save("stuck", dealt_join(named, scratch.save("every", every), ["leader", "band"], F.xxhash64("key")))
+    stuck = possible(stuck, found, num, den, scratch)
+    parts = stuck.groupBy("leader", "band", "set").agg(F.count("*").alias("n"), F.sum("size").alias("shingles"))
+    main = F.max(F.struct("n", "shingles", "set")).alias("main")
+    cells = parts.groupBy("leader", "band").agg(main, F.count("*").alias("sets"), F.sum("n").alias("n"), F.sum("shingles").alias("shingles")).where("sets > 1")
+    light = blocks_for(F.col("n"), F.col("shingles")) <= 1
+    few = F.when(light, 1).otherwise(blocks_for(F.col("n") - F.col("main.n"), F.col("shingles") - F.col("main.shingles")))
+    cells = cells.select("leader", "band", "n", few.alias("few"), F.when(light, 0).otherwise(blocks_for(F.col("main.n"), F.col("main.shingles"))).alias("many"), F.col("main.set").alias("main"))
+    rows = dealt_join(stuck, scratch.save("dealt", cells), ["leader", "band"], F.xxhash64("key"))
+    other = (F.col("set") != F.col("main")) | (F.col("many") == 0)
+    own = F.when(other, F.pmod(F.xxhash64("key"), F.col("few"))).otherwise(F.col("few") + F.pmod(F.xxhash64("key"), F.greatest("many", F.lit(1))))
+    met = F.sequence(F.lit(0), F.when(other, F.col("few") + F.col("many")).otherwise(F.col("few")) - 1)
+    rows = rows.select("leader", "band", "key", "gid", "home", "rest", own.alias("own"), F.explode(met).alias("other"))
+    last = in_blocks(rows, F.least("own", "other"), F.greatest("own", "other"))
+    return scratch.save("links-last", links.union(verified(last.join(found, "key"), num, den)).distinct())
+
+
+def possible(stuck: DataFrame, found: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame:
+    """The rows of stuck (leader, band, key, size, set, ...) that can be linked with another set of their cell.
+
+    A link takes num/den of a member's own shingles, which must therefore occur
+    in other sets of the cell; whoever has fewer of these leaves, which may
+    make others leave.
+    """
+    texts = found.join(stuck.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
+    texts, rows, k = scratch.save("stuck-texts", texts), stuck.count(), 0
+    while True:
+        tokens = stuck.select("leader", "band", "key", "set").join(texts, "key").select("leader", "band", "key", "set", F.explode("shingles").alias("token"))
+        often = tokens.groupBy("leader", "band", "token").agg(F.count("*").alias("n"), F.min("set").alias("a"), F.max("set").alias("b")).where("a <> b")
+        often = scratch.save(f"tokens-{k}", often.select("leader", "band", "token", "n"))
+        counts = dealt_join(tokens, often, ["leader", "band", "token"], F.xxhash64("key")).groupBy("leader", "band", "key").agg(F.count("*").alias("shared"))
+        stuck = scratch.save(f"stuck-{k}", stuck.join(counts, ["leader", "band", "key"]).where(den * F.col("shared") >= num * F.col("size")).drop("shared"))
+        now = stuck.count()
+        if 10 * now >= 9 * rows:
+            return stuck
+        rows, k = now, k + 1
 
 
 def link_documents(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -223,7 +301,9 @@ def link_documents(docs: DataFrame, words: int = 5, num: int = 80, den: int = 10
     texts = docs.select(F.col("doc_id").cast("long"), "text").join(scratch.save("wanted", wanted), "doc_id")
     found = scratch.save("found", whole_sets(texts, words))
     cells = scratch.save("cells", cells_of(groups, members, num, den, scratch))
-    links = scratch.save("links", verified(cells.join(found, "key"), num, den).distinct())
+    first = in_blocks(cells, F.pmod(F.xxhash64("key"), F.col("blocks")))
+    links = scratch.save("links", verified(first.join(found, "key"), num, den).distinct())
+    links = across_blocks(cells.where("blocks > 1").drop("blocks"), found, links, num, den, scratch)
     scratch.drop("often", "prefixes", "groups", "wanted", "least", "pairs", "heads", "rows", "found", "cells")
     roots = connected(links, scratch)
     reached = roots.join(classes, roots.node == classes.key).select("key", "root", "first")
