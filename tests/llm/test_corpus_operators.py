@@ -93,6 +93,44 @@ def test_jaccard_of_many_near_sets(spark, both_ways, monkeypatch, words, num):
     assert 5 < len({c for _, c in got.values()}) < len(rows) - 20
 
 
+@pytest.mark.parametrize(("words", "edits"), [(200, [1, 2, 3, 3, 4, 10]), (60, [1, 1, 2, 3])])
+def test_jaccard_of_heavy_cells(spark, monkeypatch, words, edits):
+    """2500 edits of one text, of which many (200 words) or few (60) are linked, and 2500 texts that share a passage: whole results, the former with less than half the rows of all pairs of blocks."""
+    r = random.Random(5)
+    body, passage = [f"w{k}" for k in range(words)], [f"p{k}" for k in range(40)]
+    rows = []
+    for i in range(2500):
+        own = list(body)
+        for _ in range(r.choice(edits)):
+            own[r.randrange(words)] = f"x{r.randrange(40)}"
+        rows.append((i, " ".join(own)))
+        rows.append((i + 2500, " ".join(passage + [f"u{i}-{k}" for k in range(r.randrange(18, 26))])))
+    met, pairs = [], []
+    plain, cells_of = jaccard_join.verified, jaccard_join.cells_of
+
+    def counted(*args):
+        cells = cells_of(*args)
+        pairs.append(cells.agg(F.sum("blocks")).first()[0])
+        return cells
+
+    monkeypatch.setattr(jaccard_join, "cells_of", counted)
+    monkeypatch.setattr(jaccard_join, "verified", lambda cells, num, den: met.append(cells.count()) or plain(cells, num, den))
+    got = {g.doc_id: g.component_id for g in jaccard_join.link_documents(documents(spark, rows), 5, 80, 100).collect()}
+
+    names: dict[tuple, int] = {}
+    sets = [{names.setdefault(tuple(w[k : k + 5]), len(names)) for k in range(len(w) - 4)} for _, t in rows for w in [t.split()]]
+    holders = Counter(x for s in sets for x in s)
+    column = {x: k for k, x in enumerate(x for x, n in holders.items() if n > 1)}
+    m = np.zeros((len(sets), len(column)), np.float32)
+    for k, s in enumerate(sets):
+        m[k, [column[x] for x in s if x in column]] = 1
+    both, n = m @ m.T, np.array([len(s) for s in sets])
+    links = [(rows[a][0], rows[b][0]) for a, b in zip(*np.nonzero(np.triu(180 * both >= 80 * (n[:, None] + n[None, :]), 1)), strict=True)]
+    assert got == components(links, [i for i, _ in rows])
+    print("rows of cells", met, "of all pairs of blocks", pairs)
+    assert words < 200 or sum(met) < pairs[0] / 2
+
+
 def test_pairs_of_groups_lose_no_link():
     """Every linked pair passes the filter in the cell of its first shared kept shingle."""
     r = np.random.default_rng(3)
