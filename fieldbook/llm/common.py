@@ -23,6 +23,16 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_BYTES))
 
 
+def spread(table: DataFrame) -> DataFrame:
+    """A table read from files, dealt out evenly where its scan has fewer tasks than there are cores, as that of one large row group has.
+
+    Larger tables are left as they are. No job runs; the rows are the same, in
+    another order.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+
+
 class Scratch:
     """Intermediate tables as Parquet in the folder that spark.checkpoint.dir names.
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldbook.llm import fill_in_middle, fingerprints, jaccard_join, line_dedup, merkle, mixing, nearest, packing, quality_classifier, sharding, suffix_dedup, topk, url_filters
+from fieldbook.llm.common import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -73,7 +74,7 @@ SQL["op3_ngram_jaccard_join"] = r"""
 @query
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents' tokens in sequences of 1024."""
-    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+    return packing.pack_documents(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), tokenizer_path())
 
 
 #: Shares of sources, languages and topics go with this power of their tokens.

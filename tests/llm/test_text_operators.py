@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from fieldbook.llm import fingerprints, line_dedup, packing, quality_classifier, sharding
+from fieldbook.llm import common, fingerprints, line_dedup, packing, quality_classifier, sharding
 from fieldbook.llm.bytehash import PLACES, mix, spans, sums
 from fieldbook.llm.queries import QUERIES, tokenizer_path
 
@@ -174,6 +174,21 @@ def plain_pack(lengths, capacity):
     return out
 
 
+def test_a_scan_of_few_tasks_is_spread(spark, tmp_path):
+    rows = [(k, f"text {k}") for k in range(1000)] + [(None, None), (1, ""), (1, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/one")
+    one = spark.read.parquet(f"{tmp_path}/one")
+    cores = spark.sparkContext.defaultParallelism
+    out = common.spread(one)
+    assert out.rdd.getNumPartitions() >= cores
+    assert sorted(out.collect(), key=str) == sorted(one.collect(), key=str)
+    sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) < len(rows) if cores > 1 else sizes == [len(rows)]
+    many = one.repartition(cores + 1)
+    assert common.spread(many) is many
+    assert common.spread(one.limit(0)).count() == 0
+
+
 def test_packing_against_plain_assignment():
     r = random.Random(4)
     for _ in range(20):
