@@ -40,8 +40,9 @@ GAP = 256
 #: A text of fewer features than FEW takes all its grams of GRAM bytes, and if under TINY bytes those of two bytes as well.
 FEW, GRAM, TINY = 8, 6, 16
 GROUP_BYTES = 192 << 10
-#: Bytes of texts in a part on average, and the quantiles of doc_id that part them.
+#: Bytes of texts in a part on average, the least where smaller parts would give each core one, and the quantiles of doc_id that part them.
 PART_BYTES = 16 << 20
+LEAST_PART_BYTES = 1 << 20
 INTERVALS = 1024
 
 _count = np.arange(WIDTH + 2, dtype=float)
@@ -278,7 +279,8 @@ def compare_edited(docs: DataFrame, rank: np.ndarray, parts: int | None = None)
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     if parts is None:
-        parts = max(1, (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PART_BYTES)
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        parts = max(1, size // PART_BYTES, min(spark.sparkContext.defaultParallelism, size // LEAST_PART_BYTES))
     shared = spark.sparkContext.broadcast(rank)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int | None, str, str]]]:

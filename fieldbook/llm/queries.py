@@ -194,7 +194,7 @@ SQL["op7_line_dedup"] = """
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fingerprint against its edited text's and the next document's."""
     docs = table(spark, sf_dir, "documents")
-    return fingerprints.compare_edited(docs, fingerprints.rarity(docs))
+    return fingerprints.compare_edited(docs, fingerprints.rarity(spread(docs.select("text"))))
 
 
 @query
