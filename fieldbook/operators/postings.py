@@ -27,10 +27,10 @@ KINDS = {"postings": "part int, term string, field string, id {}, tf long, n lon
 
 
 class Postings:
-    """The index in a folder; fields, stop words, stems and parts must be those it was made with."""
+    """The index in a folder; fields, stop words, stems and parts must be those it was made with. bytewise: a query's edits are of UTF-8 bytes, else of characters."""
 
-    def __init__(self, spark: SparkSession, folder: str, fields: list[str] = search.FIELDS, stop_words: frozenset[str] = search.STOP_WORDS, stem: bool = True, parts: int = 64):
-        self.spark, self.folder, self.fields, self.stop_words, self.stem, self.parts = spark, folder.rstrip("/"), list(fields), stop_words, stem, parts
+    def __init__(self, spark: SparkSession, folder: str, fields: list[str] = search.FIELDS, stop_words: frozenset[str] = search.STOP_WORDS, stem: bool = True, parts: int = 64, bytewise: bool = False):
+        self.spark, self.folder, self.fields, self.stop_words, self.stem, self.parts, self.bytewise = spark, folder.rstrip("/"), list(fields), stop_words, stem, parts, bytewise
         self.versions = Commits(spark, f"{self.folder}/_versions")
 
     def part_of(self, term: Column) -> Column:
@@ -149,18 +149,18 @@ class Postings:
 
     def search(self, entries: DataFrame, query: str) -> DataFrame:
         """(id) of the entries that match; a blank query matches all, a broken one none."""
-        return search.search(entries, self.postings(self._clauses(query)), query, self.fields, self.stem)
+        return search.search(entries, self.postings(self._clauses(query)), query, self.fields, self.stem, self.bytewise)
 
     def ranked(self, entries: DataFrame, query: str) -> DataFrame:
         """(id, score) of the entries that match."""
         rows = self.postings(self._clauses(query))
         sums = self._segments()[1]
         lengths = self.spark.createDataFrame([(f, *v) for f, v in sums.items()], "field string, docs long, words long")
-        scores = search.weighted(rows, lengths, query, self.fields, self.stem)
-        return search.search(entries, rows, query, self.fields, self.stem).join(scores, "id", "left").select("id", F.coalesce("score", F.lit(0.0)).alias("score"))
+        scores = search.weighted(rows, lengths, query, self.fields, self.stem, bytewise=self.bytewise)
+        return search.search(entries, rows, query, self.fields, self.stem, self.bytewise).join(scores, "id", "left").select("id", F.coalesce("score", F.lit(0.0)).alias("score"))
 
     def _clauses(self, query: str) -> list[search.Clause]:
         try:
-            return search.parse(query, self.fields, self.stem)
+            return search.parse(query, self.fields, self.stem, self.bytewise)
         except search.QueryError:
             return []

@@ -125,6 +125,16 @@ def test_a_query_reads_only_its_terms_parts(spark, tmp_path):
     assert sorted(x.id for x in kept.postings([search.Clause("w19*")]).select("id").distinct().collect()) == [18, 19, *range(189, 200)]
 
 
+@pytest.mark.parametrize("bytewise, want", [(True, [1, 2]), (False, [1, 2, 3])])
+def test_edits_of_bytes_or_characters(spark, tmp_path, bytewise, want):
+    docs = spark.createDataFrame([(1, "oner"), (2, "one"), (3, "onér"), (4, "onère")], "id long, body string")
+    kept = Postings(spark, str(tmp_path / "index"), ["body"], frozenset(), stem=False, bytewise=bytewise)
+    kept.update(docs)
+    assert sorted(r.id for r in kept.search(docs.select("id"), "oner~1").collect()) == want
+    words = search.words(docs, ["body"], frozenset())
+    assert sorted(r.id for r in search.search(docs, words, "oner~1", ["body"], stem=False, bytewise=bytewise).collect()) == want
+
+
 def test_a_version_is_made_once(spark, tmp_path):
     folder = str(tmp_path / "v")
     won = []
