@@ -1,10 +1,11 @@
 """An inverted index that is kept between queries and follows changed entries.
 
 Segments hold the postings of the entries that came with one update, parted by
-a hash of the term and sorted, and marks for the entries that they replace or
-remove. An entry counts in its latest segment. A version lists the segments in
+a hash of the term, the lengths of their fields, written in the same pass, and
+marks for the entries that they replace or remove. An entry counts in its latest segment. A version lists the segments in
 force and the sums that scores need; a query reads its own terms' parts alone.
-Wildcards and edits are looked up among the distinct terms. merged() makes one
+Wildcards and edits are looked up among the distinct terms; if they mean more
+than MEANT of these, the postings themselves are tried. merge() makes one
 segment of all.
 """
 
@@ -22,6 +23,10 @@ from fieldbook.sources.commits import Commits
 
 #: Segments from which an update merges them.
 SEGMENTS = 8
+#: Terms that wildcards and edits may mean for their parts alone to be read.
+MEANT = 1000
+#: The part that rows without a term are written to, one for each field of an entry.
+LENGTHS = -1
 #: Columns of a segment's files; id has the type of the entries' ids.
 KINDS = {"postings": "part int, term string, field string, id {}, tf long, n long", "terms": "term string", "lengths": "id {}, field string, n long", "gone": "id {}"}
 
@@ -34,7 +39,8 @@ class Postings:
         self.versions = Commits(spark, f"{self.folder}/_versions")
 
     def part_of(self, term: Column) -> Column:
-        return F.pmod(F.xxhash64(term), F.lit(self.parts)).cast("int")
+        """A number from 0; LENGTHS for a null."""
+        return F.when(term.isNull(), LENGTHS).otherwise(F.pmod(F.xxhash64(term), F.lit(self.parts)).cast("int"))
 
     def _segments(self) -> tuple[list[str], dict]:
         last = self.versions.latest()
@@ -71,8 +77,11 @@ class Postings:
         self._save("gone", gone, new)
         own = F.array(*[F.struct(F.lit(f).alias("field"), search.kept_terms(F.col(f), self.stop_words).alias("terms")) for f in self.fields])
         fields = documents.select("id", F.explode(own).alias("f")).select("id", "f.field", F.size("f.terms").cast("long").alias("n"), "f.terms")
-        each = fields.select("id", "field", "n", F.explode("terms").alias("term"))
-        self._write(each.groupBy("id", "field", "n", "term").agg(F.count("*").alias("tf")), fields.select("id", "field", "n"), new)
+        # An entry is one row, so its terms are counted where they are, and only postings are shuffled. Without
+        # outer, Spark infers a filter on the size of what is exploded, which would count for each word again.
+        own = F.struct(F.lit(None).cast("string").alias("term"), F.lit(0).cast("long").alias("tf"))
+        each = search.counted_terms(fields, "terms").select("id", "field", "n", F.explode_outer(F.concat(F.array(own), "counted")).alias("t"))
+        self._write(each.select("id", "field", "n", "t.*"), new)
         added = self._sums(self._read("lengths", [new]))
         lost = {}
         if segments:
@@ -89,28 +98,34 @@ class Postings:
         new = f"s{uuid.uuid4().hex}"
         self._save("gone", self._read("gone", segments).select("id").limit(0), new)
         rows = self._alive(self._read("postings", segments), segments).select("id", "field", "n", "term", "tf")
-        self._write(rows, self._alive(self._read("lengths", segments), segments).select("id", "field", "n"), new, stems=False)
+        lengths = self._alive(self._read("lengths", segments), segments).select("id", "field", "n", F.lit(None).cast("string").alias("term"), F.lit(0).cast("long").alias("tf"))
+        self._write(rows.unionByName(lengths), new, stems=False)
         self._commit([new], sums)
 
     def sweep(self) -> None:
         """Delete segments that are not in force."""
         live = {f"segment={s}" for s in self._segments()[0]}
         fs, path = self.versions.fs, self.versions.path
-        for kind in ("postings", "terms", "lengths", "gone"):
+        for kind in KINDS:
             for s in fs.listStatus(path(f"{self.folder}/{kind}")):
                 if s.isDirectory() and s.getPath().getName() not in live:
                     fs.delete(s.getPath(), True)
 
-    def _write(self, rows: DataFrame, lengths: DataFrame, new: str, stems: bool = True) -> None:
+    def _write(self, rows: DataFrame, new: str, stems: bool = True) -> None:
+        """Save postings, and lengths as rows without a term."""
         if self.stem and stems:
-            known = rows.select("term").distinct().withColumn("stem", stemmed("term"))
-            rows = rows.join(known, "term").groupBy("id", "field", "n", F.col("stem").alias("term")).agg(F.sum("tf").alias("tf"))
+            known = rows.where("term IS NOT NULL").select("term").distinct().withColumn("stem", stemmed("term"))
+            rows = rows.join(known, "term", "left").groupBy("id", "field", "n", F.col("stem").alias("term")).agg(F.sum("tf").alias("tf"))
         placed = rows.withColumn("part", self.part_of(F.col("term")))
-        # Ranges that go on by id cut the postings of a frequent term anywhere.
-        laid = placed.repartitionByRange("part", "term", "id").sortWithinPartitions("part", "term", "id")
-        self._save("postings", laid.select("part", "term", "field", "id", "tf", "n"), new, "part")
+        # Rebalancing cuts a part that is too large, also within a frequent term, and needs no second pass for its bounds.
+        self._save("postings", placed.hint("rebalance", F.col("part")).select("part", "term", "field", "id", "tf", "n"), new, "part")
+        fs, own, lengths = self.versions.fs, *map(self.versions.path, (f"{self.folder}/postings/segment={new}/part={LENGTHS}", f"{self.folder}/lengths/segment={new}"))
+        if fs.exists(own):
+            fs.mkdirs(lengths.getParent())
+            fs.rename(own, lengths)
+        else:
+            fs.mkdirs(lengths)
         self._save("terms", self._read("postings", [new]).select("term").distinct(), new)
-        self._save("lengths", lengths, new)
 
     @staticmethod
     def _sums(lengths: DataFrame) -> dict[str, list[int]]:
@@ -138,13 +153,13 @@ class Postings:
         if not segments:
             return self.spark.createDataFrame([], "id string, field string, term string, tf long, n long")
         rows = self._read("postings", segments)
-        if all("*" not in c.term and not c.edits for c in clauses):
-            wanted = sorted({c.term for c in clauses})
+        exact = all("*" not in c.term and not c.edits for c in clauses)
+        fits = reduce(Column.__or__, [search.fits_term(c) for c in clauses], F.lit(False))
+        wanted = sorted({c.term for c in clauses}) if exact else [r.term for r in self.terms().where(fits).limit(MEANT + 1).collect()]
+        if exact or len(wanted) <= MEANT:
             parts = [r[0] for r in self.spark.createDataFrame([(t,) for t in wanted], "term string").select(self.part_of(F.col("term"))).distinct().collect()] if wanted else []
-            rows = rows.where(F.col("part").isin(parts) & F.col("term").isin(wanted))
-        else:
-            meant = self.terms().where(reduce(Column.__or__, [search.fits_term(c) for c in clauses]))
-            rows = rows.join(meant.select("term", self.part_of(F.col("term")).alias("part")), ["part", "term"], "left_semi")
+            fits = F.col("part").isin(parts) & F.col("term").isin(wanted)
+        rows = rows.where(fits)
         return self._alive(rows, segments).select("id", "field", "term", "tf", "n")
 
     def search(self, entries: DataFrame, query: str) -> DataFrame:

@@ -135,6 +135,33 @@ def test_edits_of_bytes_or_characters(spark, tmp_path, bytewise, want):
     assert sorted(r.id for r in search.search(docs, words, "oner~1", ["body"], stem=False, bytewise=bytewise).collect()) == want
 
 
+@pytest.mark.parametrize("meant", [0, 1000])
+def test_a_wildcard_shuffles_no_postings(spark, tmp_path, monkeypatch, meant):
+    monkeypatch.setattr("fieldbook.operators.postings.MEANT", meant)
+    docs = spark.createDataFrame([(1, "thorn oner"), (2, "one two"), (3, ""), (4, None)], "id long, body string")
+    kept = Postings(spark, str(tmp_path / "index"), ["body"], frozenset(), stem=False)
+    kept.update(docs)
+    rows = kept.postings(search.parse("tho* oner~1", ["body"], stem=False))
+    assert sorted((r.id, r.term) for r in rows.collect()) == [(1, "oner"), (1, "thorn"), (2, "one")]
+    assert not re.search("Exchange|Join", rows._jdf.queryExecution().executedPlan().toString())
+    assert sorted(r.term for r in kept.terms().collect()) == ["one", "oner", "thorn", "two"]
+    everything = kept.postings(search.parse("*", ["body"], stem=False))
+    assert sorted(r.term for r in everything.collect()) == ["one", "oner", "thorn", "two"]
+    assert sorted(map(tuple, kept.lengths().collect())) == [(1, 2), (2, 2)]
+
+
+def test_an_entrys_terms_are_counted_before_a_shuffle(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(1, "b a b  b c a"), (2, ""), (3, None), (4, "x")], "id long, body string")
+    made = []
+    monkeypatch.setattr(Postings, "_write", lambda self, rows, *rest: made.append(rows) or (_ for _ in ()).throw(InterruptedError))
+    with pytest.raises(InterruptedError):
+        Postings(spark, str(tmp_path / "index"), ["body"], frozenset(), stem=False).update(docs)
+    rows = made[0]
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+    got = sorted(tuple(r) for r in rows.where("term IS NOT NULL").select("id", "term", "tf", "n").collect())
+    assert got == [(1, "a", 2, 6), (1, "b", 3, 6), (1, "c", 1, 6), (4, "x", 1, 1)]
+
+
 def test_a_version_is_made_once(spark, tmp_path):
     folder = str(tmp_path / "v")
     won = []
