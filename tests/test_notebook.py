@@ -321,3 +321,14 @@ def test_nodes_and_updates(book, now):
     assert collections.from_nodes(bare.withColumn("type", F.lit("other"))).first().type == "paragraph"
     edited = collections.update_block(book["blocks"], "b-obs", {"text": F.lit("seen")}, now).where("text = 'seen'").collect()
     assert [(r.block_id, r.updated_by, r.updated_ts.hour) for r in edited] == [("b-obs", "me", 13)]
+
+
+def test_files_of_a_sample_are_counted_apart(spark):
+    a = spark.createDataFrame([(1, "s", "f"), (1, "s", "g"), (2, "s", "f"), (2, None, "h"), (9, "s", "z"), (2, "t", None)], "entry_id long, sample_id string, filename string")
+    e = spark.createDataFrame([(1, "one"), (2, "two")], "id long, title string")
+    got = joins.counted_files(a, e)
+    assert sorted(map(tuple, got.collect())) == [("s", 2, 2), ("t", 0, 1)]
+    lists = joins.mapped_files(a, e).collect()
+    assert sorted((r.sample_id, len(r.files), len(r.entries)) for r in lists) == [("s", 2, 2), ("t", 0, 1)]
+    # Names are keys of a shuffle, no sample's list.
+    assert "collect_set" not in got._jdf.queryExecution().optimizedPlan().toString()
