@@ -162,6 +162,16 @@ def test_an_entrys_terms_are_counted_before_a_shuffle(spark, tmp_path, monkeypat
     assert got == [(1, "a", 2, 6), (1, "b", 3, 6), (1, "c", 1, 6), (4, "x", 1, 1)]
 
 
+@pytest.mark.parametrize("stem", [True, False])
+def test_vocabulary_equals_the_index_and_has_no_ids(spark, stem):
+    docs = spark.createDataFrame([(1, "cats cat the", "cat"), (2, "ponies", None), (1, "cat", "pony"), (3, "", "the")], "id long, body string, title string")
+    got = search.vocabulary(docs, ["body", "title"], stem=stem)
+    want = search.index(docs, ["body", "title"], stem=stem).groupBy("term").agg(F.sum("tf").alias("n"))
+    assert got.columns == ["term", "n"] and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and not re.search(r"Aggregate \[id", plan)
+
+
 def test_a_version_is_made_once(spark, tmp_path):
     folder = str(tmp_path / "v")
     won = []
