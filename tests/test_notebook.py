@@ -1,6 +1,7 @@
 """Seed, filters, sections, search, export and the change queue on small tables."""
 
 import json
+import re
 from datetime import UTC, datetime, timedelta
 
 import pytest
@@ -332,3 +333,11 @@ def test_files_of_a_sample_are_counted_apart(spark):
     assert sorted((r.sample_id, len(r.files), len(r.entries)) for r in lists) == [("s", 2, 2), ("t", 0, 1)]
     # Names are keys of a shuffle, no sample's list.
     assert "collect_set" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_manifests_deal_files_out_once(spark):
+    from fieldbook.plans.block_queries import manifests
+
+    plan = manifests(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(entry_id#" in plan and not re.search(r"hashpartitioning\(entry_id#\d+L?, [a-z]", plan)
+    assert "array_sort" not in plan
