@@ -338,6 +338,19 @@ def test_suffix_dedup_against_brute_force(spark, monkeypatch, both_ways, length,
     assert suffix_dedup.remove_repeats(documents(spark, []), length).count() == 0
 
 
+def test_suffix_dedup_counts_bytes_of_passages(spark):
+    """60 words that two documents share stay with 399 bytes and go with 400; n_bytes is the input's size either way."""
+    rows, want = [], []
+    for c, n in (("s", 399), ("g", 400), ("é", 399), ("ö", 400)):
+        passage = " ".join(f"{c}{k:02d}a" for k in range(60))
+        passage += "x" * (n - len(passage.encode()))
+        for a, b in ("<>", "[]"):
+            want.append((len(rows), n + 2, n * (n >= 400), a + b if n >= 400 else a + passage + b))
+            rows.append((len(rows), a + passage + b))
+    got = suffix_dedup.remove_repeats(documents(spark, rows)).collect()
+    assert sorted((g.doc_id, g.n_bytes, g.n_removed, g.kept_text) for g in got) == want
+
+
 def test_difference_cover():
     d = suffix_dedup.difference_cover(32)
     assert {(a - b) % 32 for a in d for b in d} == set(range(32)) and len(d) <= 10
