@@ -1,16 +1,20 @@
 """The stemmer, weights, the kept index, and versions in a shared folder."""
 
+import itertools
 import math
 import random
 import re
 import threading
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from fieldbook.functions.stem import measure, stem_word
+from fieldbook.functions.stem import measure, stem_sql, stem_word
 from fieldbook.operators import search
 from fieldbook.operators.postings import Postings
+from fieldbook.plans import block_queries
+from fieldbook.plans.catalog import SQL
 from fieldbook.sources.commits import Commits, Snapshot, lease, shared_folder
 
 # Examples of the published description, word and stem.
@@ -35,6 +39,27 @@ def test_measure(word, m):
     assert measure(word) == m
 
 
+@pytest.mark.parametrize("word, stem", [("6d3e417d62c7155ed", "6d3e417d62c7155"), ("a__ing", "a__"), ("u..eds", "u.."), ("uééed", "uéé"), ("cyyed", "cyi"), ("a1bbed", "a1b"), ("a1lled", "a1ll")])
+def test_only_pairs_of_consonant_letters_lose_one(word, stem):
+    assert stem_word(word) == stem
+
+
+def test_stems_of_odd_words_equal_their_sql():
+    odd = sorted({"".join(x) + end for k in range(5) for x in itertools.product("ayl1.éb", repeat=k) for end in ("ed", "ing", "eeds", "y", "e")})
+    rows = duckdb.execute(f"SELECT term, {stem_sql('term')} FROM (SELECT unnest(?) AS term)", [odd]).fetchall()
+    assert len(rows) == len(odd) and [r for r in rows if stem_word(r[0]) != r[1]] == []
+
+
+def test_index_stems_of_hexadecimal_words_equals_its_sql(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "keys 6d3e417d62c7155ed and 6d3e417d62c7155"), (2, "hopped hop a__ing")], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = block_queries.index_stems(spark, str(tmp_path))
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = c.execute(SQL["index_stems"]).fetchall()
+    assert sorted(map(tuple, got.select("term", "n").collect())) == sorted(want) and ("6d3e417d62c7155", 2) in want
+
+
 def test_words_as_parts_without_marks(spark):
     odd = ["", None, "a-b", "--x--", "...a.b...", "e.g. (this) [that]", "é été naïve", "_x_ 'quoted'", "tab\tand\nline", "- . -", "ABC-def--GHI", "x" * 3000 + "!" * 3000, "\U0001f600 a\U0001f600b"]
     frame = spark.createDataFrame([(t,) for t in odd], "t string").select(search.terms_of(F.col("t")).alias("w"))
